@@ -6,13 +6,14 @@ import importlib
 import os
 import sys
 
-from . import bpe, chat, exact_dedup, packing, quality, url_filter
+from . import bpe, chat, exact_dedup, lm, packing, quality, url_filter
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_chat_format": chat.op2_chat_format,
+    "op4_lm_score": lm.op4_lm_score,
     "op5_packing": packing.op5_packing,
     "op7_bpe": bpe.op7_bpe,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
@@ -22,5 +23,6 @@ QUERIES = {
 SQL = {
     "op1_url_filter": url_filter.OP1_SQL,
     "op2_chat_format": chat.OP2_SQL,
+    "op4_lm_score": lm.OP4_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
 }
