@@ -5,19 +5,22 @@ from __future__ import annotations
 import heapq
 import json
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import read
 
 MAX_VOCABULARY_BYTES = 64_000_000
-#: Distinct fragments that a task remembers at most; beyond, it forgets them all and goes on.
-MEMO = 400_000
+#: A task remembers the fragments it met in two halves of so many; a full half replaces the older one.
+MEMO = 100_000
+#: Bytes of a column that are encoded or decoded at once.
+BLOCK = 2_000_000
 
 # Fixed values of byte-level BPE: the pattern that splits text before merging.
 PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -47,7 +50,9 @@ class ByteBpe:
         as_bytes = lambda token: bytes(alphabet[c] for c in token)
         self.ids = {as_bytes(t): i for t, i in model["vocab"].items()}
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        self.ranks = {(as_bytes(a), as_bytes(b)): i for i, (a, b) in enumerate(pairs)}
+        named = {t: self.ids[as_bytes(t)] for t in model["vocab"]}
+        self.joins = {(named[a], named[b]): (i, named[a + b]) for i, (a, b) in enumerate(pairs)}
+        self.byte_ids = [self.ids[bytes([b])] for b in range(256)]
         self.bytes_of = {i: t for t, i in self.ids.items()}
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of |= {i: t.encode() for t, i in added.items()}
@@ -66,6 +71,7 @@ class ByteBpe:
         cut[[b for b in range(256) if b not in alnum], ord("'")] = False
         self.cut = cut
         self.memo: dict[bytes, tuple[int, ...]] = {}
+        self.older: dict[bytes, tuple[int, ...]] = {}
 
     def fragments(self, text: bytes) -> list[bytes]:
         b = np.frombuffer(text, np.uint8)
@@ -74,24 +80,44 @@ class ByteBpe:
         return [text[i:j] for i, j in zip([0, *ends], ends)]
 
     def merge(self, word: bytes) -> list[int]:
-        """The ids of one word: always joins the leftmost pair of lowest rank, by a heap over a linked list."""
-        parts: list[bytes | None] = [word[i : i + 1] for i in range(len(word))]
-        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
-        ranks = self.ranks
-        heap = [(r, i, parts[i], parts[i + 1]) for i in range(len(parts) - 1) if (r := ranks.get((parts[i], parts[i + 1]))) is not None]
+        """The ids of one word: joins the pair of lowest rank, leftmost first, until no pair is known."""
+        return self._merge_long(word) if len(word) > 100 else self._merge_short(word)
+
+    def _merge_short(self, word: bytes) -> list[int]:
+        parts, joins = [self.byte_ids[b] for b in word], self.joins
+        none = (len(joins), -1)
+        found = [joins.get((a, b), none) for a, b in zip(parts, parts[1:])]
+        while found and (best := min(found)) is not none:
+            i = found.index(best)
+            parts[i : i + 2] = [best[1]]
+            del found[i]
+            if i:
+                found[i - 1] = joins.get((parts[i - 1], best[1]), none)
+            if i < len(found):
+                found[i] = joins.get((best[1], parts[i + 1]), none)
+        return parts
+
+    def _merge_long(self, word: bytes) -> list[int]:
+        """A heap over a linked list: n log n for words of any length."""
+        joins = self.joins
+        parts: list[int | None] = [self.byte_ids[b] for b in word]
+        n = len(parts)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(*j, i, parts[i], parts[i + 1]) for i in range(n - 1) if (j := joins.get((parts[i], parts[i + 1])))]
+        heap = [(rank, i, a, b, new) for rank, new, i, a, b in heap]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            _, i, a, b, new = heapq.heappop(heap)
             j = after[i]
-            if parts[i] != a or j >= len(parts) or parts[j] != b:
+            if parts[i] != a or j >= n or parts[j] != b:
                 continue
-            parts[i], parts[j], after[i] = a + b, None, after[j]
-            if after[j] < len(parts):
+            parts[i], parts[j], after[i] = new, None, after[j]
+            if after[j] < n:
                 before[after[j]] = i
             for left in (before[i], i):
-                if left >= 0 and (right := after[left]) < len(parts) and (r := ranks.get((parts[left], parts[right]))) is not None:
-                    heapq.heappush(heap, (r, left, parts[left], parts[right]))
-        return [self.ids[p] for p in parts if p is not None]
+                if left >= 0 and (right := after[left]) < n and (found := joins.get((parts[left], parts[right]))):
+                    heapq.heappush(heap, (found[0], left, parts[left], parts[right], found[1]))
+        return [p for p in parts if p is not None]
 
     def encode_fragment(self, fragment: bytes) -> tuple[int, ...]:
         words = self.pretoken.findall(fragment.decode())
@@ -104,10 +130,10 @@ class ByteBpe:
         for fragment in self.fragments(text.encode()):
             ids = memo.get(fragment)
             if ids is None:
-                ids = self.encode_fragment(fragment)
-                if len(memo) >= MEMO:
-                    memo.clear()
+                ids = self.older.get(fragment) or self.encode_fragment(fragment)
                 if len(fragment) <= 64:
+                    if len(memo) >= MEMO:
+                        self.older, self.memo = memo, (memo := {})
                     memo[fragment] = ids
             out.extend(ids)
 
@@ -144,6 +170,23 @@ def _loaded(held) -> ByteBpe:
     return _LOADED[held.value]
 
 
+def _with_column(docs: DataFrame, name: str, kind: T.DataType, source: str, make: Callable[[ByteBpe, list], pa.Array], held) -> DataFrame:
+    """``docs`` with ``name`` made from ``source``, a few megabytes at a time, so that a worker holds little besides its input."""
+    kept = [c for c in docs.columns if c.lower() != name.lower()]
+    base = docs.select(*kept, docs[source].alias("__source"))
+    schema = T.StructType([*(f for f in base.schema if f.name != "__source"), T.StructField(name, kind)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = _loaded(held)
+        for batch in batches:
+            rows = max(1, batch.num_rows * BLOCK // max(1, batch.column(batch.num_columns - 1).nbytes))
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], make(bpe, part.column(part.num_columns - 1).to_pylist())], names=schema.names)
+
+    return base.mapInArrow(run, schema)
+
+
 def bpe_encode(docs: DataFrame, vocabulary: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """Adds ``ids_col``, array<int>, the ids of every whole text; nothing shuffles and no row is dropped.
 
@@ -152,26 +195,21 @@ def bpe_encode(docs: DataFrame, vocabulary: str, text_col: str = "text", ids_col
     """
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
-    @F.pandas_udf("array<int>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bpe = _loaded(held)
-        for texts in batches:
-            yield pd.Series([np.array(bpe.encode(t or ""), np.int32) for t in texts], dtype=object)
+    def make(bpe: ByteBpe, texts: list[str | None]) -> pa.Array:
+        ids = [np.array(bpe.encode(t or ""), np.int32) for t in texts]
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate(ids)))
 
-    return docs.withColumn(ids_col, encode(F.coalesce(F.col(text_col), F.lit(""))))
+    return _with_column(docs, ids_col, T.ArrayType(T.IntegerType()), text_col, make, held)
 
 
 def bpe_decode(docs: DataFrame, vocabulary: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """Adds ``text_col``, the text of ``ids_col``. Null ids give an empty text, unknown ids nothing, broken UTF-8 U+FFFD."""
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
-    @F.pandas_udf("string")
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bpe = _loaded(held)
-        for rows in batches:
-            yield pd.Series([bpe.decode(r.tolist()) if r is not None else "" for r in rows], dtype=object)
+    def make(bpe: ByteBpe, rows: list[list[int] | None]) -> pa.Array:
+        return pa.array([bpe.decode(r or []) for r in rows], pa.string())
 
-    return docs.withColumn(text_col, decode(F.col(ids_col)))
+    return _with_column(docs, text_col, T.StringType(), ids_col, make, held)
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:

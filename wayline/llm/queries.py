@@ -6,7 +6,7 @@ import importlib
 import os
 import sys
 
-from . import bpe, chat, exact_dedup, lm, packing, quality, url_filter
+from . import bpe, chat, embedding_dedup, exact_dedup, lm, packing, quality, url_filter
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -15,6 +15,7 @@ QUERIES = {
     "op2_chat_format": chat.op2_chat_format,
     "op4_lm_score": lm.op4_lm_score,
     "op5_packing": packing.op5_packing,
+    "op6_embedding_dedup": embedding_dedup.op6_embedding_dedup,
     "op7_bpe": bpe.op7_bpe,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_quality": quality.op10_quality,
@@ -24,5 +25,6 @@ SQL = {
     "op1_url_filter": url_filter.OP1_SQL,
     "op2_chat_format": chat.OP2_SQL,
     "op4_lm_score": lm.OP4_SQL,
+    "op6_embedding_dedup": embedding_dedup.OP6_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
 }
