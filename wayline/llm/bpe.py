@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import json
 import os
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ from .common import read
 
 MAX_VOCABULARY_BYTES = 64_000_000
 #: A task remembers the fragments it met in two halves of so many; a full half replaces the older one.
-MEMO = 100_000
+MEMO = 250_000
 #: Bytes of a column that are encoded or decoded at once.
 BLOCK = 2_000_000
 
@@ -51,7 +52,8 @@ class ByteBpe:
         self.ids = {as_bytes(t): i for t, i in model["vocab"].items()}
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         named = {t: self.ids[as_bytes(t)] for t in model["vocab"]}
-        self.joins = {(named[a], named[b]): (i, named[a + b]) for i, (a, b) in enumerate(pairs)}
+        self.ranks = {named[a] << 20 | named[b]: i for i, (a, b) in enumerate(pairs)}
+        self.made = [named[a + b] for a, b in pairs]
         self.byte_ids = [self.ids[bytes([b])] for b in range(256)]
         self.bytes_of = {i: t for t, i in self.ids.items()}
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -70,8 +72,8 @@ class ByteBpe:
         alnum = [*range(48, 58), *range(65, 91), *range(97, 123)]
         cut[[b for b in range(256) if b not in alnum], ord("'")] = False
         self.cut = cut
-        self.memo: dict[bytes, tuple[int, ...]] = {}
-        self.older: dict[bytes, tuple[int, ...]] = {}
+        self.memo: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def fragments(self, text: bytes) -> list[bytes]:
         b = np.frombuffer(text, np.uint8)
@@ -84,72 +86,75 @@ class ByteBpe:
         return self._merge_long(word) if len(word) > 100 else self._merge_short(word)
 
     def _merge_short(self, word: bytes) -> list[int]:
-        parts, joins = [self.byte_ids[b] for b in word], self.joins
-        none = (len(joins), -1)
-        found = [joins.get((a, b), none) for a, b in zip(parts, parts[1:])]
-        while found and (best := min(found)) is not none:
+        parts, ranks, none = [self.byte_ids[b] for b in word], self.ranks, len(self.made)
+        found = [ranks.get(a << 20 | b, none) for a, b in zip(parts, parts[1:])]
+        while found and (best := min(found)) != none:
             i = found.index(best)
-            parts[i : i + 2] = [best[1]]
-            del found[i]
+            new = parts[i] = self.made[best]
+            del found[i], parts[i + 1]
             if i:
-                found[i - 1] = joins.get((parts[i - 1], best[1]), none)
+                found[i - 1] = ranks.get(parts[i - 1] << 20 | new, none)
             if i < len(found):
-                found[i] = joins.get((best[1], parts[i + 1]), none)
+                found[i] = ranks.get(new << 20 | parts[i + 1], none)
         return parts
 
     def _merge_long(self, word: bytes) -> list[int]:
         """A heap over a linked list: n log n for words of any length."""
-        joins = self.joins
+        ranks = self.ranks
         parts: list[int | None] = [self.byte_ids[b] for b in word]
         n = len(parts)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(*j, i, parts[i], parts[i + 1]) for i in range(n - 1) if (j := joins.get((parts[i], parts[i + 1])))]
-        heap = [(rank, i, a, b, new) for rank, new, i, a, b in heap]
+        heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := ranks.get(parts[i] << 20 | parts[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b, new = heapq.heappop(heap)
+            rank, i, a, b = heapq.heappop(heap)
             j = after[i]
             if parts[i] != a or j >= n or parts[j] != b:
                 continue
-            parts[i], parts[j], after[i] = new, None, after[j]
+            parts[i], parts[j], after[i] = self.made[rank], None, after[j]
             if after[j] < n:
                 before[after[j]] = i
             for left in (before[i], i):
-                if left >= 0 and (right := after[left]) < n and (found := joins.get((parts[left], parts[right]))):
-                    heapq.heappush(heap, (found[0], left, parts[left], parts[right], found[1]))
+                if left >= 0 and (right := after[left]) < n and (r := ranks.get(parts[left] << 20 | parts[right])) is not None:
+                    heapq.heappush(heap, (r, left, parts[left], parts[right]))
         return [p for p in parts if p is not None]
 
-    def encode_fragment(self, fragment: bytes) -> tuple[int, ...]:
-        words = self.pretoken.findall(fragment.decode())
-        return tuple(i for w in words for i in self.merge(w.encode()))
+    def encode_fragment(self, fragment: bytes) -> bytes:
+        """The fragment's ids as 32-bit integers; ASCII letters after at most a space are one word."""
+        if fragment.isalpha() or (fragment[:1] == b" " and fragment[1:].isalpha()):
+            ids = self.merge(fragment)
+        else:
+            ids = [i for w in self.pretoken.findall(fragment.decode()) for i in self.merge(w.encode())]
+        return array("i", ids).tobytes()
 
-    def encode_plain(self, text: str, out: list[int]) -> None:
+    def encode_plain(self, text: str) -> bytes:
         if not text:
-            return
-        memo = self.memo
-        for fragment in self.fragments(text.encode()):
-            ids = memo.get(fragment)
-            if ids is None:
-                ids = self.older.get(fragment) or self.encode_fragment(fragment)
-                if len(fragment) <= 64:
-                    if len(memo) >= MEMO:
-                        self.older, self.memo = memo, (memo := {})
-                    memo[fragment] = ids
-            out.extend(ids)
-
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        at = 0
+            return b""
+        fragments = self.fragments(text.encode())
+        found = [*map(self.memo.get, fragments)]
+        if None in found:
+            for i, fragment in enumerate(fragments):
+                if found[i] is None:
+                    found[i] = self.memo.get(fragment) or self.older.get(fragment) or self.encode_fragment(fragment)
+                    if len(fragment) <= 64:
+                        if len(self.memo) >= MEMO:
+                            self.older, self.memo = self.memo, {}
+                        self.memo[fragment] = found[i]
+        return b"".join(found)
+
+    def encode(self, text: str) -> np.ndarray:
+        out, at = [], 0
         for m in self.added_pattern.finditer(text) if self.added_pattern else ():
-            self.encode_plain(text[at : m.start()], out)
-            out.append(self.added[m[0]])
+            out += [self.encode_plain(text[at : m.start()]), np.int32(self.added[m[0]]).tobytes()]
             at = m.end()
-        self.encode_plain(text[at:], out)
-        return out
+        return np.frombuffer(b"".join([*out, self.encode_plain(text[at:])]), np.int32)
 
     def decode(self, ids: list[int]) -> str:
-        bytes_of = self.bytes_of
-        return b"".join([bytes_of.get(i, b"") for i in ids]).decode(errors="replace")
+        try:
+            parts = [*map(self.bytes_of.__getitem__, ids)]
+        except KeyError:
+            parts = [self.bytes_of.get(i, b"") for i in ids]
+        return b"".join(parts).decode(errors="replace")
 
 
 def load_vocabulary(path: str) -> str:
@@ -170,7 +175,7 @@ def _loaded(held) -> ByteBpe:
     return _LOADED[held.value]
 
 
-def _with_column(docs: DataFrame, name: str, kind: T.DataType, source: str, make: Callable[[ByteBpe, list], pa.Array], held) -> DataFrame:
+def _with_column(docs: DataFrame, name: str, kind: T.DataType, source: str, make: Callable[[ByteBpe, pa.Array], pa.Array], held) -> DataFrame:
     """``docs`` with ``name`` made from ``source``, a few megabytes at a time, so that a worker holds little besides its input."""
     kept = [c for c in docs.columns if c.lower() != name.lower()]
     base = docs.select(*kept, docs[source].alias("__source"))
@@ -182,7 +187,7 @@ def _with_column(docs: DataFrame, name: str, kind: T.DataType, source: str, make
             rows = max(1, batch.num_rows * BLOCK // max(1, batch.column(batch.num_columns - 1).nbytes))
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], make(bpe, part.column(part.num_columns - 1).to_pylist())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], make(bpe, part.column(part.num_columns - 1))], names=schema.names)
 
     return base.mapInArrow(run, schema)
 
@@ -195,8 +200,8 @@ def bpe_encode(docs: DataFrame, vocabulary: str, text_col: str = "text", ids_col
     """
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
-    def make(bpe: ByteBpe, texts: list[str | None]) -> pa.Array:
-        ids = [np.array(bpe.encode(t or ""), np.int32) for t in texts]
+    def make(bpe: ByteBpe, texts: pa.Array) -> pa.Array:
+        ids = [bpe.encode(t or "") for t in texts.to_pylist()]
         return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate(ids)))
 
     return _with_column(docs, ids_col, T.ArrayType(T.IntegerType()), text_col, make, held)
@@ -206,8 +211,10 @@ def bpe_decode(docs: DataFrame, vocabulary: str, ids_col: str = "ids", text_col:
     """Adds ``text_col``, the text of ``ids_col``. Null ids give an empty text, unknown ids nothing, broken UTF-8 U+FFFD."""
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
-    def make(bpe: ByteBpe, rows: list[list[int] | None]) -> pa.Array:
-        return pa.array([bpe.decode(r or []) for r in rows], pa.string())
+    def make(bpe: ByteBpe, rows: pa.Array) -> pa.Array:
+        ids = rows.flatten().to_numpy(zero_copy_only=False)
+        ends = np.cumsum(rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+        return pa.array([bpe.decode(ids[i:j].tolist()) for i, j in zip([0, *ends], ends)], pa.string())
 
     return _with_column(docs, text_col, T.StringType(), ids_col, make, held)
 
