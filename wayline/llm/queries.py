@@ -6,13 +6,14 @@ import importlib
 import os
 import sys
 
-from . import bpe, chat, embedding_dedup, exact_dedup, lm, packing, quality, url_filter
+from . import bpe, chat, embedding_dedup, exact_dedup, lm, ngram_join, packing, quality, url_filter
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_chat_format": chat.op2_chat_format,
+    "op3_ngram_join": ngram_join.op3_ngram_join,
     "op4_lm_score": lm.op4_lm_score,
     "op5_packing": packing.op5_packing,
     "op6_embedding_dedup": embedding_dedup.op6_embedding_dedup,
@@ -24,6 +25,7 @@ QUERIES = {
 SQL = {
     "op1_url_filter": url_filter.OP1_SQL,
     "op2_chat_format": chat.OP2_SQL,
+    "op3_ngram_join": ngram_join.OP3_SQL,
     "op4_lm_score": lm.OP4_SQL,
     "op6_embedding_dedup": embedding_dedup.OP6_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,

@@ -101,12 +101,12 @@ def word_hashes(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(hashes) if hashes else np.zeros(0, _U)), counts
 
 
-def text_blocks(texts: Sequence[str | None], chars: int = 8_000_000) -> Iterator[slice]:
-    """Slices of consecutive texts with about ``chars`` characters each."""
+def text_blocks(texts: Sequence[str | None], chars: int = 8_000_000, rows: int = 30_000) -> Iterator[slice]:
+    """Slices of consecutive texts with about ``chars`` characters each, and ``rows`` texts at most."""
     start = total = 0
     for i, text in enumerate(texts):
         total += len(text or "")
-        if total >= chars:
+        if total >= chars or i + 1 - start == rows:
             yield slice(start, i + 1)
             start, total = i + 1, 0
     if start < len(texts):
