@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, read, stored
-from .graph import connected_components
+from .graph import connected_components, smallest_reachable
 
 THRESHOLD = 0.98
 BLOCKS = 8
@@ -137,7 +137,7 @@ def similar_vectors(vectors: DataFrame, threshold: float = THRESHOLD, blocks: in
         geometry = Geometry(x.shape[1], threshold, blocks)
         y = _rotated(x)
         n, n_home = len(ids), int(home.sum())
-        links, root = np.zeros(n, np.int64), np.arange(n)
+        links = np.zeros(n, np.int64)
         found: list[tuple[np.ndarray, np.ndarray]] = []
         cut = [y[:, b * geometry.size : (b + 1) * geometry.size] for b in range(block + 1)]
         norms = [(c * c).sum(axis=1) for c in cut]
@@ -161,15 +161,7 @@ def similar_vectors(vectors: DataFrame, threshold: float = THRESHOLD, blocks: in
                 np.add.at(links, c, weight[a])
                 if len(a):
                     found.append((a, c))
-        while found:
-            before = root.copy()
-            for a, c in found:
-                least = np.minimum(root[a], root[c])
-                np.minimum.at(root, a, least)
-                np.minimum.at(root, c, least)
-            root = root[root]
-            if (root == before).all():
-                break
+        root = smallest_reachable(n, found)
         touched = np.zeros(n, bool)
         for a, c in found:
             touched[a] = touched[c] = True

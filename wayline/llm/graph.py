@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,3 +34,18 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
         near = large.join(least, "node")
         edges = stored(near.select("node", F.col("m").alias("component")).unionByName(near.where("component <> m").select(F.col("component").alias("node"), F.col("m").alias("component"))).distinct())
     return edges
+
+
+def smallest_reachable(n: int, links: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """For each of ``n`` points of one task the smallest point that the links (arrays of points) reach."""
+    root = np.arange(n)
+    while links:
+        before = root.copy()
+        for a, b in links:
+            least = np.minimum(root[a], root[b])
+            np.minimum.at(root, a, least)
+            np.minimum.at(root, b, least)
+        root = root[root]
+        if (root == before).all():
+            break
+    return root

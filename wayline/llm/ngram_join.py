@@ -18,12 +18,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import broadcast_if_small, read, stored
-from .graph import connected_components
+from .graph import connected_components, smallest_reachable
 from .words import constants, mix, text_blocks, word_hashes
 
 PERCENT, WIDTH = 75, 5
 #: Sets that share a signature are compared in pairs up to this many; see :func:`jaccard_classes` for larger groups.
 BUCKET = 16
+#: Nodes of a block that needs its crowded signatures; a task compares two blocks.
+CROWD_ROWS = 512
 #: Signatures that one task groups.
 SHARD_ENTRIES = 1_500_000
 #: Up to this set size each feature is a part of its own.
@@ -126,13 +128,13 @@ def set_identity(features: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, n
 
 
 #: Rows of the join's one exchange. kind 0 holds packed signatures; 1 crowded signatures (signature,
-#: node, role); 2 documents (id, set size, node, check, slacks); 3 pairs of nodes.
+#: node, role); 2 documents (id, set size, node, check, slacks, band); 3 pairs of nodes.
 _LONGS = T.ArrayType(T.LongType())
-_ROWS = T.StructType([T.StructField("shard", T.LongType()), T.StructField("kind", T.IntegerType()), *(T.StructField(n, T.BinaryType()) for n in ("low", "high", "who", "nodes")), *(T.StructField(n, _LONGS) for n in "pqrsuv")])
+_ROWS = T.StructType([T.StructField("shard", T.LongType()), T.StructField("kind", T.IntegerType()), *(T.StructField(n, T.BinaryType()) for n in ("low", "high", "who", "nodes")), *(T.StructField(n, _LONGS) for n in "pqrsuvw")])
 
 
 def _rows(rows: list[dict]) -> pa.RecordBatch:
-    kinds = {"shard": pa.int64(), "kind": pa.int32(), **{n: pa.binary() for n in ("low", "high", "who", "nodes")}, **{n: pa.list_(pa.int64()) for n in "pqrsuv"}}
+    kinds = {"shard": pa.int64(), "kind": pa.int32(), **{n: pa.binary() for n in ("low", "high", "who", "nodes")}, **{n: pa.list_(pa.int64()) for n in "pqrsuvw"}}
     return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], t) for n, t in kinds.items()], names=list(kinds))
 
 
@@ -150,12 +152,12 @@ def _emit(ids: list[int | None], texts: list[str | None], percent: int, width: i
     keep = np.zeros(len(sizes), bool)
     keep[first] = True
     mine = np.repeat(keep, sizes)
-    nodes = node[keep]
-    sig, who, role, slack = signatures(features[mine], sizes[keep], Bands(percent, int(sizes.max(initial=1))))
+    nodes, bands = node[keep], Bands(percent, int(sizes.max(initial=1)))
+    sig, who, role, slack = signatures(features[mine], sizes[keep], bands)
     slacks = slack[:, _place(nodes, node)]
     shard_of_rest = -1 - int(node[0] >> _U(40)) % (1 << bits) if len(node) else -1
     view = lambda a: a.view(np.int64) if a.dtype == _U else a
-    rows = [{"shard": shard_of_rest, "kind": 2, "p": ids, "q": sizes, "r": view(node), "s": view(check), "u": slacks[0], "v": slacks[1]}]
+    rows = [{"shard": shard_of_rest, "kind": 2, "p": ids, "q": sizes, "r": view(node), "s": view(check), "u": slacks[0], "v": slacks[1], "w": bands.roles(sizes)[0][1]}]
     if not len(sig):
         return rows
     cut = sig >> _U(24 - bits)
@@ -270,7 +272,76 @@ def _set_of(node: int, text: str | None, width: int) -> np.ndarray | None:
     return features if set_identity(features, sizes)[0].view(np.int64)[0] == node else None
 
 
-def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, width: int = WIDTH, bucket: int = BUCKET, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
+def _crowd_links(over: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, width: int, crowd_rows: int) -> DataFrame:
+    """Links (a, b) that join the same nodes as all links between nodes that need their crowded signatures.
+
+    ``over`` has the members (sig, node, role) of the crowded signatures. The nodes fall into
+    families, connected by crowded signatures. A family is compared by bands of set size, each with
+    itself and the next, in blocks of about ``crowd_rows`` nodes: a task counts the shared shingles
+    of two blocks by matrix products and returns at most one link a node.
+    """
+    slack = F.when(F.col("role") == 0, F.col("slack_0")).otherwise(F.col("slack_1"))
+    crowds = over.groupBy("node", "role").agg(F.count("*").alias("n"))
+    needy = stored(crowds.join(nodes, "node").where(slack <= F.col("n")).select("node", "role"))
+    members = stored(over.join(needy, ["node", "role"]).select("sig", "node"))
+    pivots = stored(members.groupBy("sig").agg(F.min("node").alias("pivot")))
+    family = connected_components(members.join(pivots, "sig").select("node", "pivot"), "node", "pivot")
+    some = needy.select("node").distinct().join(family, "node", "left").select("node", F.coalesce("component", "node").alias("family"))
+    placed = stored(some.join(nodes.select("node", "rep", "band"), "node"))
+    sizes = placed.groupBy("family", "band").agg(F.ceil(F.count("*") / crowd_rows).cast("int").alias("blocks"))
+    near = sizes.select("family", F.explode(F.array(*[F.struct((F.col("band") - by).alias("band"), F.lit(by).alias("by"), F.col("blocks")) for by in (-1, 0, 1)])).alias("z"))
+    near = stored(near.groupBy("family", "z.band").agg(F.map_from_entries(F.collect_list(F.struct("z.by", "z.blocks"))).alias("blocks")))
+    held = placed.join(near, ["family", "band"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")[0]).cast("int"))
+    others = lambda by: F.sequence(F.lit(0), F.coalesce(F.try_element_at("blocks", F.lit(by)), F.lit(0)) - 1, F.lit(1))
+    some_of = lambda by, make: F.when(F.coalesce(F.try_element_at("blocks", F.lit(by)), F.lit(0)) > 0, F.transform(others(by), make)).otherwise(F.array())
+    task = lambda band, low, high, side: F.struct(band.alias("at"), low.alias("low"), high.alias("high"), F.lit(side).alias("side"))
+    band, own = F.col("band"), F.col("own")
+    tasks = F.concat(
+        # blocks of the same band: high counts on from the blocks of this band, after those of the next
+        some_of(0, lambda j: F.struct(band.alias("at"), F.least(own, j).alias("low"), (-1 - F.greatest(own, j)).alias("high"), F.when(own == F.greatest(own, j), 1).otherwise(0).alias("side"))),
+        some_of(1, lambda j: task(band, own, j, 0)),
+        some_of(-1, lambda j: task(band - 1, j, own, 1)),
+    )
+    spread = stored(held.select("node", "rep", "family", F.explode(tasks).alias("z")).select("node", "rep", "family", "z.*"))
+    wanted = stored(placed.select("node", "rep"))
+    texts = stored(docs.join(broadcast_if_small(wanted, wanted.count()), F.col("doc_id") == F.col("rep")).select("node", "text"))
+    full = spread.join(texts, "node").select("family", "at", "low", "high", "side", "node", "text")
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("node", "ascending")])
+        node, side, text = table.column("node").to_numpy(), table.column("side").to_numpy(), table.column("text").to_pylist()
+        within = table.column("high")[0].as_py() == -1 - table.column("low")[0].as_py()
+        features, sizes = shingle_sets(text, width)
+        mine = set_identity(features, sizes)[0].view(np.int64) == node  # an id may also stand for other texts
+        mine[1:] &= ~((node[1:] == node[:-1]) & mine[:-1])
+        ends = np.cumsum(sizes)
+        left, right = (np.flatnonzero(mine & (side == s if not within else True)) for s in (0, 1))
+        shared = np.zeros((len(left), len(right)))
+        _, local, often = np.unique(features, return_inverse=True, return_counts=True)
+        column = np.cumsum(often > 1) - 1
+        use = [local[e - n : e] for n, e in zip(sizes, ends)]
+        use = [column[u[often[u] > 1]] for u in use]
+        wide = int((often > 1).sum())
+        for start in range(0, wide, 8192):
+            grid = []
+            for rows in (left, right):
+                g = np.zeros((len(rows), min(8192, wide - start)), np.float32)
+                for r, i in enumerate(rows):
+                    u = use[i]
+                    g[r, u[np.searchsorted(u, start) : np.searchsorted(u, start + 8192)] - start] = 1
+                grid.append(g)
+            shared += grid[0] @ grid[1].T
+        union = sizes[left][:, None] + sizes[right][None, :] - shared
+        i, j = np.nonzero(100 * shared >= percent * union)
+        apart = left[i] != right[j]
+        root = smallest_reachable(len(node), [(left[i[apart]], right[j[apart]])])
+        moved = np.flatnonzero(root != np.arange(len(node)))
+        return pa.table({"a": pa.array(node[root[moved]]), "b": pa.array(node[moved])})
+
+    return stored(full.groupBy("family", "at", "low", "high").applyInArrow(compare, "a long, b long"))
+
+
+def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, width: int = WIDTH, bucket: int = BUCKET, shard_entries: int = SHARD_ENTRIES, crowd_rows: int = CROWD_ROWS) -> DataFrame:
     """(id, ``n_shingles``, ``component_id``) for every row of ``docs``.
 
     Words are runs of characters other than ASCII white space, with A-Z lower-cased; a text's set is
@@ -287,9 +358,9 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     * A node whose slack exceeds its number of crowded signatures shares an uncrowded one with every
       similar partner, so its crowded ones are not needed.
-    * Among the other nodes, which lie in groups of near copies, each is first compared with the
-      smallest node of its most frequent group. Once those links have formed components, all pairs
-      of such nodes that share a crowded signature but no component are compared.
+    * The other nodes, which lie in large groups of near copies, are compared in blocks within the
+      families that their crowded signatures form (:func:`_crowd_links`). That work is the square of
+      a family's size, but no pair is emitted and no family meets in one task.
 
     Every candidate is verified on its whole texts. No group meets in one task: a block of texts
     sends a signature that is crowded within it as one mark, and its members apart, as plain rows.
@@ -305,33 +376,18 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield _rows(_emit(ids[part], texts[part], percent, width, bits, bucket))
 
     found = stored(base.mapInArrow(emit, _ROWS).groupBy("shard").applyInArrow(lambda t: _group(t, bucket), _ROWS))
-    rows = _exploded(found, 2, p="doc_id", q="n_shingles", r="node", s="check", u="slack_0", v="slack_1")
+    rows = _exploded(found, 2, p="doc_id", q="n_shingles", r="node", s="check", u="slack_0", v="slack_1", w="band")
     same = F.assert_true(F.min("check") == F.max("check"), F.lit("two shingle sets share a 64-bit node"))
-    nodes = stored(rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("slack_0").alias("slack_0"), F.min("slack_1").alias("slack_1"), same.alias("same")).where("same IS NULL").drop("same"))
-    over = stored(_exploded(found, 1, p="sig", q="node", r="role"))
-    pivots = stored(over.groupBy("sig").agg(F.min("node").alias("pivot")))
-    stars = over.join(pivots, "sig").where("node <> pivot").groupBy("node", "pivot").count()
-    stars = stars.groupBy("node").agg(F.max_by("pivot", F.struct("count", "pivot")).alias("pivot")).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-    first = _linked(_exploded(found, 3, p="a", q="b").unionByName(stars).distinct(), nodes, base, percent, width)
-    links = first.join(nodes.select(F.col("node").alias("a"), F.col("rep").alias("rep_a")), "a").join(nodes.select(F.col("node").alias("b"), F.col("rep").alias("rep_b")), "b").select("rep_a", "rep_b")
+    nodes = stored(rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("slack_0").alias("slack_0"), F.min("slack_1").alias("slack_1"), F.min("band").alias("band"), same.alias("same")).where("same IS NULL").drop("same"))
+    named = lambda n: nodes.select(F.col("node").alias(n), F.col("rep").alias(f"rep_{n}"))
+    pairs = _linked(_exploded(found, 3, p="a", q="b").distinct(), nodes, base, percent, width)
+    over = stored(_exploded(found, 1, p="sig", q="node", r="role").distinct())
+    links = pairs.unionByName(_crowd_links(over, nodes, base, percent, width, crowd_rows))
+    links = links.join(named("a"), "a").join(named("b"), "b").select("rep_a", "rep_b")
     ids = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "node")
     shared = ids.groupBy("doc_id").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("doc_id")
     links = stored(links.unionByName(ids.join(shared, "doc_id").join(nodes, "node").select(F.col("doc_id").alias("rep_a"), F.col("rep").alias("rep_b"))))
     classes = connected_components(links, "rep_a", "rep_b")
-
-    crowds = over.groupBy("node", "role").agg(F.count_distinct("sig").alias("n"))
-    slack = F.when(F.col("role") == 0, F.col("slack_0")).otherwise(F.col("slack_1"))
-    poor = crowds.join(nodes, "node").where(slack <= F.col("n")).select("node", "role", "rep")
-    poor = poor.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("node", "role", F.coalesce("component", "rep").alias("component"))
-    members = stored(over.join(poor, ["node", "role"]).select("sig", "node", "component").distinct())
-    sizes = members.groupBy("sig", "component").count()
-    main = stored(sizes.groupBy("sig").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("n")).where("n > 1").select("sig", "main"))
-    rest = stored(members.join(main, "sig").where("component <> main").select("sig", F.col("node").alias("x"), F.col("component").alias("cx")))
-    cross = rest.join(members, "sig").where("cx <> component").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-    if rest.take(1):
-        second = _linked(cross, nodes, base, percent, width)
-        more = second.join(nodes.select(F.col("node").alias("a"), F.col("rep").alias("rep_a")), "a").join(nodes.select(F.col("node").alias("b"), F.col("rep").alias("rep_b")), "b").select("rep_a", "rep_b")
-        classes = connected_components(more.unionByName(classes.select(F.col("node").alias("rep_a"), F.col("component").alias("rep_b"))), "rep_a", "rep_b")
     placed = stored(nodes.select("node", "rep").join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("node", F.coalesce("component", "rep").alias("component")))
     joined = rows.select("doc_id", "n_shingles", "node").join(placed, "node", "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
