@@ -2,13 +2,7 @@
 
 from __future__ import annotations
 
-import importlib
-import os
-import sys
-
-from . import bpe, chat, embedding_dedup, exact_dedup, lm, ngram_join, packing, quality, url_filter
-
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+from . import bpe, chat, embedding_dedup, exact_dedup, html_extract, lm, ngram_join, packing, quality, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -18,6 +12,7 @@ QUERIES = {
     "op5_packing": packing.op5_packing,
     "op6_embedding_dedup": embedding_dedup.op6_embedding_dedup,
     "op7_bpe": bpe.op7_bpe,
+    "op8_html_extract": html_extract.op8_html_extract,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_quality": quality.op10_quality,
 }
