@@ -128,7 +128,7 @@ def set_identity(features: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, n
 
 
 #: Rows of the join's one exchange. kind 0 holds packed signatures; 1 crowded signatures (signature,
-#: node, role); 2 documents (id, set size, node, check, slacks, band); 3 pairs of nodes.
+#: node, role); 2 documents (id, set size, node, check, slacks, band); 3 pairs of nodes with the number of shared signatures.
 _LONGS = T.ArrayType(T.LongType())
 _ROWS = T.StructType([T.StructField("shard", T.LongType()), T.StructField("kind", T.IntegerType()), *(T.StructField(n, T.BinaryType()) for n in ("low", "high", "who", "nodes")), *(T.StructField(n, _LONGS) for n in "pqrsuvw")])
 
@@ -228,8 +228,10 @@ def _group(table: pa.Table, bucket: int) -> pa.Table:
         if not len(same):
             break
         pairs.append(np.stack([node[same], node[same + step]], axis=1).view(np.int64))
-    both = np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0)
-    out.append({"shard": shard, "kind": 3, "p": both[:, 0], "q": both[:, 1]})
+    both = np.sort(np.concatenate(pairs), axis=1)
+    both = both[np.lexsort((both[:, 1], both[:, 0]))]
+    starts, often = _runs(mix(both[:, 0].view(_U) * _KEY) ^ both[:, 1].view(_U))
+    out.append({"shard": shard, "kind": 3, "p": both[starts, 0], "q": both[starts, 1], "r": often})
     return pa.Table.from_batches([_rows(out)])
 
 
@@ -238,6 +240,19 @@ def _exploded(found: DataFrame, kind: int, **names: str) -> DataFrame:
     return found.where(F.col("kind") == kind).select(F.explode(zipped).alias("z")).select(*[F.col(f"z.{c}").alias(n) for c, n in names.items()])
 
 
+def _candidates(pairs: DataFrame, limits: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that share as many uncrowded signatures (n) as similar sets must, and whose sizes allow it.
+
+    The band of the smaller sizes decides: there both sets share their slack less what is crowded.
+    """
+    side = lambda n: limits.select(*[F.col(c).alias(c if c == "node" else f"{c}_{n}") for c in ("node", "size", "band", "need_0", "need_1")]).withColumnRenamed("node", n)
+    both = pairs.groupBy("a", "b").agg(F.sum("n").alias("n")).join(side("a"), "a").join(side("b"), "b")
+    apart = F.col("band_b") - F.col("band_a")
+    need = F.when(apart == 0, F.greatest("need_0_a", "need_0_b")).when(apart == 1, F.greatest("need_0_a", "need_1_b")).when(apart == -1, F.greatest("need_1_a", "need_0_b"))
+    near = F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent
+    return both.where(near & (F.col("n") >= need)).select("a", "b")
+
+
 def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
     """The pairs (a, b) of nodes whose sets, made anew from the whole texts, are similar enough."""
     pairs = stored(pairs)
@@ -272,7 +287,7 @@ def _set_of(node: int, text: str | None, width: int) -> np.ndarray | None:
     return features if set_identity(features, sizes)[0].view(np.int64)[0] == node else None
 
 
-def _crowd_links(over: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, width: int, crowd_rows: int) -> DataFrame:
+def _crowd_links(over: DataFrame, limits: DataFrame, docs: DataFrame, percent: int, width: int, crowd_rows: int) -> DataFrame:
     """Links (a, b) that join the same nodes as all links between nodes that need their crowded signatures.
 
     ``over`` has the members (sig, node, role) of the crowded signatures. The nodes fall into
@@ -280,14 +295,12 @@ def _crowd_links(over: DataFrame, nodes: DataFrame, docs: DataFrame, percent: in
     itself and the next, in blocks of about ``crowd_rows`` nodes: a task counts the shared shingles
     of two blocks by matrix products and returns at most one link a node.
     """
-    slack = F.when(F.col("role") == 0, F.col("slack_0")).otherwise(F.col("slack_1"))
-    crowds = over.groupBy("node", "role").agg(F.count("*").alias("n"))
-    needy = stored(crowds.join(nodes, "node").where(slack <= F.col("n")).select("node", "role"))
-    members = stored(over.join(needy, ["node", "role"]).select("sig", "node"))
+    need = F.when(F.col("role") == 0, F.col("need_0")).otherwise(F.col("need_1"))
+    members = stored(over.join(limits.where("need_0 <= 0 OR need_1 <= 0"), "node").where(need <= 0).select("sig", "node"))
     pivots = stored(members.groupBy("sig").agg(F.min("node").alias("pivot")))
     family = connected_components(members.join(pivots, "sig").select("node", "pivot"), "node", "pivot")
-    some = needy.select("node").distinct().join(family, "node", "left").select("node", F.coalesce("component", "node").alias("family"))
-    placed = stored(some.join(nodes.select("node", "rep", "band"), "node"))
+    some = members.select("node").distinct().join(family, "node", "left").select("node", F.coalesce("component", "node").alias("family"))
+    placed = stored(some.join(limits.select("node", "rep", "band"), "node"))
     sizes = placed.groupBy("family", "band").agg(F.ceil(F.count("*") / crowd_rows).cast("int").alias("blocks"))
     near = sizes.select("family", F.explode(F.array(*[F.struct((F.col("band") - by).alias("band"), F.lit(by).alias("by"), F.col("blocks")) for by in (-1, 0, 1)])).alias("z"))
     near = stored(near.groupBy("family", "z.band").agg(F.map_from_entries(F.collect_list(F.struct("z.by", "z.blocks"))).alias("blocks")))
@@ -353,8 +366,9 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts joins their classes. An empty table gives no rows; other columns are not returned.
 
     Shingles are 64-bit hashes; a set is known by 128 bits, and two sets under one 64-bit node stop
-    the job. Equal sets are one node, however many rows have them. Nodes that share a signature are
-    candidates, in all pairs while at most ``bucket`` share it. A signature of more nodes is crowded:
+    the job. Equal sets are one node, however many rows have them. Nodes that share a signature meet,
+    in all pairs while at most ``bucket`` share it; pairs that meet as often as similar sets must are
+    candidates (:func:`_candidates`). A signature of more nodes is crowded:
 
     * A node whose slack exceeds its number of crowded signatures shares an uncrowded one with every
       similar partner, so its crowded ones are not needed.
@@ -378,11 +392,14 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = stored(base.mapInArrow(emit, _ROWS).groupBy("shard").applyInArrow(lambda t: _group(t, bucket), _ROWS))
     rows = _exploded(found, 2, p="doc_id", q="n_shingles", r="node", s="check", u="slack_0", v="slack_1", w="band")
     same = F.assert_true(F.min("check") == F.max("check"), F.lit("two shingle sets share a 64-bit node"))
-    nodes = stored(rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("slack_0").alias("slack_0"), F.min("slack_1").alias("slack_1"), F.min("band").alias("band"), same.alias("same")).where("same IS NULL").drop("same"))
+    nodes = stored(rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("slack_0").alias("slack_0"), F.min("slack_1").alias("slack_1"), F.min("band").alias("band"), F.min("n_shingles").alias("size"), same.alias("same")).where("same IS NULL").drop("same"))
     named = lambda n: nodes.select(F.col("node").alias(n), F.col("rep").alias(f"rep_{n}"))
-    pairs = _linked(_exploded(found, 3, p="a", q="b").distinct(), nodes, base, percent, width)
     over = stored(_exploded(found, 1, p="sig", q="node", r="role").distinct())
-    links = pairs.unionByName(_crowd_links(over, nodes, base, percent, width, crowd_rows))
+    crowds = over.groupBy("node").agg(*[F.count_if(F.col("role") == r).alias(f"crowded_{r}") for r in (0, 1)])
+    need = lambda r: (F.col(f"slack_{r}") - F.coalesce(f"crowded_{r}", F.lit(0))).alias(f"need_{r}")
+    limits = stored(nodes.join(crowds, "node", "left").select("node", "rep", "size", "band", need(0), need(1)))
+    pairs = _linked(_candidates(_exploded(found, 3, p="a", q="b", r="n"), limits, percent), nodes, base, percent, width)
+    links = pairs.unionByName(_crowd_links(over, limits, base, percent, width, crowd_rows))
     links = links.join(named("a"), "a").join(named("b"), "b").select("rep_a", "rep_b")
     ids = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "node")
     shared = ids.groupBy("doc_id").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("doc_id")
