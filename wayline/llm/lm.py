@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read
-from .words import constants, mix, pack_counts, text_blocks, unpack_counts, word_hashes
+from .words import arrow_blocks, constants, mix, pack_counts, part_of, unpack_counts, word_hashes
 
 #: Weight of the unigram distribution in a context, in observations.
 PRIOR = 128.0
@@ -110,14 +110,15 @@ def corpus_size(docs: DataFrame, text: str, train: str) -> tuple[int, int, int,
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, learn = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), bool)
-            for part in text_blocks(texts):
-                tokens, counts = _tokens(texts[part])
+            learn = np.array(batch.column(1).to_pylist(), bool)
+            for part in arrow_blocks(batch.column(0)):
+                texts = part_of(batch.column(0), part)
+                tokens, counts = _tokens(texts)
                 mine = np.repeat(learn[part], counts)
                 distinct = np.unique(tokens[mine]).view(np.int64)
                 n = len(distinct) + 1
                 totals = np.zeros((3, n), np.int64)
-                totals[:, 0] = mine.sum(), len(tokens), sum(len(t or "") for t in texts[part])
+                totals[:, 0] = mine.sum(), len(tokens), sum(len(t or "") for t in texts)
                 yield pa.RecordBatch.from_arrays([pa.array([None, *distinct], pa.int64()) if n == 1 else pa.concat_arrays([pa.nulls(1, pa.int64()), pa.array(distinct)]), *map(pa.array, totals)], names=["key", "learnt", "tokens", "chars"])
 
     parts = docs.select(text, train).mapInArrow(count, "key long, learnt long, tokens long, chars long")

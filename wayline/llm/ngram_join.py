@@ -19,15 +19,17 @@ from pyspark.sql import types as T
 
 from .common import broadcast_if_small, read, stored
 from .graph import connected_components, smallest_reachable
-from .words import constants, mix, text_blocks, word_hashes
+from .words import arrow_blocks, constants, mix, part_of, word_hashes
 
 PERCENT, WIDTH = 75, 5
 #: Sets that share a signature are compared in pairs up to this many; see :func:`jaccard_classes` for larger groups.
 BUCKET = 16
 #: Nodes of a block that needs its crowded signatures; a task compares two blocks.
 CROWD_ROWS = 512
+#: Bytes of text that a task turns to signatures at once.
+BLOCK_BYTES = 4_000_000
 #: Signatures that one task groups.
-SHARD_ENTRIES = 1_500_000
+SHARD_ENTRIES = 750_000
 #: Up to this set size each feature is a part of its own.
 SMALL = 32
 
@@ -385,9 +387,9 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for part in text_blocks(texts):
-                yield _rows(_emit(ids[part], texts[part], percent, width, bits, bucket))
+            ids, texts = batch.columns
+            for part in arrow_blocks(texts, BLOCK_BYTES):
+                yield _rows(_emit(part_of(ids, part), part_of(texts, part), percent, width, bits, bucket))
 
     found = stored(base.mapInArrow(emit, _ROWS).groupBy("shard").applyInArrow(lambda t: _group(t, bucket), _ROWS))
     rows = _exploded(found, 2, p="doc_id", q="n_shingles", r="node", s="check", u="slack_0", v="slack_1", w="band")

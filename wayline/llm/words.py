@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes that are hashed at once.
 BLOCK = 2_000_000
@@ -101,16 +103,20 @@ def word_hashes(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(hashes) if hashes else np.zeros(0, _U)), counts
 
 
-def text_blocks(texts: Sequence[str | None], chars: int = 8_000_000, rows: int = 30_000) -> Iterator[slice]:
-    """Slices of consecutive texts with about ``chars`` characters each, and ``rows`` texts at most."""
-    start = total = 0
-    for i, text in enumerate(texts):
-        total += len(text or "")
-        if total >= chars or i + 1 - start == rows:
-            yield slice(start, i + 1)
-            start, total = i + 1, 0
-    if start < len(texts):
-        yield slice(start, len(texts))
+def arrow_blocks(texts: pa.Array, size: int = 4_000_000, rows: int = 30_000) -> Iterator[slice]:
+    """Slices of consecutive texts with about ``size`` bytes each, one longer text at least, and ``rows`` texts at most."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes)
+    start = 0
+    while start < len(texts):
+        before = ends[start - 1] if start else 0
+        stop = min(int(np.searchsorted(ends, before + size)) + 1, start + rows, len(texts))
+        yield slice(start, stop)
+        start = stop
+
+
+def part_of(column: pa.Array, part: slice) -> list:
+    return column.slice(part.start, part.stop - part.start).to_pylist()
 
 
 def pack_counts(values: np.ndarray) -> tuple[bytes, bytes]:
