@@ -40,3 +40,18 @@ def test_edges(spark):
     assert {r["score"] for r in score_quality(docs, nothing).collect()} == {0.5}
     assert score_quality(docs.limit(0), model).count() == 0
     assert learning_labels(spark, SF).where(fold(F.col("doc_id")) == 0).count() == 0
+
+
+def test_statistics_of_whole_texts(monkeypatch):
+    from wayline.llm import quality
+
+    texts = [None, "", "Ab, cd!\nAb, cd!\nÉtE 12 12 |", "a " * 50 + "ü", " \n"]
+    whole = quality.text_statistics(texts)
+    monkeypatch.setattr(quality, "BLOCK", 7)
+    cut = quality.text_statistics(texts)
+    assert all((whole[f] == cut[f]).all() for f in quality.FEATURES)
+    get = lambda f: whole[f][2]
+    assert get("chars") == np.log1p(27) and get("words") == np.log1p(8) and get("word_length") == 20 / 8 and get("line_words") == 8 / 3
+    assert get("upper") == 4 / 27 and get("digits") == 4 / 27 and get("stops") == 2 / 8 and get("shouts") == 2 / 8 and get("bars") == 1 / 8
+    assert get("word_repeats") == 1 / 8 and get("line_repeats") == 1 / 3
+    assert all(whole[f][k] == 0 for f in quality.FEATURES for k in (0, 1))

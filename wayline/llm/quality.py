@@ -5,39 +5,79 @@ from __future__ import annotations
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import read
+from .words import arrow_blocks, part_of, word_hashes
 
 #: The classifier is fitted on this many labelled rows at most: those with the smallest hash of their id.
 MAX_LABELLED = 20_000
 THRESHOLD = 0.3
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Statistics of a whole text as columns; null counts as empty, and every ratio of an empty text is 0."""
-    t = F.coalesce(text, F.lit(""))
-    n = F.length(t)
-    words = F.regexp_count(t, F.lit(r"[^\x20\x09-\x0D]+"))
-    kept = lambda pattern: F.length(F.regexp_replace(t, pattern, ""))
-    share = lambda part, whole: F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
-    spaces = n - kept(r"[\x20\x09-\x0D]+")
-    lines = F.regexp_count(t, F.lit("\n")) + 1
-    return {
-        "chars": F.log1p(n.cast("double")),
-        "words": F.log1p(words.cast("double")),
-        "word_length": share((n - spaces).cast("double"), words),
-        "line_words": share(words.cast("double"), lines),
-        "upper": share((n - kept(r"\p{Lu}+")).cast("double"), n),
-        "digits": share((n - kept(r"[0-9]+")).cast("double"), n),
-        "stops": share(F.regexp_count(t, F.lit(r"[.,;:]")).cast("double"), words),
-        "shouts": share(F.regexp_count(t, F.lit(r"[!?]")).cast("double"), words),
-        "marks": share((n - kept(r"[#$%&*@^_~=+<>/\\|{}\[\]]+")).cast("double"), n),
-        "bars": share(F.regexp_count(t, F.lit(r"\|")).cast("double"), words),
-        "word_repeats": share(F.regexp_count(t, F.lit(r"(?<!\S)(\S++)[ \n](?=\1(?!\S))")).cast("double"), words),
-        "line_repeats": share(F.regexp_count(t, F.lit(r"(?m)^([^\n]++)\n(?=\1$)")).cast("double"), lines),
-    }
+FEATURES = ("chars", "words", "word_length", "line_words", "upper", "digits", "stops", "shouts", "marks", "bars", "word_repeats", "line_repeats")
+#: Bytes that are classified at once.
+BLOCK = 2_000_000
+
+_SPACE, _LINE, _UPPER, _DIGIT, _STOP, _SHOUT, _MARK, _BAR = (1 << k for k in range(8))
+_CLASS = np.zeros(256, np.uint8)
+for _bit, _chars in ((_SPACE, b" \t\n\v\f\r"), (_LINE, b"\n"), (_UPPER, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (_DIGIT, b"0123456789"), (_STOP, b".,;:"), (_SHOUT, b"!?"), (_MARK, b"#$%&*@^_~=+<>/\\|{}[]"), (_BAR, b"|")):
+    _CLASS[list(_chars)] |= _bit
+
+
+def _byte_counts(data: np.ndarray, ends: np.ndarray) -> dict[int, np.ndarray]:
+    """Of each text (bytes up to its end) the bytes of each class, the word starts (0) and the characters (-1)."""
+    starts = np.concatenate([[0], ends[:-1]])
+    first = np.zeros(len(data) + 1, bool)
+    first[starts] = True
+    out = {k: np.zeros(len(ends), np.int64) for k in (-1, 0, _SPACE, _LINE, _UPPER, _DIGIT, _STOP, _SHOUT, _MARK, _BAR)}
+    for at in range(0, len(data), BLOCK):
+        b = data[at : at + BLOCK]
+        kind = _CLASS[b]
+        space = (kind & _SPACE) > 0
+        before = np.empty(len(b), bool)
+        before[1:] = space[:-1]
+        before[0] = at == 0 or bool(_CLASS[data[at - 1]] & _SPACE)
+        before |= first[at : at + len(b)]
+        upper = (kind & _UPPER) > 0
+        upper[1:] |= (b[:-1] == 0xC3) & (b[1:] >= 0x80) & (b[1:] <= 0x9E)  # capitals with an accent
+        low, high = np.clip(starts - at, 0, len(b)), np.clip(ends - at, 0, len(b))
+        some = np.flatnonzero(high > low)
+        for key, mask in ((-1, (b & 0xC0) != 0x80), (0, before & ~space), (_UPPER, upper), *((k, (kind & k) > 0) for k in (_SPACE, _LINE, _DIGIT, _STOP, _SHOUT, _MARK, _BAR))):
+            total = np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])
+            out[key][some] += total[high[some]] - total[low[some]]
+    return out
+
+
+def text_statistics(texts: list[str | None]) -> dict[str, np.ndarray]:
+    """The statistics of whole texts; null counts as empty, and every ratio of an empty text is 0."""
+    texts = [t or "" for t in texts]
+    encoded = [t.encode(errors="surrogatepass") for t in texts]
+    ends = np.cumsum([len(e) for e in encoded]) if encoded else np.zeros(0, np.int64)
+    n = _byte_counts(np.frombuffer(b"".join(encoded), np.uint8), ends)
+    chars, words, lines = n[-1], n[0], n[_LINE] + 1
+    hashes, counts = word_hashes(texts)
+    owner = np.repeat(np.arange(len(texts)), counts)
+    again = (hashes[1:] == hashes[:-1]) & (owner[1:] == owner[:-1])
+    repeats = np.bincount(owner[1:][again], minlength=len(texts))
+    doubled = [sum(map(str.__eq__, parts, parts[1:])) if len(parts := t.split("\n")) > 1 else 0 for t in texts]
+    share = lambda part, whole: np.divide(part, whole, out=np.zeros(len(texts)), where=whole > 0)
+    values = (np.log1p(chars), np.log1p(words), share(chars - n[_SPACE], words), share(words, lines * (chars > 0)), share(n[_UPPER], chars), share(n[_DIGIT], chars), share(n[_STOP], words), share(n[_SHOUT], words), share(n[_MARK], chars), share(n[_BAR], words), share(repeats, words), share(np.array(doubled, float), lines))
+    return dict(zip(FEATURES, values))
+
+
+def statistics(text: Column) -> Column:
+    """The statistics of a whole text as a struct; see :func:`text_statistics`."""
+
+    @F.arrow_udf(T.StructType([T.StructField(f, T.DoubleType()) for f in FEATURES]))
+    def measure(texts: pa.Array) -> pa.Array:
+        parts = [text_statistics(part_of(texts, part)) for part in arrow_blocks(texts)]
+        return pa.StructArray.from_arrays([pa.array(np.concatenate([p[f] for p in parts]) if parts else np.zeros(0)) for f in FEATURES], names=list(FEATURES))
+
+    return measure(text)
 
 
 class Condition(NamedTuple):
@@ -153,10 +193,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", max_
     marks = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("__label"))
     sample = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).collect()
     chosen = spark.createDataFrame([(r["doc_id"], int(r["__label"])) for r in sample], "doc_id long, __label int")
-    named = {f"__{k}": v for k, v in statistics(F.col("text")).items()}
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "__label", *[v.alias(k) for k, v in named.items()]).toPandas()
-    rows = rows.sort_values(["doc_id", *named]).reset_index(drop=True)
-    return fit_rules(rows[list(named)].to_numpy(float), rows["__label"].to_numpy(), tuple(k[2:] for k in named))
+    some = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = some.select("doc_id", "__label", statistics(F.col("text")).alias("__s")).select("doc_id", "__label", "__s.*").toPandas()
+    rows = rows.sort_values(["doc_id", *FEATURES]).reset_index(drop=True)
+    return fit_rules(rows[list(FEATURES)].to_numpy(float), rows["__label"].to_numpy(), FEATURES)
 
 
 def score_quality(docs: DataFrame, model: RuleModel, threshold: float = THRESHOLD) -> DataFrame:
@@ -166,9 +206,8 @@ def score_quality(docs: DataFrame, model: RuleModel, threshold: float = THRESHOL
     languages, sources and other columns do not enter the score.
     """
     kept = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
-    named = {f"__{k}": v for k, v in statistics(F.col("text")).items()}
-    out = docs.select(*kept, *[v.alias(k) for k, v in named.items()])
-    out = out.withColumn("__score", compile_score(model, {k[2:]: k for k in named}))
+    out = docs.select(*kept, statistics(F.col("text")).alias("__s"))
+    out = out.withColumn("__score", compile_score(model, {f: f"__s.{f}" for f in FEATURES}))
     return out.select(*kept, F.col("__score").alias("score"), (F.col("__score") >= threshold).cast("int").alias("predicted"))
 
 
