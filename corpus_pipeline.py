@@ -28,6 +28,7 @@ from wayline.shipping import ship  # noqa: E402
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the classifier rejects; it learns from the labels outside the held-out fold."""
+    ship(spark)
     model = fit_quality(docs, learning_labels(spark, sf_dir))
     renamed = {c: unused(f"__{c}", docs.columns) for c in docs.columns if c.lower() in ("score", "predicted")}
     kept = score_quality(docs.withColumnsRenamed(renamed), model).where("predicted = 1").drop("score", "predicted")
