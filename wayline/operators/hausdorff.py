@@ -88,7 +88,8 @@ def distance_matrix(points: DataFrame, id_col: str = "flight_id", lat: str = "la
         swap = [a > b for a, b in zip(i, j)]
         pick = lambda u, v: [y if s else x for x, y, s in zip(u, v, swap)]
         there, back = [f[2] for f in found], [f[3] for f in found]
-        return pd.DataFrame({"a": pick(i, j), "b": pick(j, i), "ab": pick(there, back), "ba": pick(back, there)})
+        ids = lambda v: pd.Series(v, dtype=object)
+        return pd.DataFrame({"a": ids(pick(i, j)), "b": ids(pick(j, i)), "ab": pick(there, back), "ba": pick(back, there)})
 
     pairs = placed.groupBy("low", "high").applyInPandas(compare, f"a {id_type}, b {id_type}, ab double, ba double")
     km = lambda c: arc_km(F.sqrt(c))
