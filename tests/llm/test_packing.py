@@ -54,3 +54,13 @@ def test_many_lengths_and_empty(spark):
     assert pack_documents(docs.limit(0)).columns == pack_documents(docs).columns
     assert pack_documents(docs.limit(0)).count() == 0
     assert {r["n_tokens"] for r in pack_documents(spark.createDataFrame([(None, None), (1, " ")], "doc_id long, text string")).collect()} == {0}
+
+
+def test_bounds_are_exact_for_any_number_of_lengths(spark):
+    lengths = [*range(1, 17_001), 16_000_000]
+    docs = spark.range(1, 17_002).select(F.when(F.col("id") > 17_000, 16_000_000).otherwise(F.col("id")).alias("n"))
+    best = min(range(1, 17_001), key=lambda cut: cut * cut + (17_000 - cut) * 17_000)  # three buckets: up to cut, up to 17,000, the long one
+    for options in ({}, {"max_lengths": 50}):
+        out = pack(docs, F.col("n"), ["n"], buckets=3, **options).agg(F.collect_set("bucket_length").alias("bounds"), F.sum("padding").alias("padding")).first()
+        assert sorted(out["bounds"]) == [best, 17_000, 16_000_000]
+        assert out["padding"] == padding([(n, 1) for n in lengths], out["bounds"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections import deque
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -10,8 +11,6 @@ from pyspark.sql import functions as F
 from .common import materialise, read, stored
 
 BUCKETS, TOKEN_BUDGET = 16, 65_536
-#: The driver's histogram has at most this many lengths; with more, lengths are rounded up to a common step.
-MAX_LENGTHS = 16_384
 #: About so many rows of a bucket are numbered by one task.
 CHUNK_ROWS = 50_000
 
@@ -26,7 +25,7 @@ def optimal_boundaries(histogram: list[tuple[int, int]], buckets: int) -> list[i
 
     With k buckets ending at length i, cost(k, i) = min over j of cost(k-1, j) + the padding of the
     lengths after j up to i. Each j is a line in the i-th length, so a convex hull of lines gives
-    every minimum in linear time.
+    every minimum in linear time. It holds 8 bytes a bucket and length, and a few hundred a length.
     """
     pairs = sorted((n, c) for n, c in histogram if c)
     if not pairs:
@@ -38,10 +37,10 @@ def optimal_boundaries(histogram: list[tuple[int, int]], buckets: int) -> list[i
         sums.append(sums[-1] + n * c)
     m = len(pairs)
     cost = [0] + [lengths[i - 1] * counts[i] - sums[i] for i in range(1, m + 1)]
-    chosen: list[list[int]] = [[0] * (m + 1)]
+    chosen = [array("q", bytes(8 * (m + 1)))]
     for k in range(1, min(buckets, m)):
         lines: deque[tuple[int, int, int]] = deque()  # slope, intercept, j; slopes fall
-        new, back = [0] * (m + 1), [0] * (m + 1)
+        new, back = [0] * (m + 1), array("q", bytes(8 * (m + 1)))
         for i in range(1, m + 1):
             j = i - 1
             if j >= k:
@@ -67,17 +66,13 @@ def optimal_boundaries(histogram: list[tuple[int, int]], buckets: int) -> list[i
     return sorted(set(bounds))
 
 
-def length_histogram(lengths: DataFrame, column: str, max_lengths: int = MAX_LENGTHS) -> list[tuple[int, int]]:
-    """(length, count) over all rows, at most ``max_lengths`` of them.
+def length_histogram(lengths: DataFrame, column: str) -> list[tuple[int, int]]:
+    """(length, count) over all rows, exact.
 
-    The histogram is exact while there are that few distinct lengths. Beyond, lengths are rounded up
-    to multiples of ceil(longest / max_lengths), which bounds what the driver holds for any corpus.
+    D distinct lengths need D * (D - 1) / 2 words at least, so the driver holds at most about
+    sqrt(2 * all words) of them: 100,000 for a corpus of 5e9 words.
     """
-    counts = materialise(lengths.groupBy(F.col(column).alias("length")).agg(F.count("*").alias("n")))
-    distinct, longest = counts.agg(F.count("*"), F.max("length")).first()
-    if distinct > max_lengths:
-        step = -(-longest // max_lengths)
-        counts = counts.groupBy((F.ceil(F.col("length") / step) * step).alias("length")).agg(F.sum("n").alias("n"))
+    counts = lengths.groupBy(F.col(column).alias("length")).agg(F.count("*").alias("n"))
     return [(int(r["length"]), int(r["n"])) for r in counts.collect()]
 
 
@@ -87,7 +82,7 @@ def pack(
     order: list[str],
     buckets: int = BUCKETS,
     token_budget: int = TOKEN_BUDGET,
-    max_lengths: int = MAX_LENGTHS,
+    max_lengths: int | None = None,
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """All rows of ``docs`` with ``n_tokens``, ``bucket``, ``bucket_length``, ``batch``, ``slot`` and ``padding``.
@@ -100,13 +95,14 @@ def pack(
     each. Columns of the added names in ``docs`` are replaced.
 
     ``length`` is evaluated more than once; store it first where it is dear, as :func:`pack_documents`
-    does. Only the histogram reaches the driver. A bucket may hold any share of the rows: its rows are
-    numbered in hashed chunks of about ``chunk_rows``, and the chunks' counts give the offsets.
+    does. Only the histogram reaches the driver, exact for any number of lengths; ``max_lengths`` once
+    limited it and is taken from callers without effect. A bucket may hold any share of the rows: its
+    rows are numbered in hashed chunks of about ``chunk_rows``, and the chunks' counts give the offsets.
     """
     added = ("n_tokens", "bucket", "bucket_length", "batch", "slot", "padding")
     names = [c for c in docs.columns if c.lower() not in added]
     base = docs.select("*", F.coalesce(length, F.lit(0)).cast("long").alias("__n")).select(*names, F.col("__n").alias("n_tokens"))
-    histogram = length_histogram(base, "n_tokens", max_lengths)
+    histogram = length_histogram(base, "n_tokens")
     bounds = optimal_boundaries(histogram, buckets)
     if not bounds:
         return base.select("*", *[F.lit(0).cast(t).alias(n) for n, t in (("bucket", "int"), ("bucket_length", "long"), ("batch", "long"), ("slot", "long"), ("padding", "long"))])
