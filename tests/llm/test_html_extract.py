@@ -44,6 +44,30 @@ def test_long_pages_take_linear_time(piece):
     assert time.process_time() - start < 8
 
 
+@pytest.mark.parametrize("page,blocks", [
+    ("<p>so <math><mi>x</mi><mo>=</mo><mspace/><mn>2</mn></math> holds<p>b", ["so x=2 holds", "b"]), ("<p>a<xmp><b>1 &lt; 2</b></xmp>c", ["a", "<b>1 &lt; 2</b>", "c"]),
+    ("<object data=x><p>Fallback</object><p>b", ["Fallback", "b"]), ("<p>a<noscript>no script</noscript><p>b", ["ano script", "b"]), ("<p>a<object><p>b", ["a", "b"]),
+    ("<p>a<svg><title>t</title><text>la</text><text>bel</text></svg><p>b", ["a la bel", "b"]), ("<div><svg><path d='M0'><p>after</p></div>b", ["after", "b"]),
+    ("<svg/><p>a<svg><foreignObject><div>in</div></foreignObject></svg>b<p>c", ["a", "in", "b", "c"]), ("<select><option>a<p>b", ["a", "b"]), ("<select><option>a</select><p>b", ["b"]),
+    ("<xmp>open<p>b", ["open", "b"]), ("<p>a<textarea>x<p>b", ["a"]), ("<svg><style>s{}</style><script>x</script></svg>a", ["a"]),
+])
+def test_only_scripts_styles_frames_and_controls_are_raw(page, blocks):
+    assert [b.text for b in leaf_blocks(page)] == blocks
+
+
+def test_marks_of_a_drawing_end_with_it():
+    page = "<svg class=nav><path class=ad /><g class=comment></svg><p>a</p><svg class=nav><g class=ad><p>b</p><xmp>c</xmp>"
+    marks = {b.text: b.marks for b in leaf_blocks(page)}
+    assert all(not marks[t] & (BIT["in_nav"] | BIT["in_ad"] | BIT["in_comment"]) for t in "ab") and marks["c"] & BIT["own_pre"]
+
+
+@pytest.mark.parametrize("piece", ["<select>", "<svg>", "<math><mi>", "<object><p>", "<xmp>", "<svg><g></object>", "<noscript>"])
+def test_open_elements_take_linear_time(piece):
+    start = time.process_time()
+    leaf_blocks(piece * (300_000 // len(piece)) + ">")
+    assert time.process_time() - start < 8
+
+
 def test_viterbi_against_all_labellings():
     rng = np.random.default_rng(3)
     for n in (1, 2, 5, 8):

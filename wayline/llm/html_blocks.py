@@ -14,10 +14,10 @@ MEMO = 50_000
 
 # Fixed values of the HTML standard: elements by how a parser treats them.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template iframe noembed noframes xmp svg math object title textarea select".split())
+RAW = set("script style template iframe noembed noframes title textarea select".split())
 BLOCKS = set(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
-    "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul video audio canvas label".split()
+    "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul video audio canvas label xmp".split()
 )
 CLOSES_P = BLOCKS - {"html", "body", "head", "button", "option", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "label", "legend"}
 CLOSES = {
@@ -30,13 +30,20 @@ CLOSES = {
     "option": ({"option"}, {"select"}),
     "a": ({"a"}, BLOCKS),
 }
-P_SCOPE = {"button", "td", "th", "caption", "table", "html", "body"}
+FOREIGN = {"svg", "math"}
+#: Parts of a drawing or formula with HTML inside.
+HTML_PARTS = set("foreignobject desc mi mo mn ms mtext annotation-xml".split())
+P_SCOPE = {"button", "td", "th", "caption", "table", "html", "body", "object"} | HTML_PARTS
+#: An open drawing or formula ends before these.
+LEAVES_FOREIGN = set("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+#: End tags that close blocks inside their element.
+CLOSES_BLOCKS = BLOCKS | {"object"}
 
 #: Marks of an element by its tag.
 TAG_MARKS = {
     "nav": "nav", "menu": "nav", "header": "header", "hgroup": "heading", "footer": "footer", "aside": "aside", "form": "form", "fieldset": "form", "dialog": "notice",
     "button": "button", "label": "form", "legend": "form", "article": "article", "main": "main", "section": "section", "figure": "figure", "figcaption": "figure", "address": "address",
-    "ul": "list", "ol": "list", "dl": "list", "li": "item", "table": "table", "td": "cell", "th": "cell", "p": "p", "pre": "pre", "blockquote": "quote",
+    "ul": "list", "ol": "list", "dl": "list", "li": "item", "table": "table", "td": "cell", "th": "cell", "p": "p", "pre": "pre", "xmp": "pre", "blockquote": "quote",
     "h1": "h1", "h2": "heading", "h3": "heading", "h4": "heading", "h5": "heading", "h6": "heading", "head": "head", "details": "details", "summary": "details", "div": "div",
 }
 #: Marks of an element by the words of its class, id and role.
@@ -140,7 +147,9 @@ def leaf_blocks(page: str | None) -> list[Block]:
     Character references are decoded and white space inside a block, ``<br>`` included, becomes one
     space. Unclosed and stray tags are taken as browsers take them, in outline: a block start closes
     an open ``<p>``, a list item the item before it, an end tag all that is open inside its element.
-    Scripts, styles and other raw elements hold no text. Text outside any element is a block too.
+    Scripts, styles, templates, frames, titles and form controls hold no text; unclosed they take the
+    rest of the page, but for ``<select>``. Fallback texts, formulas and drawings are text like any
+    other, and ``<xmp>`` is taken to the letter. Text outside any element is a block too.
     """
     if not page:
         return []
@@ -148,12 +157,13 @@ def leaf_blocks(page: str | None) -> list[Block]:
     tail = re.search(r"<[A-Za-z/!?]", page[last:])
     source, rest = page[:last], page[last : last + tail.start()] if tail else page[last:]
     out: list[Block] = []
-    # (tag, marks handed down, open p or -1)
-    stack: list[tuple[str, int, int]] = [("", 0, -1)]
+    # (tag, marks handed down, open p or -1, open drawing or formula or -1)
+    stack: list[tuple[str, int, int, int]] = [("", 0, -1, -1)]
     is_open: dict[str, int] = {}
     pieces: list[str] = []
     linked: list[str] = []
     lower: str | None = None
+    endless: set[str] = set()
 
     def flush() -> None:
         nonlocal pieces, linked
@@ -166,18 +176,33 @@ def leaf_blocks(page: str | None) -> list[Block]:
             out.append(Block(text, marks | _text_marks(text, sum(map(len, linked)), not out)))
         pieces, linked = [], []
 
-    def say(text: str) -> None:
+    def say(text: str, literal: bool = False) -> None:
         if text:
-            text = html.unescape(text) if "&" in text else text
+            text = html.unescape(text) if "&" in text and not literal else text
             pieces.append(text)
             if is_open.get("a"):
                 linked.append(text)
 
     def close(k: int) -> None:
-        for tag, _, _ in stack[k:]:
+        for tag, *_ in stack[k:]:
             is_open[tag] -= 1
         del stack[k:]
 
+    def end_of(tag: str) -> int:
+        """Where the end tag of a raw element starts, or -1."""
+        nonlocal lower
+        if tag in endless:
+            return -1
+        lower = source.lower() if lower is None else lower
+        if len(lower) != len(source):  # a few letters change their length
+            found = re.compile(f"</{tag}(?=[\\s/>])", re.I).search(source, at)
+            end = found.start() if found else -1
+        else:
+            end = lower.find(f"</{tag}", at)
+        if end < 0:
+            endless.add(tag)
+        return end
+
     at = 0
     while m := _TOKEN.search(source, at):
         say(source[at : m.start()])
@@ -190,30 +215,28 @@ def leaf_blocks(page: str | None) -> list[Block]:
         block = tag in BLOCKS
         if block:
             flush()
-        elif tag == "br":
+        elif tag in ("br", "text"):
             pieces.append(" ")
         if m[1]:
             if is_open.get(tag):
                 k = len(stack) - 1
-                while stack[k][0] != tag and not (tag not in BLOCKS and stack[k][0] in BLOCKS):
+                while stack[k][0] != tag and not (tag not in CLOSES_BLOCKS and stack[k][0] in BLOCKS):
                     k -= 1
                 if stack[k][0] == tag:
                     close(k)
             continue
+        if stack[-1][3] > 0 and tag in LEAVES_FOREIGN:
+            close(stack[-1][3])
         if tag in RAW and not m[3].endswith("/"):
-            if tag == "noscript" or tag == "title" or tag == "textarea" or tag == "select" or block:
-                flush()
-            lower = source.lower() if lower is None else lower
-            if len(lower) != len(source):  # a few letters change their length
-                end = re.compile(f"</{tag}(?=[\\s/>])", re.I).search(source, at)
-                at = end.start() if end else len(source)
-            else:
-                end = lower.find(f"</{tag}", at)
+            end = end_of(tag)
+            if end >= 0 or tag != "select":
+                if tag in ("title", "textarea", "select") and stack[-1][3] < 0:
+                    flush()
                 at = end if end >= 0 else len(source)
-            if at == len(source):
-                rest = ""
-            continue
-        if tag in VOID:
+                if at == len(source):
+                    rest = ""
+                continue
+        if tag in VOID or m[3].endswith("/") and (stack[-1][3] > 0 or tag in FOREIGN):
             continue
         if tag in CLOSES_P and (p := stack[-1][2]) > 0:
             close(p)
@@ -230,8 +253,12 @@ def leaf_blocks(page: str | None) -> list[Block]:
         marks |= stack[-1][1]
         if nearest:
             marks = marks & ~_NEAREST_BITS | nearest
-        stack.append((tag, marks, len(stack) if tag == "p" else -1 if tag in P_SCOPE else stack[-1][2]))
+        foreign = -1 if tag in HTML_PARTS else len(stack) if tag in FOREIGN and stack[-1][3] < 0 else stack[-1][3]
+        stack.append((tag, marks, len(stack) if tag == "p" else -1 if tag in P_SCOPE else stack[-1][2], foreign))
         is_open[tag] = is_open.get(tag, 0) + 1
+        if tag == "xmp" and (end := end_of(tag)) >= 0:
+            say(source[at:end], literal=True)
+            at = end
     say(source[at:] + rest)
     flush()
     return out
