@@ -68,6 +68,20 @@ def test_open_elements_take_linear_time(piece):
     assert time.process_time() - start < 8
 
 
+def test_elements_of_any_depth_are_opened():
+    deep = "<article>" + "<div>" * 700 + "<nav>menu</nav><div class=ad>buy</div>x" + "</div>" * 700 + "still inside</article>out"
+    marks = {b.text: b.marks for b in leaf_blocks(deep)}
+    assert marks["menu"] & BIT["in_nav"] and marks["buy"] & BIT["in_ad"] and not marks["x"] & BIT["in_nav"]
+    assert marks["still inside"] & BIT["own_article"] and not marks["out"] & BIT["in_article"]
+
+
+@pytest.mark.parametrize("piece", ["<a><div>", "<li><ul>", "<td><table>", "<b></i>", "<i><div></i>", "<span>x<p>", "<li><div>", "<option><b>", "<dt><div>x"])
+def test_deep_pages_take_linear_time(piece):
+    start = time.process_time()
+    leaf_blocks("<i><li><ul>" + piece * (300_000 // len(piece)) + ">")
+    assert time.process_time() - start < 8
+
+
 def test_viterbi_against_all_labellings():
     rng = np.random.default_rng(3)
     for n in (1, 2, 5, 8):

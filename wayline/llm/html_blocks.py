@@ -7,8 +7,6 @@ import re
 from bisect import bisect_left
 from typing import NamedTuple
 
-#: Deeper elements than this are not opened; their text belongs to the element at this depth.
-MAX_DEPTH = 512
 #: A worker remembers the marks of so many different opening tags and masks.
 MEMO = 50_000
 
@@ -146,8 +144,8 @@ def leaf_blocks(page: str | None) -> list[Block]:
 
     Character references are decoded and white space inside a block, ``<br>`` included, becomes one
     space. Unclosed and stray tags are taken as browsers take them, in outline: a block start closes
-    an open ``<p>``, a list item the item before it, an end tag all that is open inside its element.
-    Scripts, styles, templates, frames, titles and form controls hold no text; unclosed they take the
+    an open ``<p>``, a list item the item before it, an end tag all that is open inside its element,
+    at any depth. Scripts, styles, templates, frames, titles and form controls hold no text; unclosed they take the
     rest of the page, but for ``<select>``. Fallback texts, formulas and drawings are text like any
     other, and ``<xmp>`` is taken to the letter. Text outside any element is a block too.
     """
@@ -157,9 +155,9 @@ def leaf_blocks(page: str | None) -> list[Block]:
     tail = re.search(r"<[A-Za-z/!?]", page[last:])
     source, rest = page[:last], page[last : last + tail.start()] if tail else page[last:]
     out: list[Block] = []
-    # (tag, marks handed down, open p or -1, open drawing or formula or -1)
-    stack: list[tuple[str, int, int, int]] = [("", 0, -1, -1)]
-    is_open: dict[str, int] = {}
+    # (tag, marks handed down, open p or -1, open drawing or formula or -1, nearest block or 0)
+    stack: list[tuple[str, int, int, int, int]] = [("", 0, -1, -1, 0)]
+    opened: dict[str, list[int]] = {}
     pieces: list[str] = []
     linked: list[str] = []
     lower: str | None = None
@@ -168,9 +166,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
     def flush() -> None:
         nonlocal pieces, linked
         if pieces and (text := " ".join("".join(pieces).split())):
-            marks, k = stack[-1][1], len(stack) - 1
-            while k and stack[k][0] not in BLOCKS:
-                k -= 1
+            marks, k = stack[-1][1], stack[-1][4]
             if (own := TAG_MARKS.get(stack[k][0])) is not None:
                 marks |= BIT[f"own_{own}"]
             out.append(Block(text, marks | _text_marks(text, sum(map(len, linked)), not out)))
@@ -180,12 +176,12 @@ def leaf_blocks(page: str | None) -> list[Block]:
         if text:
             text = html.unescape(text) if "&" in text and not literal else text
             pieces.append(text)
-            if is_open.get("a"):
+            if opened.get("a"):
                 linked.append(text)
 
     def close(k: int) -> None:
         for tag, *_ in stack[k:]:
-            is_open[tag] -= 1
+            opened[tag].pop()
         del stack[k:]
 
     def end_of(tag: str) -> int:
@@ -218,12 +214,8 @@ def leaf_blocks(page: str | None) -> list[Block]:
         elif tag in ("br", "text"):
             pieces.append(" ")
         if m[1]:
-            if is_open.get(tag):
-                k = len(stack) - 1
-                while stack[k][0] != tag and not (tag not in CLOSES_BLOCKS and stack[k][0] in BLOCKS):
-                    k -= 1
-                if stack[k][0] == tag:
-                    close(k)
+            if (at_tag := opened.get(tag)) and (tag in CLOSES_BLOCKS or at_tag[-1] > stack[-1][4]):
+                close(at_tag[-1])
             continue
         if stack[-1][3] > 0 and tag in LEAVES_FOREIGN:
             close(stack[-1][3])
@@ -242,20 +234,16 @@ def leaf_blocks(page: str | None) -> list[Block]:
             close(p)
         if tag in CLOSES:
             same, within = CLOSES[tag]
-            k = len(stack) - 1
-            while k and stack[k][0] not in within and stack[k][0] not in same:
-                k -= 1
-            if k and stack[k][0] in same:
+            k = max(opened[t][-1] if opened.get(t) else 0 for t in same)
+            if k and k > (stack[-1][4] if within is BLOCKS else max(opened[t][-1] if opened.get(t) else 0 for t in within)):
                 close(k)
-        if len(stack) >= MAX_DEPTH:
-            continue
         marks, nearest = _tag_marks(tag, m[3])
         marks |= stack[-1][1]
         if nearest:
             marks = marks & ~_NEAREST_BITS | nearest
         foreign = -1 if tag in HTML_PARTS else len(stack) if tag in FOREIGN and stack[-1][3] < 0 else stack[-1][3]
-        stack.append((tag, marks, len(stack) if tag == "p" else -1 if tag in P_SCOPE else stack[-1][2], foreign))
-        is_open[tag] = is_open.get(tag, 0) + 1
+        stack.append((tag, marks, len(stack) if tag == "p" else -1 if tag in P_SCOPE else stack[-1][2], foreign, len(stack) if block else stack[-1][4]))
+        opened.setdefault(tag, []).append(len(stack) - 1)
         if tag == "xmp" and (end := end_of(tag)) >= 0:
             say(source[at:end], literal=True)
             at = end
