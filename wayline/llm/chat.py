@@ -65,19 +65,42 @@ def format_preferences(pairs: DataFrame, chosen: str = "chosen", rejected: str =
     })
 
 
-def neighbour_pairs(turns: DataFrame) -> DataFrame:
-    """Pairs conversation 2k, chosen, with conversation 2k + 1, rejected; one without a partner has a null side."""
-    pair = F.floor(F.col("conv_id") / 2)
-    side = lambda odd, name: turns.where(F.pmod("conv_id", F.lit(2)) == odd).select(pair.alias("pair_id"), F.col("conv_id").alias(f"{name}_id"), F.col("turns").alias(name))
-    return side(0, "chosen").join(side(1, "rejected"), "pair_id", "full")
+def trained_ranges(spans: Column) -> Column:
+    """The (start, end) offsets, in characters of the joined spans, of those that are trained on; the end is exclusive."""
+    kind = "struct<at:bigint,ranges:array<struct<start:bigint,end:bigint>>>"
+
+    def add(held: Column, span: Column) -> Column:
+        end = held["at"] + F.length(span["text"])
+        own = F.array(F.struct(held["at"].alias("start"), end.alias("end")))
+        return F.struct(end.alias("at"), F.when(span["train"], F.concat(held["ranges"], own)).otherwise(held["ranges"]).alias("ranges"))
+
+    return F.aggregate(spans, F.struct(F.lit(0), F.array()).cast(kind), add)["ranges"]
+
+
+def reply_pairs(turns: DataFrame) -> DataFrame:
+    """(conv_id, partner_id, chosen, rejected): every conversation against itself with its last answer exchanged.
+
+    The partner of 2k is 2k + 1 and the other way round. ``rejected`` has the turns before the last
+    assistant turn and then the partner's last assistant turn; where there is no partner, or it has
+    no such turn, only the turns before. A conversation without an assistant turn is rejected as it is.
+    """
+    turns = turns.withColumn("partner_id", F.col("conv_id").bitwiseXOR(F.lit(1)))
+    answers = F.filter("turns", lambda t: t["role"] == "assistant")
+    reply = turns.select(F.col("partner_id").alias("conv_id"), F.try_element_at(answers, F.lit(-1)).alias("reply"))
+    back = F.array_position(F.reverse(F.transform("turns", lambda t: t["role"])), "assistant")
+    joined = turns.withColumn("last", F.when(back > 0, F.size("turns") - back)).join(reply, "conv_id", "left")
+    before = F.slice("turns", F.lit(1), F.col("last").cast("int"))
+    swapped = F.when(F.col("reply").isNull(), before).otherwise(F.concat(before, F.array("reply")))
+    return joined.select("conv_id", F.when(F.col("reply").isNotNull() & F.col("last").isNotNull(), F.col("partner_id")).alias("partner_id"), F.col("turns").alias("chosen"), F.when(F.col("last").isNull(), F.col("turns")).otherwise(swapped).alias("rejected"))
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation, paired with its neighbour by id; the spans are returned joined, with the trained text apart."""
-    out = format_preferences(neighbour_pairs(conversations_as_turns(read(spark, sf_dir, "conversations"))))
+    """Every conversation against the one with its last answer exchanged; masks are ``start:end`` character offsets, joined by ``;``."""
+    out = format_preferences(reply_pairs(conversations_as_turns(read(spark, sf_dir, "conversations"))))
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: s["text"]), "")
-    trained = lambda spans: F.array_join(F.transform(F.filter(spans, lambda s: s["train"]), lambda s: s["text"]), "")
-    return out.select("pair_id", "chosen_id", "rejected_id", "n_prompt_turns", "prompt", joined(F.col("chosen_spans")).alias("chosen_text"), trained(F.col("chosen_spans")).alias("chosen_trained"), joined(F.col("rejected_spans")).alias("rejected_text"), trained(F.col("rejected_spans")).alias("rejected_trained"))
+    mask = lambda spans: F.array_join(F.transform(trained_ranges(spans), lambda r: F.concat_ws(":", r["start"], r["end"])), ";")
+    texts = [f(F.col(f"{side}_spans")).alias(f"{side}_{name}") for side in ("chosen", "rejected") for name, f in (("text", joined), ("mask", mask))]
+    return out.select("conv_id", "partner_id", "n_prompt_turns", "prompt", *texts)
 
 
 OP2_SQL = """
@@ -85,24 +108,29 @@ WITH turns AS (
   SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'user'), coalesce(text, '')) AS pos,
          coalesce(role, 'user') AS role, coalesce(text, '') AS text
   FROM conversations WHERE conv_id IS NOT NULL
-), a AS (SELECT CAST(floor(conv_id / 2.0) AS BIGINT) AS pair_id, * FROM turns WHERE conv_id % 2 = 0),
-b AS (SELECT CAST(floor(conv_id / 2.0) AS BIGINT) AS pair_id, * FROM turns WHERE conv_id % 2 <> 0),
-both_sides AS (
-  SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(a.pos, b.pos) AS pos, a.conv_id AS chosen_id, b.conv_id AS rejected_id,
-         a.role AS a_role, a.text AS a_text, b.role AS b_role, b.text AS b_text,
+), answers AS (SELECT conv_id, max(pos) AS last_pos, arg_max(text, pos) AS reply FROM turns WHERE role = 'assistant' GROUP BY conv_id),
+rejected AS (
+  SELECT turns.* FROM turns LEFT JOIN answers USING (conv_id) WHERE last_pos IS NULL OR pos < last_pos
+  UNION ALL SELECT own.conv_id, own.last_pos, 'assistant', other.reply FROM answers own JOIN answers other ON other.conv_id = xor(own.conv_id, 1)
+), both_sides AS (
+  SELECT coalesce(a.conv_id, b.conv_id) AS conv_id, coalesce(a.pos, b.pos) AS pos, a.role AS a_role, a.text AS a_text, b.role AS b_role, b.text AS b_text,
          coalesce(a.role = b.role AND a.text = b.text, FALSE) AS same
-  FROM a FULL JOIN b ON a.pair_id = b.pair_id AND a.pos = b.pos
+  FROM turns a FULL JOIN rejected b ON a.conv_id = b.conv_id AND a.pos = b.pos
 ), marked AS (
-  SELECT *, bool_and(same) OVER (PARTITION BY pair_id ORDER BY pos) AS shared,
-         '<|im_start|>' || a_role || chr(10) || a_text || '<|im_end|>' || chr(10) AS a_whole, a_text || '<|im_end|>' || chr(10) AS a_body,
-         '<|im_start|>' || b_role || chr(10) || b_text || '<|im_end|>' || chr(10) AS b_whole, b_text || '<|im_end|>' || chr(10) AS b_body
+  SELECT *, bool_and(same) OVER (PARTITION BY conv_id ORDER BY pos) AS shared,
+         '<|im_start|>' || a_role || chr(10) || a_text || '<|im_end|>' || chr(10) AS a_whole, '<|im_start|>' || b_role || chr(10) || b_text || '<|im_end|>' || chr(10) AS b_whole
   FROM both_sides
+), placed AS (
+  SELECT *, coalesce(sum(length(a_whole)) FILTER (WHERE NOT shared) OVER w, 0) AS a_end, coalesce(sum(length(b_whole)) FILTER (WHERE NOT shared) OVER w, 0) AS b_end
+  FROM marked WINDOW w AS (PARTITION BY conv_id ORDER BY pos)
+), formatted AS (
+  SELECT conv_id, count(*) FILTER (WHERE shared) AS n_prompt_turns, coalesce(string_agg(a_whole, '' ORDER BY pos) FILTER (WHERE shared), '') AS prompt,
+         coalesce(string_agg(a_whole, '' ORDER BY pos) FILTER (WHERE NOT shared), '') AS chosen_text,
+         coalesce(string_agg((a_end - length(a_text) - 11) || ':' || a_end, ';' ORDER BY pos) FILTER (WHERE NOT shared AND a_role = 'assistant'), '') AS chosen_mask,
+         coalesce(string_agg(b_whole, '' ORDER BY pos) FILTER (WHERE NOT shared), '') AS rejected_text,
+         coalesce(string_agg((b_end - length(b_text) - 11) || ':' || b_end, ';' ORDER BY pos) FILTER (WHERE NOT shared AND b_role = 'assistant'), '') AS rejected_mask
+  FROM placed GROUP BY conv_id
 )
-SELECT pair_id, max(chosen_id) AS chosen_id, max(rejected_id) AS rejected_id, count(*) FILTER (WHERE shared) AS n_prompt_turns,
-       coalesce(string_agg(a_whole, '' ORDER BY pos) FILTER (WHERE shared), '') AS prompt,
-       coalesce(string_agg(a_whole, '' ORDER BY pos) FILTER (WHERE NOT shared), '') AS chosen_text,
-       coalesce(string_agg(a_body, '' ORDER BY pos) FILTER (WHERE NOT shared AND a_role = 'assistant'), '') AS chosen_trained,
-       coalesce(string_agg(b_whole, '' ORDER BY pos) FILTER (WHERE NOT shared), '') AS rejected_text,
-       coalesce(string_agg(b_body, '' ORDER BY pos) FILTER (WHERE NOT shared AND b_role = 'assistant'), '') AS rejected_trained
-FROM marked GROUP BY pair_id
+SELECT f.conv_id, other.conv_id AS partner_id, n_prompt_turns, prompt, chosen_text, chosen_mask, rejected_text, rejected_mask
+FROM formatted f LEFT JOIN answers own ON own.conv_id = f.conv_id LEFT JOIN answers other ON other.conv_id = xor(own.conv_id, 1)
 """
