@@ -70,6 +70,8 @@ TEXT_MARKS = {
     "says_more": "related recommended trending mehr lesen lire aussi leer more read also",
 }
 SAYS = {w: mark for mark, words in TEXT_MARKS.items() for w in words.split()}
+#: A text of any length has such a mark when one of so many of its words, at least, is in the list.
+SAYS_EVERY = 25
 WORD_STEPS, LINK_STEPS = (2, 5, 10, 25, 60), (0.0, 0.3, 0.7, 0.99)
 MARKS = [
     *[f"in_{m}" for m in sorted({*TAG_MARKS.values(), *NAME_MARKS})], *[f"nearest_{m}" for m in sorted({*TAG_MARKS.values(), *NAME_MARKS})],
@@ -133,9 +135,13 @@ def _text_marks(text: str, linked: int, first: bool) -> int:
         mask |= BIT["no_capital"]
     if first:
         mask |= BIT["first"]
-    if words <= 60:
-        for word in text.lower().split(" "):
-            mask |= _SAYS_BITS.get(word.strip(".,:;!?()"), 0) if word[:1] in _SAYS_STARTS else 0
+    said: dict[int, int] = {}
+    for word in text.lower().split(" "):
+        if word[:1] in _SAYS_STARTS and (bit := _SAYS_BITS.get(word.strip(".,:;!?()"))):
+            said[bit] = said.get(bit, 0) + 1
+    for bit, n in said.items():
+        if n * SAYS_EVERY >= words:
+            mask |= bit
     return mask
 
 

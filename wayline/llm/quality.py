@@ -186,16 +186,19 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", max_
     """Fits the classifier on at most ``max_labelled`` labelled rows, those whose id has the smallest hash.
 
     Rows without an id or label are not learnt from; repeated labels of one id count once, the
-    larger one. Only the sample's ids are collected and joined to the texts, as a side of at most
-    ``max_labelled`` rows; only its statistics come to the driver.
+    larger one, and so do repeated rows, the largest statistics. Only the sample's ids are collected
+    and joined to the texts, as a side of at most ``max_labelled`` rows; one row of statistics an id
+    comes to the driver. Ids may be of any type that both tables share.
     """
     spark = docs.sparkSession
     marks = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("__label"))
     sample = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).collect()
-    chosen = spark.createDataFrame([(r["doc_id"], int(r["__label"])) for r in sample], "doc_id long, __label int")
+    schema = T.StructType([labels.schema["doc_id"], T.StructField("__label", T.IntegerType())])
+    chosen = spark.createDataFrame([(r["doc_id"], int(r["__label"])) for r in sample], schema)
     some = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = some.select("doc_id", "__label", statistics(F.col("text")).alias("__s")).select("doc_id", "__label", "__s.*").toPandas()
-    rows = rows.sort_values(["doc_id", *FEATURES]).reset_index(drop=True)
+    measured = some.select("doc_id", "__label", statistics(F.col("text")).alias("__s"))
+    rows = measured.groupBy("doc_id", "__label").agg(F.max("__s").alias("__s")).select("doc_id", "__label", "__s.*").toPandas()
+    rows = rows.sort_values("doc_id").reset_index(drop=True)
     return fit_rules(rows[list(FEATURES)].to_numpy(float), rows["__label"].to_numpy(), FEATURES)
 
 
