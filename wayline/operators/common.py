@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared folder in ``spark.checkpoint.dir`` and cuts its lineage."""
+    """Writes ``df`` to the shared folder in ``spark.checkpoint.dir`` and cuts its lineage; only a local master may go without one."""
     spark = df.sparkSession
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoints-"))
     return df.checkpoint(eager=True)
