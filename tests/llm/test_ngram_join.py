@@ -1,9 +1,10 @@
+import itertools
 import random
 
 import numpy as np
 import pytest
 
-from wayline.llm.ngram_join import Bands, jaccard_classes, shingle_sets, signatures
+from wayline.llm.ngram_join import Bands, _distinct, jaccard_classes, shingle_sets, signatures
 
 
 def shingles(text):
@@ -54,7 +55,7 @@ def corpus(seed, n):
     return rows
 
 
-@pytest.mark.parametrize("seed,sizes", [(1, {}), (2, {"bucket": 2, "crowd_rows": 5}), (3, {"bucket": 3, "shard_entries": 50, "crowd_rows": 1000}), (4, {"bucket": 1, "crowd_rows": 3})])
+@pytest.mark.parametrize("seed,sizes", [(1, {}), (2, {"bucket": 2, "crowd_rows": 5}), (3, {"bucket": 3, "shard_entries": 50, "crowd_rows": 1000}), (4, {"bucket": 1, "crowd_rows": 3}), (5, {"parts": 4, "lose": 2, "bucket": 4}), (6, {"parts": 5, "lose": 1}), (7, {"parts": 2, "lose": 1, "bucket": 3})])
 def test_against_brute_force(spark, seed, sizes):
     rows = corpus(seed, 260)
     rows += [(1000, None), (1001, ""), (1002, " \n"), (None, rows[0][1]), (None, None), rows[5], rows[5], (1003, rows[7][1]), (1004, "A b C d E"), (1005, "a B c D e"), (1006, "a b c d")]
@@ -76,19 +77,43 @@ def test_a_large_group_of_near_copies(spark):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted(brute(rows))
 
 
-def test_similar_sets_share_their_slack():
+@pytest.mark.parametrize("shape", [(3, 1), (4, 2), (5, 2), (4, 1), (2, 1)])
+def test_similar_sets_share_their_slack(shape):
     rng = np.random.default_rng(5)
+    bands = Bands(75, 2000, *shape)
+    least = []
     for n in (3, 12, 33, 90, 400, 1500):
-        base = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        base = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
         for drop in {0, n // 20, n // 9, n // 5}:
-            other = np.unique(np.concatenate([base[drop:], rng.integers(0, 2**63, drop // 4).astype(np.uint64)]))
+            # the worst differences: the features left out are spread over the partitions
+            spread = np.sort(rng.permutation(n)[:drop]) if rng.random() < 0.5 else np.linspace(0, n - 1, drop).astype(int)
+            other = np.unique(np.concatenate([np.delete(base, spread), rng.integers(0, 2**64, drop // 4, dtype=np.uint64)]))
             union = len(np.union1d(base, other))
             if 100 * len(np.intersect1d(base, other)) < 75 * union:
                 continue
             sizes = np.array([len(base), len(other)])
-            sig, who, role, slack = signatures(np.concatenate([base, other]), sizes, Bands(75, 2000))
+            sig, who, role, slack = signatures(np.concatenate([base, other]), sizes, bands)
             shared = len(set(sig[who == 0].tolist()) & set(sig[who == 1].tolist()))
             assert shared >= max(1, min(slack[:, 0].min(), slack[:, 1].min()))
+            least.append(slack[0, 0])
+    assert np.mean(np.array(least) > 0) > 0.8, least  # few sets need their features as signatures
+
+
+def test_losses_are_the_worst_case():
+    for parts, lose in ((3, 1), (4, 2), (5, 3), (2, 1)):
+        keep = parts - lose
+        for m in range(1, parts + 1):
+            left = [min(sum(1 for s in itertools.combinations(range(parts), keep) if not set(s) & set(hit) and any(k < m for k in s)) for hit in itertools.combinations(range(parts), d)) for d in range(lose + 1)]
+            steps = [x for x, k in Bands(75, 10, parts, lose).losses() if k == m]
+            assert len(steps) == lose + 1 and all(sum(steps[:d]) >= left[0] - left[d] for d in range(lose + 1)) and sum(steps) >= left[0]
+
+
+def test_sets_under_one_half_of_a_node_stay_apart():
+    nodes = np.array([[7, 1], [7, 2], [3, 9], [7, 1], [3, 9]], np.uint64)
+    distinct, first, place = _distinct(nodes)
+    assert distinct.tolist() == [[3, 9], [7, 1], [7, 2]] and place.tolist() == [1, 2, 0, 1, 0] and (nodes[first] == distinct).all()
+    distinct, first, place = _distinct(nodes[1:3])
+    assert distinct.tolist() == [[3, 9], [7, 2]] and place.tolist() == [1, 0] and first.tolist() == [1, 0]
 
 
 def test_empty(spark):

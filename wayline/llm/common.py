@@ -5,10 +5,14 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Where the tables of :func:`stored` lie, by the id of the frame.
+_folders: dict[int, str] = {}
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -64,4 +68,16 @@ def stored(df: DataFrame) -> DataFrame:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     path = f"{folder.rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _folders[id(out)] = path
+    weakref.finalize(out, _folders.pop, id(out), None)
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes the files of tables made by :func:`stored` on which no later result rests; other frames are left alone."""
+    for table in tables:
+        if path := _folders.pop(id(table), None):
+            jvm, conf = table.sparkSession._jvm, table.sparkSession._jsc.hadoopConfiguration()
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)

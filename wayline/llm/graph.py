@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import drop, stored
 
 
 def _is_stars(edges: DataFrame) -> bool:
@@ -21,7 +21,7 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
 
     ``links`` has two id columns; loops, repeats and either direction are allowed, null ends are not
     links. Nodes without a row are the smallest of their component. Each round is two joins and four
-    small tables in the shared folder; rounds grow with the logarithm of the longest path. A node
+    small tables in the shared folder, deleted after it; rounds grow with the logarithm of the longest path. A node
     with very many links is split by adaptive execution, because both sides of each join are tables.
     """
     big, small = F.greatest(a, b), F.least(a, b)
@@ -30,9 +30,11 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
         both = edges.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(edges.select(F.col("component").alias("u"), F.col("node").alias("v")))
         least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = stored(both.where("v > u").join(least, "u").select(F.col("v").alias("node"), F.col("m").alias("component")).distinct())
-        least = stored(large.groupBy("node").agg(F.min("component").alias("m")))
-        near = large.join(least, "node")
+        smallest = stored(large.groupBy("node").agg(F.min("component").alias("m")))
+        near = large.join(smallest, "node")
+        before = edges
         edges = stored(near.select("node", F.col("m").alias("component")).unionByName(near.where("component <> m").select(F.col("component").alias("node"), F.col("m").alias("component"))).distinct())
+        drop(before, least, large, smallest)
     return edges
 
 

@@ -1,13 +1,15 @@
 """N-gram Jaccard join by PartEnum signatures.
 
 Sets of about equal size whose similarity is high enough differ in few features. The feature domain
-is cut into more parts than that, so two such sets agree on whole parts: a signature is one part's
-content, and similar sets share some. Each band of sizes has its own number of parts; a set takes
-part in the join of its own band, and of the band below if that reaches it.
+is cut into partitions, and each partition into ``PARTS`` parts; a signature is the content of a subset
+of ``PARTS - LOSE`` parts of one partition. Few differences leave some partition with ``LOSE`` of them at
+most, so similar sets share a signature. Each band of sizes has its own number of partitions; a set
+takes part in the join of its own band, and of the band below if that reaches it.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -17,21 +19,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import broadcast_if_small, read, stored
+from .common import broadcast_if_small, drop, read, stored
 from .graph import connected_components, smallest_reachable
 from .words import arrow_blocks, constants, mix, part_of, word_hashes
 
 PERCENT, WIDTH = 75, 5
 #: Sets that share a signature are compared in pairs up to this many; see :func:`jaccard_classes` for larger groups.
 BUCKET = 16
-#: Nodes of a block that needs its crowded signatures; a task compares two blocks.
-CROWD_ROWS = 512
+#: Parts of a partition, and how many of them a signature leaves out.
+PARTS, LOSE = 3, 1
+#: Nodes, and shingles of them all, of a block that needs its crowded signatures; a task compares two blocks.
+CROWD_ROWS, CROWD_SHINGLES = 512, 1_000_000
 #: Bytes of text that a task turns to signatures at once.
 BLOCK_BYTES = 4_000_000
 #: Signatures that one task groups.
 SHARD_ENTRIES = 750_000
-#: Up to this set size each feature is a part of its own.
-SMALL = 32
 
 _U = np.uint64
 _KEY = _U(0xD6E8FEB86659FD93)
@@ -65,17 +67,17 @@ def shingle_sets(texts: list[str | None], width: int = WIDTH) -> tuple[np.ndarra
 
 
 class Bands:
-    """Bands of set sizes; how much a set may differ from a partner; how many parts the domain has."""
+    """Bands of set sizes; how much a set may differ from a partner; how many partitions the domain has."""
 
-    def __init__(self, percent: int, largest: int):
-        self.percent = percent
+    def __init__(self, percent: int, largest: int, parts: int = PARTS, lose: int = LOSE):
+        self.percent, self.parts, self.lose = percent, parts, lose
         low, high = [1], [1]
         while high[-1] < largest:
             low.append(high[-1] + 1)
             high.append(max(low[-1], low[-1] * 8 // 5, low[-1] * 100 // percent))
         self.low, self.high = np.array(low), np.array(high)
-        most = self._differ(self.high, self.high * 100 // percent)
-        self.parts = np.where(self.high <= SMALL, 0, -(-most * 5 // 4) + 4)
+        # the fewest that are certain of a shared signature, and a fifth more, so that similar sets share several
+        self.partitions = self._differ(self.high, self.high * 100 // percent) * 6 // (5 * (lose + 1)) + 2
 
     def _differ(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The largest symmetric difference of sets of sizes a and b that are similar enough."""
@@ -88,56 +90,117 @@ class Bands:
         reaches = (own > 0) & (-(-sizes * self.percent // 100) <= self.high[below])
         return [(sizes > 0, own, self._differ(sizes, sizes * 100 // self.percent)), (reaches, below, self._differ(sizes, self.high[below]))]
 
+    def losses(self) -> list[tuple[int, int]]:
+        """(signatures lost, non-empty parts) by one more difference in a partition, the worst first.
+
+        With m non-empty parts and d differences in as many parts, the subsets without those parts
+        are left, less the ones of empty parts only. Later differences in a partition never lose more
+        than earlier ones, so taking the worst first is the worst case.
+        """
+        keep = self.parts - self.lose
+        left = lambda m, d: math.comb(self.parts - d, keep) - math.comb(self.parts - max(m, d), keep) if d <= self.parts else 0
+        steps = []
+        for m in range(1, self.parts + 1):
+            lost = [left(m, d) - left(m, d + 1) for d in range(self.lose + 1)]
+            steps += [(max(lost[d:]), m) for d in range(self.lose + 1)]
+        return sorted(steps, reverse=True)
+
 
 def signatures(features: np.ndarray, sizes: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(signature, set, role) of every non-empty part, and the slack of each set in each role.
+    """(signature, set, role) of every subset of parts that is not empty, and the slack of each set in each role.
 
-    The slack is the number of the set's parts less the largest difference; a similar partner shares
-    at least that many signatures. Without slack, a set also takes each feature as a signature.
+    The slack is the least number of a set's signatures that a similar partner shares: all of them
+    less what the largest difference can lose. Without slack, a set also takes each feature as a
+    signature.
     """
     owner = np.repeat(np.arange(len(sizes)), sizes)
     mixed = mix(features ^ _KEY)
+    subsets = list(itertools.combinations(range(bands.parts), bands.parts - bands.lose))
     out, slacks = [], np.full((2, len(sizes)), 1 << 40, np.int64)
     for role, (takes, band, differ) in enumerate(bands.roles(sizes)):
         rows = np.flatnonzero(takes[owner])
         if not len(rows):
             continue
         who, f = owner[rows], features[rows]
-        parts = bands.parts[band].astype(_U)[who]
-        part = np.where(parts > 0, ((f >> _U(32)) * parts) >> _U(32), f)
+        parts = bands.partitions[band].astype(_U)[who] * _U(bands.parts)
+        part = ((f >> _U(32)) * parts) >> _U(32)
         first = np.ones(len(rows), bool)
         first[1:] = (who[1:] != who[:-1]) | (part[1:] != part[:-1])
         start = np.flatnonzero(first)
+        sums, who, part = np.add.reduceat(mixed[rows], start), who[start], part[start]
+        partition = part // _U(bands.parts)
+        first = np.ones(len(start), bool)
+        first[1:] = (who[1:] != who[:-1]) | (partition[1:] != partition[:-1])
+        row = np.cumsum(first) - 1
+        cell = row, (part % _U(bands.parts)).astype(np.int64)
+        content, there = np.zeros((int(row[-1]) + 1, bands.parts), _U), np.zeros((int(row[-1]) + 1, bands.parts), bool)
+        content[cell], there[cell] = sums, True
+        who, partition = who[first], partition[first]
         tag = band.astype(_U)[who] * _KEY
-        out.append((mix(np.add.reduceat(mixed[rows], start) + mix(part[start] + tag[start])), who[start], role))
-        slacks[role] = np.where(takes, np.bincount(who[start], minlength=len(sizes)) - differ, slacks[role])
-        short = (slacks[role] <= 0)[who]
+        emitted = np.zeros(len(sizes), np.int64)
+        for k, subset in enumerate(subsets):
+            some = there[:, subset].any(axis=1)
+            label = mix((partition * _U(len(subsets)) + _U(k))[some] + tag[some])
+            out.append((mix(content[:, subset].sum(axis=1, dtype=_U)[some] + label), who[some], role))
+            emitted += np.bincount(who[some], minlength=len(sizes))
+        filled = there.sum(axis=1)
+        rest = np.where(takes, differ, 0)
+        worst = emitted
+        of = {m: np.bincount(who[filled == m], minlength=len(sizes)) for m in range(1, bands.parts + 1)}
+        for lost, m in bands.losses():
+            hit = np.minimum(rest, of[m])
+            worst, rest = worst - lost * hit, rest - hit
+        slacks[role] = np.where(takes, worst, slacks[role])
+        short = (slacks[role] <= 0)[owner[rows]]
         if short.any():
-            out.append((mix(mixed[rows][short] + mix(tag[short] + _U(1)) + _U(5)), who[short], role))
+            who = owner[rows][short]
+            out.append((mix(mixed[rows][short] + mix(band.astype(_U)[who] * _KEY + _U(1)) + _U(5)), who, role))
     if not out:
         return np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64), slacks
     return np.concatenate([s for s, _, _ in out]), np.concatenate([w for _, w, _ in out]), np.concatenate([np.full(len(w), r) for _, w, r in out]), slacks
 
 
-def set_identity(features: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of each whole set."""
+def set_identity(features: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """128 bits of each whole set, as two columns: sets with equal ones are one node."""
     ends = np.concatenate([[0], np.cumsum(sizes)])
     out = []
     for key in constants(2, 9):
         sums = np.concatenate([np.zeros(1, _U), np.cumsum(mix(features + key))])
         out.append(mix(sums[ends[1:]] - sums[ends[:-1]] + sizes.astype(_U)))
-    return out[0], out[1]
+    return np.stack(out, axis=1)
+
+
+def _distinct(nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct rows of ``nodes`` in order, the first place of each, and the place of every row among them."""
+    _, first, place = np.unique(nodes[:, 0], return_index=True, return_inverse=True)
+    if (nodes[first, 1][place] != nodes[:, 1]).any():  # other sets under the same first half
+        order = np.lexsort((nodes[:, 1], nodes[:, 0]))
+        new = np.ones(len(nodes), bool)
+        new[1:] = (nodes[order][1:] != nodes[order][:-1]).any(axis=1)
+        first, place = order[new], np.empty(len(nodes), np.int64)
+        place[order] = np.cumsum(new) - 1
+    return nodes[first], first, place
 
 
 #: Rows of the join's one exchange. kind 0 holds packed signatures; 1 crowded signatures (signature,
-#: node, role); 2 documents (id, set size, node, check, slacks, band); 3 pairs of nodes with the number of shared signatures.
-_LONGS = T.ArrayType(T.LongType())
-_ROWS = T.StructType([T.StructField("shard", T.LongType()), T.StructField("kind", T.IntegerType()), *(T.StructField(n, T.BinaryType()) for n in ("low", "high", "who", "nodes")), *(T.StructField(n, _LONGS) for n in "pqrsuvw")])
+#: node, role); 2 documents (id, set size, node, slacks, band); 3 pairs of nodes with the number of shared signatures.
+_LONGS, _NODES = T.ArrayType(T.LongType()), T.ArrayType(T.BinaryType())
+_ROWS = T.StructType([T.StructField("shard", T.LongType()), T.StructField("kind", T.IntegerType()), *(T.StructField(n, T.BinaryType()) for n in ("low", "who", "nodes")), *(T.StructField(n, _LONGS) for n in "pquvw"), *(T.StructField(n, _NODES) for n in "mn")])
+
+
+def _node_values(nodes: np.ndarray) -> pa.Array:
+    held = pa.py_buffer(np.ascontiguousarray(nodes))
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(nodes), [None, held]).cast(pa.binary())
 
 
 def _rows(rows: list[dict]) -> pa.RecordBatch:
-    kinds = {"shard": pa.int64(), "kind": pa.int32(), **{n: pa.binary() for n in ("low", "high", "who", "nodes")}, **{n: pa.list_(pa.int64()) for n in "pqrsuvw"}}
-    return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], t) for n, t in kinds.items()], names=list(kinds))
+    kinds = {"shard": pa.int64(), "kind": pa.int32(), **{n: pa.binary() for n in ("low", "who", "nodes")}, **{n: pa.list_(pa.int64()) for n in "pquvw"}}
+    columns = [pa.array([r.get(n) for r in rows], t) for n, t in kinds.items()]
+    for n in "mn":
+        held = [r.get(n) for r in rows]
+        values = [_node_values(v) for v in held if v is not None]
+        columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(0 if v is None else len(v) for v in held)]), pa.int32()), pa.concat_arrays(values) if values else pa.array([], pa.binary())))
+    return pa.RecordBatch.from_arrays(columns, names=[*kinds, *"mn"])
 
 
 def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,49 +209,41 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.append(starts, len(values)))
 
 
-def _emit(ids: list[int | None], texts: list[str | None], percent: int, width: int, bits: int, bucket: int) -> list[dict]:
-    """The rows of one block of texts. Signatures are cut to ``bits`` + 40 bits: the shard and five bytes."""
+def _emit(ids: list[int | None], texts: list[str | None], percent: int, width: int, bits: int, bucket: int, shape: tuple[int, int]) -> list[dict]:
+    """The rows of one block of texts. Signatures are cut to ``bits`` + 32 bits: the shard and four bytes."""
     features, sizes = shingle_sets(texts, width)
-    node, check = set_identity(features, sizes)
-    _, first = np.unique(node, return_index=True)  # equal sets speak once
-    keep = np.zeros(len(sizes), bool)
-    keep[first] = True
-    mine = np.repeat(keep, sizes)
-    nodes, bands = node[keep], Bands(percent, int(sizes.max(initial=1)))
-    sig, who, role, slack = signatures(features[mine], sizes[keep], bands)
-    slacks = slack[:, _place(nodes, node)]
-    shard_of_rest = -1 - int(node[0] >> _U(40)) % (1 << bits) if len(node) else -1
-    view = lambda a: a.view(np.int64) if a.dtype == _U else a
-    rows = [{"shard": shard_of_rest, "kind": 2, "p": ids, "q": sizes, "r": view(node), "s": view(check), "u": slacks[0], "v": slacks[1], "w": bands.roles(sizes)[0][1]}]
+    node = set_identity(features, sizes)
+    nodes, first, place = _distinct(node)  # equal sets speak once
+    mine = np.concatenate([np.arange(e - n, e) for n, e in zip(sizes[first], np.cumsum(sizes)[first])]) if len(first) else np.zeros(0, np.int64)
+    bands = Bands(percent, int(sizes.max(initial=1)), *shape)
+    sig, who, role, slack = signatures(features[mine], sizes[first], bands)
+    slacks = slack[:, place]
+    shard_of_rest = -1 - int(node[0, 0] >> _U(40)) % (1 << bits) if len(node) else -1
+    rows = [{"shard": shard_of_rest, "kind": 2, "p": ids, "q": sizes, "m": node, "u": slacks[0], "v": slacks[1], "w": bands.roles(sizes)[0][1]}]
     if not len(sig):
         return rows
-    cut = sig >> _U(24 - bits)
+    cut = sig >> _U(32 - bits)
     order = np.argsort(cut, kind="stable")
     cut, who, role = cut[order], who[order], role[order]
     starts, lengths = _runs(cut)
     crowded = np.repeat(lengths > bucket, lengths)
     if crowded.any():
-        rows.append({"shard": shard_of_rest, "kind": 1, "p": view(cut[crowded]), "q": view(nodes[who[crowded]]), "r": role[crowded]})
+        rows.append({"shard": shard_of_rest, "kind": 1, "p": cut[crowded].view(np.int64), "m": nodes[who[crowded]], "q": role[crowded]})
     packed = (who * 2 + role).astype(np.uint16)
     packed[starts[lengths > bucket]] = _CROWDED
     stay = ~crowded
     stay[starts] = True
     cut, packed = cut[stay], packed[stay]
-    shard = (cut >> _U(40)).astype(np.int64)
+    shard = (cut >> _U(32)).astype(np.int64)
     for start, length in zip(*_runs(shard)):
         part = slice(start, start + length)
         local, which = np.unique(packed[part] >> 1, return_inverse=True)
         marks = packed[part] == _CROWDED
         mine16 = np.where(marks, _CROWDED, which * 2 + (packed[part] & 1)).astype(np.uint16)
-        rows.append({"shard": int(shard[start]), "kind": 0, "low": cut[part].astype(np.uint32).tobytes(), "high": (cut[part] >> _U(32)).astype(np.uint8).tobytes(), "who": mine16.tobytes(), "nodes": nodes[np.minimum(local, len(nodes) - 1)].tobytes()})
+        rows.append({"shard": int(shard[start]), "kind": 0, "low": cut[part].astype(np.uint32).tobytes(), "who": mine16.tobytes(), "nodes": nodes[np.minimum(local, len(nodes) - 1)].tobytes()})
     return rows
 
 
-def _place(nodes: np.ndarray, node: np.ndarray) -> np.ndarray:
-    order = np.argsort(nodes)
-    return order[np.searchsorted(nodes, node, sorter=order)]
-
-
 def _group(table: pa.Table, bucket: int) -> pa.Table:
     """Pairs of nodes that share a signature, and the members of crowded signatures; other rows pass."""
     table = table.combine_chunks()
@@ -196,16 +251,17 @@ def _group(table: pa.Table, bucket: int) -> pa.Table:
     if (kinds != 0).any():
         return table
     shard = table.column("shard")[0].as_py()
-    low, high, packed, node = [], [], [], []
+    sig, packed, node, held, at = [], [], [], [], 0
     for r in range(table.num_rows):
-        low.append(np.frombuffer(table.column("low")[r].as_py(), np.uint32))
-        high.append(np.frombuffer(table.column("high")[r].as_py(), np.uint8))
+        sig.append(np.frombuffer(table.column("low")[r].as_py(), np.uint32))
         p = np.frombuffer(table.column("who")[r].as_py(), np.uint16)
-        of = np.frombuffer(table.column("nodes")[r].as_py(), np.uint64)
+        of = np.frombuffer(table.column("nodes")[r].as_py(), np.uint64).reshape(-1, 2)
         packed.append(p)
-        node.append(of[np.minimum(p >> 1, len(of) - 1)])
-    sig = np.concatenate(low).astype(np.int64) | np.concatenate(high).astype(np.int64) << 32
-    packed, node = np.concatenate(packed), np.concatenate(node)
+        node.append(np.minimum(p >> 1, len(of) - 1).astype(np.int64) + at)
+        held.append(of)
+        at += len(of)
+    nodes, _, place = _distinct(np.concatenate(held))
+    sig, packed, node = np.concatenate(sig).astype(np.int64), np.concatenate(packed), place[np.concatenate(node)]
     order = np.argsort(sig, kind="stable")
     sig = sig[order]
     _, lengths = _runs(sig)
@@ -222,18 +278,16 @@ def _group(table: pa.Table, bucket: int) -> pa.Table:
     marked = np.maximum.reduceat(mark, starts) if len(starts) else np.zeros(0, bool)
     crowded = np.repeat((lengths > bucket) | marked, lengths)
     over = crowded & ~mark
-    out = [{"shard": shard, "kind": 1, "p": sig[over] | np.int64(shard) << 40, "q": node[over].view(np.int64), "r": (packed[over] & 1).astype(np.int64)}]
+    out = [{"shard": shard, "kind": 1, "p": sig[over] | np.int64(shard) << 32, "m": nodes[node[over]], "q": (packed[over] & 1).astype(np.int64)}]
     sig, node = sig[~crowded], node[~crowded]
-    pairs = [np.zeros((0, 2), np.int64)]
+    pairs = [np.zeros(0, np.int64)]
     for step in range(1, bucket):
         same = np.flatnonzero(sig[step:] == sig[:-step])
         if not len(same):
             break
-        pairs.append(np.stack([node[same], node[same + step]], axis=1).view(np.int64))
-    both = np.sort(np.concatenate(pairs), axis=1)
-    both = both[np.lexsort((both[:, 1], both[:, 0]))]
-    starts, often = _runs(mix(both[:, 0].view(_U) * _KEY) ^ both[:, 1].view(_U))
-    out.append({"shard": shard, "kind": 3, "p": both[starts, 0], "q": both[starts, 1], "r": often})
+        pairs.append(node[same] * len(nodes) + node[same + step])  # nodes of a signature are in order
+    both, often = np.unique(np.concatenate(pairs), return_counts=True)
+    out.append({"shard": shard, "kind": 3, "m": nodes[both // max(1, len(nodes))], "n": nodes[both % max(1, len(nodes))], "p": often})
     return pa.Table.from_batches([_rows(out)])
 
 
@@ -265,9 +319,9 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, w
     both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[int, str, np.ndarray | None] = (0, "", None)
+        held: tuple[bytes, str, np.ndarray | None] = (b"", "", None)
         for batch in batches:
-            links: list[tuple[int, int]] = []
+            links: list[tuple[bytes, bytes]] = []
             for r in range(batch.num_rows):
                 a, b, x, y = (c[r].as_py() for c in batch.columns)
                 if held[2] is None or held[0] != a or held[1] != x:
@@ -278,15 +332,17 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, w
                 shared = len(np.intersect1d(held[2], other, assume_unique=True))
                 if 100 * shared >= percent * (len(held[2]) + len(other) - shared):
                     links.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in links], pa.int64()), pa.array([k for _, k in links], pa.int64())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in links], pa.binary()), pa.array([k for _, k in links], pa.binary())], names=["a", "b"])
 
-    return stored(both.mapInArrow(verify, "a long, b long").distinct())
+    links = stored(both.mapInArrow(verify, "a binary, b binary").distinct())
+    drop(pairs, wanted, texts)
+    return links
 
 
-def _set_of(node: int, text: str | None, width: int) -> np.ndarray | None:
+def _set_of(node: bytes, text: str | None, width: int) -> np.ndarray | None:
     """The set of ``text`` if it is the node's; an id may also stand for other texts."""
     features, sizes = shingle_sets([text], width)
-    return features if set_identity(features, sizes)[0].view(np.int64)[0] == node else None
+    return features if set_identity(features, sizes).tobytes() == node else None
 
 
 def _crowd_links(over: DataFrame, limits: DataFrame, docs: DataFrame, percent: int, width: int, crowd_rows: int) -> DataFrame:
@@ -294,16 +350,17 @@ def _crowd_links(over: DataFrame, limits: DataFrame, docs: DataFrame, percent: i
 
     ``over`` has the members (sig, node, role) of the crowded signatures. The nodes fall into
     families, connected by crowded signatures. A family is compared by bands of set size, each with
-    itself and the next, in blocks of about ``crowd_rows`` nodes: a task counts the shared shingles
-    of two blocks by matrix products and returns at most one link a node.
+    itself and the next, in blocks of about ``crowd_rows`` nodes and ``CROWD_SHINGLES`` shingles: a
+    task counts the shared shingles of two blocks by matrix products and returns at most one link a
+    node.
     """
     need = F.when(F.col("role") == 0, F.col("need_0")).otherwise(F.col("need_1"))
     members = stored(over.join(limits.where("need_0 <= 0 OR need_1 <= 0"), "node").where(need <= 0).select("sig", "node"))
     pivots = stored(members.groupBy("sig").agg(F.min("node").alias("pivot")))
     family = connected_components(members.join(pivots, "sig").select("node", "pivot"), "node", "pivot")
     some = members.select("node").distinct().join(family, "node", "left").select("node", F.coalesce("component", "node").alias("family"))
-    placed = stored(some.join(limits.select("node", "rep", "band"), "node"))
-    sizes = placed.groupBy("family", "band").agg(F.ceil(F.count("*") / crowd_rows).cast("int").alias("blocks"))
+    placed = stored(some.join(limits.select("node", "rep", "band", "size"), "node"))
+    sizes = placed.groupBy("family", "band").agg(F.greatest(F.ceil(F.count("*") / crowd_rows), F.ceil(F.sum("size") / CROWD_SHINGLES)).cast("int").alias("blocks"))
     near = sizes.select("family", F.explode(F.array(*[F.struct((F.col("band") - by).alias("band"), F.lit(by).alias("by"), F.col("blocks")) for by in (-1, 0, 1)])).alias("z"))
     near = stored(near.groupBy("family", "z.band").agg(F.map_from_entries(F.collect_list(F.struct("z.by", "z.blocks"))).alias("blocks")))
     held = placed.join(near, ["family", "band"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")[0]).cast("int"))
@@ -324,11 +381,13 @@ def _crowd_links(over: DataFrame, limits: DataFrame, docs: DataFrame, percent: i
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.sort_by([("node", "ascending")])
-        node, side, text = table.column("node").to_numpy(), table.column("side").to_numpy(), table.column("text").to_pylist()
+        nodes = table.column("node").combine_chunks()
+        side, text = table.column("side").to_numpy(), table.column("text").to_pylist()
+        node = np.frombuffer(b"".join(nodes.to_pylist()), _U).reshape(-1, 2)
         within = table.column("high")[0].as_py() == -1 - table.column("low")[0].as_py()
         features, sizes = shingle_sets(text, width)
-        mine = set_identity(features, sizes)[0].view(np.int64) == node  # an id may also stand for other texts
-        mine[1:] &= ~((node[1:] == node[:-1]) & mine[:-1])
+        mine = (set_identity(features, sizes) == node).all(axis=1)  # an id may also stand for other texts
+        mine[1:] &= ~((node[1:] == node[:-1]).all(axis=1) & mine[:-1])
         ends = np.cumsum(sizes)
         left, right = (np.flatnonzero(mine & (side == s if not within else True)) for s in (0, 1))
         shared = np.zeros((len(left), len(right)))
@@ -351,12 +410,25 @@ def _crowd_links(over: DataFrame, limits: DataFrame, docs: DataFrame, percent: i
         apart = left[i] != right[j]
         root = smallest_reachable(len(node), [(left[i[apart]], right[j[apart]])])
         moved = np.flatnonzero(root != np.arange(len(node)))
-        return pa.table({"a": pa.array(node[root[moved]]), "b": pa.array(node[moved])})
-
-    return stored(full.groupBy("family", "at", "low", "high").applyInArrow(compare, "a long, b long"))
-
-
-def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, width: int = WIDTH, bucket: int = BUCKET, shard_entries: int = SHARD_ENTRIES, crowd_rows: int = CROWD_ROWS) -> DataFrame:
+        return pa.table({"a": nodes.take(pa.array(root[moved])), "b": nodes.take(pa.array(moved))})
+
+    links = stored(full.groupBy("family", "at", "low", "high").applyInArrow(compare, "a binary, b binary"))
+    drop(members, pivots, placed, near, spread, wanted, texts)
+    return links
+
+
+def jaccard_classes(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    percent: int = PERCENT,
+    width: int = WIDTH,
+    bucket: int = BUCKET,
+    shard_entries: int = SHARD_ENTRIES,
+    crowd_rows: int = CROWD_ROWS,
+    parts: int = PARTS,
+    lose: int = LOSE,
+) -> DataFrame:
     """(id, ``n_shingles``, ``component_id``) for every row of ``docs``.
 
     Words are runs of characters other than ASCII white space, with A-Z lower-cased; a text's set is
@@ -367,8 +439,9 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked with nothing. Ids are integers; repeated rows are returned each time; an id of several
     texts joins their classes. An empty table gives no rows; other columns are not returned.
 
-    Shingles are 64-bit hashes; a set is known by 128 bits, and two sets under one 64-bit node stop
-    the job. Equal sets are one node, however many rows have them. Nodes that share a signature meet,
+    Shingles are 64-bit hashes, and a set is known by 128 bits. Equal sets are one node, however many
+    rows have them. A signature is the content of ``parts - lose`` of the ``parts`` of a partition
+    (:func:`signatures`). Nodes that share a signature meet,
     in all pairs while at most ``bucket`` share it; pairs that meet as often as similar sets must are
     candidates (:func:`_candidates`). A signature of more nodes is crowded:
 
@@ -383,31 +456,33 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     chars = base.agg(F.sum(F.length("text"))).first()[0] or 0
-    bits = min(20, max(0, math.ceil(math.log2(max(1, 0.12 * chars / shard_entries)))))
+    bits = max(0, math.ceil(math.log2(max(1, 0.17 * chars / shard_entries))))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.columns
             for part in arrow_blocks(texts, BLOCK_BYTES):
-                yield _rows(_emit(part_of(ids, part), part_of(texts, part), percent, width, bits, bucket))
+                yield _rows(_emit(part_of(ids, part), part_of(texts, part), percent, width, bits, bucket, (parts, lose)))
 
     found = stored(base.mapInArrow(emit, _ROWS).groupBy("shard").applyInArrow(lambda t: _group(t, bucket), _ROWS))
-    rows = _exploded(found, 2, p="doc_id", q="n_shingles", r="node", s="check", u="slack_0", v="slack_1", w="band")
-    same = F.assert_true(F.min("check") == F.max("check"), F.lit("two shingle sets share a 64-bit node"))
-    nodes = stored(rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("slack_0").alias("slack_0"), F.min("slack_1").alias("slack_1"), F.min("band").alias("band"), F.min("n_shingles").alias("size"), same.alias("same")).where("same IS NULL").drop("same"))
-    named = lambda n: nodes.select(F.col("node").alias(n), F.col("rep").alias(f"rep_{n}"))
-    over = stored(_exploded(found, 1, p="sig", q="node", r="role").distinct())
+    rows = stored(_exploded(found, 2, p="doc_id", q="n_shingles", m="node", u="slack_0", v="slack_1", w="band"))
+    known = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    nodes = known.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("slack_0").alias("slack_0"), F.min("slack_1").alias("slack_1"), F.min("band").alias("band"), F.min("n_shingles").alias("size"))
+    over = stored(_exploded(found, 1, p="sig", m="node", q="role").distinct())
     crowds = over.groupBy("node").agg(*[F.count_if(F.col("role") == r).alias(f"crowded_{r}") for r in (0, 1)])
     need = lambda r: (F.col(f"slack_{r}") - F.coalesce(f"crowded_{r}", F.lit(0))).alias(f"need_{r}")
     limits = stored(nodes.join(crowds, "node", "left").select("node", "rep", "size", "band", need(0), need(1)))
-    pairs = _linked(_candidates(_exploded(found, 3, p="a", q="b", r="n"), limits, percent), nodes, base, percent, width)
-    links = pairs.unionByName(_crowd_links(over, limits, base, percent, width, crowd_rows))
-    links = links.join(named("a"), "a").join(named("b"), "b").select("rep_a", "rep_b")
-    ids = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "node")
+    pairs = _linked(_candidates(_exploded(found, 3, m="a", n="b", p="n"), limits, percent), limits, base, percent, width)
+    drop(found)
+    crowd = _crowd_links(over, limits, base, percent, width, crowd_rows)
+    named = lambda n: limits.select(F.col("node").alias(n), F.col("rep").alias(f"rep_{n}"))
+    links = pairs.unionByName(crowd).join(named("a"), "a").join(named("b"), "b").select("rep_a", "rep_b")
+    ids = known.select("doc_id", "node")
     shared = ids.groupBy("doc_id").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("doc_id")
-    links = stored(links.unionByName(ids.join(shared, "doc_id").join(nodes, "node").select(F.col("doc_id").alias("rep_a"), F.col("rep").alias("rep_b"))))
+    links = stored(links.unionByName(ids.join(shared, "doc_id").join(limits, "node").select(F.col("doc_id").alias("rep_a"), F.col("rep").alias("rep_b"))))
     classes = connected_components(links, "rep_a", "rep_b")
-    placed = stored(nodes.select("node", "rep").join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("node", F.coalesce("component", "rep").alias("component")))
+    placed = stored(limits.select("node", "rep").join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("node", F.coalesce("component", "rep").alias("component")))
+    drop(over, limits, pairs, crowd, links, classes)
     joined = rows.select("doc_id", "n_shingles", "node").join(placed, "node", "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
     return joined.select(F.col("doc_id").alias(id_col), "n_shingles", component.alias("component_id"))
