@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from wayline.functions.geo import haversine_km, inside
 
+# Fixed values of the standard rules.
 MAX_AGE_SEC, MAX_GAP_SEC, MIN_POINTS, AIRPORT_KM = 15.0, 60.0, 100, 15.0
 SPEED_KM_S, TOLERANCE_KM = 0.450, 2.0
+# Places (latitude, longitude) of the airports that the standard report is about.
 DEPARTURE, ARRIVAL = (51.4706, -0.4619), (50.038, 8.5622)
 ORDER = ("lastposupdate", "state_time", "event_id")
 
@@ -21,7 +23,7 @@ def reject_rows(points: DataFrame, flights: DataFrame, max_age: float = MAX_AGE_
     """
     dim = flights.select("flight_id", F.col("icao24").alias("__plane"), "start_unix", "end_unix")
     age, contact = F.col("state_time") - F.col("lastposupdate"), F.col("state_time") - F.col("lastcontact")
-    rules = [
+    rules = [  # fixed values: the names and order of the reasons
         ("invalid_coordinate", inside(F.col("lat"), -90, 90) & inside(F.col("lon"), -180, 180)),
         ("stale_or_invalid_position_time", inside(age, 0, max_age)),
         ("stale_or_invalid_contact_time", inside(contact, 0, max_age)),
@@ -47,8 +49,16 @@ def legs(points: DataFrame) -> DataFrame:
     return out.withColumn("bad_leg", F.col("step_km") > SPEED_KM_S * F.col("gap_sec") + TOLERANCE_KM)
 
 
-def flight_qc(marked: DataFrame, flights: DataFrame, min_points: int = MIN_POINTS, max_gap: float = MAX_GAP_SEC, airport_km: float = AIRPORT_KM) -> DataFrame:
-    """One row per flight: counts, gaps, duration, endpoint distances, open jumps, status and reasons.
+def flight_qc(
+    marked: DataFrame,
+    flights: DataFrame,
+    min_points: int = MIN_POINTS,
+    max_gap: float = MAX_GAP_SEC,
+    airport_km: float = AIRPORT_KM,
+    departure: tuple[float, float] = DEPARTURE,
+    arrival: tuple[float, float] = ARRIVAL,
+) -> DataFrame:
+    """One row per flight: counts, gaps, duration, distances of its ends from ``departure`` and ``arrival``, open jumps, status and reasons.
 
     ``marked`` has a ``removal_reason`` on every row. A flight of one clean point has an infinite
     largest gap and no median gap; one without any has ``no_valid_points`` and nulls.
@@ -61,13 +71,13 @@ def flight_qc(marked: DataFrame, flights: DataFrame, min_points: int = MIN_POINT
         F.coalesce(F.max("gap_sec"), F.lit(float("inf"))).alias("max_gap_sec"),
         F.median("gap_sec").alias("median_gap_sec"),
         ((F.max("lastposupdate") - F.min("lastposupdate")) / 60).alias("observed_duration_min"),
-        haversine_km(end("lat", F.min_by, first), end("lon", F.min_by, first), F.lit(DEPARTURE[0]), F.lit(DEPARTURE[1])).alias("start_distance_km"),
-        haversine_km(end("lat", F.max_by, last), end("lon", F.max_by, last), F.lit(ARRIVAL[0]), F.lit(ARRIVAL[1])).alias("end_distance_km"),
+        haversine_km(end("lat", F.min_by, first), end("lon", F.min_by, first), F.lit(departure[0]), F.lit(departure[1])).alias("start_distance_km"),
+        haversine_km(end("lat", F.max_by, last), end("lon", F.max_by, last), F.lit(arrival[0]), F.lit(arrival[1])).alias("end_distance_km"),
         F.count_if("bad_leg").alias("unresolved_jump_segments"),
     )
     out = flights.select("flight_id").join(counted, "flight_id", "left").join(clean, "flight_id", "left")
     none = F.col("clean_points").isNull()
-    reasons = F.concat_ws(";",
+    reasons = F.concat_ws(";",  # fixed values: the names and order of the reasons
         F.when(F.col("clean_points") < min_points, "too_few_points"),
         F.when(F.col("max_gap_sec") > max_gap, "gap_over_limit"),
         F.when((F.col("start_distance_km") > airport_km) | (F.col("end_distance_km") > airport_km), "endpoint_outside_15km"),

@@ -2,70 +2,70 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayline.functions.geo import EARTH_KM
+from wayline.functions.geo import haversine_km
 from wayline.operators.clean import ORDER, SPEED_KM_S, TOLERANCE_KM, legs
+from wayline.operators.common import materialise
 
+# Fixed values of the screening rule.
 MAX_BURST, MAX_BRIDGE_SEC, PASSES = 5, 60.0, 10
 
 
-def _km(lat: np.ndarray, lon: np.ndarray, i: int, j) -> np.ndarray:
-    p, q = np.radians(lat), np.radians(lon)
-    h = np.sin((p[j] - p[i]) / 2) ** 2 + np.cos(p[i]) * np.cos(p[j]) * np.sin((q[j] - q[i]) / 2) ** 2
-    return 2 * EARTH_KM * np.arcsin(np.sqrt(np.clip(h, 0, 1)))
+def _beyond(a: Column, b: Column, speed: float, tolerance: float) -> Column:
+    """Whether ``b`` is out of reach of the earlier point ``a``."""
+    return haversine_km(a["lat"], a["lon"], b["lat"], b["lon"]) > speed * (b["t"] - a["t"]) + tolerance
 
 
-def find_spikes(lat: np.ndarray, lon: np.ndarray, t: np.ndarray, speed: float = SPEED_KM_S, tolerance: float = TOLERANCE_KM, max_burst: int = MAX_BURST, max_bridge: float = MAX_BRIDGE_SEC, passes: int = PASSES) -> np.ndarray:
-    """Marks the points of at most ``passes`` bursts, one a pass.
+def first_bursts(points: DataFrame, speed: float = SPEED_KM_S, tolerance: float = TOLERANCE_KM, max_burst: int = MAX_BURST, max_bridge: float = MAX_BRIDGE_SEC) -> DataFrame:
+    """(flight_id, burst): the ids of the points of each flight's first burst; flights without one have no row.
 
     A burst of 1 to ``max_burst`` points lies between two anchors that are at most ``max_bridge``
     seconds apart and within reach of each other, while every point of it is out of reach of both.
-    The earliest left anchor wins, then the shortest burst. First and last points are never marked.
+    The earliest left anchor wins, then the shortest burst; first and last points are in none. One
+    window brings the next points to every row, and only rows before a leg beyond reach go on.
     """
-    spike = np.zeros(len(t), bool)
-    for _ in range(passes):
-        left = np.flatnonzero(~spike)
-        a, b, c = lat[left], lon[left], t[left]
-        far = np.flatnonzero(_km(a, b, np.arange(len(left) - 1), np.arange(1, len(left))) > speed * np.diff(c) + tolerance)
-        burst = next((w for i in far.tolist() if (w := _burst(a, b, c, i, speed, tolerance, max_burst, max_bridge))), None)
-        if burst is None:
+    w = Window.partitionBy("flight_id").orderBy(*ORDER)
+    row = F.struct(F.col("lastposupdate").alias("t"), "lat", "lon", "event_id")
+    ahead = F.array(*[F.lead(row, k).over(w) for k in range(1, max_burst + 2)])
+    near = points.select("flight_id", F.struct(*ORDER).alias("at"), row.alias("left"), ahead.alias("ahead"))
+    near = near.where(_beyond(F.col("left"), F.col("ahead")[0], speed, tolerance)).withColumn("ahead", F.filter("ahead", lambda x: x.isNotNull()))
+    left = F.col("left")
+
+    def fits(size: Column) -> Column:
+        right = F.element_at("ahead", size + 1)
+        bridge = right["t"] - left["t"]
+        inner = F.forall(F.slice("ahead", F.lit(1), size), lambda x: _beyond(left, x, speed, tolerance) & _beyond(x, right, speed, tolerance))
+        return (bridge > 0) & (bridge <= max_bridge) & ~_beyond(left, right, speed, tolerance) & inner
+
+    sizes = F.filter(F.sequence(F.lit(1), F.size("ahead") - 1), fits)
+    found = near.where("size(ahead) > 1").withColumn("size", F.try_element_at(sizes, F.lit(1))).where("size IS NOT NULL")
+    found = found.select("flight_id", "at", F.transform(F.slice("ahead", F.lit(1), F.col("size")), lambda x: x["event_id"]).alias("burst"))
+    return found.groupBy("flight_id").agg(F.min_by("burst", "at").alias("burst"))
+
+
+def find_spikes(points: DataFrame, passes: int = PASSES, **rule: float) -> DataFrame:
+    """(flight_id, event_id) of the points of at most ``passes`` bursts a flight, one a pass; the others close ranks after each.
+
+    ``points`` has flight_id, the columns of ``ORDER``, lat and lon, without nulls. Only flights with a
+    leg beyond reach enter, and only those that had a burst in one pass enter the next.
+    """
+    suspect = legs(points).where("bad_leg").select("flight_id").distinct()
+    left = materialise(points.select("flight_id", *ORDER, "lat", "lon").join(suspect, "flight_id", "left_semi"))
+    found = points.select("flight_id", "event_id").limit(0)
+    for k in range(passes):
+        burst = materialise(first_bursts(left, **rule).select("flight_id", F.explode("burst").alias("event_id")))
+        if not burst.take(1):
             break
-        spike[left[burst]] = True
-    return spike
-
-
-def _burst(lat, lon, t, i: int, speed: float, tolerance: float, max_burst: int, max_bridge: float) -> slice | None:
-    for size in range(1, max_burst + 1):
-        right = i + size + 1
-        if right >= len(t):
-            return None
-        bridge = t[right] - t[i]
-        if not 0 < bridge <= max_bridge or _km(lat, lon, i, right) > speed * bridge + tolerance:
-            continue
-        inner = np.arange(i + 1, right)
-        if ((_km(lat, lon, i, inner) > speed * (t[inner] - t[i]) + tolerance) & (_km(lat, lon, right, inner) > speed * (t[right] - t[inner]) + tolerance)).all():
-            return slice(i + 1, right)
-    return None
+        found = found.unionByName(burst)
+        if k + 1 < passes:
+            left = materialise(left.join(burst.select("flight_id").distinct(), "flight_id", "left_semi").join(burst, ["flight_id", "event_id"], "left_anti"))
+    return found
 
 
 def reject_spikes(marked: DataFrame) -> DataFrame:
-    """``marked`` with ``short_position_spike`` as the reason of the valid rows that :func:`find_spikes` marks.
-
-    Only flights with a leg beyond reach go to the Python kernel, as (id, time, place) columns; the
-    ids of the few spikes come back.
-    """
-    valid = marked.where("removal_reason = ''").select("flight_id", *ORDER, "lat", "lon")
-    suspect = legs(valid).where("bad_leg").select("flight_id").distinct()
-
-    def find(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([*ORDER])
-        return pdf.loc[find_spikes(pdf.lat.to_numpy(), pdf.lon.to_numpy(), pdf.lastposupdate.to_numpy()), ["flight_id", "event_id"]]
-
-    kinds = dict(valid.dtypes)
-    spikes = valid.join(suspect, "flight_id", "left_semi").groupBy("flight_id").applyInPandas(find, f"flight_id {kinds['flight_id']}, event_id {kinds['event_id']}")
+    """``marked`` with ``short_position_spike`` as the reason of the valid rows that :func:`find_spikes` finds."""
+    spikes = find_spikes(marked.where("removal_reason = ''"))
     out = marked.join(spikes.withColumn("__spike", F.lit(True)), ["flight_id", "event_id"], "left")
     return out.withColumn("removal_reason", F.when(F.col("__spike") & (F.col("removal_reason") == ""), "short_position_spike").otherwise(F.col("removal_reason"))).drop("__spike")

@@ -1,4 +1,4 @@
-"""Common table expressions of the oracle: positions, marked positions, point sets and their distances."""
+"""Common table expressions of the oracle: positions, marked positions, quality, point sets and their distances."""
 
 
 def d(x: float) -> str:
@@ -48,13 +48,42 @@ judged AS (
 ), marked AS (
   SELECT *, CASE WHEN first_reason = '' AND row_number() OVER (PARTITION BY flight_id, lastposupdate, first_reason = '' ORDER BY state_time, event_id) > 1
     THEN 'duplicate_position_update' ELSE first_reason END AS removal_reason FROM judged
-), legs AS (
+)"""
+
+LEGS = f"""legs AS (
   SELECT *, lastposupdate - lag(lastposupdate) OVER w AS gap_sec, {haversine("lag(lat) OVER w", "lag(lon) OVER w", "lat", "lon")} AS step_km
   FROM marked WHERE removal_reason = '' WINDOW w AS (PARTITION BY flight_id ORDER BY lastposupdate, state_time, event_id)
 )"""
 
-QC = f"""{MARKED},
-clean AS (
+_RULED = MARKED.replace("), marked AS (", "), ruled AS (")
+
+
+def beyond(a: str, b: str) -> str:
+    return f"{haversine(a + '.lat', a + '.lon', b + '.lat', b + '.lon')} > {d(0.45)} * ({b}.t - {a}.t) + 2"
+
+
+#: The same with short spikes marked: a step takes a flight's first burst out, k counts (left anchor, size) pairs in order.
+SCREENED = f"""{_RULED},
+tracks AS (
+  SELECT flight_id, list({{'e': event_id, 't': lastposupdate, 'lat': lat, 'lon': lon}} ORDER BY lastposupdate, state_time, event_id) AS p FROM ruled WHERE removal_reason = '' GROUP BY flight_id
+), step(flight_id, pass, p, burst) AS (
+  SELECT flight_id, 0, p, CAST([] AS BIGINT[]) FROM tracks
+  UNION ALL
+  SELECT flight_id, pass + 1, list_filter(p, lambda x: NOT list_contains(found, x.e)), found FROM (
+    SELECT flight_id, pass, p, list_transform(p[k // 5 + 2 : k // 5 + 2 + k % 5], lambda x: x.e) AS found FROM (
+      SELECT flight_id, pass, p, list_filter(range(len(p) * 5), lambda k: k // 5 + 3 + k % 5 <= len(p)
+        AND p[k // 5 + 3 + k % 5].t - p[k // 5 + 1].t BETWEEN 1e-9 AND 60 AND NOT {beyond("p[k // 5 + 1]", "p[k // 5 + 3 + k % 5]")}
+        AND list_bool_and(list_transform(p[k // 5 + 2 : k // 5 + 2 + k % 5], lambda x: {beyond("p[k // 5 + 1]", "x")} AND {beyond("x", "p[k // 5 + 3 + k % 5]")})))[1] AS k
+      FROM step WHERE pass < 10
+    ) WHERE k IS NOT NULL
+  )
+), spikes AS (SELECT flight_id, unnest(burst) AS event_id FROM step),
+marked AS (
+  SELECT ruled.* REPLACE (CASE WHEN spikes.event_id IS NOT NULL THEN 'short_position_spike' ELSE removal_reason END AS removal_reason)
+  FROM ruled LEFT JOIN spikes ON spikes.flight_id = ruled.flight_id AND spikes.event_id = ruled.event_id
+)"""
+
+_QC = f"""{LEGS}, clean AS (
   SELECT flight_id, count(*) AS clean_points, coalesce(max(gap_sec), CAST('inf' AS DOUBLE)) AS max_gap_sec, median(gap_sec) AS median_gap_sec,
     (max(lastposupdate) - min(lastposupdate)) / 60 AS observed_duration_min,
     {haversine("arg_min(lat, lastposupdate)", "arg_min(lon, lastposupdate)", d(51.4706), d(-0.4619))} AS start_distance_km,
@@ -69,6 +98,7 @@ qc AS (
       CASE WHEN unresolved_jump_segments > 0 THEN 'unresolved_position_jump' END, CASE WHEN clean_points IS NULL THEN 'no_valid_points' END) AS review_reason
   FROM raw LEFT JOIN clean USING (flight_id)
 )"""
+QC, QC_SCREENED = f"{MARKED}, {_QC}", f"{SCREENED}, {_QC}"
 
 #: Valid points as sets: flight_id, t, lat, lon, idx, x, y, z.
 SETS = f"""{MARKED},

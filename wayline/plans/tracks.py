@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wayline.operators import arrivals, clean, grid, sampling
 from wayline.operators.spikes import reject_spikes
-from wayline.plans.sql import C2, MARKED, POSITIONS, QC, SETS, arc, d, haversine
+from wayline.plans.sql import C2, LEGS, MARKED, POSITIONS, QC, QC_SCREENED, SCREENED, SETS, arc, d, haversine
 from wayline.sources.tables import flights, latest_file_per_key, positions, table
 
 MIN_POINTS, INTERVALS = 60, [60, 120]
@@ -112,7 +112,7 @@ def gap_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = flights(spark, sf_dir).where("flight_id % 3 = 0")
+    f = flights(spark, sf_dir)
     callsign = F.concat(F.lit(" cs"), (F.col("flight_id") % 7).cast("string"))
     return arrivals.valid_arrivals(f.select(callsign.alias("callsign"), F.upper("icao24").alias("icao24"), (F.col("start_unix") + 700).alias("firstseen"), (F.col("end_unix") - 500).alias("lastseen")))
 
@@ -169,13 +169,22 @@ metrics AS (
 _GRID = "grid AS (SELECT event_id % 4 AS valid_time, [CAST(300 AS DOUBLE), CAST(350 AS DOUBLE), CAST(500 AS DOUBLE)][CAST((event_id // 4) % 3 + 1 AS INTEGER)] AS level, CAST((event_id // 12) % 25 AS DOUBLE) AS lat, CAST(event_id // 300 AS DOUBLE) AS lon, value FROM events)"
 
 SQL = {
-    "leg_geometry": f"WITH {MARKED} SELECT flight_id, event_id, gap_sec, round(step_km, 6) AS step_km, round(step_km * 1000 / gap_sec, 4) AS speed_mps FROM legs WHERE gap_sec IS NOT NULL",
+    "leg_geometry": f"WITH {MARKED}, {LEGS} SELECT flight_id, event_id, gap_sec, round(step_km, 6) AS step_km, round(step_km * 1000 / gap_sec, 4) AS speed_mps FROM legs WHERE gap_sec IS NOT NULL",
     "reject_reason_counts": f"WITH {MARKED} SELECT removal_reason, count(*) AS points FROM marked GROUP BY removal_reason",
     "dedup_positions": f"WITH {MARKED} SELECT flight_id, event_id, lastposupdate, state_time, lat, lon FROM marked WHERE removal_reason = ''",
-    "impossible_legs": f"WITH {MARKED} SELECT flight_id, count(*) AS bad_legs, round(max(step_km), 6) AS longest_km FROM legs WHERE step_km > {d(0.45)} * gap_sec + 2 GROUP BY flight_id",
+    "impossible_legs": f"WITH {MARKED}, {LEGS} SELECT flight_id, count(*) AS bad_legs, round(max(step_km), 6) AS longest_km FROM legs WHERE step_km > {d(0.45)} * gap_sec + 2 GROUP BY flight_id",
+    "spike_screen": f"WITH RECURSIVE {SCREENED} SELECT flight_id, event_id, removal_reason FROM marked",
     "flight_qc": f"WITH {QC} {_SHOWN}",
+    "flight_qc_screened": f"WITH RECURSIVE {QC_SCREENED} {_SHOWN}",
     "accepted_flights": f"WITH {QC} SELECT flight_id FROM qc WHERE review_reason = ''",
     "review_reasons": f"WITH {QC} SELECT review_reason, count(*) AS flights FROM qc WHERE review_reason <> '' GROUP BY review_reason",
+    "preparation_report": f"""WITH {QC}, reasons AS (SELECT removal_reason AS r, count(*) AS n FROM marked WHERE removal_reason <> '' GROUP BY ALL), reviews AS (SELECT review_reason AS r, count(*) AS n FROM qc WHERE review_reason <> '' GROUP BY ALL)
+      SELECT count(*) AS raw_points, count(*) FILTER (WHERE removal_reason = '') AS clean_points, count(*) FILTER (WHERE removal_reason <> '') AS removed_points,
+        count(*) FILTER (WHERE point_callsign = '') AS missing_callsign_rows, count(*) FILTER (WHERE point_callsign NOT IN ('', 'CS3')) AS unexpected_callsign_rows,
+        (SELECT count(*) FROM qc) AS input_flights, (SELECT count(*) FROM qc WHERE review_reason = '') AS accepted_flights, (SELECT count(*) FROM qc WHERE review_reason <> '') AS review_flights,
+        (SELECT CAST(coalesce(sum(clean_points), 0) AS BIGINT) FROM qc WHERE review_reason = '') AS accepted_points, (SELECT max(max_gap_sec) FROM qc WHERE review_reason = '') AS accepted_worst_gap_sec,
+        (SELECT '{{' || coalesce(string_agg('"' || r || '":' || n, ',' ORDER BY r), '') || '}}' FROM reasons) AS removal_reasons, (SELECT '{{' || coalesce(string_agg('"' || r || '":' || n, ',' ORDER BY r), '') || '}}' FROM reviews) AS review_reasons
+      FROM marked""",
     "row_reconciliation": f"WITH {MARKED} SELECT flight_id, count(*) AS all_rows, count(*) FILTER (WHERE removal_reason = '') AS kept_rows, count(*) FILTER (WHERE removal_reason <> '') AS removed_rows, CAST(0 AS BIGINT) AS lost_rows FROM marked GROUP BY flight_id",
     "path_length": f"WITH {SETS} SELECT flight_id, points, round(path_km, 6) AS path_km FROM ({_PATH.format('u', '', '')})",
     "downsample_nearest": f"WITH {_SAMPLES} SELECT flight_id, k, m.t AS t, m.off AS offset_sec FROM chosen WHERE interval_sec = 60",
@@ -187,7 +196,7 @@ SQL = {
     "gap_segments": f"""WITH {SETS}, cut AS (SELECT flight_id, t, CASE WHEN t - lag(t) OVER (PARTITION BY flight_id ORDER BY t) > 60 THEN 1 ELSE 0 END AS new FROM u),
       numbered AS (SELECT flight_id, t, CAST(sum(new) OVER (PARTITION BY flight_id ORDER BY t) AS BIGINT) AS segment_id FROM cut)
       SELECT flight_id, segment_id, count(*) AS points, min(t) AS first_t, max(t) AS last_t FROM numbered GROUP BY flight_id, segment_id HAVING count(*) >= 2""",
-    "interval_join_qa": f"""WITH {POSITIONS}, arrivals AS (SELECT 'CS' || (flight_id % 7) AS callsign, plane AS icao24, start_unix + 700 AS firstseen, end_unix - 500 AS lastseen FROM flights WHERE flight_id % 3 = 0),
+    "interval_join_qa": f"""WITH {POSITIONS}, arrivals AS (SELECT 'CS' || (flight_id % 7) AS callsign, plane AS icao24, start_unix + 700 AS firstseen, end_unix - 500 AS lastseen FROM flights),
       joined AS (SELECT a.*, p.state_time AS t, p.lat, p.lon, p.lastposupdate, p.point_callsign FROM arrivals a JOIN positions p ON p.icao24 = a.icao24 AND p.state_time BETWEEN a.firstseen - 600 AND a.lastseen + 240 WHERE p.lat IS NOT NULL),
       counted AS (SELECT *, count(*) FILTER (WHERE point_callsign = callsign) OVER (PARTITION BY callsign, icao24, lastseen) AS matches FROM joined),
       kept AS (SELECT callsign, icao24, lastseen, t, lat, lon, min(lastposupdate) AS lastposupdate FROM counted WHERE matches < 3 OR point_callsign IN (callsign, '') GROUP BY ALL),
