@@ -33,7 +33,7 @@ CROWD_ROWS, CROWD_SHINGLES = 512, 1_000_000
 #: Bytes of text that a task turns to signatures at once.
 BLOCK_BYTES = 4_000_000
 #: Signatures that one task groups.
-SHARD_ENTRIES = 750_000
+SHARD_ENTRIES = 600_000
 
 _U = np.uint64
 _KEY = _U(0xD6E8FEB86659FD93)
@@ -76,8 +76,8 @@ class Bands:
             low.append(high[-1] + 1)
             high.append(max(low[-1], low[-1] * 8 // 5, low[-1] * 100 // percent))
         self.low, self.high = np.array(low), np.array(high)
-        # the fewest that are certain of a shared signature, and a fifth more, so that similar sets share several
-        self.partitions = self._differ(self.high, self.high * 100 // percent) * 6 // (5 * (lose + 1)) + 2
+        # the fewest that are certain of a shared signature, and a tenth more, so that similar sets share several
+        self.partitions = self._differ(self.high, self.high * 100 // percent) * 11 // (10 * (lose + 1)) + 2
 
     def _differ(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The largest symmetric difference of sets of sizes a and b that are similar enough."""
@@ -160,47 +160,25 @@ def signatures(features: np.ndarray, sizes: np.ndarray, bands: Bands) -> tuple[n
     return np.concatenate([s for s, _, _ in out]), np.concatenate([w for _, w, _ in out]), np.concatenate([np.full(len(w), r) for _, w, r in out]), slacks
 
 
-def set_identity(features: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """128 bits of each whole set, as two columns: sets with equal ones are one node."""
+def set_identity(features: np.ndarray, sizes: np.ndarray, node_bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each whole set: the node, and the check that tells sets of one node apart."""
     ends = np.concatenate([[0], np.cumsum(sizes)])
     out = []
     for key in constants(2, 9):
         sums = np.concatenate([np.zeros(1, _U), np.cumsum(mix(features + key))])
         out.append(mix(sums[ends[1:]] - sums[ends[:-1]] + sizes.astype(_U)))
-    return np.stack(out, axis=1)
+    return (out[0] >> _U(64 - node_bits)).view(np.int64), out[1].view(np.int64)
 
 
-def _distinct(nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct rows of ``nodes`` in order, the first place of each, and the place of every row among them."""
-    _, first, place = np.unique(nodes[:, 0], return_index=True, return_inverse=True)
-    if (nodes[first, 1][place] != nodes[:, 1]).any():  # other sets under the same first half
-        order = np.lexsort((nodes[:, 1], nodes[:, 0]))
-        new = np.ones(len(nodes), bool)
-        new[1:] = (nodes[order][1:] != nodes[order][:-1]).any(axis=1)
-        first, place = order[new], np.empty(len(nodes), np.int64)
-        place[order] = np.cumsum(new) - 1
-    return nodes[first], first, place
-
-
-#: Rows of the join's one exchange. kind 0 holds packed signatures; 1 crowded signatures (signature,
-#: node, role); 2 documents (id, set size, node, slacks, band); 3 pairs of nodes with the number of shared signatures.
-_LONGS, _NODES = T.ArrayType(T.LongType()), T.ArrayType(T.BinaryType())
-_ROWS = T.StructType([T.StructField("shard", T.LongType()), T.StructField("kind", T.IntegerType()), *(T.StructField(n, T.BinaryType()) for n in ("low", "who", "nodes")), *(T.StructField(n, _LONGS) for n in "pquvw"), *(T.StructField(n, _NODES) for n in "mn")])
-
-
-def _node_values(nodes: np.ndarray) -> pa.Array:
-    held = pa.py_buffer(np.ascontiguousarray(nodes))
-    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(nodes), [None, held]).cast(pa.binary())
+#: Rows of the join's one exchange. kind 0 holds packed signatures; 1 crowded signatures (signature, node,
+#: role); 2 documents (id, set size, node, check, slacks, band); 3 pairs of nodes with the number of shared signatures.
+_LONGS = T.ArrayType(T.LongType())
+_ROWS = T.StructType([T.StructField("shard", T.LongType()), T.StructField("kind", T.IntegerType()), *(T.StructField(n, T.BinaryType()) for n in ("low", "who", "nodes")), *(T.StructField(n, _LONGS) for n in "pqrsuvw")])
 
 
 def _rows(rows: list[dict]) -> pa.RecordBatch:
-    kinds = {"shard": pa.int64(), "kind": pa.int32(), **{n: pa.binary() for n in ("low", "who", "nodes")}, **{n: pa.list_(pa.int64()) for n in "pquvw"}}
-    columns = [pa.array([r.get(n) for r in rows], t) for n, t in kinds.items()]
-    for n in "mn":
-        held = [r.get(n) for r in rows]
-        values = [_node_values(v) for v in held if v is not None]
-        columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(0 if v is None else len(v) for v in held)]), pa.int32()), pa.concat_arrays(values) if values else pa.array([], pa.binary())))
-    return pa.RecordBatch.from_arrays(columns, names=[*kinds, *"mn"])
+    kinds = {"shard": pa.int64(), "kind": pa.int32(), **{n: pa.binary() for n in ("low", "who", "nodes")}, **{n: pa.list_(pa.int64()) for n in "pqrsuvw"}}
+    return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], t) for n, t in kinds.items()], names=list(kinds))
 
 
 def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -209,17 +187,23 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.append(starts, len(values)))
 
 
-def _emit(ids: list[int | None], texts: list[str | None], percent: int, width: int, bits: int, bucket: int, shape: tuple[int, int]) -> list[dict]:
+def _emit(ids: list[int | None], texts: list[str | None], percent: int, width: int, bits: int, bucket: int, shape: tuple[int, int], node_bits: int) -> list[dict]:
     """The rows of one block of texts. Signatures are cut to ``bits`` + 32 bits: the shard and four bytes."""
     features, sizes = shingle_sets(texts, width)
-    node = set_identity(features, sizes)
-    nodes, first, place = _distinct(node)  # equal sets speak once
-    mine = np.concatenate([np.arange(e - n, e) for n, e in zip(sizes[first], np.cumsum(sizes)[first])]) if len(first) else np.zeros(0, np.int64)
+    node, check = set_identity(features, sizes, node_bits)
+    order = np.lexsort((check, node))
+    new = np.ones(len(node), bool)
+    new[1:] = (node[order][1:] != node[order][:-1]) | (check[order][1:] != check[order][:-1])
+    first, place = order[new], np.empty(len(node), np.int64)
+    place[order] = np.cumsum(new) - 1
+    nodes = node[first]  # equal sets speak once
+    ends = np.cumsum(sizes)
+    mine = np.concatenate([np.arange(ends[i] - sizes[i], ends[i]) for i in first]) if len(first) else np.zeros(0, np.int64)
     bands = Bands(percent, int(sizes.max(initial=1)), *shape)
     sig, who, role, slack = signatures(features[mine], sizes[first], bands)
     slacks = slack[:, place]
-    shard_of_rest = -1 - int(node[0, 0] >> _U(40)) % (1 << bits) if len(node) else -1
-    rows = [{"shard": shard_of_rest, "kind": 2, "p": ids, "q": sizes, "m": node, "u": slacks[0], "v": slacks[1], "w": bands.roles(sizes)[0][1]}]
+    shard_of_rest = -1 - (int(node[0]) & ((1 << bits) - 1)) if len(node) else -1
+    rows = [{"shard": shard_of_rest, "kind": 2, "p": ids, "q": sizes, "r": node, "s": check, "u": slacks[0], "v": slacks[1], "w": bands.roles(sizes)[0][1]}]
     if not len(sig):
         return rows
     cut = sig >> _U(32 - bits)
@@ -228,7 +212,7 @@ def _emit(ids: list[int | None], texts: list[str | None], percent: int, width: i
     starts, lengths = _runs(cut)
     crowded = np.repeat(lengths > bucket, lengths)
     if crowded.any():
-        rows.append({"shard": shard_of_rest, "kind": 1, "p": cut[crowded].view(np.int64), "m": nodes[who[crowded]], "q": role[crowded]})
+        rows.append({"shard": shard_of_rest, "kind": 1, "p": cut[crowded].view(np.int64), "q": nodes[who[crowded]], "r": role[crowded]})
     packed = (who * 2 + role).astype(np.uint16)
     packed[starts[lengths > bucket]] = _CROWDED
     stay = ~crowded
@@ -251,23 +235,18 @@ def _group(table: pa.Table, bucket: int) -> pa.Table:
     if (kinds != 0).any():
         return table
     shard = table.column("shard")[0].as_py()
-    sig, packed, node, held, at = [], [], [], [], 0
+    sig, packed, node = [], [], []
     for r in range(table.num_rows):
-        sig.append(np.frombuffer(table.column("low")[r].as_py(), np.uint32))
         p = np.frombuffer(table.column("who")[r].as_py(), np.uint16)
-        of = np.frombuffer(table.column("nodes")[r].as_py(), np.uint64).reshape(-1, 2)
+        of = np.frombuffer(table.column("nodes")[r].as_py(), np.int64)
+        sig.append(np.frombuffer(table.column("low")[r].as_py(), np.uint32))
         packed.append(p)
-        node.append(np.minimum(p >> 1, len(of) - 1).astype(np.int64) + at)
-        held.append(of)
-        at += len(of)
-    nodes, _, place = _distinct(np.concatenate(held))
-    sig, packed, node = np.concatenate(sig).astype(np.int64), np.concatenate(packed), place[np.concatenate(node)]
+        node.append(of[np.minimum(p >> 1, len(of) - 1)])
+    sig, packed, node = (np.concatenate(x) for x in (sig, packed, node))
     order = np.argsort(sig, kind="stable")
-    sig = sig[order]
-    _, lengths = _runs(sig)
-    several = np.repeat(lengths > 1, lengths)
-    order, sig = order[several], sig[several]
-    packed, node = packed[order], node[order]
+    _, lengths = _runs(sig[order])
+    order = order[np.repeat(lengths > 1, lengths)]
+    sig, packed, node = sig[order].astype(np.int64), packed[order], node[order]
     mark = packed == _CROWDED
     order = np.lexsort((node, mark, sig))
     sig, packed, node, mark = sig[order], packed[order], node[order], mark[order]
@@ -278,16 +257,17 @@ def _group(table: pa.Table, bucket: int) -> pa.Table:
     marked = np.maximum.reduceat(mark, starts) if len(starts) else np.zeros(0, bool)
     crowded = np.repeat((lengths > bucket) | marked, lengths)
     over = crowded & ~mark
-    out = [{"shard": shard, "kind": 1, "p": sig[over] | np.int64(shard) << 32, "m": nodes[node[over]], "q": (packed[over] & 1).astype(np.int64)}]
+    out = [{"shard": shard, "kind": 1, "p": sig[over] | np.int64(shard) << 32, "q": node[over], "r": (packed[over] & 1).astype(np.int64)}]
     sig, node = sig[~crowded], node[~crowded]
+    some, place = np.unique(node, return_inverse=True)
     pairs = [np.zeros(0, np.int64)]
     for step in range(1, bucket):
         same = np.flatnonzero(sig[step:] == sig[:-step])
         if not len(same):
             break
-        pairs.append(node[same] * len(nodes) + node[same + step])  # nodes of a signature are in order
+        pairs.append(place[same] * len(some) + place[same + step])  # nodes of a signature are in order
     both, often = np.unique(np.concatenate(pairs), return_counts=True)
-    out.append({"shard": shard, "kind": 3, "m": nodes[both // max(1, len(nodes))], "n": nodes[both % max(1, len(nodes))], "p": often})
+    out.append({"shard": shard, "kind": 3, "p": some[both // max(1, len(some))], "q": some[both % max(1, len(some))], "r": often})
     return pa.Table.from_batches([_rows(out)])
 
 
@@ -297,56 +277,71 @@ def _exploded(found: DataFrame, kind: int, **names: str) -> DataFrame:
 
 
 def _candidates(pairs: DataFrame, limits: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that share as many uncrowded signatures (n) as similar sets must, and whose sizes allow it.
+    """The pairs (sets named by _a and _b) that share as many uncrowded signatures as similar sets must, and whose sizes allow it.
 
     The band of the smaller sizes decides: there both sets share their slack less what is crowded.
+    Sets of one node have not met and are all candidates.
     """
-    side = lambda n: limits.select(*[F.col(c).alias(c if c == "node" else f"{c}_{n}") for c in ("node", "size", "band", "need_0", "need_1")]).withColumnRenamed("node", n)
-    both = pairs.groupBy("a", "b").agg(F.sum("n").alias("n")).join(side("a"), "a").join(side("b"), "b")
+    side = lambda df, n: df.select(*[F.col(c).alias(f"{c}_{n}") for c in ("node", "check", "rep", "size", "band", "need_0", "need_1")])
+    summed = pairs.groupBy("a", "b").agg(F.sum("n").alias("n"))
+    both = summed.join(side(limits, "a"), F.col("a") == F.col("node_a")).join(side(limits, "b"), F.col("b") == F.col("node_b"))
     apart = F.col("band_b") - F.col("band_a")
     need = F.when(apart == 0, F.greatest("need_0_a", "need_0_b")).when(apart == 1, F.greatest("need_0_a", "need_1_b")).when(apart == -1, F.greatest("need_1_a", "need_0_b"))
     near = F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent
-    return both.where(near & (F.col("n") >= need)).select("a", "b")
+    twins = limits.join(limits.groupBy("node").count().where("count > 1").select("node"), "node", "left_semi")
+    twins = side(twins, "a").join(side(twins, "b"), (F.col("node_a") == F.col("node_b")) & (F.col("check_a") < F.col("check_b")))
+    names = [f"{c}_{n}" for n in "ab" for c in ("node", "check", "rep")]
+    return both.where(near & (F.col("n") >= need)).select(*names).unionByName(twins.where(near).select(*names))
+
+
+def _texts(sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, check, text) of the documents that stand for ``sets`` (node, check, rep)."""
+    wanted = stored(sets.select("node", "check", "rep").distinct())
+    out = stored(docs.join(broadcast_if_small(wanted, wanted.count()), F.col("doc_id") == F.col("rep")).select("node", "check", "text"))
+    drop(wanted)
+    return out
 
 
-def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets, made anew from the whole texts, are similar enough."""
+def _linked(pairs: DataFrame, docs: DataFrame, percent: int, width: int, node_bits: int) -> DataFrame:
+    """The pairs (rep_a, rep_b) of documents whose sets, made anew from the whole texts, are similar enough."""
     pairs = stored(pairs)
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = stored(ends.join(nodes.select("node", "rep"), "node"))
-    texts = stored(docs.join(broadcast_if_small(wanted, wanted.count()), F.col("doc_id") == F.col("rep")).select("node", "text"))
-    side = lambda n: texts.select(F.col("node").alias(n), F.col("text").alias(f"text_{n}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
+    ends = lambda n: pairs.select(*[F.col(f"{c}_{n}").alias(c) for c in ("node", "check", "rep")])
+    texts = _texts(ends("a").unionByName(ends("b")), docs)
+    side = lambda n: texts.toDF(f"node_{n}", f"check_{n}", f"text_{n}")
+    both = pairs.join(side("b"), ["node_b", "check_b"]).join(side("a"), ["node_a", "check_a"])
+    both = both.select("rep_a", "rep_b", "node_a", "check_a", "node_b", "check_b", "text_a", "text_b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[bytes, str, np.ndarray | None] = (b"", "", None)
+        held: tuple[tuple, str, np.ndarray | None] = ((), "", None)
         for batch in batches:
-            links: list[tuple[bytes, bytes]] = []
+            links: list[tuple[int, int]] = []
             for r in range(batch.num_rows):
-                a, b, x, y = (c[r].as_py() for c in batch.columns)
+                rep_a, rep_b, *named, x, y = (c[r].as_py() for c in batch.columns)
+                a, b = tuple(named[:2]), tuple(named[2:])
                 if held[2] is None or held[0] != a or held[1] != x:
-                    held = (a, x, _set_of(a, x, width))
-                other = _set_of(b, y, width)
+                    held = (a, x, _set_of(a, x, width, node_bits))
+                other = _set_of(b, y, width, node_bits)
                 if held[2] is None or other is None:
                     continue
                 shared = len(np.intersect1d(held[2], other, assume_unique=True))
                 if 100 * shared >= percent * (len(held[2]) + len(other) - shared):
-                    links.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in links], pa.binary()), pa.array([k for _, k in links], pa.binary())], names=["a", "b"])
+                    links.append((rep_a, rep_b))
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in links], pa.int64()), pa.array([k for _, k in links], pa.int64())], names=["rep_a", "rep_b"])
 
-    links = stored(both.mapInArrow(verify, "a binary, b binary").distinct())
-    drop(pairs, wanted, texts)
+    links = stored(both.mapInArrow(verify, "rep_a long, rep_b long").distinct())
+    drop(pairs, texts)
     return links
 
 
-def _set_of(node: bytes, text: str | None, width: int) -> np.ndarray | None:
+def _set_of(node: tuple[int, int], text: str | None, width: int, node_bits: int) -> np.ndarray | None:
     """The set of ``text`` if it is the node's; an id may also stand for other texts."""
     features, sizes = shingle_sets([text], width)
-    return features if set_identity(features, sizes).tobytes() == node else None
+    own, check = set_identity(features, sizes, node_bits)
+    return features if (own[0], check[0]) == node else None
 
 
-def _crowd_links(over: DataFrame, limits: DataFrame, docs: DataFrame, percent: int, width: int, crowd_rows: int) -> DataFrame:
-    """Links (a, b) that join the same nodes as all links between nodes that need their crowded signatures.
+def _crowd_links(over: DataFrame, limits: DataFrame, docs: DataFrame, percent: int, width: int, crowd_rows: int, node_bits: int) -> DataFrame:
+    """Links (rep_a, rep_b) that join the same sets as all links between nodes that need their crowded signatures.
 
     ``over`` has the members (sig, node, role) of the crowded signatures. The nodes fall into
     families, connected by crowded signatures. A family is compared by bands of set size, each with
@@ -359,7 +354,7 @@ def _crowd_links(over: DataFrame, limits: DataFrame, docs: DataFrame, percent: i
     pivots = stored(members.groupBy("sig").agg(F.min("node").alias("pivot")))
     family = connected_components(members.join(pivots, "sig").select("node", "pivot"), "node", "pivot")
     some = members.select("node").distinct().join(family, "node", "left").select("node", F.coalesce("component", "node").alias("family"))
-    placed = stored(some.join(limits.select("node", "rep", "band", "size"), "node"))
+    placed = stored(some.join(limits.select("node", "check", "rep", "band", "size"), "node"))
     sizes = placed.groupBy("family", "band").agg(F.greatest(F.ceil(F.count("*") / crowd_rows), F.ceil(F.sum("size") / CROWD_SHINGLES)).cast("int").alias("blocks"))
     near = sizes.select("family", F.explode(F.array(*[F.struct((F.col("band") - by).alias("band"), F.lit(by).alias("by"), F.col("blocks")) for by in (-1, 0, 1)])).alias("z"))
     near = stored(near.groupBy("family", "z.band").agg(F.map_from_entries(F.collect_list(F.struct("z.by", "z.blocks"))).alias("blocks")))
@@ -374,20 +369,19 @@ def _crowd_links(over: DataFrame, limits: DataFrame, docs: DataFrame, percent: i
         some_of(1, lambda j: task(band, own, j, 0)),
         some_of(-1, lambda j: task(band - 1, j, own, 1)),
     )
-    spread = stored(held.select("node", "rep", "family", F.explode(tasks).alias("z")).select("node", "rep", "family", "z.*"))
-    wanted = stored(placed.select("node", "rep"))
-    texts = stored(docs.join(broadcast_if_small(wanted, wanted.count()), F.col("doc_id") == F.col("rep")).select("node", "text"))
-    full = spread.join(texts, "node").select("family", "at", "low", "high", "side", "node", "text")
+    spread = stored(held.select("node", "check", "rep", "family", F.explode(tasks).alias("z")).select("node", "check", "rep", "family", "z.*"))
+    texts = _texts(placed, docs)
+    full = spread.join(texts, ["node", "check"]).select("family", "at", "low", "high", "side", "node", "check", "rep", "text")
 
     def compare(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("node", "ascending")])
-        nodes = table.column("node").combine_chunks()
-        side, text = table.column("side").to_numpy(), table.column("text").to_pylist()
-        node = np.frombuffer(b"".join(nodes.to_pylist()), _U).reshape(-1, 2)
+        table = table.sort_by([("node", "ascending"), ("check", "ascending")])
+        node, check, rep, side = (table.column(c).to_numpy() for c in ("node", "check", "rep", "side"))
+        text = table.column("text").to_pylist()
         within = table.column("high")[0].as_py() == -1 - table.column("low")[0].as_py()
         features, sizes = shingle_sets(text, width)
-        mine = (set_identity(features, sizes) == node).all(axis=1)  # an id may also stand for other texts
-        mine[1:] &= ~((node[1:] == node[:-1]).all(axis=1) & mine[:-1])
+        own, other = set_identity(features, sizes, node_bits)
+        mine = (own == node) & (other == check)  # an id may also stand for other texts
+        mine[1:] &= ~((node[1:] == node[:-1]) & (check[1:] == check[:-1]) & mine[:-1])
         ends = np.cumsum(sizes)
         left, right = (np.flatnonzero(mine & (side == s if not within else True)) for s in (0, 1))
         shared = np.zeros((len(left), len(right)))
@@ -410,10 +404,10 @@ def _crowd_links(over: DataFrame, limits: DataFrame, docs: DataFrame, percent: i
         apart = left[i] != right[j]
         root = smallest_reachable(len(node), [(left[i[apart]], right[j[apart]])])
         moved = np.flatnonzero(root != np.arange(len(node)))
-        return pa.table({"a": nodes.take(pa.array(root[moved])), "b": nodes.take(pa.array(moved))})
+        return pa.table({"rep_a": pa.array(rep[root[moved]]), "rep_b": pa.array(rep[moved])})
 
-    links = stored(full.groupBy("family", "at", "low", "high").applyInArrow(compare, "a binary, b binary"))
-    drop(members, pivots, placed, near, spread, wanted, texts)
+    links = stored(full.groupBy("family", "at", "low", "high").applyInArrow(compare, "rep_a long, rep_b long"))
+    drop(members, pivots, placed, near, spread, texts)
     return links
 
 
@@ -428,6 +422,7 @@ def jaccard_classes(
     crowd_rows: int = CROWD_ROWS,
     parts: int = PARTS,
     lose: int = LOSE,
+    node_bits: int = 64,
 ) -> DataFrame:
     """(id, ``n_shingles``, ``component_id``) for every row of ``docs``.
 
@@ -439,8 +434,9 @@ def jaccard_classes(
     linked with nothing. Ids are integers; repeated rows are returned each time; an id of several
     texts joins their classes. An empty table gives no rows; other columns are not returned.
 
-    Shingles are 64-bit hashes, and a set is known by 128 bits. Equal sets are one node, however many
-    rows have them. A signature is the content of ``parts - lose`` of the ``parts`` of a partition
+    Shingles are 64-bit hashes. A set is known by 128 bits, of which signatures carry ``node_bits``;
+    sets that agree in those are told apart by the rest. Equal sets are one, however many rows have
+    them. A signature is the content of ``parts - lose`` of the ``parts`` of a partition
     (:func:`signatures`). Nodes that share a signature meet,
     in all pairs while at most ``bucket`` share it; pairs that meet as often as similar sets must are
     candidates (:func:`_candidates`). A signature of more nodes is crowded:
@@ -462,28 +458,27 @@ def jaccard_classes(
         for batch in batches:
             ids, texts = batch.columns
             for part in arrow_blocks(texts, BLOCK_BYTES):
-                yield _rows(_emit(part_of(ids, part), part_of(texts, part), percent, width, bits, bucket, (parts, lose)))
+                yield _rows(_emit(part_of(ids, part), part_of(texts, part), percent, width, bits, bucket, (parts, lose), node_bits))
 
     found = stored(base.mapInArrow(emit, _ROWS).groupBy("shard").applyInArrow(lambda t: _group(t, bucket), _ROWS))
-    rows = stored(_exploded(found, 2, p="doc_id", q="n_shingles", m="node", u="slack_0", v="slack_1", w="band"))
+    rows = stored(_exploded(found, 2, p="doc_id", q="n_shingles", r="node", s="check", u="slack_0", v="slack_1", w="band"))
     known = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    nodes = known.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("slack_0").alias("slack_0"), F.min("slack_1").alias("slack_1"), F.min("band").alias("band"), F.min("n_shingles").alias("size"))
-    over = stored(_exploded(found, 1, p="sig", m="node", q="role").distinct())
+    sets = known.groupBy("node", "check").agg(F.min("doc_id").alias("rep"), F.min("slack_0").alias("slack_0"), F.min("slack_1").alias("slack_1"), F.min("band").alias("band"), F.min("n_shingles").alias("size"))
+    over = stored(_exploded(found, 1, p="sig", q="node", r="role").distinct())
     crowds = over.groupBy("node").agg(*[F.count_if(F.col("role") == r).alias(f"crowded_{r}") for r in (0, 1)])
     need = lambda r: (F.col(f"slack_{r}") - F.coalesce(f"crowded_{r}", F.lit(0))).alias(f"need_{r}")
-    limits = stored(nodes.join(crowds, "node", "left").select("node", "rep", "size", "band", need(0), need(1)))
-    pairs = _linked(_candidates(_exploded(found, 3, m="a", n="b", p="n"), limits, percent), limits, base, percent, width)
+    limits = stored(sets.join(crowds, "node", "left").select("node", "check", "rep", "size", "band", need(0), need(1)))
+    pairs = _linked(_candidates(_exploded(found, 3, p="a", q="b", r="n"), limits, percent), base, percent, width, node_bits)
     drop(found)
-    crowd = _crowd_links(over, limits, base, percent, width, crowd_rows)
-    named = lambda n: limits.select(F.col("node").alias(n), F.col("rep").alias(f"rep_{n}"))
-    links = pairs.unionByName(crowd).join(named("a"), "a").join(named("b"), "b").select("rep_a", "rep_b")
-    ids = known.select("doc_id", "node")
-    shared = ids.groupBy("doc_id").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("doc_id")
-    links = stored(links.unionByName(ids.join(shared, "doc_id").join(limits, "node").select(F.col("doc_id").alias("rep_a"), F.col("rep").alias("rep_b"))))
+    crowd = _crowd_links(over, limits, base, percent, width, crowd_rows, node_bits)
+    ids = known.select("doc_id", "node", "check")
+    shared = ids.groupBy("doc_id").agg(F.min(F.struct("node", "check")).alias("x"), F.max(F.struct("node", "check")).alias("y")).where("x <> y").select("doc_id")
+    same_id = ids.join(shared, "doc_id").join(limits, ["node", "check"]).select(F.col("doc_id").alias("rep_a"), F.col("rep").alias("rep_b"))
+    links = stored(pairs.unionByName(crowd).unionByName(same_id))
     classes = connected_components(links, "rep_a", "rep_b")
-    placed = stored(limits.select("node", "rep").join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("node", F.coalesce("component", "rep").alias("component")))
+    placed = stored(limits.select("node", "check", "rep").join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("node", "check", F.coalesce("component", "rep").alias("component")))
     drop(over, limits, pairs, crowd, links, classes)
-    joined = rows.select("doc_id", "n_shingles", "node").join(placed, "node", "left")
+    joined = rows.select("doc_id", "n_shingles", "node", "check").join(placed, ["node", "check"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
     return joined.select(F.col("doc_id").alias(id_col), "n_shingles", component.alias("component_id"))
 
