@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayline.functions.geo import inside
-from wayline.sources.tables import text_key
+from wayline.sources.tables import text_key, utc_text
 
 BEFORE_SEC, AFTER_SEC, MIN_MATCHES, MIN_ROWS, GAP_SEC = 600.0, 240.0, 3, 5, 60.0
 
@@ -42,10 +42,18 @@ def arrival_checks(arrivals: DataFrame, matched: DataFrame, max_age: float = 15.
     flight = ["callsign", "icao24", "lastseen"]
     n = matched.groupBy(*flight).agg(F.count("*").alias("n"), F.count_if(valid).alias("ok"))
     rows, ok = F.coalesce("n", F.lit(0)), F.coalesce("ok", F.lit(0))
+    # fixed values: the names of the three states
     status = F.when(rows < MIN_ROWS, "INSUFFICIENT_POSITION_ROWS").when(ok < F.greatest(F.lit(5), F.floor(rows * 8 / 10)), "NEEDS_POSITION_AGE_QA").otherwise("AGE_RANGE_PLAUSIBLE_CHECK_OTHER_QA")
     return arrivals.select(*flight).join(n, flight, "left").select(*flight, rows.alias("matched_points"), ok.alias("ages_between_0_and_15s"), status.alias("status"))
 
 
+def route_manifest(points: DataFrame, t: str = "t", least: int = MIN_ROWS) -> DataFrame:
+    """One row per (callsign, source_file) with at least ``least`` points: their number, first and last time, and that no age was checked."""
+    iso = lambda c: F.replace(utc_text(c), F.lit(" "), F.lit("T"))
+    n = points.groupBy("callsign", "source_file").agg(F.count("*").alias("plotted_points"), iso(F.min(t)).alias("observed_first_utc"), iso(F.max(t)).alias("observed_last_utc"))
+    return n.where(F.col("plotted_points") >= least).withColumn("position_age_verified", F.lit(False))
+
+
 def gap_segments(points: DataFrame, gap: float = GAP_SEC, t: str = "t") -> DataFrame:
     """Adds ``segment_id`` from 0 per flight: a gap of more than ``gap`` seconds starts a new segment."""
     w = Window.partitionBy("flight_id").orderBy(t)

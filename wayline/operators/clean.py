@@ -106,6 +106,30 @@ def assert_unique(df: DataFrame, key: str) -> DataFrame:
     return df.withColumn("__ok", F.assert_true(n == 1, F.lit(f"{key} repeats"))).where("__ok IS NULL").drop("__ok")
 
 
+def exactly_one(df: DataFrame, what: str = "row") -> DataFrame:
+    """``df``, or an error unless it has just one row."""
+    n = len(df.take(2))
+    if n != 1:
+        raise ValueError(f"{'no' if n == 0 else 'more than one'} {what}")
+    return df
+
+
+def require_same_keys(a: DataFrame, b: DataFrame, key: str) -> None:
+    """An error if a side has a key that the other has not, or has one twice."""
+    for df, side in ((a, "left"), (b, "right")):
+        if df.groupBy(key).count().where("count > 1").take(1):
+            raise ValueError(f"{key} repeats on the {side}")
+    if found := key_differences(a, b, key).take(1):
+        raise ValueError(f"{key} {found[0][0]} is only on the {found[0][1]}")
+
+
+def validated_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Every row of ``left`` with its row of ``right``; the job stops where a key repeats on either side or has no row."""
+    there = assert_unique(right, key).withColumn("__there", F.lit(True))
+    out = assert_unique(left, key).join(there, key, "left")
+    return out.withColumn("__ok", F.assert_true(F.coalesce("__there", F.lit(False)), F.lit(f"{key} without a row on the right"))).where("__ok IS NULL").drop("__ok", "__there")
+
+
 def key_differences(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """(key, side): keys that only one side has."""
     only = lambda x, y, name: x.select(key).distinct().join(y.select(key).distinct(), key, "left_anti").withColumn("side", F.lit(name))

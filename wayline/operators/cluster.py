@@ -167,6 +167,12 @@ def hdbscan(matrix: DataFrame, settings: list[tuple[int, int]]) -> DataFrame:
     return per.groupBy("mcs", "ms").applyInPandas(fit, f"mcs int, ms int, i {kind}, label long, strength double")
 
 
+def settings_grid(n: int, requested: tuple[int, int] | None = None, sizes: tuple[int, ...] = SIZES, samples: tuple[int, ...] = SAMPLES) -> list[tuple[int, int]]:
+    """The sorted, distinct settings (min_cluster_size, min_samples) that ``n`` points allow, and always the requested one."""
+    asked = {requested} if requested else set()
+    return sorted({(c, s) for c in sizes for s in samples if c <= n and s <= n} | asked)
+
+
 def sweep(labels: DataFrame) -> DataFrame:
     """One row per setting of (mcs, ms, i, label): clusters, noise, its share, and the sizes as JSON."""
     sized = labels.groupBy("mcs", "ms", "label").agg(F.count("*").alias("n"))
@@ -210,6 +216,17 @@ def medoids(matrix: DataFrame, labels: DataFrame) -> DataFrame:
     return best.join(near.groupBy("label").agg(F.median("d").alias("median_distance_to_medoid_km"), F.max("d").alias("max_distance_to_medoid_km")), "label")
 
 
+def noise_candidates(matrix: DataFrame, labels: DataFrame, grid: DataFrame, centres: DataFrame) -> DataFrame:
+    """The noise of ``labels`` (i, label), ranked by its share of noise over ``grid`` (mcs, ms, i, label), then by its distance.
+
+    (i, noise_fraction, nearest_medoid, nearest_cluster, distance_km), both keys falling, then by i.
+    Without clusters the last three are null.
+    """
+    noise = labels.where("label = -1").select("i").join(noise_fraction(grid), "i").select("i", "noise_count", "settings", "noise_fraction")
+    out = noise.join(noise_ranking(matrix, labels, centres), "i", "left")
+    return out.orderBy(F.desc("noise_fraction"), F.desc_nulls_last("distance_km"), "i").drop("noise_count", "settings")
+
+
 def noise_ranking(matrix: DataFrame, labels: DataFrame, centres: DataFrame) -> DataFrame:
     """(i, nearest_medoid, nearest_cluster, distance_km) of the noise, farthest from all medoids first; without clusters no rows."""
     near = mirrored(matrix).join(labels.where("label = -1").select("i"), "i").join(centres.select(F.col("medoid").alias("j"), F.col("label").alias("cluster")), "j")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayline.functions.geo import arc_km, unit_sphere
+from wayline.operators.common import ranked
 
 #: Points of a block; a task compares two blocks.
 BLOCK_POINTS = 16_384
@@ -43,6 +44,21 @@ def directed_pruned(a: np.ndarray, b: np.ndarray, chunk: int = 128, stride: int
     return best
 
 
+def nearest(a: np.ndarray, b: np.ndarray, chunk: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """The squared chord from every point of ``a`` to its nearest in ``b``, and the first such point."""
+    c2, at = np.empty(len(a)), np.empty(len(a), np.int64)
+    for k in range(0, len(a), chunk):
+        near = _nearest(a[k : k + chunk], b)
+        at[k : k + chunk] = near.argmin(axis=1)
+        c2[k : k + chunk] = near.min(axis=1)
+    return c2, at
+
+
+def directed(a: np.ndarray, b: np.ndarray) -> float:
+    """Largest squared chord from a point of ``a`` to its nearest in ``b``."""
+    return directed_pruned(a, b) if len(b) > LONG else float(nearest(a, b)[0].max())
+
+
 def compare_blocks(left: list[np.ndarray], right: list[np.ndarray], same: bool) -> list[tuple[int, int, float, float]]:
     """(left set, right set, squared chord left to right, right to left) of all pairs; of one block, each pair once."""
     out = []
@@ -96,24 +112,57 @@ def distance_matrix(points: DataFrame, id_col: str = "flight_id", lat: str = "la
     return pairs.select("a", "b", km("ab").alias("directed_a_to_b_km"), km("ba").alias("directed_b_to_a_km"), km(F.greatest("ab", "ba")).alias("hausdorff_km"))
 
 
-def dense_hausdorff(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, directed_ab_km, directed_ba_km, hausdorff_km) of sets a and b with equal keys, by joins and aggregates only.
+def dense_hausdorff(a: DataFrame, b: DataFrame, keys: list[str], block_points: int = BLOCK_POINTS) -> DataFrame:
+    """(keys, directed_ab_km, directed_ba_km, hausdorff_km) of sets a and b with equal, non-null keys.
 
-    For two versions of one set, or a few sets: every pair of points of a key is a row between the operators.
+    For two versions of each of many sets. Sets of up to ``block_points`` points meet in one task and
+    come back as two numbers; larger ones meet block by block, each point with its nearest of the
+    other block, and the least over the blocks counts. Keys that only one side has give no row.
     """
-    point = lambda df, n: df.select(*keys, *[c.alias(f"{n}_{k}") for k, c in zip("xyz", unit_sphere(F.col("lat"), F.col("lon")))]).distinct()
-    c2 = sum(((F.col(f"a_{k}") - F.col(f"b_{k}")) ** 2 for k in "xyz"), F.lit(0.0))
-    both = point(a, "a").join(point(b, "b"), keys).withColumn("c2", c2)
-    one = lambda n: both.groupBy(*keys, *[f"{n}_{k}" for k in "xyz"]).agg(F.min("c2").alias("c2")).groupBy(*keys).agg(F.max("c2").alias(n))
-    out = one("a").join(one("b"), keys)
-    return out.select(*keys, arc_km(F.sqrt("a")).alias("directed_ab_km"), arc_km(F.sqrt("b")).alias("directed_ba_km"), arc_km(F.sqrt(F.greatest("a", "b"))).alias("hausdorff_km"))
+    point = lambda df, side: df.select(*keys, *[c.alias(k) for k, c in zip("xyz", unit_sphere(F.col("lat"), F.col("lon")))]).dropna().distinct().withColumn("side", F.lit(side))
+    both = point(a, 0).unionByName(point(b, 1))
+    blocks = lambda side: F.ceil(F.count_if(F.col("side") == side) / block_points).cast("int")
+    counts = both.groupBy(*keys).agg(blocks(0).alias("na"), blocks(1).alias("nb")).where("na > 0 AND nb > 0")
+    first = F.col("side") == 0
+    own = F.pmod(F.xxhash64(*"xyz"), F.when(first, F.col("na")).otherwise(F.col("nb"))).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.when(first, F.col("nb")).otherwise(F.col("na")) - 1))
+    placed = both.join(counts, keys).withColumn("own", own).withColumn("other", other)
+    placed = placed.select(*keys, "side", *"xyz", F.when(first, F.col("own")).otherwise(F.col("other")).alias("i"), F.when(first, F.col("other")).otherwise(F.col("own")).alias("j"), ((F.col("na") == 1) & (F.col("nb") == 1)).alias("whole"))
+    kinds = dict(placed.dtypes)
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        sides = [pdf.loc[pdf.side == k, [*"xyz"]].to_numpy() for k in (0, 1)]
+        out = []
+        for k, (p, q) in enumerate((sides, sides[::-1])):
+            if pdf.whole.iloc[0]:
+                out.append(pd.DataFrame({"side": [k], "x": 0.0, "y": 0.0, "z": 0.0, "c2": directed(p, q)}))
+            elif len(p) and len(q):
+                out.append(pd.DataFrame({"side": k, "x": p[:, 0], "y": p[:, 1], "z": p[:, 2], "c2": nearest(p, q)[0]}))
+        found = pd.concat(out) if out else pd.DataFrame(columns=["side", *"xyz", "c2"])
+        return found.assign(**{c: pdf[c].iloc[0] for c in keys})[[*keys, "side", *"xyz", "c2"]]
+
+    near = placed.groupBy(*keys, "i", "j").applyInPandas(compare, ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", side int, x double, y double, z double, c2 double")
+    far = near.groupBy(*keys, "side", *"xyz").agg(F.min("c2").alias("c2")).groupBy(*keys).agg(*[F.max(F.when(F.col("side") == k, F.col("c2"))).alias(n) for k, n in ((0, "ab"), (1, "ba"))])
+    km = lambda c: arc_km(F.sqrt(c))
+    return far.select(*keys, km("ab").alias("directed_ab_km"), km("ba").alias("directed_ba_km"), km(F.greatest("ab", "ba")).alias("hausdorff_km"))
 
 
 def pair_statistics(matrix: DataFrame) -> DataFrame:
-    """One row: number, minimum, median, 95th percentile and maximum of the distances, zeros for no pair."""
-    d = F.col("hausdorff_km")
-    stats = {"min_km": F.min(d), "median_km": F.percentile(d, F.lit(0.5)), "p95_km": F.percentile(d, F.lit(0.95)), "max_km": F.max(d)}
-    return matrix.agg(F.count("*").alias("pairs"), *[F.coalesce(v, F.lit(0.0)).alias(k) for k, v in stats.items()])
+    """One row: number, minimum, median, 95th percentile and maximum of the distances, zeros for no pair.
+
+    Quantiles are exact, between the two ranks around them, and no task holds all distances.
+    """
+    rows = ranked(matrix.select("hausdorff_km"), "hausdorff_km")
+    n = rows.count()
+
+    def quantile(p: float) -> Column:
+        at = p * max(0, n - 1)
+        value = lambda k: F.max(F.when(F.col("rank") == k, F.col("hausdorff_km")))
+        low = int(at)
+        return value(low) + (value(min(low + 1, max(0, n - 1))) - value(low)) * (at - low)
+
+    stats = {"min_km": F.min("hausdorff_km"), "median_km": quantile(0.5), "p95_km": quantile(0.95), "max_km": F.max("hausdorff_km")}
+    return rows.agg(F.count("*").alias("pairs"), *[F.coalesce(v, F.lit(0.0)).alias(k) for k, v in stats.items()])
 
 
 def top_pairs(matrix: DataFrame, n: int = 10) -> DataFrame:
@@ -129,9 +178,9 @@ def appearances(pairs: DataFrame) -> DataFrame:
 
 
 def witnesses(pairs: DataFrame, points: DataFrame, order: str = "t") -> DataFrame:
-    """The points that make the distance of each of a few pairs (a, b).
+    """The points that make the distance of each of a few pairs (a, b); the two sets of a pair meet in one task.
 
-    Points of a set are numbered from 0 by ``order``. The direction with the larger directed distance
+    Points of a set are numbered from 0 by ``order``, whose values come back as source_t and target_t. The direction with the larger directed distance
     counts, a to b on ties; its source is the first point with the largest distance to its nearest
     target, the target the first nearest.
     """
@@ -139,22 +188,27 @@ def witnesses(pairs: DataFrame, points: DataFrame, order: str = "t") -> DataFram
     ids = wanted.select(F.col("a").alias("flight_id")).unionByName(wanted.select(F.col("b").alias("flight_id"))).distinct()
     rank = F.row_number().over(Window.partitionBy("flight_id").orderBy(order, "lat", "lon")) - 1
     sphere = dict(zip("xyz", unit_sphere(F.col("lat"), F.col("lon"))))
-    p = points.join(ids, "flight_id", "left_semi").withColumn("idx", rank).select("flight_id", "idx", "lat", "lon", *[c.alias(k) for k, c in sphere.items()])
-    side = lambda n: p.select(*[F.col(c).alias(f"{n}_{c}") for c in p.columns])
-    both = wanted.join(side("a"), F.col("a") == F.col("a_flight_id")).join(side("b"), F.col("b") == F.col("b_flight_id"))
-    both = both.withColumn("c2", sum(((F.col(f"a_{k}") - F.col(f"b_{k}")) ** 2 for k in "xyz"), F.lit(0.0)))
-
-    def one(s: str, t: str) -> DataFrame:
-        near = both.groupBy("a", "b", f"{s}_idx").agg(F.min(F.struct("c2", f"{t}_idx", f"{t}_lat", f"{t}_lon")).alias("n"), F.first(f"{s}_lat").alias("lat"), F.first(f"{s}_lon").alias("lon"))
-        row = F.struct("n.c2", (-F.col(f"{s}_idx")).alias("source_index"), F.col(f"n.{t}_idx").alias("target_index"), F.col("lat").alias("source_lat"), F.col("lon").alias("source_lon"), F.col(f"n.{t}_lat").alias("target_lat"), F.col(f"n.{t}_lon").alias("target_lon"))
-        return near.groupBy("a", "b").agg(F.max(row).alias(s))
-
-    x = one("a", "b").toDF("flight_a", "flight_b", "there")
-    y = one("b", "a").toDF("flight_a", "flight_b", "back")
-    forward = F.col("there.c2") >= F.col("back.c2")
-    won = F.when(forward, F.col("there")).otherwise(F.col("back"))
-    out = x.join(y, ["flight_a", "flight_b"]).select("flight_a", "flight_b", arc_km(F.sqrt("there.c2")).alias("directed_a_to_b_km"), arc_km(F.sqrt("back.c2")).alias("directed_b_to_a_km"), F.when(forward, "a_to_b").otherwise("b_to_a").alias("direction"), won.alias("w"))
-    return out.select("flight_a", "flight_b", "directed_a_to_b_km", "directed_b_to_a_km", "direction", arc_km(F.sqrt("w.c2")).alias("hausdorff_km"), (-F.col("w.source_index")).alias("source_index"), F.col("w.target_index"), F.col("w.source_lat"), F.col("w.source_lon"), F.col("w.target_lat"), F.col("w.target_lon"))
+    p = points.join(ids, "flight_id", "left_semi").withColumn("idx", rank).select("flight_id", "idx", F.col(order).cast("double").alias("t"), "lat", "lon", *[c.alias(k) for k, c in sphere.items()])
+    side = lambda n, k: wanted.join(p.withColumnRenamed("flight_id", n), n).withColumn("side", F.lit(k)).select("a", "b", "side", *p.columns[1:])
+    kinds = dict(wanted.dtypes)
+    place = [f"{s}_{c}" for s in ("source", "target") for c in ("index", "t", "lat", "lon")]
+
+    def find(pdf: pd.DataFrame) -> pd.DataFrame:
+        sides = [pdf[pdf.side == k].sort_values("idx") for k in (0, 1)]
+        if not all(map(len, sides)):
+            return pd.DataFrame(columns=["a", "b", "ab", "ba", *place])
+        out = []
+        for s, t in (sides, sides[::-1]):
+            c2, at = nearest(s[[*"xyz"]].to_numpy(), t[[*"xyz"]].to_numpy())
+            k = int(c2.argmax())
+            out.append((float(c2[k]), *(x for row in (s.iloc[k], t.iloc[at[k]]) for x in (row.idx, row.t, row.lat, row.lon))))
+        best = out[0] if out[0][0] >= out[1][0] else out[1]
+        return pd.DataFrame([(pdf.a.iloc[0], pdf.b.iloc[0], out[0][0], out[1][0], *best[1:])], columns=["a", "b", "ab", "ba", *place])
+
+    schema = f"a {kinds['a']}, b {kinds['b']}, ab double, ba double, " + ", ".join(f"{c} {'int' if c.endswith('index') else 'double'}" for c in place)
+    found = side("a", 0).unionByName(side("b", 1)).groupBy("a", "b").applyInPandas(find, schema)
+    km = lambda c: arc_km(F.sqrt(c))
+    return found.select(F.col("a").alias("flight_a"), F.col("b").alias("flight_b"), km("ab").alias("directed_a_to_b_km"), km("ba").alias("directed_b_to_a_km"), F.when(F.col("ab") >= F.col("ba"), "a_to_b").otherwise("b_to_a").alias("direction"), km(F.greatest("ab", "ba")).alias("hausdorff_km"), *place)
 
 
 def matrix_violations(matrix: DataFrame, ids: int) -> DataFrame:
@@ -163,3 +217,10 @@ def matrix_violations(matrix: DataFrame, ids: int) -> DataFrame:
     bad = d.isNull() | F.isnan(d) | (d < 0) | (d == F.lit(float("inf")))
     return matrix.agg((F.lit(ids * (ids - 1) // 2) - F.count("*")).alias("missing_pairs"), (F.count("*") - F.count_distinct("a", "b")).alias("repeated_pairs"), F.count_if(F.col("a") >= F.col("b")).alias("unordered_pairs"), F.count_if(bad).alias("bad_distances"), F.count_if(F.abs(d - F.greatest("directed_a_to_b_km", "directed_b_to_a_km")) > 1e-9).alias("asymmetric"))
 
+
+def require_sound(matrix: DataFrame, ids: int) -> DataFrame:
+    """``matrix``, if :func:`matrix_violations` finds nothing; else an error that names what it found."""
+    bad = {k: v for k, v in matrix_violations(matrix, ids).first().asDict().items() if v}
+    if bad:
+        raise ValueError(f"unsound distance matrix: {bad}")
+    return matrix

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayline.functions.geo import haversine_km, ratio
+from wayline.operators.common import materialise
 from wayline.operators.hausdorff import dense_hausdorff
 
 
@@ -47,9 +48,10 @@ def path_lengths(points: DataFrame) -> DataFrame:
 def downsampling_metrics(points: DataFrame, intervals: list[int]) -> DataFrame:
     """One row per (interval_sec, flight_id): retention, Hausdorff distance and path error of the sample, and target offsets."""
     out = None
+    points = materialise(points)
     full = path_lengths(points).select("flight_id", F.col("points").alias("full_points"), F.col("path_km").alias("full_path_km"))
     for interval in intervals:
-        sample = downsample(points, interval)
+        sample = materialise(downsample(points, interval))
         part = path_lengths(sample).select("flight_id", F.col("points").alias("sampled_points"), F.col("path_km").alias("sampled_path_km"))
         offsets = nearest_observations(points, interval).groupBy("flight_id").agg(F.median("offset_sec").alias("median_target_time_offset_sec"), F.percentile("offset_sec", F.lit(0.95)).alias("p95_target_time_offset_sec"), F.max("offset_sec").alias("max_target_time_offset_sec"))
         apart = dense_hausdorff(points, sample, ["flight_id"]).select("flight_id", "hausdorff_km")

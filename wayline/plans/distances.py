@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.operators import cluster, hausdorff, lineage
-from wayline.operators.common import materialise
-from wayline.plans.sql import C2, LANES, MATRIX, SETS, arc, d
+from wayline.operators import clean, cluster, hausdorff, lineage, review
+from wayline.operators.common import materialise, ranked
+from wayline.plans.sql import C2, LANES, MARKED, MATRIX, SETS, arc, d
 from wayline.plans.tracks import rounded, valid_points
+from wayline.sources.tables import flights, utc_text
 
-SETTINGS = [(c, s) for c in cluster.SIZES for s in cluster.SAMPLES]
+REQUESTED = (10, 5)
 EPSILON_KM, TOP = 60.0, 10
 
 
@@ -19,7 +20,7 @@ def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _matrix(points: DataFrame) -> DataFrame:
-    return materialise(hausdorff.distance_matrix(points))
+    return lineage.stored_matrix(points)
 
 
 def _lanes(points: DataFrame) -> DataFrame:
@@ -28,11 +29,19 @@ def _lanes(points: DataFrame) -> DataFrame:
     return points.select("flight_id").distinct().select(i.alias("i"), F.when(i % 7 == 3, -1).otherwise(i % 5).cast("long").alias("label"))
 
 
+def _label_grid(points: DataFrame) -> DataFrame:
+    """Four given settings: every seventh flight is noise in some of them, the others go by lane."""
+    i, k = F.col("i"), F.col("k")
+    every = points.select(F.col("flight_id").alias("i")).distinct().withColumn("k", F.explode(F.array(*map(F.lit, range(4)))))
+    label = F.when((i % 7 == 3) & (i % (k + 2) != 1), -1).otherwise(i % 5).cast("long")
+    return every.select((5 * (k + 1)).alias("mcs"), F.lit(5).alias("ms"), "i", label.alias("label"))
+
+
 _KM = ["directed_a_to_b_km", "directed_b_to_a_km", "hausdorff_km"]
 
 
 def hausdorff_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hausdorff.distance_matrix(_points(spark, sf_dir)).select("a", "b", *[rounded(c, 5) for c in _KM])
+    return _matrix(_points(spark, sf_dir)).select("a", "b", *[rounded(c, 5) for c in _KM])
 
 
 def pair_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,8 +70,9 @@ def matrix_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
 def id_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The order of ids by number against their order as text."""
     ids = valid_points(spark, sf_dir).select("flight_id").distinct()
-    rank = lambda key: (F.row_number().over(Window.orderBy(key)) - 1).alias("matrix_index")  # noqa: E731  one row per flight
-    return lineage.id_alignment(ids.select(rank(F.col("flight_id")), "flight_id"), ids.select(rank(F.col("flight_id").cast("string")), "flight_id"))
+    rank = lambda key: ranked(ids, key, name="matrix_index")
+    out = lineage.id_alignment(rank(F.col("flight_id")), rank(F.col("flight_id").cast("string")))
+    return out.withColumn("matrix_index", F.col("matrix_index").cast("int"))
 
 
 def core_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,23 +86,68 @@ def mutual_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def spanning_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     matrix = _matrix(_points(spark, sf_dir))
-    return cluster.spanning_edges(cluster.mutual_reachability(matrix, cluster.core_distances(matrix, [5])))
+    return cluster.spanning_edges(cluster.mutual_reachability(matrix, cluster.core_distances(matrix, [5]))).select("ms", "i", "j", rounded("w", 5))
 
 
-def _fitted(spark: SparkSession, sf_dir: str, settings: list[tuple[int, int]]) -> DataFrame:
-    return materialise(cluster.hdbscan(_matrix(_points(spark, sf_dir)), settings))
+def _fitted(spark: SparkSession, sf_dir: str, sweep: bool = True) -> DataFrame:
+    points = _points(spark, sf_dir)
+    n = points.select("flight_id").distinct().count()
+    return materialise(cluster.hdbscan(_matrix(points), cluster.settings_grid(n, REQUESTED) if sweep else [REQUESTED]))
 
 
 def hdbscan_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fitted(spark, sf_dir, [(10, 5)])
+    return _fitted(spark, sf_dir, sweep=False)
 
 
 def parameter_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.sweep(_fitted(spark, sf_dir, SETTINGS))
+    return cluster.sweep(_fitted(spark, sf_dir))
 
 
 def noise_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.noise_fraction(_fitted(spark, sf_dir, SETTINGS))
+    return cluster.noise_fraction(_fitted(spark, sf_dir))
+
+
+def settings_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The settings for a tenth of the flights, with (12, 7) requested."""
+    n = valid_points(spark, sf_dir).select("flight_id").distinct().count() // 10
+    return spark.createDataFrame(cluster.settings_grid(n, (12, 7)), "mcs int, ms int")
+
+
+def given_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.sweep(_label_grid(valid_points(spark, sf_dir)))
+
+
+def given_noise_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.noise_fraction(_label_grid(valid_points(spark, sf_dir)))
+
+
+def persistent_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.persistent_noise(_label_grid(valid_points(spark, sf_dir)))
+
+
+def noise_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = _points(spark, sf_dir)
+    matrix, lanes = _matrix(points), _lanes(points)
+    out = cluster.noise_candidates(matrix, lanes, _label_grid(points), cluster.medoids(matrix, lanes))
+    return out.select("i", "noise_fraction", "nearest_medoid", "nearest_cluster", rounded("distance_km", 5))
+
+
+def persistent_noise_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = _points(spark, sf_dir)
+    matrix, lanes = _matrix(points), _lanes(points)
+    out = review.persistent_noise_review(points, matrix, lanes, _label_grid(points), cluster.medoids(matrix, lanes))
+    return out.select(*[rounded(c, 5) if c.endswith(("_km", "_min", "_observation")) else F.col(c) for c in out.columns])
+
+
+def key_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flights of the list without a valid point, and the other way round."""
+    return clean.key_differences(flights(spark, sf_dir), valid_points(spark, sf_dir), "flight_id")
+
+
+def labelled_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The given clustering with the date of each flight's start, one row a flight."""
+    dates = flights(spark, sf_dir).select(F.col("flight_id").alias("i"), F.substring(utc_text(F.col("start_unix")), 1, 10).alias("date"))
+    return clean.validated_join(_lanes(valid_points(spark, sf_dir)), dates, "i").select("i", "label", "date")
 
 
 def linkage_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,11 +166,17 @@ def noise_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.noise_ranking(matrix, lanes, cluster.medoids(matrix, lanes)).select("i", "nearest_medoid", "nearest_cluster", rounded("distance_km", 5))
 
 
-QUERIES = {f.__name__: f for f in (hausdorff_pairs, pair_stats, top_pairs, top_pair_appearances, hausdorff_witness, matrix_invariants, id_alignment, core_distance, mutual_reachability, spanning_tree, hdbscan_labels, parameter_sweep, noise_fraction, linkage_cut, cluster_medoids, noise_ranking)}
+QUERIES = {f.__name__: f for f in (hausdorff_pairs, pair_stats, top_pairs, top_pair_appearances, hausdorff_witness, matrix_invariants, id_alignment, core_distance, mutual_reachability, spanning_tree, hdbscan_labels, parameter_sweep, noise_fraction, settings_grid, given_sweep, given_noise_fraction, persistent_noise, linkage_cut, cluster_medoids, noise_ranking, noise_candidates, persistent_noise_review, key_differences, labelled_flights)}
 
 _TOP = f"top AS (SELECT a, b, hausdorff_km, row_number() OVER (ORDER BY hausdorff_km DESC, a, b) AS rank FROM matrix QUALIFY rank <= {TOP})"
 _CORE = f"core AS (SELECT 5 AS ms, i, d AS core FROM sym QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) = 4 UNION ALL SELECT 1, i, {d(0)} FROM ids)"
 
+_REACH = "SELECT 5 AS ms, a AS i, b AS j, greatest(hausdorff_km, p.core, q.core) AS w FROM matrix JOIN core p ON p.i = a AND p.ms = 5 JOIN core q ON q.i = b AND q.ms = 5"
+_GRID = """grid AS (SELECT 5 * (k + 1) AS mcs, 5 AS ms, i, CASE WHEN i % 7 = 3 AND i % (k + 2) <> 1 THEN -1 ELSE i % 5 END AS label FROM (SELECT DISTINCT flight_id AS i FROM u), range(4) t(k)),
+fractions AS (SELECT i, count(*) AS settings, count(*) FILTER (WHERE label = -1) AS noise_count FROM grid GROUP BY i)"""
+_RANKED = "ranking AS (SELECT labels.i, medoid, medoids.label AS cluster, d FROM labels JOIN sym ON sym.i = labels.i JOIN medoids ON medoid = sym.j WHERE labels.label = -1 QUALIFY row_number() OVER (PARTITION BY labels.i ORDER BY d, medoid) = 1)"
+_UTC = "strftime(make_timestamp(CAST({} * 1000000 AS BIGINT)), '%Y-%m-%d %H:%M:%S+00:00')"
+
 SQL = {
     "hausdorff_pairs": f"WITH {MATRIX} SELECT a, b, {', '.join(f'round({c}, 5) AS {c}' for c in _KM)} FROM matrix",
     "pair_stats": f"WITH {MATRIX} SELECT count(*) AS pairs, round(min(hausdorff_km), 5) AS min_km, round(median(hausdorff_km), 5) AS median_km, round(quantile_cont(hausdorff_km, {d(0.95)}), 5) AS p95_km, round(max(hausdorff_km), 5) AS max_km FROM matrix",
@@ -125,10 +186,40 @@ SQL = {
       closest AS (SELECT a, b, direction, p.idx AS source_index, p.lat AS source_lat, p.lon AS source_lon, min({{'c2': {C2}, 'k': q.idx, 'lat': q.lat, 'lon': q.lon}}) AS m FROM sides JOIN u p ON p.flight_id = sides.s JOIN u q ON q.flight_id = sides.t GROUP BY ALL),
       farthest AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY m.c2 DESC, direction, source_index) AS r FROM closest)
       SELECT a AS flight_a, b AS flight_b, direction, round({arc("m.c2")}, 5) AS hausdorff_km, CAST(source_index AS INTEGER) AS source_index, CAST(m.k AS INTEGER) AS target_index, source_lat, source_lon, m.lat AS target_lat, m.lon AS target_lon FROM farthest WHERE r = 1""",
-    "matrix_invariants": "SELECT CAST(0 AS BIGINT) AS missing_pairs, CAST(0 AS BIGINT) AS repeated_pairs, CAST(0 AS BIGINT) AS unordered_pairs, CAST(0 AS BIGINT) AS bad_distances, CAST(0 AS BIGINT) AS asymmetric",
+    "matrix_invariants": f"""WITH {MATRIX}, ids AS (SELECT count(DISTINCT flight_id) AS n FROM u)
+      SELECT CAST(any_value(n) * (any_value(n) - 1) // 2 - count(*) AS BIGINT) AS missing_pairs, count(*) - count(DISTINCT (a, b)) AS repeated_pairs, count(*) FILTER (WHERE a >= b) AS unordered_pairs,
+        count(*) FILTER (WHERE hausdorff_km IS NULL OR NOT isfinite(hausdorff_km) OR hausdorff_km < 0) AS bad_distances, count(*) FILTER (WHERE abs(hausdorff_km - greatest(directed_a_to_b_km, directed_b_to_a_km)) > 1e-9) AS asymmetric FROM matrix, ids""",
     "id_alignment": f"WITH {SETS}, ids AS (SELECT DISTINCT flight_id FROM u), n AS (SELECT flight_id, row_number() OVER (ORDER BY flight_id) - 1 AS x, row_number() OVER (ORDER BY CAST(flight_id AS VARCHAR)) - 1 AS y FROM ids) SELECT CAST(p.x AS INTEGER) AS matrix_index, p.flight_id AS \"left\", q.flight_id AS \"right\" FROM n p JOIN n q ON p.x = q.y WHERE p.flight_id <> q.flight_id",
     "core_distance": f"WITH {LANES}, {_CORE} SELECT ms, i, round(core, 5) AS core FROM core",
     "mutual_reachability": f"WITH {LANES}, {_CORE} SELECT p.ms, a AS i, b AS j, round(greatest(hausdorff_km, p.core, q.core), 5) AS w FROM matrix JOIN core p ON p.i = a AND p.ms = 5 JOIN core q ON q.i = b AND q.ms = 5",
+    "spanning_tree": f"""WITH RECURSIVE {LANES}, {_CORE}, edges AS MATERIALIZED ({_REACH}),
+      tree(inside, e) AS (
+        SELECT [min(i)], CAST(NULL AS STRUCT(w DOUBLE, i BIGINT, j BIGINT)) FROM edges
+        UNION ALL
+        SELECT list_append(inside, CASE WHEN list_contains(inside, e.i) THEN e.j ELSE e.i END), e FROM (
+          SELECT inside, min({{'w': w, 'i': edges.i, 'j': edges.j}}) AS e FROM tree JOIN edges ON list_contains(inside, edges.i) <> list_contains(inside, edges.j) GROUP BY inside)
+      ) SELECT 5 AS ms, e.i AS i, e.j AS j, round(e.w, 5) AS w FROM tree WHERE e IS NOT NULL""",
+    "settings_grid": f"""WITH {SETS}, n AS (SELECT count(DISTINCT flight_id) // 10 AS n FROM u)
+      SELECT c AS mcs, s AS ms FROM (VALUES (5), (10), (15), (20), (30)) x(c), (VALUES (5), (10), (15)) y(s), n WHERE c <= n AND s <= n UNION SELECT 12, 7""",
+    "given_sweep": f"""WITH {SETS}, {_GRID}, sized AS (SELECT mcs, ms, label, count(*) AS n FROM grid GROUP BY ALL)
+      SELECT mcs, ms, count(*) FILTER (WHERE label >= 0) AS clusters, CAST(coalesce(sum(n) FILTER (WHERE label < 0), 0) AS BIGINT) AS noise_flights, {d(100)} * coalesce(sum(n) FILTER (WHERE label < 0), 0) / sum(n) AS noise_percent,
+        '{{' || coalesce(string_agg('"' || label || '":' || n, ',' ORDER BY label) FILTER (WHERE label >= 0), '') || '}}' AS cluster_sizes FROM sized GROUP BY mcs, ms""",
+    "given_noise_fraction": f"WITH {SETS}, {_GRID} SELECT i, settings, noise_count, noise_count / settings AS noise_fraction FROM fractions",
+    "persistent_noise": f"WITH {SETS}, {_GRID} SELECT i FROM fractions WHERE noise_count = settings",
+    "noise_candidates": f"WITH {LANES}, {_GRID}, {_RANKED} SELECT i, noise_count / settings AS noise_fraction, medoid AS nearest_medoid, cluster AS nearest_cluster, round(d, 5) AS distance_km FROM labels JOIN fractions USING (i) LEFT JOIN ranking USING (i) WHERE label = -1",
+    "persistent_noise_review": f"""WITH {LANES}, {_GRID}, {_RANKED},
+      wanted AS (SELECT i, medoid, cluster FROM ranking JOIN fractions USING (i) WHERE noise_count = settings),
+      sides AS (SELECT *, 'candidate_to_medoid' AS direction, i AS own_id, medoid AS other_id FROM wanted UNION ALL SELECT *, 'medoid_to_candidate', medoid, i FROM wanted),
+      closest AS (SELECT i, medoid, cluster, direction, p.idx, p.t, p.lat, p.lon, min({{'c2': {C2}, 'k': q.idx, 't': q.t, 'lat': q.lat, 'lon': q.lon}}) AS m FROM sides JOIN u p ON p.flight_id = own_id JOIN u q ON q.flight_id = other_id GROUP BY ALL),
+      one AS (SELECT *, CASE WHEN direction = 'candidate_to_medoid' THEN {{'t': t, 'lat': lat, 'lon': lon}} ELSE {{'t': m.t, 'lat': m.lat, 'lon': m.lon}} END AS mine FROM closest QUALIFY row_number() OVER (PARTITION BY i, direction ORDER BY m.c2 DESC, idx) = 1),
+      won AS (SELECT * FROM one QUALIFY row_number() OVER (PARTITION BY i ORDER BY m.c2 DESC, direction) = 1),
+      own AS (SELECT flight_id AS i, max(gap) AS gap, count(*) AS n, min(t) AS first_t, max(t) AS last_t FROM (SELECT flight_id, t, t - lag(t) OVER (PARTITION BY flight_id ORDER BY t) AS gap FROM u) GROUP BY flight_id)
+      SELECT left({_UTC.format("first_t")}, 10) AS date, won.i AS flight_id, won.cluster AS nearest_cluster, won.medoid AS medoid_flight_id, round({arc("won.m.c2")}, 5) AS hausdorff_km,
+        round({arc("f.m.c2")}, 5) AS candidate_to_medoid_max_km, round({arc("b.m.c2")}, 5) AS medoid_to_candidate_max_km, won.direction AS controlling_direction, gap AS max_position_gap_sec, n AS point_count, round((last_t - first_t) / 60, 5) AS observed_duration_min,
+        won.mine.lat AS candidate_witness_latitude, won.mine.lon AS candidate_witness_longitude, {_UTC.format("won.mine.t")} AS candidate_witness_utc, round((last_t - won.mine.t) / 60, 5) AS witness_minutes_before_last_observation
+      FROM won JOIN own USING (i) JOIN one f ON f.i = won.i AND f.direction = 'candidate_to_medoid' JOIN one b ON b.i = won.i AND b.direction = 'medoid_to_candidate'""",
+    "key_differences": f"WITH {MARKED}, valid AS (SELECT DISTINCT flight_id FROM marked WHERE removal_reason = '') SELECT flight_id, 'left' AS side FROM flights ANTI JOIN valid USING (flight_id) UNION ALL SELECT flight_id, 'right' FROM valid ANTI JOIN flights USING (flight_id)",
+    "labelled_flights": f"WITH {SETS} SELECT flight_id AS i, CASE WHEN flight_id % 7 = 3 THEN -1 ELSE flight_id % 5 END AS label, left({_UTC.format('start_unix')}, 10) AS date FROM flights WHERE flight_id IN (SELECT flight_id FROM u)",
     "linkage_cut": f"WITH RECURSIVE {LANES}, reach(i, j) AS (SELECT i, i FROM ids UNION SELECT reach.i, sym.j FROM reach JOIN sym ON reach.j = sym.i AND sym.d <= {EPSILON_KM}) SELECT i, min(j) AS component FROM reach GROUP BY i",
     "cluster_medoids": f"WITH {LANES} SELECT m.label, medoid, flights, round(median(d), 5) AS median_distance_to_medoid_km, round(max(d), 5) AS max_distance_to_medoid_km FROM medoids m JOIN within w ON w.label = m.label AND w.i = medoid GROUP BY ALL",
     "noise_ranking": f"WITH {LANES} SELECT labels.i, medoid AS nearest_medoid, medoids.label AS nearest_cluster, round(d, 5) AS distance_km FROM labels JOIN sym ON sym.i = labels.i JOIN medoids ON medoid = sym.j WHERE labels.label = -1 QUALIFY row_number() OVER (PARTITION BY labels.i ORDER BY d, medoid) = 1",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wayline.operators import arrivals, clean, grid, sampling
 from wayline.operators.spikes import reject_spikes
 from wayline.plans.sql import C2, LEGS, MARKED, POSITIONS, QC, QC_SCREENED, SCREENED, SETS, arc, d, haversine
-from wayline.sources.tables import flights, latest_file_per_key, positions, table
+from wayline.sources.tables import flights, latest_file_per_key, positions, strict_seconds, table, utc_text
 
 MIN_POINTS, INTERVALS = 60, [60, 120]
 
@@ -144,7 +144,32 @@ def grid_accumulation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.accumulation(_grid(spark, sf_dir).where("level = 350"), "v", 1, 2).select("lat", "lon", rounded("value"))
 
 
-QUERIES = {f.__name__: f for f in (leg_geometry, reject_reason_counts, dedup_positions, impossible_legs, spike_screen, flight_qc, flight_qc_screened, accepted_flights, review_reasons, preparation_report, row_reconciliation, path_length, downsample_nearest, downsample_metrics, downsample_summary, gap_segments, interval_join_qa, latest_files, grid_slice, grid_accumulation)}
+def grid_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The upper end of a scale for each field, with NaN and null skipped."""
+    rows = _grid(spark, sf_dir).withColumn("value", F.when(F.col("lat") % 5 == 1, float("nan")).when(F.col("lat") % 5 != 2, F.col("value")))
+    return grid.colour_limit(rows, 2.0, 1.0).select(F.lit("fine").alias("scale"), "upper").unionByName(grid.colour_limit(rows, 500.0, 200.0).select(F.lit("coarse").alias("scale"), "upper"))
+
+
+def event_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events' times as text, parsed to seconds without leniency, and written anew."""
+    e = table(spark, sf_dir, "events").where("ts IS NOT NULL").select("event_id", F.concat(F.col("ts").cast("string"), F.lit("Z")).alias("time"))
+    seconds = strict_seconds(e, "time")
+    return e.select("event_id", seconds.alias("seconds"), utc_text(seconds).alias("utc"))
+
+
+def event_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The JSON properties of the events, parsed and summed by type."""
+    k = F.from_json("props", "k long")["k"]
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(k).alias("parsed"), F.sum(k).alias("k_total"), F.max(k).alias("k_largest"))
+
+
+def route_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = valid_points(spark, sf_dir)
+    named = points.select(F.concat(F.lit("CS"), F.col("flight_id") % 7).alias("callsign"), F.format_string("flight_%d.csv", "flight_id").alias("source_file"), "t")
+    return arrivals.route_manifest(named)
+
+
+QUERIES = {f.__name__: f for f in (leg_geometry, reject_reason_counts, dedup_positions, impossible_legs, spike_screen, flight_qc, flight_qc_screened, accepted_flights, review_reasons, preparation_report, row_reconciliation, path_length, downsample_nearest, downsample_metrics, downsample_summary, gap_segments, interval_join_qa, latest_files, grid_slice, grid_accumulation, grid_limits, event_times, event_properties, route_manifest)}
 
 _SHOWN = "SELECT flight_id, raw_points, clean_points, removed_points, max_gap_sec, median_gap_sec, round(observed_duration_min, 6) AS observed_duration_min, round(start_distance_km, 6) AS start_distance_km, round(end_distance_km, 6) AS end_distance_km, unresolved_jump_segments, review_reason, CASE WHEN review_reason = '' THEN 'pass' ELSE 'review' END AS status FROM qc"
 _PATH = f"SELECT flight_id, count(*) AS points, coalesce(sum({haversine('la', 'lo', 'lat', 'lon')}), 0) AS path_km FROM (SELECT *, lag(lat) OVER w AS la, lag(lon) OVER w AS lo FROM {{}} WINDOW w AS (PARTITION BY {{}}flight_id ORDER BY t)) GROUP BY {{}}flight_id"
@@ -206,5 +231,11 @@ SQL = {
       FROM arrivals LEFT JOIN n USING (callsign, icao24, lastseen)""",
     "latest_files": "SELECT 'K' || c_nationkey AS key, max('d' || (c_custkey % 3) || '/flight_K' || c_nationkey || '_' || c_custkey || '.csv') AS path, count(*) AS files FROM customer WHERE c_custkey % 10 <> 0 GROUP BY c_nationkey",
     "grid_slice": f"WITH {_GRID} SELECT level, lat, lon, round(value, 6) AS value FROM grid WHERE valid_time = 1 AND level = 350 AND lat % 5 = 0 AND lon % 5 = 0",
+    "grid_limits": f"""WITH {_GRID}, top AS (SELECT max(value) AS v FROM grid WHERE lat % 5 NOT IN (1, 2))
+      SELECT 'fine' AS scale, greatest({d(2)}, ceil(v)) AS upper FROM top UNION ALL SELECT 'coarse', greatest({d(500)}, ceil(v / 200) * 200) FROM top""",
+    "event_times": "SELECT event_id, CAST(epoch_us(ts) AS DOUBLE) / 1000000 AS seconds, strftime(ts, '%Y-%m-%d %H:%M:%S') || CASE WHEN epoch_us(ts) % 1000000 <> 0 THEN strftime(ts, '.%f') ELSE '' END || '+00:00' AS utc FROM events WHERE ts IS NOT NULL",
+    "event_properties": "SELECT event_type, count(k) AS parsed, CAST(sum(k) AS BIGINT) AS k_total, max(k) AS k_largest FROM (SELECT event_type, CAST(props::JSON ->> 'k' AS BIGINT) AS k FROM events) GROUP BY event_type",
+    "route_manifest": f"""WITH {SETS} SELECT 'CS' || (flight_id % 7) AS callsign, 'flight_' || flight_id || '.csv' AS source_file, count(*) AS plotted_points, strftime(make_timestamp(CAST(min(t) * 1000000 AS BIGINT)), '%Y-%m-%dT%H:%M:%S+00:00') AS observed_first_utc,
+      strftime(make_timestamp(CAST(max(t) * 1000000 AS BIGINT)), '%Y-%m-%dT%H:%M:%S+00:00') AS observed_last_utc, FALSE AS position_age_verified FROM u GROUP BY flight_id HAVING count(*) >= 5""",
     "grid_accumulation": f"WITH {_GRID} SELECT a.lat, a.lon, round(CASE WHEN (b.value - a.value) * 1000 >= {d(0.1)} THEN (b.value - a.value) * 1000 END, 6) AS value FROM grid a JOIN grid b ON a.lat = b.lat AND a.lon = b.lon AND a.level = 350 AND b.level = 350 AND a.valid_time = 1 AND b.valid_time = 2",
 }

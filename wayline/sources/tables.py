@@ -36,9 +36,16 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, columns: list
 
 
 def with_source_line(spark: SparkSession, path: str, schema: T.StructType, name: str = "source_csv_line") -> DataFrame:
-    """The rows with the physical line of their file (the header is line 1); for files of a row per line."""
-    lines = spark.sparkContext.textFile(path).zipWithIndex().map(lambda z: (z[0], z[1] + 1))
-    numbered = lines.toDF(f"value string, {name} long")
+    """The rows with the physical line of their file (the header is line 1); for files of a row per line.
+
+    A line's number is its place within its part of the file, which one task reads in order, and the
+    number of lines in the parts before; only those counts, one a part, are joined.
+    """
+    part = ["path", "start"]
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    before = F.sum("n").over(Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = lines.groupBy(*part).agg(F.min("at").alias("first"), F.count("*").alias("n")).select(*part, "first", F.coalesce(before, F.lit(0)).alias("before"))
+    numbered = lines.join(offsets, part).withColumn(name, F.col("before") + F.col("at") - F.col("first") + 1)
     header = [c.strip('"') for c in spark.read.text(path).first()[0].split(",")]
     types = {f.name: f.dataType.simpleString() for f in schema}
     parsed = F.from_csv("value", ", ".join(f"`{c}` {types.get(c, 'string')}" for c in header))
@@ -59,9 +66,57 @@ def refuse_pointer(spark: SparkSession, path: str) -> None:
         raise ValueError(f"{path} is a pointer to a large file, not the file")
 
 
-def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sha256) of every file that ``path`` matches."""
-    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
+def latest_rows(spark: SparkSession, glob: str, pattern: str, schema: T.StructType, columns: list[str]) -> DataFrame:
+    """The rows of the lexically last file of each key among the CSV files of ``glob``, with ``key`` and ``source_file``.
+
+    Only the chosen files are read. A key is the first group of ``pattern`` in the file's name; files
+    that do not match are left out, and without any match there is no row.
+    """
+    files = spark.read.format("binaryFile").load(glob).select("path")
+    chosen = [r["path"] for r in latest_file_per_key(files, pattern).select("path").collect()]  # a name per key, as in Spark's own listing
+    kinds = {f.name: f.dataType for f in schema}
+    empty = T.StructType([T.StructField("key", T.StringType()), T.StructField("source_file", T.StringType()), *(T.StructField(c, kinds[c]) for c in columns)])
+    if not chosen:
+        return spark.createDataFrame([], empty)
+    header = spark.read.option("header", True).csv(chosen[0]).columns
+    read = spark.read.option("header", True).schema(T.StructType([T.StructField(c, kinds.get(c, T.StringType())) for c in header])).csv(chosen)
+    name = F.col("_metadata.file_name")
+    return read.select(F.regexp_extract(name, pattern, 1).alias("key"), name.alias("source_file"), *columns)
+
+
+def read_json_report(spark: SparkSession, path: str) -> DataFrame:
+    """The objects of JSON files, one a file or one a line."""
+    return spark.read.option("multiLine", True).json(path)
+
+
+def rows_of(df: DataFrame, ids: DataFrame, key: str = "flight_id") -> DataFrame:
+    """The rows whose key is in ``ids``; Spark broadcasts the ids while they are few."""
+    return df.join(ids.select(key).distinct(), key, "left_semi")
+
+
+#: Larger files are not held in a cell.
+WHOLE_FILE_BYTES = 256_000_000
+
+
+def file_digests(spark: SparkSession, path: str, whole_bytes: int = WHOLE_FILE_BYTES) -> DataFrame:
+    """(path, sha256) of every file that ``path`` matches.
+
+    Files of up to ``whole_bytes`` are hashed by the executors. A hash of a larger file cannot be
+    made of parts, so the driver reads it as a stream, in constant memory.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    small = files.where(F.col("length") <= whole_bytes).select("path", F.sha2("content", 256).alias("sha256"))
+    large = [r["path"] for r in files.where(F.col("length") > whole_bytes).select("path").collect()]
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    found = []
+    for name in large:
+        place = jvm.org.apache.hadoop.fs.Path(name)
+        stream = place.getFileSystem(conf).open(place)
+        try:
+            found.append((name, jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)))
+        finally:
+            stream.close()
+    return small.unionByName(spark.createDataFrame(found, "path string, sha256 string"))
 
 
 def resolve(df: DataFrame, **wanted: str) -> DataFrame:
@@ -85,6 +140,19 @@ def as_seconds(df: DataFrame, column: str) -> Column:
     return F.unix_micros(stamp) / 1e6
 
 
+def strict_seconds(df: DataFrame, column: str) -> Column:
+    """Epoch seconds as :func:`as_seconds`, but a string that is not a time stops the job; null stays null."""
+    seconds = as_seconds(df, column)
+    bad = F.raise_error(F.concat(F.lit(f"{column} is not a time: "), F.col(column).cast("string")))
+    return F.when(F.col(column).isNotNull() & seconds.isNull(), bad.cast("double")).otherwise(seconds)
+
+
+def utc_text(seconds: Column) -> Column:
+    """Epoch seconds as ``2025-06-01 00:00:00+00:00``, with six digits of a second where there is a part of one."""
+    text = (F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=F.round(seconds.cast("decimal(18,6)"), 6))).cast("string")
+    return F.concat(F.when(F.contains(text, F.lit(".")), F.rpad(text, 26, "0")).otherwise(text), F.lit("+00:00"))
+
+
 def normal_points(df: DataFrame) -> DataFrame:
     """(flight_id, t, lat, lon) with aliases resolved, bad values dropped, and one row of each repeated point."""
     named = resolve(df, lat="lat", lon="lon", t="t")
