@@ -46,7 +46,7 @@ def data(rng, dim, n, labels):
     return rows
 
 
-@pytest.mark.parametrize("dim,sizes", [(64, {}), (64, {"cell_rows": 20, "aim_rows": 3}), (3, {"cell_rows": 30, "aim_rows": 2}), (10, {"aim_rows": 1}), (1, {})])
+@pytest.mark.parametrize("dim,sizes", [(64, {}), (64, {"cell_rows": 20, "aim_rows": 3}), (3, {"cell_rows": 30, "aim_rows": 2}), (10, {"aim_rows": 1}), (1, {}), (64, {"pairs_a_row": 0}), (10, {"pairs_a_row": 0, "cell_rows": 20, "aim_rows": 4})])
 def test_against_brute_force(spark, dim, sizes):
     rng = np.random.default_rng(dim)
     rows = data(rng, dim, 220, 2)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, read, stored
+from .common import broadcast_if_small, drop, read, stored
 from .graph import connected_components, smallest_reachable
 
 THRESHOLD = 0.98
@@ -18,9 +18,11 @@ BLOCKS = 8
 #: A coordinate of a unit vector is rounded to this fraction, so that block distances are exact integers.
 UNIT = 1 << 16
 #: A cell with more vectors than this is compared in pairs of parts of about half as many.
-CELL_ROWS = 2048
-#: Vectors of a label that share a cell, on which the number of gridded coordinates aims.
-AIM_ROWS = 512
+CELL_ROWS = 8192
+#: A group of up to so many vectors is one task for all blocks; a larger one is cut into cells of about so many.
+AIM_ROWS = 4096
+#: A task looks up pairs cell by cell in so many coordinates of a block, unless that gives more than so many pairs a vector.
+LOOKUP, PAIRS_A_ROW = 5, 64
 _CELL = ("grp", "dim", "block", "cell")
 
 
@@ -56,7 +58,7 @@ class Geometry:
         far = math.sqrt(max(0.0, 2 * (1 - threshold))) + math.sqrt(dim) / UNIT + 1e-9
         self.budget = far * far * self.width * UNIT * UNIT / self.blocks
         self.radius = math.sqrt(self.budget)
-        self.step = max(2.0001 * self.radius, UNIT * math.sqrt(self.width) / 500)
+        self.step = max(2.0001 * self.radius, UNIT * math.sqrt(self.width) / 60)
 
     def cells(self, y: np.ndarray, block: int, grid: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
         """(rows, cell numbers, whether it is the home cell): the home of each row and the later cells its ball reaches.
@@ -68,7 +70,7 @@ class Geometry:
         inside = at - home
         reach = self.radius / self.step * (1 + 1e-9)
         shift = np.where(inside <= reach, -1, np.where(inside >= 1 - reach, 1, 0))
-        code = lambda c: (c.astype(np.int64) + 512) @ (1024 ** np.arange(c.shape[1])[::-1]).astype(np.int64) if c.shape[1] else np.zeros(len(c), np.int64)
+        code = lambda c: sum(((c[:, k].astype(np.int64) + 62) << 7 * k for k in range(c.shape[1])), np.zeros(len(c), np.int64))
         own = code(home)
         yield np.arange(len(y)), own, True
         for mask in range(1, 1 << at.shape[1]):
@@ -93,35 +95,89 @@ def usable(vector: Column) -> Column:
     return F.coalesce((F.size(vector) > 0) & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def similar_vectors(vectors: DataFrame, threshold: float = THRESHOLD, blocks: int = BLOCKS, cell_rows: int = CELL_ROWS, aim_rows: int = AIM_ROWS) -> DataFrame:
+def _looked_up(geometry: Geometry, y: np.ndarray, block: int, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]] | None:
+    """The pairs of rows whose cells in the block touch, each once, some 100,000 at a time; None if there are more than ``limit``."""
+    probes = []
+    for rows, cells, home in geometry.cells(y, block, LOOKUP):
+        if home:
+            order = np.argsort(cells, kind="stable")
+            held = cells[order]
+            last = np.searchsorted(held, held, side="right")
+            probes.append((order, np.arange(1, len(held) + 1), last))
+        elif len(rows):
+            probes.append((rows, np.searchsorted(held, cells), np.searchsorted(held, cells, side="right")))
+    if sum(int((high - low).sum()) for _, low, high in probes) > limit:
+        return None
+
+    def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for rows, low, high in probes:
+            n = high - low
+            ends = np.cumsum(n)
+            start = 0
+            while start < len(rows):
+                stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + 100_000, side="right")))
+                k = n[start:stop]
+                at = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k) + np.repeat(low[start:stop], k)
+                if len(at):
+                    i, j = np.repeat(rows[start:stop], k), order[at]
+                    yield np.minimum(i, j), np.maximum(i, j)
+                start = stop
+
+    return pairs()
+
+
+def _tile_links(mask: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Few links that join the same points as the marks of ``mask``: of the points ``rows`` with the points 0, 1, ..."""
+    row, column = rows.copy(), np.arange(mask.shape[1])
+    far = mask.shape[1]
+    while True:
+        new = np.minimum(row, np.where(mask, column[None, :], far).min(axis=1))
+        column2 = np.minimum(column, np.where(mask, new[:, None], far).min(axis=0))
+        if (new == row).all() and (column2 == column).all():
+            break
+        row, column = new, column2
+    moved = np.flatnonzero(column != np.arange(far))
+    return np.concatenate([rows, moved]), np.concatenate([row, column[moved]])
+
+
+def similar_vectors(vectors: DataFrame, threshold: float = THRESHOLD, blocks: int = BLOCKS, cell_rows: int = CELL_ROWS, aim_rows: int = AIM_ROWS, pairs_a_row: int = PAIRS_A_ROW) -> DataFrame:
     """(id, links, peer) partial results over distinct vectors (id, weight, grp, vec): add ``links`` by id; peers are linked.
 
     Two vectors with cosine >= ``threshold`` are at a squared distance of at most 2 (1 - threshold)
-    on the unit sphere. Rotated and cut into ``blocks``, some block holds at most its share of it.
-    Each block is range-joined on a grid over its first coordinates. A pair found in several blocks
-    belongs to the first one whose share it keeps, which every task decides alike on integers, so
-    no pair is counted twice and none needs to be emitted. Vectors of other dimensions do not meet.
+    on the unit sphere. Rotated and cut into ``blocks``, some block holds at most its share of it,
+    and each block is range-joined. A small group is one task for all blocks, so its vectors move
+    once. A larger one is spread on a grid over as many first coordinates of each block as its size
+    asks for; a cell that stays crowded is compared in pairs of parts. Within a task, pairs come from
+    a finer grid, or from matrix products where vectors crowd. A pair found in several blocks belongs
+    to the first one whose share it keeps, which every task decides alike on integers, so no pair is
+    counted twice and none needs to be emitted. Vectors of other dimensions do not meet.
     """
-    largest = vectors.groupBy("grp").count().agg(F.max("count")).first()[0] or 0
-    grid = min(6, max(0, math.ceil(math.log(max(1, largest) / aim_rows, 5))))
+    counts = stored(vectors.groupBy("grp").agg(F.count("*").alias("of_grp")))
+    sized = vectors.select("id", "weight", "grp", "vec").join(broadcast_if_small(counts, counts.count()), "grp")
     cell_type = vectors.schema["grp"].dataType.simpleString()
     vec_type = vectors.schema["vec"].dataType.simpleString()
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vecs = _vectors(batch.column("vec"))
+            vecs, of_grp = _vectors(batch.column("vec")), batch.column("of_grp").to_numpy()
+            batch = batch.select(["id", "weight", "grp", "vec"])
+            # a coordinate tells about three cells apart
+            grids = np.ceil(np.log(np.maximum(1, of_grp / aim_rows)) / np.log(3) - 1e-9).astype(np.int64)
             for dim, of in _by_dim(vecs).items():
                 geometry = Geometry(dim, threshold, blocks)
                 y = _rotated(_unit(np.stack([vecs[i] for i in of])))
-                for block in range(geometry.blocks):
-                    for rows, cells, home in geometry.cells(y, block, grid):
-                        if len(rows):
-                            out = batch.take(pa.array(of[rows]))
-                            same = lambda v, t, n=len(rows): pa.array(np.full(n, v), t)
-                            yield pa.RecordBatch.from_arrays([*out.columns, same(dim, pa.int32()), same(block, pa.int32()), pa.array(cells), same(home, pa.bool_())], names=[*out.schema.names, "dim", "block", "cell", "home"])
+                grid_of = np.minimum(grids[of], geometry.size)
+                for grid in np.unique(grid_of):
+                    mine = np.flatnonzero(grid_of == grid)
+                    for block in range(geometry.blocks) if grid else (-1,):
+                        for rows, cells, home in geometry.cells(y[mine], block, int(grid)) if grid else ((np.arange(len(mine)), np.zeros(len(mine), np.int64), True),):
+                            if len(rows):
+                                out = batch.take(pa.array(of[mine[rows]]))
+                                same = lambda v, t, n=len(rows): pa.array(np.full(n, v), t)
+                                yield pa.RecordBatch.from_arrays([*out.columns, same(dim, pa.int32()), same(block, pa.int32()), pa.array(cells), same(home, pa.bool_())], names=[*out.schema.names, "dim", "block", "cell", "home"])
 
     tail = "dim int, block int, cell long, home boolean"
-    placed = vectors.select("id", "weight", "grp", "vec").mapInArrow(spread, f"id long, weight long, grp {cell_type}, vec {vec_type}, {tail}")
+    placed = sized.mapInArrow(spread, f"id long, weight long, grp {cell_type}, vec {vec_type}, {tail}")
     crowded = stored(placed.groupBy(*_CELL).count().where(F.col("count") > cell_rows).select(*_CELL, F.ceil(F.col("count") * 2 / cell_rows).cast("int").alias("parts")))
     split = placed.join(broadcast_if_small(crowded, crowded.count()), list(_CELL), "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     split = split.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -137,34 +193,55 @@ def similar_vectors(vectors: DataFrame, threshold: float = THRESHOLD, blocks: in
         geometry = Geometry(x.shape[1], threshold, blocks)
         y = _rotated(x)
         n, n_home = len(ids), int(home.sum())
-        links = np.zeros(n, np.int64)
+        links, touched = np.zeros(n, np.int64), np.zeros(n, bool)
         found: list[tuple[np.ndarray, np.ndarray]] = []
-        cut = [y[:, b * geometry.size : (b + 1) * geometry.size] for b in range(block + 1)]
+        cut = [y[:, b * geometry.size : (b + 1) * geometry.size] for b in range(geometry.blocks)]
         norms = [(c * c).sum(axis=1) for c in cut]
-        for start in range(0, n_home, 512):
-            rows = slice(start, min(start + 512, n_home))
-            near = lambda b, rows=rows: norms[b][rows, None] + norms[b][None, :] - 2 * (cut[b][rows] @ cut[b].T) <= geometry.budget
-            mask = near(block)
-            mask &= np.arange(n)[None, :] > np.arange(rows.start, rows.stop)[:, None]
-            if low != high:
-                mask &= part[rows, None] != part[None, :]
-            if not mask.any():
-                continue
-            for b in range(block):
-                mask &= ~near(b)
-            i, j = np.nonzero(mask)
-            for k in range(0, len(i), 100_000):
-                a, c = i[k : k + 100_000] + start, j[k : k + 100_000]
-                linked = np.einsum("ij,ij->i", x[a], x[c]) >= threshold
-                a, c = a[linked], c[linked]
-                np.add.at(links, a, weight[c])
-                np.add.at(links, c, weight[a])
-                if len(a):
-                    found.append((a, c))
+        cosine = lambda i, j: np.einsum("ij,ij->i", x[i], x[j])
+
+        def pairs(of: Iterator[tuple[np.ndarray, np.ndarray]], block: int) -> None:
+            apart = lambda b, i, j: ((cut[b][i] - cut[b][j]) ** 2).sum(axis=1) > geometry.budget
+            for i, j in of:
+                keep = (i < n_home) & (part[i] != part[j] if low != high else True)
+                i, j = i[keep], j[keep]
+                near = ~apart(block, i, j)
+                i, j = i[near], j[near]
+                for b in range(block):
+                    far = apart(b, i, j)
+                    i, j = i[far], j[far]
+                linked = cosine(i, j) >= threshold
+                i, j = i[linked], j[linked]
+                np.add.at(links, i, weight[j])
+                np.add.at(links, j, weight[i])
+                touched[i] = touched[j] = True
+                found.append((i, j))
+
+        def tiles(block: int) -> None:
+            for start in range(0, n_home, 512):
+                rows = np.arange(start, min(start + 512, n_home))
+                near = lambda b, rows=rows: norms[b][rows, None] + norms[b][None, :] - 2 * (cut[b][rows] @ cut[b].T) <= geometry.budget
+                mask = near(block)
+                mask &= np.arange(n)[None, :] > rows[:, None]
+                if low != high:
+                    mask &= part[rows, None] != part[None, :]
+                if not mask.any():
+                    continue
+                for b in range(block):
+                    mask &= ~near(b)
+                cos = x[rows] @ x.T
+                close = np.nonzero(mask & (np.abs(cos - threshold) < 1e-9))
+                mask &= cos >= threshold
+                mask[close] = cosine(rows[close[0]], close[1]) >= threshold
+                links[rows] += mask @ weight
+                links[:] += weight[rows] @ mask
+                touched[rows] |= mask.any(axis=1)
+                touched[:] |= mask.any(axis=0)
+                found.append(_tile_links(mask, rows))
+
+        for b in range(geometry.blocks) if block < 0 else (block,):
+            some = _looked_up(geometry, y, b, pairs_a_row * n)
+            tiles(b) if some is None else pairs(some, b)
         root = smallest_reachable(n, found)
-        touched = np.zeros(n, bool)
-        for a, c in found:
-            touched[a] = touched[c] = True
         return pa.table({"id": pa.array(ids[touched]), "links": pa.array(links[touched]), "peer": pa.array(ids[root[touched]])})
 
     return split.groupBy(*_CELL, "low", "high").applyInArrow(compare, "id long, links long, peer long")
@@ -195,6 +272,7 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     components = connected_components(partial.select("id", "peer"), "id", "peer")
     known = distinct.select("__k1", "__k2", "id", "weight").join(links, "id", "left").join(components.withColumnRenamed("node", "id"), "id", "left")
     known = stored(known.select("__k1", "__k2", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("__links"), F.coalesce("component", "id").alias("__component")))
+    drop(partial, components, distinct)
     component = F.coalesce("__component", F.col(id_col))
     return base.join(known, ["__k1", "__k2"], "left").select(*names, F.coalesce("__links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col(id_col).eqNullSafe(component).alias("kept"))
 
