@@ -18,11 +18,11 @@ BLOCKS = 8
 #: A coordinate of a unit vector is rounded to this fraction, so that block distances are exact integers.
 UNIT = 1 << 16
 #: A cell with more vectors than this is compared in pairs of parts of about half as many.
-CELL_ROWS = 8192
+CELL_ROWS = 32_768
 #: A group of up to so many vectors is one task for all blocks; a larger one is cut into cells of about so many.
-AIM_ROWS = 4096
+AIM_ROWS = 16_384
 #: A task looks up pairs cell by cell in so many coordinates of a block, unless that gives more than so many pairs a vector.
-LOOKUP, PAIRS_A_ROW = 5, 64
+LOOKUP, PAIRS_A_ROW = 6, 400
 _CELL = ("grp", "dim", "block", "cell")
 
 
@@ -80,8 +80,12 @@ class Geometry:
             yield rows, other[rows], False
 
 
-def _vectors(column: pa.Array) -> list[np.ndarray]:
-    return [np.array(v, float) for v in column.to_pylist()]
+def _vectors(column: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
+    """Views of the usable vectors of a column in one array of doubles."""
+    values = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    ends = np.cumsum(values.value_lengths().to_numpy(zero_copy_only=False))
+    flat = values.flatten().to_numpy(zero_copy_only=False).astype(float)
+    return [flat[i:j] for i, j in zip([0, *ends.tolist()], ends.tolist())]
 
 
 def _by_dim(vectors: list[np.ndarray]) -> dict[int, np.ndarray]:
