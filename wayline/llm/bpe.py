@@ -19,7 +19,7 @@ from .common import read
 
 MAX_VOCABULARY_BYTES = 64_000_000
 #: A task remembers the fragments it met in two halves of so many; a full half replaces the older one.
-MEMO = 250_000
+MEMO = 600_000
 #: Bytes of a column that are encoded or decoded at once.
 BLOCK = 2_000_000
 
@@ -56,6 +56,8 @@ class ByteBpe:
         self.made = [named[a + b] for a, b in pairs]
         self.byte_ids = [self.ids[bytes([b])] for b in range(256)]
         self.bytes_of = {i: t for t, i in self.ids.items()}
+        if any(t.get(k) for t in spec["added_tokens"] for k in ("lstrip", "rstrip", "single_word")):
+            raise ValueError("added tokens that take white space or whole words are not known here")
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of |= {i: t.encode() for t, i in added.items()}
         self.added = added
@@ -207,6 +209,12 @@ def bpe_encode(docs: DataFrame, vocabulary: str, text_col: str = "text", ids_col
     return _with_column(docs, ids_col, T.ArrayType(T.IntegerType()), text_col, make, held)
 
 
+def bpe_count(docs: DataFrame, vocabulary: str, text_col: str = "text", count_col: str = "n_tokens") -> DataFrame:
+    """Adds ``count_col``, long, the number of ids that :func:`bpe_encode` gives the whole text; the ids stay in the task."""
+    held = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    return _with_column(docs, count_col, T.LongType(), text_col, lambda bpe, texts: pa.array([len(bpe.encode(t or "")) for t in texts.to_pylist()], pa.int64()), held)
+
+
 def bpe_decode(docs: DataFrame, vocabulary: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """Adds ``text_col``, the text of ``ids_col``. Null ids give an empty text, unknown ids nothing, broken UTF-8 U+FFFD."""
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)
@@ -219,12 +227,17 @@ def bpe_decode(docs: DataFrame, vocabulary: str, ids_col: str = "ids", text_col:
     return _with_column(docs, text_col, T.StringType(), ids_col, make, held)
 
 
-def op7_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+def public_vocabulary(path: str | None = None) -> str:
+    """The vocabulary at ``path``, by default the public byte-level one of 50,257 ids."""
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path("byte_bpe_50k.json")
-    vocabulary = load_vocabulary(path)
+    return load_vocabulary(path)
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    vocabulary = public_vocabulary(path)
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     out = bpe_decode(bpe_encode(docs, vocabulary).drop("text"), vocabulary)
     digest = lambda c: F.sha2(c.cast("binary"), 256)
