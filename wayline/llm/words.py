@@ -132,3 +132,25 @@ def unpack_counts(small: bytes, large: bytes) -> np.ndarray:
     where, what = np.frombuffer(large, np.int64).reshape(2, -1)
     values[where] = what
     return values
+
+
+def pack_keys(keys: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Sorted 64-bit keys as their low bytes and the gaps between the rest, of one byte each but for the far ones."""
+    if not len(keys):
+        return b"", b"", b""
+    spread = max(1, int(keys[-1] - keys[0]) // len(keys)).bit_length()  # of a usual gap
+    low = max(0, min(7, -(-(spread - 5) // 8)))
+    high = (keys >> _U(8 * low)).astype(np.int64) if low else keys.view(np.int64)
+    gaps, far = pack_counts(np.diff(high, prepend=high[:1]))
+    return np.uint64(keys[0]).tobytes() + keys.view(np.uint8).reshape(-1, 8)[:, :low].tobytes(), gaps, far
+
+
+def unpack_keys(low: bytes, gaps: bytes, far: bytes) -> np.ndarray:
+    if not gaps:
+        return np.zeros(0, _U)
+    width = (len(low) - 8) // len(gaps)
+    first = np.frombuffer(low[:8], _U)[0]
+    high = np.cumsum(unpack_counts(gaps, far)).astype(_U) + (first >> _U(8 * width))
+    out = np.zeros((len(gaps), 8), np.uint8)
+    out[:, :width] = np.frombuffer(low, np.uint8, offset=8).reshape(len(gaps), width)
+    return out.view(_U).ravel() + (high << _U(8 * width))
