@@ -33,7 +33,8 @@ class _Writer:
 
     def words(self, low: int, high: int) -> str:
         n = round(low * (high / low) ** self.r.random())
-        text = [w + ("," if self.r.random() < 0.06 else ". " if self.r.random() < 0.02 else "") + self.r.choice(["", "", "", "", "", "***", "&", "%", "§"] if self.junk else [""]) for w in self.r.choices(self.vocabulary, k=n)]
+        noise = lambda: self.r.choice("*#%$&=~^|§+") * self.r.randint(1, 4) if self.junk and self.r.random() < 0.4 else ""
+        text = [w + ("," if self.r.random() < 0.06 else ". " if self.r.random() < 0.02 else "") + noise() for w in self.r.choices(self.vocabulary, k=n)]
         out = " ".join(text)
         return (out[0].upper() + out[1:] if self.r.random() < 0.85 else out) + self.r.choice([".", ".", ".", "", "!", "?"])
 
@@ -47,19 +48,21 @@ class _Writer:
         if self.r.random() < 0.15:
             cut = out.split(" ")
             k = self.r.randrange(len(cut))
-            cut[k] = self.r.choice(["<b>{}</b>", "<em>{}</em>", '<a href="/x">{}</a>', "<i>{}", "<span>{}</span>"]).format(cut[k])
+            cut[k] = self.r.choice(["<b>{}</b>", "<em>{}</em>", '<a href="/x">{}</a>', "<i>{}", "<span>{}</span>", "<strong>{}", "<code>{}</code>"]).format(cut[k])
             out = " ".join(cut)
         return out
 
     def links(self, n: int) -> str:
+        if (joint := self.r.choice(["li", "li", "li", " | ", "<br>", " "])) != "li":
+            return joint.join(f'<a href="/{i}">{html.escape(self.words(1, 4))}</a>' for i in range(n))
         return "".join(f'<li><a href="/{i}">{html.escape(self.words(1, 4))}</a></li>' for i in range(n))
 
     def boilerplate(self, kind: str) -> str:
         r = self.r
         wrap = {
-            "nav": ["<nav>{}</nav>", '<div class="menu">{}</div>', '<ul id="nav">{}</ul>', '<div class="breadcrumb">{}</div>', '<div role="navigation">{}</div>'],
+            "nav": ["<nav>{}</nav>", '<div class="menu">{}</div>', '<ul id="nav">{}</ul>', '<div class="breadcrumb">{}</div>', '<div role="navigation">{}</div>', "<div>{}</div>", "<table><tr><td><font size=1>{}</font></td></tr></table>"],
             "header": ["<header>{}</header>", '<div id="header">{}</div>', '<div class="masthead">{}</div>', '<div class="site-header">{}</div>'],
-            "footer": ["<footer>{}</footer>", '<div id="footer">{}</div>', '<div class="footer">{}</div>', '<div class="copyright">{}</div>'],
+            "footer": ["<center>{}</center>", "<footer>{}</footer>", "<footer>{}</footer>", '<div id="footer">{}</div>', '<div class="footer">{}</div>', '<div class="copyright">{}</div>'],
             "aside": ["<aside>{}</aside>", '<div class="sidebar">{}</div>', '<div id="sidebar-right">{}</div>', '<div class="widget">{}</div>', '<section class="related">{}</section>'],
             "ad": ['<div class="ad">{}</div>', '<div id="ads">{}</div>', '<div class="advertisement">{}</div>', '<aside class="sponsored">{}</aside>', '<p class="advert">{}</p>', '<div class="ad-banner">{}</div>'],
             "comment": ['<section class="comments">{}</section>', '<div id="comments">{}</div>', '<ol class="commentlist">{}</ol>', '<div id="disqus_thread">{}</div>', '<section id="comments">{}</section>'],
@@ -69,7 +72,7 @@ class _Writer:
         }[kind]
         texts = [html.escape(self.say(kind)) for _ in range(r.choice([1, 1, 2, 4]))]
         if kind in ("nav", "header", "footer", "share") and r.random() < 0.6:
-            inside = f"<ul>{self.links(r.randint(2, 8))}</ul>"
+            inside = r.choice(["<ul>{}</ul>", "<ul>{}</ul>", "{}"]).format(self.links(r.randint(2, 8)))
         elif kind == "form":
             inside = "".join(f"<label>{t}</label><input name=q>" for t in texts) + r.choice(["<button>Go</button>", "<p>" + html.escape(self.words(3, 20)) + "</p>", "<textarea>x</textarea>"])
         elif kind == "comment":
@@ -87,10 +90,12 @@ class _Writer:
             parts.append("<h1>" + self.keep(self.words(1, 12)) + "</h1>")
         for _ in range(r.choice([1, 2, 3, 5, 8, 13, 20])):
             style = r.random()
-            if style < 0.72:
-                parts.append("<p>" + self.keep(self.words(1, 160)) + r.choice(["</p>", "</p>", "</p>", "", "<br>"]))
+            if style < 0.68:
+                parts.append(r.choice(["<p>", "<p>", "<p>", '<p class="x1">']) + self.keep(self.words(1, 160)) + r.choice(["</p>", "</p>", "</p>", "", "<br>"]))
+            elif style < 0.74:  # an inline element is left open, or the paragraph is a division
+                parts.append(r.choice(["<p><{0}>{1}", "<div><{0}>{1}</div>", "<p><{0}>{1}</p>", "<div>{1}</div>", "<section><p>{1}</p></section>"]).format(r.choice(["strong", "b", "i", "font", "u", "small"]), self.keep(self.words(1, 60))))
             elif style < 0.78:
-                parts.append("<p><b>" + self.keep(self.words(1, 60)) + "<br>")
+                parts.append(r.choice(["<pre>{}</pre>", "<dl><dt>{}</dl>", "<details open><summary>{}</summary></details>", "<h4>{}</h4>"]).format(self.keep(self.words(2, 40))))
             elif style < 0.84:
                 parts.append("<h2>" + self.keep(self.words(1, 8)) + "</h2>")
             elif style < 0.9:
@@ -105,17 +110,24 @@ class _Writer:
                 parts.append(self.boilerplate(r.choice(["ad", "ad", "share", "aside", "notice", "form"])))
         if r.random() < 0.12:
             parts.append(self.boilerplate(r.choice(["share", "comment", "nav"])))
-        wrap = r.choice(["<article>{}</article>"] * 6 + ["<main>{}</main>", "<main><article>{}</article></main>", '<div class="content">{}</div>', '<div id="main"><div class="post">{}</div></div>', '<div class="article-body">{}</div>', '<div class="entry-content">{}</div>', '<article class="post"><header>{}</article>', "<div>{}</div>", "<div><div>{}</div></div>", "<td>{}</td>", "{}"])
+        wrap = r.choice(["<article>{}</article>"] * 6 + ["<main>{}</main>", "<main><article>{}</article></main>", '<div class="content">{}</div>', '<div id="main"><div class="post">{}</div></div>', '<div class="article-body">{}</div>', '<div class="entry-content">{}</div>', '<article class="post"><header>{}</article>', "<div>{}</div>", "<div><div>{}</div></div>", "<table><tr><td>{}</td></tr></table>", '<div class="css-1x9k2"><div class="sc-a">{}</div></div>', '<div itemprop="articleBody">{}</div>', '<section class="page">{}</section>', "{}"])
         self.junk = False
         return wrap.replace("{}", "".join(parts), 1)
 
+    def head(self) -> str:
+        r = self.r
+        some = ['<meta name="viewport" content="width=device-width">', '<link rel="stylesheet" href="/a.css">', "<script src='/x.js' async></script>", '<script>window.q=[];if(1<2&&a>b){q.push("<div>x</div>")}</script>', '<script type="application/ld+json">{"@type":"Article","headline":"<h1>"}</script>', "<style>.a > .b::after{content:'<nav>'}</style>", "<!-- <body> old -->", '<base href="/">']
+        lines = [f"<title>{html.escape(self.words(1, 9))}</title>", *r.sample(some, r.randint(0, 4))]
+        r.shuffle(lines)
+        start = r.choice(["<!DOCTYPE html>\n<html>", "<html lang=en>", "<!doctype html>", '<?xml version="1.0"?><html xmlns="http://www.w3.org/1999/xhtml">'])
+        return start + "<head>" + r.choice(["", "\n"]).join(lines) + r.choice(["</head><body>", "</head>\n<body class='home'>", "<body>"])
+
     def page(self) -> tuple[str, str]:
         r = self.r
         few = lambda kinds, chance: "".join(self.boilerplate(k) for k in kinds if r.random() < chance)
         before = few(["notice", "ad"], 0.2) + few(["header"], 0.4) + few(["nav"], 0.7) + few(["form", "aside", "notice"], 0.2) + few(["ad"], 0.4)
         body = before + self.article() + few(["share", "ad"], 0.25) + few(["comment"], 0.35) + few(["aside", "nav", "form", "notice"], 0.25) + few(["footer"], 0.8)
-        head = f'<!DOCTYPE html><html lang="x"><head><meta charset="utf-8"><title>{html.escape(self.words(1, 9))}</title><style>p{{margin:0}}</style><script>var t="</p>";</script></head><body>'
-        return head + body + r.choice(["</body></html>", "</body></html>", ""]), "\n\n".join(self.main)
+        return self.head() + body + r.choice(["</body></html>", "</body></html>", ""]), "\n\n".join(self.main)
 
 
 def training_pages(n: int = TRAINING_PAGES, seed: int = 11) -> list[tuple[str, str]]:
