@@ -49,7 +49,8 @@ def exact_dedup(
     texts = F.count("*").over(Window.partitionBy("__hash"))
     groups = materialise(by_text.withColumn("__texts", texts).select("__hash", F.when(F.col("__texts") > 1, F.col("__text")).alias("__other"), "__keep", "__size"))
     collided = bool(groups.where("__other IS NOT NULL").take(1))
-    right = broadcast_if_small(groups if collided else groups.drop("__other"), n_repeated).withColumnRenamed("__hash", "__group")
+    # with collisions the groups carry texts, whose bytes no count bounds
+    right = (groups if collided else broadcast_if_small(groups.drop("__other"), n_repeated)).withColumnRenamed("__hash", "__group")
     on = F.col("__hash") == F.col("__group")
     if collided:
         on &= F.col("__other").isNull() | (F.col("__other") == F.col("__text"))
