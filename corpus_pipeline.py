@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from wayline.llm.common import read, stored, unused  # noqa: E402
+from wayline.llm.common import drop, read, stored, unused  # noqa: E402
 from wayline.llm.exact_dedup import exact_dedup  # noqa: E402
 from wayline.llm.ngram_join import jaccard_classes  # noqa: E402
 from wayline.llm.packing import pack_documents  # noqa: E402
@@ -50,7 +50,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deals the documents to length buckets and batches: doc_id, n_tokens, bucket, bucket_length, batch, slot, padding."""
+    """Deals the documents to length buckets and batches by their byte-pair tokens: doc_id, n_tokens, bucket, bucket_length, batch, slot, padding."""
     return pack_documents(docs)
 
 
@@ -65,7 +65,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     docs = read(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
+        before = docs
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = stored(docs)
+            drop(before)  # the table that the stage has read; ``documents`` itself is left alone
     return docs

@@ -1,4 +1,4 @@
-"""Readies a session: the package is importable on every executor, and Arrow batches stay small."""
+"""Readies a session: the package is importable on every executor, and Arrow batches of texts stay small."""
 
 from __future__ import annotations
 
@@ -14,10 +14,13 @@ BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.ex
 _shipped: set[str] = set()
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends the package to the executors, once per application; Spark fetches it for executors that join later as well."""
+def ship(spark: SparkSession, small_batches: bool = True) -> None:
+    """Sends the package to the executors, once per application; Spark fetches it for executors that join later as well.
+
+    With ``small_batches`` the session's Arrow batches are made small, as the operators on texts need.
+    """
     sc = spark.sparkContext
-    for name, value in BATCHES.items():
+    for name, value in BATCHES.items() if small_batches else ():
         spark.conf.set(name, value)
     if sc.applicationId not in _shipped:
         folder = tempfile.mkdtemp(prefix="wayline-")
