@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -307,6 +307,13 @@ def _linked(pairs: DataFrame, docs: DataFrame, percent: int, width: int, node_bi
     pairs = stored(pairs)
     ends = lambda n: pairs.select(*[F.col(f"{c}_{n}").alias(c) for c in ("node", "check", "rep")])
     texts = _texts(ends("a").unionByName(ends("b")), docs)
+    links = _verified(pairs, texts, percent, width, node_bits)
+    drop(pairs, texts)
+    return links
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, percent: int, width: int, node_bits: int) -> DataFrame:
+    """The pairs of :func:`_linked`, with the texts (node, check, text) at hand."""
     side = lambda n: texts.toDF(f"node_{n}", f"check_{n}", f"text_{n}")
     both = pairs.join(side("b"), ["node_b", "check_b"]).join(side("a"), ["node_a", "check_a"])
     both = both.select("rep_a", "rep_b", "node_a", "check_a", "node_b", "check_b", "text_a", "text_b")
@@ -328,9 +335,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, percent: int, width: int, node_bi
                     links.append((rep_a, rep_b))
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in links], pa.int64()), pa.array([k for _, k in links], pa.int64())], names=["rep_a", "rep_b"])
 
-    links = stored(both.mapInArrow(verify, "rep_a long, rep_b long").distinct())
-    drop(pairs, texts)
-    return links
+    return stored(both.mapInArrow(verify, "rep_a long, rep_b long").distinct())
 
 
 def _set_of(node: tuple[int, int], text: str | None, width: int, node_bits: int) -> np.ndarray | None:
@@ -340,14 +345,49 @@ def _set_of(node: tuple[int, int], text: str | None, width: int, node_bits: int)
     return features if (own[0], check[0]) == node else None
 
 
+def _sets_of(table: pa.Table, width: int, node_bits: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The set of each row (node, check, text), and whether it is the first one of its name; an id may also stand for other texts."""
+    node, check = table.column("node").to_numpy(), table.column("check").to_numpy()
+    features, sizes = shingle_sets(table.column("text").to_pylist(), width)
+    own, other = set_identity(features, sizes, node_bits)
+    mine = (own == node) & (other == check)
+    order = np.lexsort((~mine, check, node))
+    same = (node[order][1:] == node[order][:-1]) & (check[order][1:] == check[order][:-1])
+    mine[order[1:][same]] = False
+    ends = np.cumsum(sizes)
+    return [features[e - n : e] for n, e in zip(sizes, ends)], mine
+
+
+def _similar(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which sets of ``left`` are similar to which of ``right``: shared features are counted by matrix products."""
+    sets = [*left, *right]
+    _, local, often = np.unique(np.concatenate(sets) if sets else np.zeros(0, _U), return_inverse=True, return_counts=True)
+    column = np.cumsum(often > 1) - 1
+    ends = np.cumsum([0, *map(len, sets)])
+    use = [local[i:j] for i, j in zip(ends, ends[1:])]
+    use = [column[u[often[u] > 1]] for u in use]
+    shared = np.zeros((len(left), len(right)))
+    wide = int((often > 1).sum())
+    for start in range(0, wide, 8192):
+        grid = np.zeros((len(sets), min(8192, wide - start)), np.float32)
+        for r, u in enumerate(use):
+            grid[r, u[np.searchsorted(u, start) : np.searchsorted(u, start + 8192)] - start] = 1
+        shared += grid[: len(left)] @ grid[len(left) :].T
+    sizes = np.array([*map(len, sets)])
+    union = sizes[: len(left), None] + sizes[None, len(left) :] - shared
+    return 100 * shared >= percent * union
+
+
 def _crowd_links(over: DataFrame, limits: DataFrame, docs: DataFrame, percent: int, width: int, crowd_rows: int, node_bits: int) -> DataFrame:
     """Links (rep_a, rep_b) that join the same sets as all links between nodes that need their crowded signatures.
 
     ``over`` has the members (sig, node, role) of the crowded signatures. The nodes fall into
-    families, connected by crowded signatures. A family is compared by bands of set size, each with
-    itself and the next, in blocks of about ``crowd_rows`` nodes and ``CROWD_SHINGLES`` shingles: a
-    task counts the shared shingles of two blocks by matrix products and returns at most one link a
-    node.
+    families, connected by crowded signatures, and a family into bands of set size. First every set
+    of a band is compared with the band's leader, and leaders with those of the next band. Sets that
+    are linked to their leader need no comparison with each other, nor with those of the next band if
+    the leaders are linked. All other pairs of a band and the next are compared in blocks of about
+    ``crowd_rows`` sets and ``CROWD_SHINGLES`` shingles, by a task for two blocks that returns at most
+    one link a set. So a family around its leaders costs one comparison a set.
     """
     need = F.when(F.col("role") == 0, F.col("need_0")).otherwise(F.col("need_1"))
     members = stored(over.join(limits.where("need_0 <= 0 OR need_1 <= 0"), "node").where(need <= 0).select("sig", "node"))
@@ -355,59 +395,66 @@ def _crowd_links(over: DataFrame, limits: DataFrame, docs: DataFrame, percent: i
     family = connected_components(members.join(pivots, "sig").select("node", "pivot"), "node", "pivot")
     some = members.select("node").distinct().join(family, "node", "left").select("node", F.coalesce("component", "node").alias("family"))
     placed = stored(some.join(limits.select("node", "check", "rep", "band", "size"), "node"))
-    sizes = placed.groupBy("family", "band").agg(F.greatest(F.ceil(F.count("*") / crowd_rows), F.ceil(F.sum("size") / CROWD_SHINGLES)).cast("int").alias("blocks"))
-    near = sizes.select("family", F.explode(F.array(*[F.struct((F.col("band") - by).alias("band"), F.lit(by).alias("by"), F.col("blocks")) for by in (-1, 0, 1)])).alias("z"))
-    near = stored(near.groupBy("family", "z.band").agg(F.map_from_entries(F.collect_list(F.struct("z.by", "z.blocks"))).alias("blocks")))
-    held = placed.join(near, ["family", "band"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")[0]).cast("int"))
-    others = lambda by: F.sequence(F.lit(0), F.coalesce(F.try_element_at("blocks", F.lit(by)), F.lit(0)) - 1, F.lit(1))
-    some_of = lambda by, make: F.when(F.coalesce(F.try_element_at("blocks", F.lit(by)), F.lit(0)) > 0, F.transform(others(by), make)).otherwise(F.array())
-    task = lambda band, low, high, side: F.struct(band.alias("at"), low.alias("low"), high.alias("high"), F.lit(side).alias("side"))
-    band, own = F.col("band"), F.col("own")
-    tasks = F.concat(
-        # blocks of the same band: high counts on from the blocks of this band, after those of the next
-        some_of(0, lambda j: F.struct(band.alias("at"), F.least(own, j).alias("low"), (-1 - F.greatest(own, j)).alias("high"), F.when(own == F.greatest(own, j), 1).otherwise(0).alias("side"))),
-        some_of(1, lambda j: task(band, own, j, 0)),
-        some_of(-1, lambda j: task(band - 1, j, own, 1)),
-    )
-    spread = stored(held.select("node", "check", "rep", "family", F.explode(tasks).alias("z")).select("node", "check", "rep", "family", "z.*"))
     texts = _texts(placed, docs)
-    full = spread.join(texts, ["node", "check"]).select("family", "at", "low", "high", "side", "node", "check", "rep", "text")
+    blocks = F.greatest(F.ceil(F.count("*") / crowd_rows), F.ceil(F.sum("size") / CROWD_SHINGLES)).cast("int")
+    name = ["node", "check", "rep"]
+
+    bands = stored(placed.groupBy("family", "band").agg(F.min(F.struct(*name)).alias("leader"), blocks.alias("blocks")))
+    leaders = bands.select("family", "band", "leader.*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("leads"))
+    dealt = placed.join(bands, ["family", "band"]).where(F.struct(*name) != F.col("leader"))
+    dealt = dealt.select("family", "band", *name, F.pmod(F.xxhash64("node", "check"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("leads"))
+    led = dealt.unionByName(leaders).join(texts, ["node", "check"])
+
+    def follow(table: pa.Table) -> pa.Table:
+        sets, mine = _sets_of(table, width, node_bits)
+        leads = table.column("leads").to_numpy()
+        inner = leads.copy()
+        first, rest = np.flatnonzero(leads & mine), np.flatnonzero(~leads & mine)
+        if len(first) and len(rest):
+            inner[rest] = _similar([sets[i] for i in rest], [sets[first[0]]], percent)[:, 0]
+        return table.select(["family", "band", *name]).append_column("inner", pa.array(inner.astype(np.int32)))
+
+    judged = stored(led.groupBy("family", "band", "block").applyInArrow(follow, "family long, band long, node long, check long, rep long, inner int").distinct())
+    to_leader = judged.where("inner = 1").join(bands.select("family", "band", F.col("leader.rep").alias("rep_a")), ["family", "band"]).select("rep_a", F.col("rep").alias("rep_b")).where("rep_a <> rep_b")
+    side = lambda n, up: bands.select("family", (F.col("band") - up).alias("band"), *[F.col(f"leader.{c}").alias(f"{c}_{n}") for c in name])
+    steps = stored(side("a", 0).join(side("b", 1), ["family", "band"]))
+    between = _verified(steps, texts, percent, width, node_bits)
+    linked = steps.join(between.withColumn("up", F.lit(True)), ["rep_a", "rep_b"], "left").select("family", "band", F.coalesce("up", F.lit(False)).alias("up"))
+
+    kind = F.col("band") * 2 + F.col("inner")
+    counts = judged.join(placed.select("node", "check", "size"), ["node", "check"]).groupBy("family", kind.alias("kind")).agg(blocks.alias("blocks"))
+    known = counts.groupBy("family").agg(F.map_from_entries(F.collect_list(F.struct("kind", "blocks"))).alias("blocks"))
+    ups = linked.groupBy("family").agg(F.map_from_entries(F.collect_list(F.struct("band", "up"))).alias("ups"))
+    held = judged.join(stored(known.join(ups, "family", "left")), "family")
+    own = F.struct(kind.alias("kind"), F.pmod(F.xxhash64("node", "check"), F.col("blocks")[kind]).cast("int").alias("block"))
+    up = lambda band: F.coalesce(F.try_element_at("ups", band), F.lit(False))
+
+    def partners(by: int, inner: int) -> Column:
+        other = (F.col("band") + by) * 2 + inner
+        n = F.coalesce(F.try_element_at("blocks", other), F.lit(0))
+        known = F.lit(True) if by == 0 else up(F.col("band") + min(by, 0))
+        skip = (F.col("inner") == 1) & known if inner else F.lit(False)
+        task = lambda j: F.struct(F.least(own, F.struct(other.alias("kind"), j.alias("block"))).alias("low"), F.greatest(own, F.struct(other.alias("kind"), j.alias("block"))).alias("high"))
+        return F.when(~skip & (n > 0), F.transform(F.sequence(F.lit(0), n - 1), task)).otherwise(F.array())
+
+    tasks = F.concat(*[partners(by, inner) for by in (-1, 0, 1) for inner in (0, 1)])
+    spread = held.select(*name, "family", own.alias("own"), F.explode(tasks).alias("z")).select(*name, "family", "z.low", "z.high", (F.col("own") == F.col("z.high")).alias("second"))
+    full = stored(spread).join(texts, ["node", "check"])
 
     def compare(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("node", "ascending"), ("check", "ascending")])
-        node, check, rep, side = (table.column(c).to_numpy() for c in ("node", "check", "rep", "side"))
-        text = table.column("text").to_pylist()
-        within = table.column("high")[0].as_py() == -1 - table.column("low")[0].as_py()
-        features, sizes = shingle_sets(text, width)
-        own, other = set_identity(features, sizes, node_bits)
-        mine = (own == node) & (other == check)  # an id may also stand for other texts
-        mine[1:] &= ~((node[1:] == node[:-1]) & (check[1:] == check[:-1]) & mine[:-1])
-        ends = np.cumsum(sizes)
-        left, right = (np.flatnonzero(mine & (side == s if not within else True)) for s in (0, 1))
-        shared = np.zeros((len(left), len(right)))
-        _, local, often = np.unique(features, return_inverse=True, return_counts=True)
-        column = np.cumsum(often > 1) - 1
-        use = [local[e - n : e] for n, e in zip(sizes, ends)]
-        use = [column[u[often[u] > 1]] for u in use]
-        wide = int((often > 1).sum())
-        for start in range(0, wide, 8192):
-            grid = []
-            for rows in (left, right):
-                g = np.zeros((len(rows), min(8192, wide - start)), np.float32)
-                for r, i in enumerate(rows):
-                    u = use[i]
-                    g[r, u[np.searchsorted(u, start) : np.searchsorted(u, start + 8192)] - start] = 1
-                grid.append(g)
-            shared += grid[0] @ grid[1].T
-        union = sizes[left][:, None] + sizes[right][None, :] - shared
-        i, j = np.nonzero(100 * shared >= percent * union)
+        rep, second = table.column("rep").to_numpy(), table.column("second").to_numpy()
+        within = table.column("low")[0].as_py() == table.column("high")[0].as_py()
+        sets, mine = _sets_of(table, width, node_bits)
+        left, right = (np.flatnonzero(mine & (True if within else second == s)) for s in (False, True))
+        i, j = np.nonzero(_similar([sets[k] for k in left], [sets[k] for k in right], percent))
         apart = left[i] != right[j]
-        root = smallest_reachable(len(node), [(left[i[apart]], right[j[apart]])])
-        moved = np.flatnonzero(root != np.arange(len(node)))
+        root = smallest_reachable(len(rep), [(left[i[apart]], right[j[apart]])])
+        moved = np.flatnonzero(root != np.arange(len(rep)))
         return pa.table({"rep_a": pa.array(rep[root[moved]]), "rep_b": pa.array(rep[moved])})
 
-    links = stored(full.groupBy("family", "at", "low", "high").applyInArrow(compare, "rep_a long, rep_b long"))
-    drop(members, pivots, placed, near, spread, texts)
+    met = full.groupBy("family", "low", "high").applyInArrow(compare, "rep_a long, rep_b long")
+    links = stored(met.unionByName(to_leader).unionByName(between))
+    drop(members, pivots, family, placed, texts, bands, judged, steps, between)
     return links
 
 
@@ -443,9 +490,10 @@ def jaccard_classes(
 
     * A node whose slack exceeds its number of crowded signatures shares an uncrowded one with every
       similar partner, so its crowded ones are not needed.
-    * The other nodes, which lie in large groups of near copies, are compared in blocks within the
-      families that their crowded signatures form (:func:`_crowd_links`). That work is the square of
-      a family's size, but no pair is emitted and no family meets in one task.
+    * The other nodes, which lie in large groups of near copies, are compared within the families
+      that their crowded signatures form (:func:`_crowd_links`): with a leader, and what is not
+      linked to it in blocks. Only a family that spreads far from its leaders costs the square of its
+      size; no pair is emitted and no family meets in one task.
 
     Every candidate is verified on its whole texts. No group meets in one task: a block of texts
     sends a signature that is crowded within it as one mark, and its members apart, as plain rows.
