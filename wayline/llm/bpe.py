@@ -19,9 +19,9 @@ from .common import read
 
 MAX_VOCABULARY_BYTES = 64_000_000
 #: A task remembers the fragments it met in two halves of so many; a full half replaces the older one.
-MEMO = 600_000
+MEMO = 200_000
 #: Bytes of a column that are encoded or decoded at once.
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 
 # Fixed values of byte-level BPE: the pattern that splits text before merging.
 PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -55,6 +55,10 @@ class ByteBpe:
         self.ranks = {named[a] << 20 | named[b]: i for i, (a, b) in enumerate(pairs)}
         self.made = [named[a + b] for a, b in pairs]
         self.byte_ids = [self.ids[bytes([b])] for b in range(256)]
+        codes = np.array(list(self.ranks), np.int64)
+        order = np.argsort(codes)
+        self._codes, self._code_ranks = codes[order], np.array(list(self.ranks.values()), np.int64)[order]
+        self._made, self._byte_ids = np.array(self.made, np.int64), np.array(self.byte_ids, np.int64)
         self.bytes_of = {i: t for t, i in self.ids.items()}
         if any(t.get(k) for t in spec["added_tokens"] for k in ("lstrip", "rstrip", "single_word")):
             raise ValueError("added tokens that take white space or whole words are not known here")
@@ -83,22 +87,49 @@ class ByteBpe:
         ends = [*at.tolist(), len(text)]
         return [text[i:j] for i, j in zip([0, *ends], ends)]
 
-    def merge(self, word: bytes) -> list[int]:
-        """The ids of one word: joins the pair of lowest rank, leftmost first, until no pair is known."""
-        return self._merge_long(word) if len(word) > 100 else self._merge_short(word)
-
-    def _merge_short(self, word: bytes) -> list[int]:
-        parts, ranks, none = [self.byte_ids[b] for b in word], self.ranks, len(self.made)
-        found = [ranks.get(a << 20 | b, none) for a, b in zip(parts, parts[1:])]
-        while found and (best := min(found)) != none:
-            i = found.index(best)
-            new = parts[i] = self.made[best]
-            del found[i], parts[i + 1]
-            if i:
-                found[i - 1] = ranks.get(parts[i - 1] << 20 | new, none)
-            if i < len(found):
-                found[i] = ranks.get(new << 20 | parts[i + 1], none)
-        return parts
+    def merge_all(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word, as 32-bit integers: joins the pair of lowest rank, leftmost first, until no pair is known.
+
+        One such step is taken in all words at once, so there are as many as the longest word needs;
+        words of over 100 bytes go one by one.
+        """
+        out: list[bytes] = [b""] * len(words)
+        short = [i for i, w in enumerate(words) if 0 < len(w) <= 100]
+        for i, w in enumerate(words):
+            if len(w) > 100:
+                out[i] = array("i", self._merge_long(w)).tobytes()
+        which = np.array(short, np.int64)
+        ids = self._byte_ids[np.frombuffer(b"".join([words[i] for i in short]), np.uint8)]
+        size = np.array([len(words[i]) for i in short], np.int64)
+        none = len(self.made)
+        while len(which):
+            start = np.cumsum(size) - size
+            code = ids << 20
+            code[:-1] |= ids[1:]
+            at = np.minimum(np.searchsorted(self._codes, code), none - 1)
+            rank = np.where(self._codes[at] == code, self._code_ranks[at], none)
+            rank[start + size - 1] = none
+            best = np.minimum.reduceat(rank, start)
+            ended = best == none
+            if ended.any():
+                raw, lengths = ids[np.repeat(ended, size)].astype(np.int32).tobytes(), size[ended].tolist()
+                k = 0
+                for i, n in zip(which[ended].tolist(), lengths):
+                    out[i] = raw[k : k + 4 * n]
+                    k += 4 * n
+                go = ~ended
+                kept = np.repeat(go, size)
+                ids, rank, which, best, size = ids[kept], rank[kept], which[go], best[go], size[go]
+            word = np.repeat(np.arange(len(which)), size)
+            hits = np.flatnonzero(rank == best[word])
+            first = np.ones(len(hits), bool)
+            first[1:] = word[hits[1:]] != word[hits[:-1]]
+            hits = hits[first]
+            ids[hits] = self._made[best]
+            stay = np.ones(len(ids), bool)
+            stay[hits + 1] = False
+            ids, size = ids[stay], size - 1
+        return out
 
     def _merge_long(self, word: bytes) -> list[int]:
         """A heap over a linked list: n log n for words of any length."""
@@ -121,35 +152,63 @@ class ByteBpe:
                     heapq.heappush(heap, (r, left, parts[left], parts[right]))
         return [p for p in parts if p is not None]
 
-    def encode_fragment(self, fragment: bytes) -> bytes:
-        """The fragment's ids as 32-bit integers; ASCII letters after at most a space are one word."""
-        if fragment.isalpha() or (fragment[:1] == b" " and fragment[1:].isalpha()):
-            ids = self.merge(fragment)
-        else:
-            ids = [i for w in self.pretoken.findall(fragment.decode()) for i in self.merge(w.encode())]
-        return array("i", ids).tobytes()
-
-    def encode_plain(self, text: str) -> bytes:
-        if not text:
-            return b""
-        fragments = self.fragments(text.encode())
-        found = [*map(self.memo.get, fragments)]
-        if None in found:
-            for i, fragment in enumerate(fragments):
-                if found[i] is None:
-                    found[i] = self.memo.get(fragment) or self.older.get(fragment) or self.encode_fragment(fragment)
-                    if len(fragment) <= 64:
-                        if len(self.memo) >= MEMO:
-                            self.older, self.memo = self.memo, {}
-                        self.memo[fragment] = found[i]
-        return b"".join(found)
+    def encode_fragments(self, fragments: list[bytes]) -> list[bytes]:
+        """The ids of each fragment as 32-bit integers; ASCII letters after at most a space are one word."""
+        words: list[bytes] = []
+        ends = []
+        for fragment in fragments:
+            if fragment.isalpha() or (fragment[:1] == b" " and fragment[1:].isalpha()):
+                words.append(fragment)
+            else:
+                words += [w.encode() for w in self.pretoken.findall(fragment.decode())]
+            ends.append(len(words))
+        made = self.merge_all(words)
+        return [made[i] if j - i == 1 else b"".join(made[i:j]) for i, j in zip([0, *ends], ends)]
+
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text. Fragments met before come from the memo, all others are merged together."""
+        plain: list[list[bytes]] = []
+        held: list[list[bytes | None]] = []
+        open_at: list[list[int]] = []
+        shape: list[list[int | bytes]] = []  # of each text: places in ``held``, or the id of an added token
+
+        def part(text: str) -> int:
+            plain.append(self.fragments(text.encode()) if text else [])
+            return len(plain) - 1
+
+        for text in texts:
+            row: list[int | bytes] = []
+            at = 0
+            for m in self.added_pattern.finditer(text) if self.added_pattern else ():
+                row += [part(text[at : m.start()]), np.int32(self.added[m[0]]).tobytes()]
+                at = m.end()
+            shape.append([*row, part(text[at:])])
+        missing: dict[bytes, bytes] = {}
+        for fragments in plain:
+            found: list[bytes | None] = [*map(self.memo.get, fragments)]
+            gaps = []
+            for i in [i for i, v in enumerate(found) if v is None] if None in found else ():
+                fragment = fragments[i]
+                found[i] = old = self.older.get(fragment)
+                if old is None:
+                    missing[fragment] = b""
+                    gaps.append(i)
+                else:
+                    self.memo[fragment] = old
+            held.append(found)
+            open_at.append(gaps)
+        if missing:
+            missing = dict(zip(missing, self.encode_fragments(list(missing))))
+            for fragments, found, gaps in zip(plain, held, open_at):
+                for i in gaps:
+                    found[i] = missing[fragments[i]]
+            self.memo.update((k, v) for k, v in missing.items() if len(k) <= 64)
+        if len(self.memo) >= MEMO:
+            self.older, self.memo = self.memo, {}
+        return [np.frombuffer(b"".join([x if isinstance(x, bytes) else b"".join(held[x]) for x in row]), np.int32) for row in shape]
 
     def encode(self, text: str) -> np.ndarray:
-        out, at = [], 0
-        for m in self.added_pattern.finditer(text) if self.added_pattern else ():
-            out += [self.encode_plain(text[at : m.start()]), np.int32(self.added[m[0]]).tobytes()]
-            at = m.end()
-        return np.frombuffer(b"".join([*out, self.encode_plain(text[at:])]), np.int32)
+        return self.encode_many([text])[0]
 
     def decode(self, ids: list[int]) -> str:
         try:
@@ -203,7 +262,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str, text_col: str = "text", ids_col
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def make(bpe: ByteBpe, texts: pa.Array) -> pa.Array:
-        ids = [bpe.encode(t or "") for t in texts.to_pylist()]
+        ids = bpe.encode_many([t or "" for t in texts.to_pylist()])
         return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate(ids)))
 
     return _with_column(docs, ids_col, T.ArrayType(T.IntegerType()), text_col, make, held)
@@ -212,7 +271,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str, text_col: str = "text", ids_col
 def bpe_count(docs: DataFrame, vocabulary: str, text_col: str = "text", count_col: str = "n_tokens") -> DataFrame:
     """Adds ``count_col``, long, the number of ids that :func:`bpe_encode` gives the whole text; the ids stay in the task."""
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    return _with_column(docs, count_col, T.LongType(), text_col, lambda bpe, texts: pa.array([len(bpe.encode(t or "")) for t in texts.to_pylist()], pa.int64()), held)
+    return _with_column(docs, count_col, T.LongType(), text_col, lambda bpe, texts: pa.array([*map(len, bpe.encode_many([t or "" for t in texts.to_pylist()]))], pa.int64()), held)
 
 
 def bpe_decode(docs: DataFrame, vocabulary: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
