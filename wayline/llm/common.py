@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayline.operators.common import ensure_checkpoint_dir, materialise  # noqa: F401  materialise is for the operators
+
 #: Where the tables of :func:`stored` lie, by the id of the frame.
 _folders: dict[int, str] = {}
 
@@ -30,20 +30,6 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the cluster's ``spark.checkpoint.dir``; a local master without one gets a local folder, a cluster an error."""
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoints-"))
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared checkpoint folder and returns it with its lineage cut."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint when ``rows``, its counted size, is within ``limit``."""
     return F.broadcast(df) if rows <= limit else df
@@ -64,9 +50,7 @@ def stored(df: DataFrame) -> DataFrame:
     shuffles both sides and adaptive execution can split a hot key.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _folders[id(out)] = path
