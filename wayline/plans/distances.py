@@ -33,7 +33,7 @@ def _label_grid(points: DataFrame) -> DataFrame:
     """Four given settings: every seventh flight is noise in some of them, the others go by lane."""
     i, k = F.col("i"), F.col("k")
     every = points.select(F.col("flight_id").alias("i")).distinct().withColumn("k", F.explode(F.array(*map(F.lit, range(4)))))
-    label = F.when((i % 7 == 3) & (i % (k + 2) != 1), -1).otherwise(i % 5).cast("long")
+    label = F.when((i % 7 == 3) & ((i + k) % 8 != 0), -1).otherwise(i % 5).cast("long")
     return every.select((5 * (k + 1)).alias("mcs"), F.lit(5).alias("ms"), "i", label.alias("label"))
 
 
@@ -172,7 +172,7 @@ _TOP = f"top AS (SELECT a, b, hausdorff_km, row_number() OVER (ORDER BY hausdorf
 _CORE = f"core AS (SELECT 5 AS ms, i, d AS core FROM sym QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) = 4 UNION ALL SELECT 1, i, {d(0)} FROM ids)"
 
 _REACH = "SELECT 5 AS ms, a AS i, b AS j, greatest(hausdorff_km, p.core, q.core) AS w FROM matrix JOIN core p ON p.i = a AND p.ms = 5 JOIN core q ON q.i = b AND q.ms = 5"
-_GRID = """grid AS (SELECT 5 * (k + 1) AS mcs, 5 AS ms, i, CASE WHEN i % 7 = 3 AND i % (k + 2) <> 1 THEN -1 ELSE i % 5 END AS label FROM (SELECT DISTINCT flight_id AS i FROM u), range(4) t(k)),
+_GRID = """grid AS (SELECT 5 * (k + 1) AS mcs, 5 AS ms, i, CASE WHEN i % 7 = 3 AND (i + k) % 8 <> 0 THEN -1 ELSE i % 5 END AS label FROM (SELECT DISTINCT flight_id AS i FROM u), range(4) t(k)),
 fractions AS (SELECT i, count(*) AS settings, count(*) FILTER (WHERE label = -1) AS noise_count FROM grid GROUP BY i)"""
 _RANKED = "ranking AS (SELECT labels.i, medoid, medoids.label AS cluster, d FROM labels JOIN sym ON sym.i = labels.i JOIN medoids ON medoid = sym.j WHERE labels.label = -1 QUALIFY row_number() OVER (PARTITION BY labels.i ORDER BY d, medoid) = 1)"
 _UTC = "strftime(make_timestamp(CAST({} * 1000000 AS BIGINT)), '%Y-%m-%d %H:%M:%S+00:00')"
