@@ -20,7 +20,7 @@ PRIOR = 128.0
 #: A context of two tokens or more is a state if training has it so often; the prior outweighs rarer ones.
 MIN_CONTEXT = 8
 #: Characters of text that one task scores against its own part of the model.
-CHUNK_CHARS = 12_000_000
+CHUNK_CHARS = 9_000_000
 #: Distinct n-grams that one task counts, over all chunks.
 SHARD_KEYS = 2_000_000
 #: Tokens in a row that the traversal takes of one document at a time.
@@ -218,26 +218,39 @@ class Automaton:
         return out
 
 
-def corpus_size(docs: DataFrame, text: str, train: str) -> tuple[int, int, int, int]:
-    """(training tokens, distinct training tokens, all tokens, characters) over all rows."""
+def corpus_size(docs: DataFrame, text: str, train: str, shard_keys: int = SHARD_KEYS) -> tuple[int, int, int, int]:
+    """(training tokens, distinct training tokens, all tokens, characters) over all rows.
+
+    Each block of texts sends its distinct tokens, packed, to shards that count them once.
+    """
+    n_chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
+    bits = max(0, math.ceil(math.log2(max(1, n_chars / 20 / shard_keys))))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             learn = np.array(batch.column(1).to_pylist(), bool)
             for part in arrow_blocks(batch.column(0)):
-                texts = part_of(batch.column(0), part)
-                tokens, counts = _tokens(texts)
+                tokens, counts = _tokens(part_of(batch.column(0), part))
                 mine = np.repeat(learn[part], counts)
-                distinct = np.unique(tokens[mine]).view(np.int64)
-                n = len(distinct) + 1
-                totals = np.zeros((3, n), np.int64)
-                totals[:, 0] = mine.sum(), len(tokens), sum(len(t or "") for t in texts)
-                yield pa.RecordBatch.from_arrays([pa.array([None, *distinct], pa.int64()) if n == 1 else pa.concat_arrays([pa.nulls(1, pa.int64()), pa.array(distinct)]), *map(pa.array, totals)], names=["key", "learnt", "tokens", "chars"])
+                cut = _sharded(np.unique(tokens[mine]), bits)
+                rows = [(s, int(mine.sum()) if k == 0 else 0, len(tokens) if k == 0 else 0, *pack_keys(keys)) for k, (s, keys) in enumerate(cut or [(0, np.zeros(0, np.uint64))])]
+                types = (pa.int64(),) * 3 + (pa.binary(),) * 3
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["shard", "learnt", "tokens", "keys", "gaps", "far"])
+
+    def distinct(table: pa.Table) -> pa.Table:
+        keys = [unpack_keys(*x) for x in zip(*(table.column(c).to_pylist() for c in ("keys", "gaps", "far")))]
+        return pa.table({"learnt": [int(table.column("learnt").to_numpy().sum())], "tokens": [int(table.column("tokens").to_numpy().sum())], "types": [len(np.unique(np.concatenate(keys)))]})
+
+    parts = docs.select(text, train).mapInArrow(count, "shard long, learnt long, tokens long, keys binary, gaps binary, far binary")
+    r = parts.groupBy("shard").applyInArrow(distinct, "learnt long, tokens long, types long").agg(*[F.sum(c).alias(c) for c in ("learnt", "types", "tokens")]).first()
+    return r["learnt"] or 0, r["types"] or 0, r["tokens"] or 0, n_chars
+
 
-    parts = docs.select(text, train).mapInArrow(count, "key long, learnt long, tokens long, chars long")
-    sums = ("learnt", "tokens", "chars")
-    r = parts.groupBy("key").agg(*[F.sum(c).alias(c) for c in sums]).agg(F.count("key").alias("types"), *[F.sum(c).alias(c) for c in sums]).first()
-    return r["learnt"] or 0, r["types"], r["tokens"] or 0, r["chars"] or 0
+def _sharded(keys: np.ndarray, bits: int) -> list[tuple[int, np.ndarray]]:
+    """Sorted keys cut by their first ``bits`` bits: (shard, keys)."""
+    shard = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+    starts = np.flatnonzero(np.diff(shard, prepend=-1))
+    return [(int(shard[i]), keys[i:j]) for i, j in zip(starts, [*starts[1:], len(keys)])]
 
 
 def score_texts(
@@ -271,7 +284,7 @@ def score_texts(
     is a row for each chunk and shard, so both should grow with the memory of the executors.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    n_train, n_types, n_tokens, n_chars = corpus_size(base, "text", "train")
+    n_train, n_types, n_tokens, n_chars = corpus_size(base, "text", "train", shard_keys)
     n_chunks = max(1, -(-n_chars // chunk_chars))
     bits = max(0, math.ceil(math.log2(max(1, n_tokens) / shard_keys)))
     chunked = base.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)))
@@ -292,13 +305,12 @@ def score_texts(
 
     def ask(chunk: int, grams: Grams, r: int) -> pa.Table:
         keys, learnt = grams.ask()
-        shard = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
-        starts = np.flatnonzero(np.diff(shard, prepend=-1))
-        cut = [slice(i, j) for i, j in zip(starts, [*starts[1:], len(keys)])]
-        packed = [(*pack_keys(keys[c]), *pack_counts(learnt[c])) for c in cut]
+        cut = _sharded(keys, bits)
+        ends = np.cumsum([len(k) for _, k in cut])
+        packed = [(*pack_keys(k), *pack_counts(learnt[e - len(k) : e])) for (_, k), e in zip(cut, ends)]
         n = len(cut)
         binary = {name: pa.array([x[k] for x in packed], pa.binary()) for k, name in enumerate(("keys", "gaps", "far", "counts", "large"))}
-        return pa.table({"shard": pa.array([int(shard[c.start]) for c in cut], pa.int64()), "chunk": pa.array([chunk] * n, pa.int64()), "round": pa.array([r] * n, pa.int32()), **binary})
+        return pa.table({"shard": pa.array([s for s, _ in cut], pa.int64()), "chunk": pa.array([chunk] * n, pa.int64()), "round": pa.array([r] * n, pa.int32()), **binary})
 
     def first(key: tuple, table: pa.Table) -> pa.Table:
         return ask(key[0].as_py(), gathered(table, None), 0)

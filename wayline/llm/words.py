@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 
 #: Bytes that are hashed at once.
 BLOCK = 2_000_000
@@ -120,15 +121,15 @@ def part_of(column: pa.Array, part: slice) -> list:
 
 
 def pack_counts(values: np.ndarray) -> tuple[bytes, bytes]:
-    """Non-negative counts as one byte each, and apart the positions and values of those over 254."""
+    """Non-negative counts as one byte each, compressed, and apart the positions and values of those over 254."""
     large = np.flatnonzero(values >= 255)
     small = values.copy()
     small[large] = 255
-    return small.astype(np.uint8).tobytes(), np.stack([large.astype(np.int64), values[large].astype(np.int64)]).tobytes()
+    return zstandard.compress(small.astype(np.uint8).tobytes(), 1), np.stack([large.astype(np.int64), values[large].astype(np.int64)]).tobytes()
 
 
 def unpack_counts(small: bytes, large: bytes) -> np.ndarray:
-    values = np.frombuffer(small, np.uint8).astype(np.int64)
+    values = np.frombuffer(zstandard.decompress(small), np.uint8).astype(np.int64)
     where, what = np.frombuffer(large, np.int64).reshape(2, -1)
     values[where] = what
     return values
@@ -148,9 +149,9 @@ def pack_keys(keys: np.ndarray) -> tuple[bytes, bytes, bytes]:
 def unpack_keys(low: bytes, gaps: bytes, far: bytes) -> np.ndarray:
     if not gaps:
         return np.zeros(0, _U)
-    width = (len(low) - 8) // len(gaps)
-    first = np.frombuffer(low[:8], _U)[0]
-    high = np.cumsum(unpack_counts(gaps, far)).astype(_U) + (first >> _U(8 * width))
-    out = np.zeros((len(gaps), 8), np.uint8)
-    out[:, :width] = np.frombuffer(low, np.uint8, offset=8).reshape(len(gaps), width)
+    high = np.cumsum(unpack_counts(gaps, far)).astype(_U)
+    width = (len(low) - 8) // len(high)
+    high += np.frombuffer(low[:8], _U)[0] >> _U(8 * width)
+    out = np.zeros((len(high), 8), np.uint8)
+    out[:, :width] = np.frombuffer(low, np.uint8, offset=8).reshape(len(high), width)
     return out.view(_U).ravel() + (high << _U(8 * width))
