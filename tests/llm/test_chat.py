@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from wayline.llm.chat import conversations_as_turns, format_preferences, render, reply_pairs, trained_ranges
+from wayline.llm.chat import conversations_as_turns, format_preferences, reply_pairs, trained_ranges
 
 TURN = "array<struct<role:string,text:string>>"
 
@@ -52,5 +52,4 @@ def test_empty_and_clashing_names(spark):
     assert format_preferences(spark.createDataFrame([], schema)).count() == 0
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
-    assert render is not None
     assert reply_pairs(conversations_as_turns(spark.createDataFrame([], "conv_id long, turn int, role string, text string"))).count() == 0
