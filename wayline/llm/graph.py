@@ -21,8 +21,9 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
 
     ``links`` has two id columns; loops, repeats and either direction are allowed, null ends are not
     links. Nodes without a row are the smallest of their component. Each round is two joins and four
-    small tables in the shared folder, deleted after it; rounds grow with the logarithm of the longest path. A node
-    with very many links is split by adaptive execution, because both sides of each join are tables.
+    small tables in the shared folder, deleted after it; rounds grow with the logarithm of the longest
+    path. A node with very many links is split by adaptive execution, because both sides of each join
+    are tables.
     """
     big, small = F.greatest(a, b), F.least(a, b)
     edges = stored(links.where(F.col(a) != F.col(b)).select(big.alias("node"), small.alias("component")).distinct())

@@ -425,7 +425,8 @@ def _crowd_links(over: DataFrame, limits: DataFrame, docs: DataFrame, percent: i
     counts = judged.join(placed.select("node", "check", "size"), ["node", "check"]).groupBy("family", kind.alias("kind")).agg(blocks.alias("blocks"))
     known = counts.groupBy("family").agg(F.map_from_entries(F.collect_list(F.struct("kind", "blocks"))).alias("blocks"))
     ups = linked.groupBy("family").agg(F.map_from_entries(F.collect_list(F.struct("band", "up"))).alias("ups"))
-    held = judged.join(stored(known.join(ups, "family", "left")), "family")
+    maps = stored(known.join(ups, "family", "left"))
+    held = judged.join(maps, "family")
     own = F.struct(kind.alias("kind"), F.pmod(F.xxhash64("node", "check"), F.col("blocks")[kind]).cast("int").alias("block"))
     up = lambda band: F.coalesce(F.try_element_at("ups", band), F.lit(False))
 
@@ -438,8 +439,9 @@ def _crowd_links(over: DataFrame, limits: DataFrame, docs: DataFrame, percent: i
         return F.when(~skip & (n > 0), F.transform(F.sequence(F.lit(0), n - 1), task)).otherwise(F.array())
 
     tasks = F.concat(*[partners(by, inner) for by in (-1, 0, 1) for inner in (0, 1)])
-    spread = held.select(*name, "family", own.alias("own"), F.explode(tasks).alias("z")).select(*name, "family", "z.low", "z.high", (F.col("own") == F.col("z.high")).alias("second"))
-    full = stored(spread).join(texts, ["node", "check"])
+    spread = held.select(*name, "family", own.alias("own"), F.explode(tasks).alias("z"))
+    spread = stored(spread.select(*name, "family", "z.low", "z.high", (F.col("own") == F.col("z.high")).alias("second")))
+    full = spread.join(texts, ["node", "check"])
 
     def compare(table: pa.Table) -> pa.Table:
         rep, second = table.column("rep").to_numpy(), table.column("second").to_numpy()
@@ -454,7 +456,7 @@ def _crowd_links(over: DataFrame, limits: DataFrame, docs: DataFrame, percent: i
 
     met = full.groupBy("family", "low", "high").applyInArrow(compare, "rep_a long, rep_b long")
     links = stored(met.unionByName(to_leader).unionByName(between))
-    drop(members, pivots, family, placed, texts, bands, judged, steps, between)
+    drop(members, pivots, family, placed, texts, bands, judged, steps, between, maps, spread)
     return links
 
 
