@@ -19,7 +19,7 @@ from .common import read
 
 MAX_VOCABULARY_BYTES = 64_000_000
 #: A task remembers the fragments it met in two halves of so many; a full half replaces the older one.
-MEMO = 200_000
+MEMO = 120_000
 #: Bytes of a column that are encoded or decoded at once.
 BLOCK = 1_000_000
 

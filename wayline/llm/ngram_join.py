@@ -31,9 +31,9 @@ PARTS, LOSE = 3, 1
 #: Nodes, and shingles of them all, of a block that needs its crowded signatures; a task compares two blocks.
 CROWD_ROWS, CROWD_SHINGLES = 512, 1_000_000
 #: Bytes of text that a task turns to signatures at once.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 3_000_000
 #: Signatures that one task groups.
-SHARD_ENTRIES = 600_000
+SHARD_ENTRIES = 450_000
 
 _U = np.uint64
 _KEY = _U(0xD6E8FEB86659FD93)
