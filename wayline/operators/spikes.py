@@ -18,31 +18,31 @@ def _beyond(a: Column, b: Column, speed: float, tolerance: float) -> Column:
     return haversine_km(a["lat"], a["lon"], b["lat"], b["lon"]) > speed * (b["t"] - a["t"]) + tolerance
 
 
-def first_bursts(points: DataFrame, speed: float = SPEED_KM_S, tolerance: float = TOLERANCE_KM, max_burst: int = MAX_BURST, max_bridge: float = MAX_BRIDGE_SEC) -> DataFrame:
-    """(flight_id, burst): the ids of the points of each flight's first burst; flights without one have no row.
+def with_first_burst(points: DataFrame, speed: float = SPEED_KM_S, tolerance: float = TOLERANCE_KM, max_burst: int = MAX_BURST, max_bridge: float = MAX_BRIDGE_SEC) -> DataFrame:
+    """``points`` with ``burst``, the ids of the points of their flight's first burst, or null.
 
     A burst of 1 to ``max_burst`` points lies between two anchors that are at most ``max_bridge``
     seconds apart and within reach of each other, while every point of it is out of reach of both.
     The earliest left anchor wins, then the shortest burst; first and last points are in none. One
-    window brings the next points to every row, and only rows before a leg beyond reach go on.
+    sort by flight brings the next points to every row, and only rows before a leg beyond reach go on.
     """
-    w = Window.partitionBy("flight_id").orderBy(*ORDER)
+    flight = Window.partitionBy("flight_id")
+    w = flight.orderBy(*ORDER)
     row = F.struct(F.col("lastposupdate").alias("t"), "lat", "lon", "event_id")
-    ahead = F.array(*[F.lead(row, k).over(w) for k in range(1, max_burst + 2)])
-    near = points.select("flight_id", F.struct(*ORDER).alias("at"), row.alias("left"), ahead.alias("ahead"))
-    near = near.where(_beyond(F.col("left"), F.col("ahead")[0], speed, tolerance)).withColumn("ahead", F.filter("ahead", lambda x: x.isNotNull()))
-    left = F.col("left")
+    near = points.withColumns({"__left": row, "__ahead": F.array(*[F.lead(row, k).over(w) for k in range(1, max_burst + 2)])})
+    left, ahead = F.col("__left"), F.filter("__ahead", lambda x: x.isNotNull())
 
     def fits(size: Column) -> Column:
-        right = F.element_at("ahead", size + 1)
+        right = F.element_at(ahead, size + 1)
         bridge = right["t"] - left["t"]
-        inner = F.forall(F.slice("ahead", F.lit(1), size), lambda x: _beyond(left, x, speed, tolerance) & _beyond(x, right, speed, tolerance))
+        inner = F.forall(F.slice(ahead, F.lit(1), size), lambda x: _beyond(left, x, speed, tolerance) & _beyond(x, right, speed, tolerance))
         return (bridge > 0) & (bridge <= max_bridge) & ~_beyond(left, right, speed, tolerance) & inner
 
-    sizes = F.filter(F.sequence(F.lit(1), F.size("ahead") - 1), fits)
-    found = near.where("size(ahead) > 1").withColumn("size", F.try_element_at(sizes, F.lit(1))).where("size IS NOT NULL")
-    found = found.select("flight_id", "at", F.transform(F.slice("ahead", F.lit(1), F.col("size")), lambda x: x["event_id"]).alias("burst"))
-    return found.groupBy("flight_id").agg(F.min_by("burst", "at").alias("burst"))
+    some = F.when(F.size(ahead) > 1, F.sequence(F.lit(1), F.size(ahead) - 1)).otherwise(F.array().cast("array<int>"))
+    size = F.when(_beyond(left, F.col("__ahead")[0], speed, tolerance), F.try_element_at(F.filter(some, fits), F.lit(1)))
+    near = near.withColumn("__size", size)
+    own = F.when(F.col("__size").isNotNull(), F.struct(F.struct(*ORDER).alias("at"), F.transform(F.slice("__ahead", F.lit(1), F.col("__size")), lambda x: x["event_id"]).alias("burst")))
+    return near.withColumn("burst", F.min(own).over(flight)["burst"]).drop("__left", "__ahead", "__size")
 
 
 def find_spikes(points: DataFrame, passes: int = PASSES, **rule: float) -> DataFrame:
@@ -52,15 +52,15 @@ def find_spikes(points: DataFrame, passes: int = PASSES, **rule: float) -> DataF
     leg beyond reach enter, and only those that had a burst in one pass enter the next.
     """
     suspect = legs(points).where("bad_leg").select("flight_id").distinct()
-    left = materialise(points.select("flight_id", *ORDER, "lat", "lon").join(suspect, "flight_id", "left_semi"))
+    left = points.select("flight_id", *ORDER, "lat", "lon").join(suspect, "flight_id", "left_semi")
     found = points.select("flight_id", "event_id").limit(0)
-    for k in range(passes):
-        burst = materialise(first_bursts(left, **rule).select("flight_id", F.explode("burst").alias("event_id")))
-        if not burst.take(1):
+    for _ in range(passes):
+        judged = with_first_burst(left, **rule).where("burst IS NOT NULL")
+        judged = materialise(judged.withColumn("__gone", F.array_contains("burst", F.col("event_id"))).drop("burst"))
+        if not judged.take(1):
             break
-        found = found.unionByName(burst)
-        if k + 1 < passes:
-            left = materialise(left.join(burst.select("flight_id").distinct(), "flight_id", "left_semi").join(burst, ["flight_id", "event_id"], "left_anti"))
+        found = found.unionByName(judged.where("__gone").select("flight_id", "event_id"))
+        left = judged.where("NOT __gone").drop("__gone")
     return found
 
 
