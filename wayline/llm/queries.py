@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, embedding_dedup, exact_dedup, html_extract, lm, ngram_join, packing, pieces, quality, url_filter
+from . import bpe, chat, embedding_dedup, exact_dedup, html_extract, lm, ngram_join, packing, periodic, pieces, quality, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_quality": quality.op10_quality,
     "op12_sentencepiece": pieces.op12_sentencepiece,
+    "op13_periodic_runs": periodic.op13_periodic_runs,
 }
 
 SQL = {
