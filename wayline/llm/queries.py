@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, embedding_dedup, exact_dedup, html_extract, lm, ngram_join, packing, periodic, pieces, quality, url_filter
+from . import bpe, chat, embedding_dedup, exact_dedup, html_extract, lm, merkle, ngram_join, packing, periodic, pieces, quality, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_html_extract": html_extract.op8_html_extract,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_quality": quality.op10_quality,
+    "op11_merkle": merkle.op11_merkle,
     "op12_sentencepiece": pieces.op12_sentencepiece,
     "op13_periodic_runs": periodic.op13_periodic_runs,
 }
@@ -26,4 +27,5 @@ SQL = {
     "op4_lm_score": lm.OP4_SQL,
     "op6_embedding_dedup": embedding_dedup.OP6_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
+    "op11_merkle": merkle.OP11_SQL,
 }
