@@ -8,12 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayline.functions.geo import arc_km, unit_sphere
-from wayline.operators.common import ranked
+from wayline.operators.common import materialise, ranked
+from wayline.operators.spatial import Leaves, directed_leaves, long_pairs
 
 #: Points of a block; a task compares two blocks.
-BLOCK_POINTS = 16_384
-#: Sets with more points are compared one pair at a time, with pruning.
+BLOCK_POINTS = 32_768
+#: Sets with more points are compared one pair at a time, through an index of each.
 LONG = 1_024
+#: Sets with more points are cut to pieces, and no task holds such a set.
+SET_POINTS = 131_072
 
 
 def _nearest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -27,23 +30,6 @@ def _nearest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def directed_pruned(a: np.ndarray, b: np.ndarray, chunk: int = 128, stride: int = 16) -> float:
-    """Largest squared chord from a point of ``a`` to its nearest in ``b``.
-
-    A sample of ``b`` bounds each point's distance from above. Points are taken in falling order of
-    the bound, and none is left to look at once the bound is no more than the largest distance found.
-    """
-    bound = 2 - 2 * (a @ b[::stride].T).max(axis=1) + 1e-12
-    best = 0.0
-    order = np.argsort(-bound)
-    for k in range(0, len(order), chunk):
-        rows = order[k : k + chunk]
-        if bound[rows[0]] <= best:
-            break
-        best = max(best, float(_nearest(a[rows], b).min(axis=1).max()))
-    return best
-
-
 def nearest(a: np.ndarray, b: np.ndarray, chunk: int = 512) -> tuple[np.ndarray, np.ndarray]:
     """The squared chord from every point of ``a`` to its nearest in ``b``, and the first such point."""
     c2, at = np.empty(len(a)), np.empty(len(a), np.int64)
@@ -56,17 +42,26 @@ def nearest(a: np.ndarray, b: np.ndarray, chunk: int = 512) -> tuple[np.ndarray,
 
 def directed(a: np.ndarray, b: np.ndarray) -> float:
     """Largest squared chord from a point of ``a`` to its nearest in ``b``."""
-    return directed_pruned(a, b) if len(b) > LONG else float(nearest(a, b)[0].max())
+    return directed_leaves(Leaves(a), Leaves(b)) if len(b) > LONG else float(nearest(a, b)[0].max())
 
 
 def compare_blocks(left: list[np.ndarray], right: list[np.ndarray], same: bool) -> list[tuple[int, int, float, float]]:
     """(left set, right set, squared chord left to right, right to left) of all pairs; of one block, each pair once."""
     out = []
+    held: list[dict[int, Leaves]] = [{}, {}]
+
+    def index(side: int, k: int) -> Leaves:
+        at = held[0 if same else side]
+        if k not in at:
+            at[k] = Leaves((left, right)[side][k])
+        return at[k]
+
     for i, a in enumerate(left):
         start = i + 1 if same else 0
         short = [j for j in range(start, len(right)) if len(a) <= LONG and len(right[j]) <= LONG]
         for j in sorted({*range(start, len(right))} - {*short}):
-            out.append((i, j, directed_pruned(a, right[j]), directed_pruned(right[j], a)))
+            p, q = index(0, i), index(1, j)
+            out.append((i, j, directed_leaves(p, q), directed_leaves(q, p)))
         if short:
             sizes = np.array([len(right[j]) for j in short])
             at = np.cumsum(sizes) - sizes
@@ -77,18 +72,27 @@ def compare_blocks(left: list[np.ndarray], right: list[np.ndarray], same: bool)
     return out
 
 
-def distance_matrix(points: DataFrame, id_col: str = "flight_id", lat: str = "lat", lon: str = "lon", block_points: int = BLOCK_POINTS) -> DataFrame:
+def distance_matrix(points: DataFrame, id_col: str = "flight_id", lat: str = "lat", lon: str = "lon", block_points: int = BLOCK_POINTS, set_points: int = SET_POINTS) -> DataFrame:
     """The upper triangle (a < b) of directed and symmetric Hausdorff distances in km between the sets of ``id_col``.
 
     Sets are packed to one row each and dealt to blocks of about ``block_points`` points; each pair
-    of blocks is one task, so a set is sent once a block and no pair of points is ever a row. Rows
+    of blocks is one task, so a set is sent once a block and no pair of points is ever a row. Sets of
+    over ``set_points`` points are compared piece by piece, with each other and with the rest. Rows
     with a null id or coordinate are left out; repeated points change nothing.
     """
-    total = points.count()
-    blocks = max(4, -(-total // block_points))
     x, y, z = unit_sphere(F.col(lat), F.col(lon))
     id_type = dict(points.dtypes)[id_col]
     rows = points.where(F.col(id_col).isNotNull() & F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(F.col(id_col).alias("id"), x.alias("x"), y.alias("y"), z.alias("z"))
+    sizes = rows.groupBy("id").agg(F.count("*").alias("n"))
+    size = sizes.agg(F.sum("n"), F.max("n")).first()
+    blocks = max(4, -(-(size[0] or 0) // block_points))
+    km = lambda c: arc_km(F.sqrt(c))
+    result = lambda pairs: pairs.select("a", "b", km("ab").alias("directed_a_to_b_km"), km("ba").alias("directed_b_to_a_km"), km(F.greatest("ab", "ba")).alias("hausdorff_km"))
+    long = None
+    if (size[1] or 0) > set_points:
+        ids = materialise(sizes.where(F.col("n") > set_points).select("id"))
+        long = long_pairs(rows, ids, blocks)
+        rows = rows.join(ids, "id", "left_anti")
     packed = rows.groupBy("id").agg(F.collect_list(F.struct("x", "y", "z")).alias("p")).select("id", "p.x", "p.y", "p.z")
     own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     placed = packed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
@@ -108,8 +112,7 @@ def distance_matrix(points: DataFrame, id_col: str = "flight_id", lat: str = "la
         return pd.DataFrame({"a": ids(pick(i, j)), "b": ids(pick(j, i)), "ab": pick(there, back), "ba": pick(back, there)})
 
     pairs = placed.groupBy("low", "high").applyInPandas(compare, f"a {id_type}, b {id_type}, ab double, ba double")
-    km = lambda c: arc_km(F.sqrt(c))
-    return pairs.select("a", "b", km("ab").alias("directed_a_to_b_km"), km("ba").alias("directed_b_to_a_km"), km(F.greatest("ab", "ba")).alias("hausdorff_km"))
+    return result(pairs if long is None else pairs.unionByName(long))
 
 
 def dense_hausdorff(a: DataFrame, b: DataFrame, keys: list[str], block_points: int = BLOCK_POINTS) -> DataFrame:
