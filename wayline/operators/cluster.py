@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayline.operators.common import materialise
+from wayline.operators.forest import forest_edges
 
 SIZES, SAMPLES = (5, 10, 15, 20, 30), (5, 10, 15)
+#: Ids whose core distances are broadcast at most, a few dozen bytes each.
+BROADCAST_IDS = 500_000
 #: Distances count as this at least, so that 1 / distance is finite.
 LEAST_KM = 1e-12
 
@@ -22,9 +25,11 @@ def mirrored(matrix: DataFrame) -> DataFrame:
 
 def core_distances(matrix: DataFrame, samples: list[int]) -> DataFrame:
     """(ms, i, core): the ``ms``-th smallest distance of each id, its own 0 counted as the first."""
-    nth = F.row_number().over(Window.partitionBy("i").orderBy("d", "j")) + 1
+    nth = F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))
     asked = F.array(*[F.lit(s) for s in samples if s > 1])
-    near = mirrored(matrix).withColumn("ms", nth).where(F.array_contains(asked, F.col("ms"))).select("ms", "i", F.col("d").alias("core"))
+    # the bound on the number lets Spark drop all farther rows before the shuffle
+    least = mirrored(matrix).withColumn("nth", nth).where(F.col("nth") < max(samples))
+    near = least.withColumn("ms", F.col("nth") + 1).where(F.array_contains(asked, F.col("ms"))).select("ms", "i", F.col("d").alias("core"))
     if 1 in samples:
         near = near.unionByName(mirrored(matrix).select(F.lit(1).alias("ms"), "i", F.lit(0.0).alias("core")).distinct())
     return near
@@ -32,7 +37,9 @@ def core_distances(matrix: DataFrame, samples: list[int]) -> DataFrame:
 
 def mutual_reachability(matrix: DataFrame, core: DataFrame) -> DataFrame:
     """(ms, i, j, w) with i < j: the largest of the distance and the two core distances."""
-    side = lambda n: core.select("ms", F.col("i").alias(n), F.col("core").alias(f"core_{n}"))
+    core = materialise(core)
+    small = F.broadcast(core) if core.count() <= BROADCAST_IDS else core
+    side = lambda n: small.select("ms", F.col("i").alias(n), F.col("core").alias(f"core_{n}"))
     pairs = matrix.select(F.col("a").alias("i"), F.col("b").alias("j"), "hausdorff_km")
     return pairs.join(side("i"), "i").join(side("j"), ["ms", "j"]).select("ms", "i", "j", F.greatest("hausdorff_km", "core_i", "core_j").alias("w"))
 
@@ -40,16 +47,21 @@ def mutual_reachability(matrix: DataFrame, core: DataFrame) -> DataFrame:
 def spanning_edges(edges: DataFrame) -> DataFrame:
     """The minimum spanning forest of (ms, i, j, w) for every ``ms``, unique under the order (w, i, j).
 
-    Borůvka's rounds: each component takes its least edge to another one, which at least halves
-    their number; the components that the taken edges join are found by pointer jumping.
+    Every task first keeps only the forest of its own edges, so some (number of nodes) x (partitions) edges are
+    shuffled, not all pairs. If more are left than a task may hold, Borůvka's rounds follow: each component takes its least
+    edge to another one, which at least halves their number; the components that the taken edges join are found by
+    pointer jumping.
     """
-    edges = materialise(edges)
+    edges, done = forest_edges(edges)
+    if done:
+        return edges
     nodes = edges.select("ms", F.col("i").alias("node")).unionByName(edges.select("ms", F.col("j").alias("node"))).distinct()
     labels = materialise(nodes.withColumn("comp", F.col("node")))
     taken = None
     while True:
         side = lambda n: labels.select("ms", F.col("node").alias(n), F.col("comp").alias(f"c_{n}"))  # noqa: B023, E731
-        open_edges = edges.join(side("i"), ["ms", "i"]).join(side("j"), ["ms", "j"]).where("c_i <> c_j")
+        open_edges = materialise(edges.join(side("i"), ["ms", "i"]).join(side("j"), ["ms", "j"]).where("c_i <> c_j"))
+        edges = open_edges.drop("c_i", "c_j")
         out = lambda x, y: open_edges.select("ms", F.col(x).alias("comp"), F.struct("w", "i", "j").alias("e"), F.col(y).alias("to"))  # noqa: B023, E731
         least = materialise(out("c_i", "c_j").unionByName(out("c_j", "c_i")).groupBy("ms", "comp").agg(F.min(F.struct("e", "to")).alias("m")).select("ms", "comp", "m.to", "m.e.*"))
         if not least.take(1):
