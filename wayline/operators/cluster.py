@@ -218,12 +218,18 @@ def linkage_cut(matrix: DataFrame, ids: DataFrame, epsilon: float) -> DataFrame:
             return comp
 
 
-def medoids(matrix: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per cluster of (i, label): its size, the member with the least sum of distances (the smallest id on ties), and distances to it."""
+def medoids(matrix: DataFrame, labels: DataFrame, partial: bool = False) -> DataFrame:
+    """One row per cluster of (i, label): its size, the member with the least sum of distances (the smallest id on ties), and distances to it.
+
+    A ``partial`` matrix lacks pairs; then only members with the distances to all others count.
+    """
     members = labels.where("label >= 0").select("i", "label")
     own = members.select("i", F.col("i").alias("j"), F.lit(0.0).alias("d"), "label")
     within = mirrored(matrix).join(members, "i").join(members.select(F.col("i").alias("j"), "label"), ["j", "label"]).select("i", "j", "d", "label").unionByName(own)
-    best = within.groupBy("label", "i").agg(F.sum("d").alias("total"), F.count("*").alias("n")).groupBy("label").agg(F.min(F.struct(F.round("total", 9).alias("total"), "i", "n")).alias("m")).select("label", F.col("m.i").alias("medoid"), F.col("m.n").alias("flights"))
+    sums = within.groupBy("label", "i").agg(F.sum("d").alias("total"), F.count("*").alias("n"))
+    if partial:
+        sums = sums.join(members.groupBy("label").agg(F.count("*").alias("n")), ["label", "n"])
+    best = sums.groupBy("label").agg(F.min(F.struct(F.round("total", 9).alias("total"), "i", "n")).alias("m")).select("label", F.col("m.i").alias("medoid"), F.col("m.n").alias("flights"))
     near = within.join(best.select("label", F.col("medoid").alias("i")), ["label", "i"])
     return best.join(near.groupBy("label").agg(F.median("d").alias("median_distance_to_medoid_km"), F.max("d").alias("max_distance_to_medoid_km")), "label")
 

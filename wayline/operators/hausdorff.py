@@ -45,8 +45,8 @@ def directed(a: np.ndarray, b: np.ndarray) -> float:
     return directed_leaves(Leaves(a), Leaves(b)) if len(b) > LONG else float(nearest(a, b)[0].max())
 
 
-def compare_blocks(left: list[np.ndarray], right: list[np.ndarray], same: bool) -> list[tuple[int, int, float, float]]:
-    """(left set, right set, squared chord left to right, right to left) of all pairs; of one block, each pair once."""
+def compare_blocks(left: list[np.ndarray], right: list[np.ndarray], same: bool, wanted: np.ndarray | None = None) -> list[tuple[int, int, float, float]]:
+    """(left set, right set, squared chord left to right, right to left) of all pairs, or the ``wanted``; of one block, each pair once."""
     out = []
     held: list[dict[int, Leaves]] = [{}, {}]
 
@@ -58,8 +58,9 @@ def compare_blocks(left: list[np.ndarray], right: list[np.ndarray], same: bool)
 
     for i, a in enumerate(left):
         start = i + 1 if same else 0
-        short = [j for j in range(start, len(right)) if len(a) <= LONG and len(right[j]) <= LONG]
-        for j in sorted({*range(start, len(right))} - {*short}):
+        all_of_them = range(start, len(right)) if wanted is None else (start + np.flatnonzero(wanted[i, start:])).tolist()
+        short = [j for j in all_of_them if len(a) <= LONG and len(right[j]) <= LONG]
+        for j in sorted({*all_of_them} - {*short}):
             p, q = index(0, i), index(1, j)
             out.append((i, j, directed_leaves(p, q), directed_leaves(q, p)))
         if short:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.operators import clean, cluster, hausdorff, lineage, review
+from wayline.operators import clean, cluster, hausdorff, lineage, metric, review
 from wayline.operators.common import materialise, ranked
 from wayline.plans.sql import C2, LANES, MARKED, MATRIX, SETS, arc, d
 from wayline.plans.tracks import rounded, valid_points
@@ -166,7 +166,28 @@ def noise_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.noise_ranking(matrix, lanes, cluster.medoids(matrix, lanes)).select("i", "nearest_medoid", "nearest_cluster", rounded("distance_km", 5))
 
 
-QUERIES = {f.__name__: f for f in (hausdorff_pairs, pair_stats, top_pairs, top_pair_appearances, hausdorff_witness, matrix_invariants, id_alignment, core_distance, mutual_reachability, spanning_tree, hdbscan_labels, parameter_sweep, noise_fraction, settings_grid, given_sweep, given_noise_fraction, persistent_noise, linkage_cut, cluster_medoids, noise_ranking, noise_candidates, persistent_noise_review, key_differences, labelled_flights)}
+def core_distance_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``core_distance`` without the matrix."""
+    return metric.core_distances(metric.Sets(_points(spark, sf_dir)), [1, 5]).select("ms", "i", rounded("core", 5))
+
+
+def linkage_cut_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``linkage_cut`` without the matrix."""
+    return metric.linkage_cut(metric.Sets(_points(spark, sf_dir)), EPSILON_KM)
+
+
+def top_pairs_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``top_pairs`` without the matrix."""
+    return metric.top_pairs(metric.Sets(_points(spark, sf_dir)), TOP).select("rank", "a", "b", rounded("hausdorff_km", 5))
+
+
+def cluster_medoids_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``cluster_medoids`` without the matrix."""
+    points = _points(spark, sf_dir)
+    return metric.medoids(metric.Sets(points), _lanes(points)).select("label", "medoid", "flights", rounded("median_distance_to_medoid_km", 5), rounded("max_distance_to_medoid_km", 5))
+
+
+QUERIES = {f.__name__: f for f in (core_distance_bounded, linkage_cut_bounded, top_pairs_bounded, cluster_medoids_bounded, hausdorff_pairs, pair_stats, top_pairs, top_pair_appearances, hausdorff_witness, matrix_invariants, id_alignment, core_distance, mutual_reachability, spanning_tree, hdbscan_labels, parameter_sweep, noise_fraction, settings_grid, given_sweep, given_noise_fraction, persistent_noise, linkage_cut, cluster_medoids, noise_ranking, noise_candidates, persistent_noise_review, key_differences, labelled_flights)}
 
 _TOP = f"top AS (SELECT a, b, hausdorff_km, row_number() OVER (ORDER BY hausdorff_km DESC, a, b) AS rank FROM matrix QUALIFY rank <= {TOP})"
 _CORE = f"core AS (SELECT 5 AS ms, i, d AS core FROM sym QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) = 4 UNION ALL SELECT 1, i, {d(0)} FROM ids)"
@@ -224,3 +245,4 @@ SQL = {
     "cluster_medoids": f"WITH {LANES} SELECT m.label, medoid, flights, round(median(d), 5) AS median_distance_to_medoid_km, round(max(d), 5) AS max_distance_to_medoid_km FROM medoids m JOIN within w ON w.label = m.label AND w.i = medoid GROUP BY ALL",
     "noise_ranking": f"WITH {LANES} SELECT labels.i, medoid AS nearest_medoid, medoids.label AS nearest_cluster, round(d, 5) AS distance_km FROM labels JOIN sym ON sym.i = labels.i JOIN medoids ON medoid = sym.j WHERE labels.label = -1 QUALIFY row_number() OVER (PARTITION BY labels.i ORDER BY d, medoid) = 1",
 }
+SQL |= {f"{name}_bounded": SQL[name] for name in ("core_distance", "linkage_cut", "top_pairs", "cluster_medoids")}
