@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayline.functions.geo import inside
+from wayline.operators.common import materialise
 from wayline.sources.tables import text_key, utc_text
 
 BEFORE_SEC, AFTER_SEC, MIN_MATCHES, MIN_ROWS, GAP_SEC = 600.0, 240.0, 3, 5, 60.0
@@ -18,6 +19,21 @@ def valid_arrivals(arrivals: DataFrame, plane_pattern: str = "^[0-9a-f]{6}$") ->
     return named.where(F.col("icao24").rlike(plane_pattern) & (F.col("callsign") != "")).groupBy("callsign", "icao24", "lastseen").agg(F.min("firstseen").alias("firstseen"))
 
 
+def interval_join(points: DataFrame, intervals: DataFrame, key: str, t: str = "t", low: str = "low", high: str = "high") -> DataFrame:
+    """Rows of both sides with equal ``key`` and ``low`` <= ``t`` <= ``high``, both ends included.
+
+    They meet on the key and a bin of time, so a key with many points and many intervals is spread over its bins and the
+    pairs looked at grow with those found. A bin is as long as the intervals are on average: then all of them lie in at
+    most three bins each on average, whatever the longest is. Null keys, times and ends join nothing, nor do intervals
+    that end before they begin. The sides share no column but the key.
+    """
+    kept = intervals.where(F.col(low) <= F.col(high))
+    width = kept.agg(F.avg(F.col(high) - F.col(low))).first()[0] or 1.0
+    bin_of = lambda c: F.floor(F.col(c) / F.lit(float(width))).cast("long")
+    cells = kept.withColumn("__bin", F.explode(F.sequence(bin_of(low), bin_of(high))))
+    return points.withColumn("__bin", bin_of(t)).join(cells, [key, "__bin"]).where(F.col(t).between(F.col(low), F.col(high))).drop("__bin")
+
+
 def arrival_points(arrivals: DataFrame, points: DataFrame, first: float, last: float) -> DataFrame:
     """Points (icao24, t, ...) of each arrival's aircraft from 10 minutes before it is first to 4 after it is last seen.
 
@@ -27,13 +43,15 @@ def arrival_points(arrivals: DataFrame, points: DataFrame, first: float, last: f
     """
     a = arrivals.select("callsign", F.col("icao24").alias("plane"), "lastseen", F.greatest(F.lit(first), F.col("firstseen") - BEFORE_SEC).alias("low"), F.least(F.lit(last), F.col("lastseen") + AFTER_SEC).alias("high"))
     p = points.withColumns({"icao24": F.lower(F.trim(F.coalesce("icao24", F.lit("")))), "point_callsign": text_key(F.col("callsign"))}).drop("callsign").dropna(subset=["t", "lat", "lon"])
-    on = (F.col("icao24") == F.col("plane")) & F.col("t").between(F.col("low"), F.col("high"))
-    joined = p.join(a, on).drop("plane", "low", "high")
+    joined = interval_join(p, a.withColumnRenamed("plane", "icao24"), "icao24").drop("low", "high")
     flight = ["callsign", "icao24", "lastseen"]
     match = F.col("point_callsign") == F.col("callsign")
-    counted = joined.groupBy(*flight).agg(F.count_if(match).alias("matches"))
-    kept = joined.join(counted, flight).where((F.col("matches") < MIN_MATCHES) | match | (F.col("point_callsign") == "")).drop("matches")
-    return kept.groupBy(*flight, "t", "lat", "lon").agg(F.min("lastposupdate").alias("lastposupdate"))
+    own = match | (F.col("point_callsign") == "")
+    update = F.col("lastposupdate")
+    places = materialise(joined.groupBy(*flight, "t", "lat", "lon").agg(F.count_if(match).alias("matches"), F.count_if(own).alias("own"), F.min(update).alias("any_update"), F.min(F.when(own, update)).alias("own_update")))
+    named = places.groupBy(*flight).agg((F.sum("matches") >= MIN_MATCHES).alias("named"))
+    kept = places.join(named, flight).where(~F.col("named") | (F.col("own") > 0))
+    return kept.select(*flight, "t", "lat", "lon", F.when(F.col("named"), F.col("own_update")).otherwise(F.col("any_update")).alias("lastposupdate"))
 
 
 def arrival_checks(arrivals: DataFrame, matched: DataFrame, max_age: float = 15.0) -> DataFrame:
