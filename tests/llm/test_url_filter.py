@@ -1,6 +1,8 @@
+import time
+
 import pytest
 
-from wayline.llm.url_filter import RULES, Rule, filter_urls
+from wayline.llm.url_filter import RULES, Rule, UrlTrie, filter_urls
 
 CASES = [
     (1, "https://Blog.X.Example.COM/en/712?x=/de/", "blog.x.example.com", "/en/712", "example.com/en/7", "allow"),
@@ -37,3 +39,19 @@ def test_precedence_ties_and_empty(spark):
         assert out == {1: ("a.b/x", "block"), 2: ("b/x/y/z", "block"), 3: ("c", "allow")}
         assert filter_urls(pages.limit(0), rules, max_trie_chars=limit).count() == 0
         assert {r["verdict"] for r in filter_urls(pages, [], default="block", max_trie_chars=limit).collect()} == {"block"}
+
+
+def test_very_long_segments_and_many_segments(spark):
+    rules = [*RULES, Rule("block", "long.org", "/" + "a" * 5000), Rule("allow", "long.org", "/x/x/x/x")]
+    paths = ["/en/" + "b" * 2_000_000, "/" + "a" * 2_000_000, "/" + "a" * 4999, "/x" * 20_000, "/x/x/x"]
+    trie = UrlTrie(rules)
+    begin = time.process_time()
+    got = [trie.match("w.long.org", p) for p in paths] + [trie.match("b.com", paths[0])]
+    assert time.process_time() - begin < 0.1
+    assert [g and g[1] for g in got] == [None, "block", None, "allow", None, "block"]
+    rows = [(k, f"h://w.long.org{p}") for k, p in enumerate(paths)] + [(5, f"h://b.com{paths[0]}"), (6, "h://" + "q." * 5000 + "long.org/x/x/x/x1")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    want = {k: (g[1] if g else "allow") for k, g in enumerate(got)} | {6: "allow"}
+    for limit in (10**6, 0):
+        out = {r["page_id"]: r["verdict"] for r in filter_urls(pages, rules, max_trie_chars=limit).select("page_id", "verdict").collect()}
+        assert out == want

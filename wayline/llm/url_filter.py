@@ -50,7 +50,8 @@ class UrlTrie:
     """Host labels from the top-level domain down, then whole path segments, then the last, partial segment.
 
     Every node of the host part may hold the root of a path part. A path node keeps the rules that
-    end in it by their last segment, which need only begin the url's segment. The deepest host wins,
+    end in it by the length of their last segment, which need only begin the url's segment, and then by
+    that segment: a url of any length is looked at no further than the rules go. The deepest host wins,
     then the longest path; an entry listed as both allow and block blocks.
     """
 
@@ -64,9 +65,9 @@ class UrlTrie:
             *whole, last = rule.path.split("/")
             for segment in whole:
                 at = at["segments"].setdefault(segment, {"segments": {}, "ends": {}})
-            held = at["ends"].get(last)
-            if held is None or rule.verdict == "block":
-                at["ends"][last] = (rule.text, rule.verdict)
+            ends = at["ends"].setdefault(len(last), {})
+            if last not in ends or rule.verdict == "block":
+                ends[last] = (rule.text, rule.verdict)
 
     def match(self, host: str, path: str) -> tuple[str, str] | None:
         node, fits = self.root, []
@@ -85,11 +86,10 @@ class UrlTrie:
     def _match_path(at: dict, segments: list[str]) -> tuple[str, str] | None:
         best = None
         for segment in segments:
-            if at["ends"]:
-                for n in range(len(segment), -1, -1):
-                    if segment[:n] in at["ends"]:
-                        best = at["ends"][segment[:n]]
-                        break
+            for n in sorted(at["ends"], reverse=True):
+                if n <= len(segment) and segment[:n] in at["ends"][n]:
+                    best = at["ends"][n][segment[:n]]
+                    break
             at = at["segments"].get(segment)
             if at is None:
                 break
@@ -134,7 +134,8 @@ def join_urls(pages: DataFrame, rules: Iterable[Rule] | DataFrame, url: str = "u
     """:func:`filter_urls` for rule lists of any length, given as a DataFrame (verdict, host, path) or rules.
 
     Each distinct url meets the rules on (host suffix, whole leading segments), an equi-join with at
-    most labels x segments keys a url; the verdicts return to the pages by url.
+    most as many keys a url as the rules have lengths of hosts times depths of paths, however long it is; the verdicts
+    return to the pages by url.
     """
     spark = pages.sparkSession
     if not isinstance(rules, DataFrame):
@@ -145,13 +146,16 @@ def join_urls(pages: DataFrame, rules: Iterable[Rule] | DataFrame, url: str = "u
         F.col("path").alias("rule_path"),
         "verdict",
     )
+    deepest = keyed.agg(F.max(F.size(F.split("key_host", r"\."))), F.max(F.size(F.split("key_path", "/"))), F.max(F.length("key_path"))).first()
+    host_depth, path_depth, path_length = (n or 0 for n in deepest)
     kept = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
     base = pages.withColumns({"host": host_of(pages[url]), "path": path_of(pages[url])}).select(*kept, "host", "path")
     labels, parts = F.split("host", r"\."), F.split("path", "/")
     distinct = base.select("host", "path").distinct()
     keys = (
-        distinct.withColumn("key_host", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))))
-        .withColumn("key_path", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.when(i == 0, "").otherwise(F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/"))))))
+        distinct.withColumn("key_host", F.explode(F.transform(F.sequence(F.greatest(F.lit(1), F.size(labels) - host_depth + 1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))))
+        .withColumn("key_path", F.explode(F.transform(F.sequence(F.lit(0), F.least(F.size(parts) - 1, F.lit(max(0, path_depth - 1)))), lambda i: F.when(i == 0, "").otherwise(F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/"))))))
+        .where(F.length("key_path") <= path_length)
     )
     found = (
         keys.join(keyed, ["key_host", "key_path"])
