@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from wayline.llm.exact_dedup import exact_dedup
+from wayline.llm import exact_dedup as module
+from wayline.llm.exact_dedup import exact_dedup, op9_exact_dedup
 
 ROWS = [(5, "a", 1), (2, "a", 2), (9, "a", 3), (3, None, 4), (4, "", 5), (7, "b" * 90_000, 6), (None, "c", 7), (8, "c", 8), (None, "d", 9), (None, "d", 9), (6, " a", 1), (1, "e", 1), (1, "e", 1)]
 
@@ -31,3 +32,20 @@ def test_clashing_names_and_empty(spark):
     docs = spark.createDataFrame(ROWS, "doc_id long, text string, Kept int")
     assert exact_dedup(docs).columns == ["doc_id", "text", "keep_id", "group_size", "kept"]
     assert exact_dedup(docs.limit(0)).count() == 0
+
+
+def test_the_query_joins_without_texts(spark, monkeypatch):
+    """Also where there are too many groups to broadcast."""
+    monkeypatch.setattr(module, "broadcast_if_small", lambda df, rows: df)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = op9_exact_dedup(spark, "/root/testdata/sf0.001")
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        below = plan[plan.index("Join") :].split("Relation")[0]
+        carried = [line for line in below.split("\n") if "Project" in line]
+        assert "Join" in plan and not any("#" in c and c.strip().startswith(("text#", "__text#")) for line in carried for c in line.split("[")[1].split("]")[0].split(", "))
+        rows = sorted(map(tuple, out.collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    monkeypatch.undo()
+    assert rows == sorted(map(tuple, op9_exact_dedup(spark, "/root/testdata/sf0.001").collect()))

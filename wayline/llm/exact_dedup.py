@@ -49,19 +49,25 @@ def exact_dedup(
     texts = F.count("*").over(Window.partitionBy("__hash"))
     groups = materialise(by_text.withColumn("__texts", texts).select("__hash", F.when(F.col("__texts") > 1, F.col("__text")).alias("__other"), "__keep", "__size"))
     collided = bool(groups.where("__other IS NOT NULL").take(1))
-    # with collisions the groups carry texts, whose bytes no count bounds
-    right = (groups if collided else broadcast_if_small(groups.drop("__other"), n_repeated)).withColumnRenamed("__hash", "__group")
-    on = F.col("__hash") == F.col("__group")
-    if collided:
-        on &= F.col("__other").isNull() | (F.col("__other") == F.col("__text"))
+    plain = broadcast_if_small(groups.where(F.col("__other").isNull()).drop("__other"), n_repeated).withColumnRenamed("__hash", "__group")
+    if not collided:
+        out = base.join(plain, F.col("__hash") == F.col("__group"), "left")
+    else:
+        # only rows of a hash that several texts share need their texts in the join
+        shared = broadcast_if_small(groups.where("__other IS NOT NULL").select(F.col("__hash").alias("__group")).distinct(), n_repeated)
+        alone = base.join(shared, F.col("__hash") == F.col("__group"), "left_anti").join(plain, F.col("__hash") == F.col("__group"), "left")
+        texts = groups.where("__other IS NOT NULL").withColumnRenamed("__hash", "__group")
+        together = base.join(shared, F.col("__hash") == F.col("__group"), "left_semi").join(texts, (F.col("__hash") == F.col("__group")) & (F.col("__text") == F.col("__other")))
+        out = alone.unionByName(together.drop("__other"))
     own = F.col("__size").isNull()
     keep_id = F.when(own, F.col(id_col)).otherwise(F.col("__keep"))
-    return base.join(right, on, "left").select(*names, keep_id.alias("keep_id"), F.coalesce("__size", F.lit(1)).cast("long").alias("group_size"), F.col(id_col).eqNullSafe(keep_id).alias("kept"))
+    return out.select(*names, keep_id.alias("keep_id"), F.coalesce("__size", F.lit(1)).cast("long").alias("group_size"), F.col(id_col).eqNullSafe(keep_id).alias("kept"))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = exact_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"), keep="largest")
-    return out.select("doc_id", "keep_id", "group_size", "kept", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+    # the digest is made before the join, which then carries no text
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+    return exact_dedup(docs, keep="largest").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 OP9_SQL = """
