@@ -368,14 +368,3 @@ def test_strict_times(spark):
         bad.select(tables.strict_seconds(bad, "time")).collect()
     seconds = spark.createDataFrame([(0, 1748736000.0), (1, 1748736000.25), (2, -1.0), (3, None)], "k int, s double")
     assert [r[0] for r in seconds.orderBy("k").select(tables.utc_text(F.col("s"))).collect()] == ["2025-06-01 00:00:00+00:00", "2025-06-01 00:00:00.250000+00:00", "1969-12-31 23:59:59+00:00", None]
-
-
-def test_stored_matrix(spark, monkeypatch):
-    rows = [(f, float(t), 50 + 0.1 * f + 0.01 * t, 8.0) for f in range(4) for t in range(5)]
-    points = spark.createDataFrame(rows, "flight_id long, t double, lat double, lon double")
-    first = lineage.stored_matrix(points).collect()
-    assert len(first) == 6
-    monkeypatch.setattr(lineage, "distance_matrix", None)  # it is read, not built again
-    assert sorted(lineage.stored_matrix(points.repartition(3)).collect()) == sorted(first)
-    with pytest.raises(TypeError):
-        lineage.stored_matrix(points.withColumn("lat", F.col("lat") + 1))

@@ -73,31 +73,44 @@ def compare_blocks(left: list[np.ndarray], right: list[np.ndarray], same: bool,
     return out
 
 
-def distance_matrix(points: DataFrame, id_col: str = "flight_id", lat: str = "lat", lon: str = "lon", block_points: int = BLOCK_POINTS, set_points: int = SET_POINTS) -> DataFrame:
+def distance_matrix(points: DataFrame, id_col: str = "flight_id", lat: str = "lat", lon: str = "lon", block_points: int = BLOCK_POINTS, set_points: int = SET_POINTS, fresh: DataFrame | None = None) -> DataFrame:
     """The upper triangle (a < b) of directed and symmetric Hausdorff distances in km between the sets of ``id_col``.
 
     Sets are packed to one row each and dealt to blocks of about ``block_points`` points; each pair
     of blocks is one task, so a set is sent once a block and no pair of points is ever a row. Sets of
     over ``set_points`` points are compared piece by piece, with each other and with the rest. Rows
-    with a null id or coordinate are left out; repeated points change nothing.
+    with a null id or coordinate are left out; repeated points change nothing. With ``fresh`` (the id column) only pairs
+    with one of these ids are compared: they have blocks of their own, and other blocks never meet each other.
     """
     x, y, z = unit_sphere(F.col(lat), F.col(lon))
     id_type = dict(points.dtypes)[id_col]
     rows = points.where(F.col(id_col).isNotNull() & F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(F.col(id_col).alias("id"), x.alias("x"), y.alias("y"), z.alias("z"))
     sizes = rows.groupBy("id").agg(F.count("*").alias("n"))
-    size = sizes.agg(F.sum("n"), F.max("n")).first()
+    if fresh is not None:
+        new_ids = materialise(fresh.select(F.col(id_col).alias("id")).where("id IS NOT NULL").distinct()).withColumn("new", F.lit(True))
+        mark = lambda df: df.join(new_ids, "id", "left")
+    else:
+        mark = lambda df: df.withColumn("new", F.lit(True))
+    size = mark(sizes).agg(F.sum("n"), F.max("n"), F.sum(F.when(F.col("new"), F.col("n")))).first()
     blocks = max(4, -(-(size[0] or 0) // block_points))
+    of_new = blocks if fresh is None else max(1, -(-(size[2] or 0) // block_points))
     km = lambda c: arc_km(F.sqrt(c))
     result = lambda pairs: pairs.select("a", "b", km("ab").alias("directed_a_to_b_km"), km("ba").alias("directed_b_to_a_km"), km(F.greatest("ab", "ba")).alias("hausdorff_km"))
     long = None
     if (size[1] or 0) > set_points:
         ids = materialise(sizes.where(F.col("n") > set_points).select("id"))
         long = long_pairs(rows, ids, blocks)
+        if fresh is not None:
+            one = lambda c: new_ids.select(F.col("id").alias(c), F.lit(True).alias(f"new_{c}"))
+            long = long.join(one("a"), "a", "left").join(one("b"), "b", "left").where("new_a OR new_b").select("a", "b", "ab", "ba")
         rows = rows.join(ids, "id", "left_anti")
     packed = rows.groupBy("id").agg(F.collect_list(F.struct("x", "y", "z")).alias("p")).select("id", "p.x", "p.y", "p.z")
-    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    placed = packed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    placed = placed.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("other")
+    new, h = F.col("new").isNotNull(), F.xxhash64("id")
+    others = max(1, blocks - of_new)
+    own = F.when(new, F.pmod(h, F.lit(of_new))).otherwise(of_new + F.pmod(h, F.lit(others))).cast("int")
+    last = F.when(new, of_new - 1 if fresh is None else of_new + others - 1).otherwise(of_new - 1)
+    placed = mark(packed).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    placed = placed.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("other", "new")
 
     def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         low, high = key

@@ -1,14 +1,11 @@
-"""Whether a stored matrix still belongs to its inputs."""
+"""Whether stored results still belong to their inputs."""
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayline.operators.common import ensure_checkpoint_dir, materialise, ranked
-from wayline.operators.hausdorff import distance_matrix, require_sound
+from wayline.operators.common import ranked
 
 
 def content_digest(df: DataFrame, columns: list[str]) -> str:
@@ -42,26 +39,3 @@ def is_current(stored: dict[str, str] | None, points: DataFrame, matrix: DataFra
 def indexed_ids(ids: DataFrame, key: str = "flight_id") -> DataFrame:
     """(matrix_index, key) of the distinct ids, in their order, from 0."""
     return ranked(ids.select(key).distinct(), key, name="matrix_index").select("matrix_index", key)
-
-
-def stored_matrix(points: DataFrame) -> DataFrame:
-    """The checked distance matrix of ``points`` (flight_id, ...), written once beside its manifest and read while that is current.
-
-    It lies in the shared checkpoint folder under the digest of the points. A matrix without a
-    manifest, or with one of other points, another matrix or other ids, is built anew.
-    """
-    spark = points.sparkSession
-    points = materialise(points)
-    ids = materialise(indexed_ids(points))
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/matrices/{content_digest(points, points.columns)}"
-    try:
-        matrix = spark.read.parquet(f"{path}/matrix")
-        if is_current(json.loads(spark.read.text(f"{path}/manifest").first()[0]), points, matrix, ids, ids):
-            return matrix
-    except Exception as e:  # noqa: BLE001  a missing or broken file is a stale one
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e) and not isinstance(e, (TypeError, ValueError, KeyError)):
-            raise
-    require_sound(materialise(distance_matrix(points)), ids.count()).write.mode("overwrite").parquet(f"{path}/matrix")
-    matrix = spark.read.parquet(f"{path}/matrix")
-    spark.createDataFrame([(json.dumps(manifest(points, matrix, ids)),)], "value string").write.mode("overwrite").text(f"{path}/manifest")
-    return matrix

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayline.operators import clean, cluster, hausdorff, lineage, metric, review
 from wayline.operators.common import materialise, ranked
+from wayline.operators.matrix_store import MatrixStore, stored_matrix
 from wayline.plans.sql import C2, LANES, MARKED, MATRIX, SETS, arc, d
 from wayline.plans.tracks import rounded, valid_points
 from wayline.sources.tables import flights, utc_text
@@ -19,8 +22,8 @@ def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialise(valid_points(spark, sf_dir))
 
 
-def _matrix(points: DataFrame) -> DataFrame:
-    return lineage.stored_matrix(points)
+def _matrix(points: DataFrame, sf_dir: str) -> DataFrame:
+    return stored_matrix(points, hashlib.md5(sf_dir.encode()).hexdigest())
 
 
 def _lanes(points: DataFrame) -> DataFrame:
@@ -41,30 +44,40 @@ _KM = ["directed_a_to_b_km", "directed_b_to_a_km", "hausdorff_km"]
 
 
 def hausdorff_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _matrix(_points(spark, sf_dir)).select("a", "b", *[rounded(c, 5) for c in _KM])
+    return _matrix(_points(spark, sf_dir), sf_dir).select("a", "b", *[rounded(c, 5) for c in _KM])
+
+
+def matrix_after_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matrix once flight 7 has moved and flight 11 is gone: only pairs with flight 7 are compared anew."""
+    points = _points(spark, sf_dir)
+    store = MatrixStore(spark, hashlib.md5(f"{sf_dir} changed".encode()).hexdigest())
+    store.update(points)
+    i = F.col("flight_id")
+    matrix, _ = store.update(materialise(points.where(i != 11).withColumn("lat", F.when(i == 7, F.col("lat") + 0.25).otherwise(F.col("lat")))))
+    return matrix.select("a", "b", *[rounded(c, 5) for c in _KM])
 
 
 def pair_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hausdorff.pair_statistics(_matrix(_points(spark, sf_dir))).select("pairs", *[rounded(c, 5) for c in ("min_km", "median_km", "p95_km", "max_km")])
+    return hausdorff.pair_statistics(_matrix(_points(spark, sf_dir), sf_dir)).select("pairs", *[rounded(c, 5) for c in ("min_km", "median_km", "p95_km", "max_km")])
 
 
 def top_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hausdorff.top_pairs(_matrix(_points(spark, sf_dir)), TOP).select("rank", "a", "b", rounded("hausdorff_km", 5))
+    return hausdorff.top_pairs(_matrix(_points(spark, sf_dir), sf_dir), TOP).select("rank", "a", "b", rounded("hausdorff_km", 5))
 
 
 def top_pair_appearances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hausdorff.appearances(hausdorff.top_pairs(_matrix(_points(spark, sf_dir)), TOP))
+    return hausdorff.appearances(hausdorff.top_pairs(_matrix(_points(spark, sf_dir), sf_dir), TOP))
 
 
 def hausdorff_witness(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = _points(spark, sf_dir)
-    out = hausdorff.witnesses(hausdorff.top_pairs(_matrix(points), TOP), points)
+    out = hausdorff.witnesses(hausdorff.top_pairs(_matrix(points, sf_dir), TOP), points)
     return out.select("flight_a", "flight_b", "direction", rounded("hausdorff_km", 5), "source_index", "target_index", "source_lat", "source_lon", "target_lat", "target_lon")
 
 
 def matrix_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = _points(spark, sf_dir)
-    return hausdorff.matrix_violations(_matrix(points), points.select("flight_id").distinct().count())
+    return hausdorff.matrix_violations(_matrix(points, sf_dir), points.select("flight_id").distinct().count())
 
 
 def id_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,23 +89,23 @@ def id_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def core_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.core_distances(_matrix(_points(spark, sf_dir)), [1, 5]).select("ms", "i", rounded("core", 5))
+    return cluster.core_distances(_matrix(_points(spark, sf_dir), sf_dir), [1, 5]).select("ms", "i", rounded("core", 5))
 
 
 def mutual_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    matrix = _matrix(_points(spark, sf_dir))
+    matrix = _matrix(_points(spark, sf_dir), sf_dir)
     return cluster.mutual_reachability(matrix, cluster.core_distances(matrix, [5])).select("ms", "i", "j", rounded("w", 5))
 
 
 def spanning_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    matrix = _matrix(_points(spark, sf_dir))
+    matrix = _matrix(_points(spark, sf_dir), sf_dir)
     return cluster.spanning_edges(cluster.mutual_reachability(matrix, cluster.core_distances(matrix, [5]))).select("ms", "i", "j", rounded("w", 5))
 
 
 def _fitted(spark: SparkSession, sf_dir: str, sweep: bool = True) -> DataFrame:
     points = _points(spark, sf_dir)
     n = points.select("flight_id").distinct().count()
-    return materialise(cluster.hdbscan(_matrix(points), cluster.settings_grid(n, REQUESTED) if sweep else [REQUESTED]))
+    return materialise(cluster.hdbscan(_matrix(points, sf_dir), cluster.settings_grid(n, REQUESTED) if sweep else [REQUESTED]))
 
 
 def hdbscan_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,14 +140,14 @@ def persistent_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def noise_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = _points(spark, sf_dir)
-    matrix, lanes = _matrix(points), _lanes(points)
+    matrix, lanes = _matrix(points, sf_dir), _lanes(points)
     out = cluster.noise_candidates(matrix, lanes, _label_grid(points), cluster.medoids(matrix, lanes))
     return out.select("i", "noise_fraction", "nearest_medoid", "nearest_cluster", rounded("distance_km", 5))
 
 
 def persistent_noise_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = _points(spark, sf_dir)
-    matrix, lanes = _matrix(points), _lanes(points)
+    matrix, lanes = _matrix(points, sf_dir), _lanes(points)
     out = review.persistent_noise_review(points, matrix, lanes, _label_grid(points), cluster.medoids(matrix, lanes))
     return out.select(*[rounded(c, 5) if c.endswith(("_km", "_min", "_observation")) else F.col(c) for c in out.columns])
 
@@ -152,17 +165,17 @@ def labelled_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def linkage_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = _points(spark, sf_dir)
-    return cluster.linkage_cut(_matrix(points), points.select(F.col("flight_id").alias("i")).distinct(), EPSILON_KM)
+    return cluster.linkage_cut(_matrix(points, sf_dir), points.select(F.col("flight_id").alias("i")).distinct(), EPSILON_KM)
 
 
 def cluster_medoids(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = _points(spark, sf_dir)
-    return cluster.medoids(_matrix(points), _lanes(points)).select("label", "medoid", "flights", rounded("median_distance_to_medoid_km", 5), rounded("max_distance_to_medoid_km", 5))
+    return cluster.medoids(_matrix(points, sf_dir), _lanes(points)).select("label", "medoid", "flights", rounded("median_distance_to_medoid_km", 5), rounded("max_distance_to_medoid_km", 5))
 
 
 def noise_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = _points(spark, sf_dir)
-    matrix, lanes = _matrix(points), _lanes(points)
+    matrix, lanes = _matrix(points, sf_dir), _lanes(points)
     return cluster.noise_ranking(matrix, lanes, cluster.medoids(matrix, lanes)).select("i", "nearest_medoid", "nearest_cluster", rounded("distance_km", 5))
 
 
@@ -187,7 +200,7 @@ def cluster_medoids_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric.medoids(metric.Sets(points), _lanes(points)).select("label", "medoid", "flights", rounded("median_distance_to_medoid_km", 5), rounded("max_distance_to_medoid_km", 5))
 
 
-QUERIES = {f.__name__: f for f in (core_distance_bounded, linkage_cut_bounded, top_pairs_bounded, cluster_medoids_bounded, hausdorff_pairs, pair_stats, top_pairs, top_pair_appearances, hausdorff_witness, matrix_invariants, id_alignment, core_distance, mutual_reachability, spanning_tree, hdbscan_labels, parameter_sweep, noise_fraction, settings_grid, given_sweep, given_noise_fraction, persistent_noise, linkage_cut, cluster_medoids, noise_ranking, noise_candidates, persistent_noise_review, key_differences, labelled_flights)}
+QUERIES = {f.__name__: f for f in (matrix_after_change, core_distance_bounded, linkage_cut_bounded, top_pairs_bounded, cluster_medoids_bounded, hausdorff_pairs, pair_stats, top_pairs, top_pair_appearances, hausdorff_witness, matrix_invariants, id_alignment, core_distance, mutual_reachability, spanning_tree, hdbscan_labels, parameter_sweep, noise_fraction, settings_grid, given_sweep, given_noise_fraction, persistent_noise, linkage_cut, cluster_medoids, noise_ranking, noise_candidates, persistent_noise_review, key_differences, labelled_flights)}
 
 _TOP = f"top AS (SELECT a, b, hausdorff_km, row_number() OVER (ORDER BY hausdorff_km DESC, a, b) AS rank FROM matrix QUALIFY rank <= {TOP})"
 _CORE = f"core AS (SELECT 5 AS ms, i, d AS core FROM sym QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) = 4 UNION ALL SELECT 1, i, {d(0)} FROM ids)"
@@ -198,7 +211,10 @@ fractions AS (SELECT i, count(*) AS settings, count(*) FILTER (WHERE label = -1)
 _RANKED = "ranking AS (SELECT labels.i, medoid, medoids.label AS cluster, d FROM labels JOIN sym ON sym.i = labels.i JOIN medoids ON medoid = sym.j WHERE labels.label = -1 QUALIFY row_number() OVER (PARTITION BY labels.i ORDER BY d, medoid) = 1)"
 _UTC = "strftime(make_timestamp(CAST({} * 1000000 AS BIGINT)), '%Y-%m-%d %H:%M:%S+00:00')"
 
+_CHANGED = MATRIX.replace("FROM marked WHERE removal_reason = ''", f"FROM (SELECT * REPLACE (CASE WHEN flight_id = 7 THEN lat + {d(0.25)} ELSE lat END AS lat) FROM marked WHERE flight_id <> 11) marked WHERE removal_reason = ''")
+
 SQL = {
+    "matrix_after_change": f"WITH {_CHANGED} SELECT a, b, {', '.join(f'round({c}, 5) AS {c}' for c in _KM)} FROM matrix",
     "hausdorff_pairs": f"WITH {MATRIX} SELECT a, b, {', '.join(f'round({c}, 5) AS {c}' for c in _KM)} FROM matrix",
     "pair_stats": f"WITH {MATRIX} SELECT count(*) AS pairs, round(min(hausdorff_km), 5) AS min_km, round(median(hausdorff_km), 5) AS median_km, round(quantile_cont(hausdorff_km, {d(0.95)}), 5) AS p95_km, round(max(hausdorff_km), 5) AS max_km FROM matrix",
     "top_pairs": f"WITH {MATRIX}, {_TOP} SELECT CAST(rank AS INTEGER) AS rank, a, b, round(hausdorff_km, 5) AS hausdorff_km FROM top",
