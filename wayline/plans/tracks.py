@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayline.operators import arrivals, clean, grid, sampling
+from wayline.operators.common import ensure_checkpoint_dir
 from wayline.operators.spikes import reject_spikes
 from wayline.plans.sql import C2, LEGS, MARKED, POSITIONS, QC, QC_SCREENED, SCREENED, SETS, arc, d, haversine
+from wayline.sources.netcdf import read_arrays, write_arrays
 from wayline.sources.tables import flights, latest_file_per_key, positions, strict_seconds, table, utc_text
 
 MIN_POINTS, INTERVALS = 60, [60, 120]
@@ -140,6 +144,14 @@ def grid_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.thinned(grid.nearest_level(grid.exact_time(_grid(spark, sf_dir), "v", 1), 350.005), 1.0, 5).select("level", "lat", "lon", rounded("value"))
 
 
+def grid_slice_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``grid_slice`` of array files: the grid is written as such, and the time and level asked for choose what is read of them."""
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/arrays/{uuid.uuid4().hex}"
+    write_arrays(_grid(spark, sf_dir), folder, ["valid_time", "level", "lat", "lon"], "value")
+    near = read_arrays(spark, folder, "value").where("valid_time = 1 AND level BETWEEN 349.995 AND 350.015 AND value IS NOT NULL").withColumn("name", F.lit("v"))
+    return grid.thinned(grid.nearest_level(grid.exact_time(near, "v", 1), 350.005), 1.0, 5).select("level", "lat", "lon", rounded("value"))
+
+
 def grid_accumulation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.accumulation(_grid(spark, sf_dir).where("level = 350"), "v", 1, 2).select("lat", "lon", rounded("value"))
 
@@ -169,7 +181,7 @@ def route_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrivals.route_manifest(named)
 
 
-QUERIES = {f.__name__: f for f in (leg_geometry, reject_reason_counts, dedup_positions, impossible_legs, spike_screen, flight_qc, flight_qc_screened, accepted_flights, review_reasons, preparation_report, row_reconciliation, path_length, downsample_nearest, downsample_metrics, downsample_summary, gap_segments, interval_join_qa, latest_files, grid_slice, grid_accumulation, grid_limits, event_times, event_properties, route_manifest)}
+QUERIES = {f.__name__: f for f in (leg_geometry, reject_reason_counts, dedup_positions, impossible_legs, spike_screen, flight_qc, flight_qc_screened, accepted_flights, review_reasons, preparation_report, row_reconciliation, path_length, downsample_nearest, downsample_metrics, downsample_summary, gap_segments, interval_join_qa, latest_files, grid_slice, grid_slice_from_files, grid_accumulation, grid_limits, event_times, event_properties, route_manifest)}
 
 _SHOWN = "SELECT flight_id, raw_points, clean_points, removed_points, max_gap_sec, median_gap_sec, round(observed_duration_min, 6) AS observed_duration_min, round(start_distance_km, 6) AS start_distance_km, round(end_distance_km, 6) AS end_distance_km, unresolved_jump_segments, review_reason, CASE WHEN review_reason = '' THEN 'pass' ELSE 'review' END AS status FROM qc"
 _PATH = f"SELECT flight_id, count(*) AS points, coalesce(sum({haversine('la', 'lo', 'lat', 'lon')}), 0) AS path_km FROM (SELECT *, lag(lat) OVER w AS la, lag(lon) OVER w AS lo FROM {{}} WINDOW w AS (PARTITION BY {{}}flight_id ORDER BY t)) GROUP BY {{}}flight_id"
@@ -239,3 +251,4 @@ SQL = {
       strftime(make_timestamp(CAST(max(t) * 1000000 AS BIGINT)), '%Y-%m-%dT%H:%M:%S+00:00') AS observed_last_utc, FALSE AS position_age_verified FROM u GROUP BY flight_id HAVING count(*) >= 5""",
     "grid_accumulation": f"WITH {_GRID} SELECT a.lat, a.lon, round(CASE WHEN (b.value - a.value) * 1000 >= {d(0.1)} THEN (b.value - a.value) * 1000 END, 6) AS value FROM grid a JOIN grid b ON a.lat = b.lat AND a.lon = b.lon AND a.level = 350 AND b.level = 350 AND a.valid_time = 1 AND b.valid_time = 2",
 }
+SQL["grid_slice_from_files"] = SQL["grid_slice"]
