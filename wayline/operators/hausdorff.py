@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayline.functions.geo import arc_km, unit_sphere
-from wayline.operators.common import materialise, ranked
+from wayline.operators.common import materialise
+from wayline.operators.quantiles import exact_quantiles
 from wayline.operators.spatial import Leaves, directed_leaves, long_pairs
 
 #: Points of a block; a task compares two blocks.
@@ -167,19 +168,14 @@ def dense_hausdorff(a: DataFrame, b: DataFrame, keys: list[str], block_points: i
 def pair_statistics(matrix: DataFrame) -> DataFrame:
     """One row: number, minimum, median, 95th percentile and maximum of the distances, zeros for no pair.
 
-    Quantiles are exact, between the two ranks around them, and no task holds all distances.
+    Quantiles are exact, between the two ranks around them, and no task holds or sorts all distances.
     """
-    rows = ranked(matrix.select("hausdorff_km"), "hausdorff_km")
-    n = rows.count()
-
-    def quantile(p: float) -> Column:
-        at = p * max(0, n - 1)
-        value = lambda k: F.max(F.when(F.col("rank") == k, F.col("hausdorff_km")))
-        low = int(at)
-        return value(low) + (value(min(low + 1, max(0, n - 1))) - value(low)) * (at - low)
-
-    stats = {"min_km": F.min("hausdorff_km"), "median_km": quantile(0.5), "p95_km": quantile(0.95), "max_km": F.max("hausdorff_km")}
-    return rows.agg(F.count("*").alias("pairs"), *[F.coalesce(v, F.lit(0.0)).alias(k) for k, v in stats.items()])
+    d = F.col("hausdorff_km")
+    whole = matrix.agg(F.count("*").alias("pairs"), F.min(d).alias("min_km"), F.max(d).alias("max_km"))
+    middle = exact_quantiles(matrix, [], {"median_km": ("hausdorff_km", 0.5), "p95_km": ("hausdorff_km", 0.95)})
+    # one row each
+    both = whole.withColumn("one", F.lit(1)).join(middle.withColumn("one", F.lit(1)), "one", "left")
+    return both.select("pairs", *[F.coalesce(k, F.lit(0.0)).alias(k) for k in ("min_km", "median_km", "p95_km", "max_km")])
 
 
 def top_pairs(matrix: DataFrame, n: int = 10) -> DataFrame:
