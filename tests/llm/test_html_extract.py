@@ -113,6 +113,32 @@ def test_field_against_held_out_pages():
     assert extractor.main_text(PAGE) == MAIN
 
 
+STATES = ["has-sidebar", "layout with-sidebar", "comments-open", "widget-content", "page-template ads-enabled", "sticky-nav", "no-cookie", "dialog-open", "search-results", "menu-open", "promo-page", "recent-post single"]
+PARAGRAPHS = ["The stone bridge over the river opened to walkers on Monday, two years after a flood.", "Masons rebuilt the piers with blocks from the same quarry that served the first builders.", "Cars will have to wait until autumn, said the mayor."]
+
+
+@pytest.mark.parametrize("heading", ["h1", "h2"])
+@pytest.mark.parametrize("inner", ["div", "article"])
+def test_names_of_wrappers_empty_no_article(heading, inner):
+    extractor = Extractor(trained_field())
+    body = f"<{inner}><{heading}>Old bridge reopens</{heading}>" + "".join(f"<p>{p}</p>" for p in PARAGRAPHS) + f"</{inner}>"
+    around = '<!doctype html><html><head><title>x</title></head><body{}><nav><a href=/>Home</a> <a href=/n>News</a></nav>{}<footer>© 2024 The Courier</footer></body></html>'
+    want = "\n\n".join(["Old bridge reopens", *PARAGRAPHS])
+    for name in STATES:
+        assert extractor.main_text(around.format("", f'<div class="{name}">{body}</div>')) == want, name
+    assert extractor.main_text(around.format(' class="single has-sidebar comments-open header-fixed"', body)) == want
+    # the same names do mark what they name
+    for name in ("sidebar", "comments", "cookie-banner", "ads"):
+        box = f'<div class="{name}">' + "".join(f"<p>{p}</p>" for p in PARAGRAPHS[1:]) + "</div>"
+        assert extractor.main_text(around.format("", f"<div>{body}</div>{box}")) == want, name
+
+
+def test_remarks_that_only_a_heading_gives_away():
+    body = "<h1>Old bridge reopens</h1>" + "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+    page = f"<html><body><nav><a href=/>Home</a></nav><article>{body}</article><div><h3>4 replies</h3><div><p>I liked it a lot, thank you.</p></div><div><p>Me too, but it was dear.</p></div></div><footer>© 2024</footer></body></html>"
+    assert Extractor(trained_field()).main_text(page) == "\n\n".join(["Old bridge reopens", *PARAGRAPHS])
+
+
 def by_layout():
     """(layout, precision, recall) over blocks of the pages labelled by hand."""
     extractor = Extractor(trained_field())

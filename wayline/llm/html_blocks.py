@@ -59,6 +59,10 @@ NAME_MARKS = {
     "meta": "meta byline author date published tags tag category categories byline info",
 }
 WORD_MARKS = {w: mark for mark, words in NAME_MARKS.items() for w in words.split()}
+#: A name with one of these beside another word, as in has-sidebar or menu-open, tells of the page's state, not of the element.
+STATE_WORDS = set("has with without no not is js open opened closed enabled disabled active inactive fixed sticky static visible shown collapsed expanded loaded logged template layout theme mode".split())
+#: An element with the page's first h1 (or h2, if it has no h1) and so many longer texts that are no links is a wrapper, whatever its name says; how many words are long.
+WRAPPER_TEXTS, WRAPPER_WORDS = 2, 8
 #: Marks of a text by its words, in the languages of the training pages.
 TEXT_MARKS = {
     "says_cookie": "cookie cookies consent gdpr datenschutz privacy confidentialité privacidad",
@@ -75,7 +79,7 @@ SAYS_EVERY = 25
 WORD_STEPS, LINK_STEPS = (2, 5, 10, 25, 60), (0.0, 0.3, 0.7, 0.99)
 MARKS = [
     *[f"in_{m}" for m in sorted({*TAG_MARKS.values(), *NAME_MARKS})], *[f"nearest_{m}" for m in sorted({*TAG_MARKS.values(), *NAME_MARKS})],
-    *[f"own_{m}" for m in sorted(set(TAG_MARKS.values()))], "hidden", *TEXT_MARKS,
+    *[f"own_{m}" for m in sorted(set(TAG_MARKS.values()))], "hidden", "in_state", "in_replies", "first_heading", *TEXT_MARKS,
     *[f"words_{k}" for k in range(len(WORD_STEPS) + 1)], *[f"links_{k}" for k in range(len(LINK_STEPS) + 1)], "sentence_end", "no_capital", "first", "bias",
 ]
 BIT = {m: 1 << k for k, m in enumerate(MARKS)}
@@ -95,29 +99,48 @@ class Block(NamedTuple):
     marks: int
 
 
-_tag_memo: dict[tuple[str, str], tuple[int, int]] = {}
+class Marks(NamedTuple):
+    """What an element hands down by its tag and by its names, and the parts of these that can be the nearest deciding mark."""
 
+    by_tag: int
+    by_name: int
+    nearest_tag: int
+    nearest_name: int
 
-def _tag_marks(tag: str, attributes: str) -> tuple[int, int]:
-    """(marks that an element hands down, its nearest mark or 0)."""
+
+_CONTENT = BIT["in_content"] | BIT["nearest_content"]
+_tag_memo: dict[tuple[str, str], Marks] = {}
+
+
+def _name_marks(tag: str, attributes: str) -> tuple[list[str], bool]:
+    """The marks of the words of an element's names, and whether a name tells of a state; those of the whole page are all states."""
+    found, state = [], False
+    for m in _NAMES.finditer(attributes):
+        for name in (m[1] or m[2] or m[3] or "").split():
+            words = [w.lower() for w in _SPLIT.split(name) if w]
+            known = [WORD_MARKS[w] for w in words if w in WORD_MARKS]
+            if known and (tag in ("html", "body") or len(words) > 1 and not STATE_WORDS.isdisjoint(words)):
+                state = True
+            else:
+                found += known
+    return found, state
+
+
+def _tag_marks(tag: str, attributes: str) -> Marks:
     key = (tag, attributes)
     if (held := _tag_memo.get(key)) is not None:
         return held
-    found = [TAG_MARKS[tag]] if tag in TAG_MARKS else []
-    for m in _NAMES.finditer(attributes):
-        found += [WORD_MARKS[w.lower()] for w in _SPLIT.split(m[1] or m[2] or m[3] or "") if w.lower() in WORD_MARKS]
-    mask = nearest = 0
-    for mark in found:
-        mask |= BIT[f"in_{mark}"]
-        if mark in DECIDING:
-            nearest |= BIT[f"nearest_{mark}"]
-    if _HIDDEN.search(attributes):
-        mask |= BIT["hidden"]
+    names, state = _name_marks(tag, attributes)
+    bits = lambda marks, kind: sum({BIT[f"{kind}_{m}"] for m in marks})
+    deciding = lambda marks: [m for m in marks if m in DECIDING]
+    own = [TAG_MARKS[tag]] if tag in TAG_MARKS else []
+    by_tag = bits(own, "in") | (BIT["hidden"] if _HIDDEN.search(attributes) else 0) | (BIT["in_state"] if state else 0)
+    out = Marks(by_tag, bits(names, "in"), bits(deciding(own), "nearest"), bits(deciding(names), "nearest"))
     if len(attributes) < 200:
         if len(_tag_memo) >= MEMO:
             _tag_memo.clear()
-        _tag_memo[key] = mask, nearest
-    return mask, nearest
+        _tag_memo[key] = out
+    return out
 
 
 _SAYS_BITS = {w: BIT[mark] for w, mark in SAYS.items()}
@@ -160,8 +183,10 @@ def leaf_blocks(page: str | None) -> list[Block]:
     last = page.rfind(">") + 1
     tail = re.search(r"<[A-Za-z/!?]", page[last:])
     source, rest = page[:last], page[last : last + tail.start()] if tail else page[last:]
-    out: list[Block] = []
-    # (tag, marks handed down, open p or -1, open drawing or formula or -1, nearest block or 0)
+    found: list[tuple[str, int, int]] = []  # text, its node, its own marks
+    # the elements that hand marks down: the node above, and their marks
+    nodes: list[tuple[int, Marks]] = [(0, Marks(0, 0, 0, 0))]
+    # (tag, node, open p or -1, open drawing or formula or -1, nearest block or 0)
     stack: list[tuple[str, int, int, int, int]] = [("", 0, -1, -1, 0)]
     opened: dict[str, list[int]] = {}
     pieces: list[str] = []
@@ -172,10 +197,8 @@ def leaf_blocks(page: str | None) -> list[Block]:
     def flush() -> None:
         nonlocal pieces, linked
         if pieces and (text := " ".join("".join(pieces).split())):
-            marks, k = stack[-1][1], stack[-1][4]
-            if (own := TAG_MARKS.get(stack[k][0])) is not None:
-                marks |= BIT[f"own_{own}"]
-            out.append(Block(text, marks | _text_marks(text, sum(map(len, linked)), not out)))
+            own = TAG_MARKS.get(stack[stack[-1][4]][0])
+            found.append((text, stack[-1][1], (BIT[f"own_{own}"] if own else 0) | _text_marks(text, sum(map(len, linked)), not found)))
         pieces, linked = [], []
 
     def say(text: str, literal: bool = False) -> None:
@@ -243,16 +266,54 @@ def leaf_blocks(page: str | None) -> list[Block]:
             k = max(opened[t][-1] if opened.get(t) else 0 for t in same)
             if k and k > (stack[-1][4] if within is BLOCKS else max(opened[t][-1] if opened.get(t) else 0 for t in within)):
                 close(k)
-        marks, nearest = _tag_marks(tag, m[3])
-        marks |= stack[-1][1]
-        if nearest:
-            marks = marks & ~_NEAREST_BITS | nearest
+        marks, node = _tag_marks(tag, m[3]), stack[-1][1]
+        if any(marks):
+            nodes.append((node, marks))
+            node = len(nodes) - 1
         foreign = -1 if tag in HTML_PARTS else len(stack) if tag in FOREIGN and stack[-1][3] < 0 else stack[-1][3]
-        stack.append((tag, marks, len(stack) if tag == "p" else -1 if tag in P_SCOPE else stack[-1][2], foreign, len(stack) if block else stack[-1][4]))
+        stack.append((tag, node, len(stack) if tag == "p" else -1 if tag in P_SCOPE else stack[-1][2], foreign, len(stack) if block else stack[-1][4]))
         opened.setdefault(tag, []).append(len(stack) - 1)
         if tag == "xmp" and (end := end_of(tag)) >= 0:
             say(source[at:end], literal=True)
             at = end
     say(source[at:] + rest)
     flush()
+    heading = BIT["own_h1"] if any(marks & BIT["own_h1"] for _, _, marks in found) else BIT["own_heading"]
+    if (k := next((k for k, b in enumerate(found) if b[2] & heading), None)) is not None:
+        found[k] = (*found[k][:2], found[k][2] | BIT["first_heading"])
+    handed = _handed_down(nodes, found)
+    return [Block(text, handed[node] | marks) for text, node, marks in found]
+
+
+def _handed_down(nodes: list[tuple[int, Marks]], found: list[tuple[str, int, int]]) -> list[int]:
+    """The marks that each node hands down.
+
+    Names of a wrapper, which holds the first heading and long texts, count only if they speak of content. An element that
+    begins with a few words about replies is marked as theirs, whatever its name.
+    """
+    replies, begun = [False] * len(nodes), [False] * len(nodes)
+    begun[0] = True
+    for _, node, marks in found:
+        few = bool(marks & BIT["says_reply"] and marks & (BIT["words_0"] | BIT["words_1"]))
+        while not begun[node]:
+            begun[node], replies[node], node = True, few, nodes[node][0]
+    head, long = [0] * len(nodes), [0] * len(nodes)
+    named = any(marks.by_name & ~_CONTENT for _, marks in nodes)
+    if named:
+        for text, node, marks in found:
+            if marks & BIT["first_heading"]:
+                head[node] = 1
+            elif marks & _LINKS_BITS[0] and text.count(" ") + 1 >= WRAPPER_WORDS:
+                long[node] += 1
+        for k in range(len(nodes) - 1, 0, -1):
+            head[nodes[k][0]] += head[k]
+            long[nodes[k][0]] += long[k]
+    out = [0] * len(nodes)
+    for k in range(1, len(nodes)):
+        above, (by_tag, by_name, nearest, nearest_name) = nodes[k]
+        if named and head[k] and long[k] >= WRAPPER_TEXTS and by_name & ~_CONTENT:
+            by_name, nearest_name = by_name & _CONTENT, nearest_name & _CONTENT
+        marks = out[above] | by_tag | by_name | (BIT["in_replies"] if replies[k] else 0)
+        nearest |= nearest_name
+        out[k] = marks & ~_NEAREST_BITS | nearest if nearest else marks
     return out

@@ -20,6 +20,9 @@ _SAYINGS = {
 }
 
 
+_TELLING = "also more read cookies privacy rights terms subscribe email comment reply sponsored buy off share follow related".split()
+
+
 class _Writer:
     """One page at a time; ``main`` gathers the texts of its article, ``junk`` adds symbols to its words."""
 
@@ -42,7 +45,9 @@ class _Writer:
         return self.r.choice(_SAYINGS[kind]).format(w=self.words(1, 5)) if kind in _SAYINGS and self.r.random() < 0.45 else self.words(1, 40)
 
     def keep(self, text: str) -> str:
-        """Writes ``text`` as a part of the article: escaped, with inline marks, some of them left open."""
+        """Writes ``text`` as a part of the article: escaped, with inline marks, some of them left open; telling words occur in articles too."""
+        if text.count(" ") > 11 and self.r.random() < 0.2:
+            text = text.replace(" ", f" {self.r.choice(_TELLING)} ", 1)
         self.main.append(" ".join(text.split()))
         out = html.escape(text, quote=False)
         if self.r.random() < 0.15:
@@ -77,7 +82,7 @@ class _Writer:
             inside = "".join(f"<label>{t}</label><input name=q>" for t in texts) + r.choice(["<button>Go</button>", "<p>" + html.escape(self.words(3, 20)) + "</p>", "<textarea>x</textarea>"])
         elif kind == "comment":
             one = r.choice(["<article class=\"comment\"><p>{}</p></article>", "<li><p>{}</p></li>", '<div class="comment"><b>x</b><p>{}</p></div>', "<p>{}</p>"])
-            inside = r.choice(["<h2>Comments</h2>", "<h3>3 comments</h3>", ""]) + "".join(one.format(html.escape(self.words(2, 80))) for _ in range(r.randint(1, 6)))
+            inside = r.choice(["<h2>Comments</h2>", "<h3>3 comments</h3>", "<h3>4 replies</h3>", "<h4>Kommentare</h4>", ""]) + "".join(one.format(html.escape(self.words(2, 80))) for _ in range(r.randint(1, 6)))
         else:
             inside = "".join(r.choice(["{}", "<p>{}</p>", "<div>{}</div>", "<h4>{}</h4>"]).format(t) for t in texts)
         return r.choice(wrap).format(inside)
@@ -87,7 +92,7 @@ class _Writer:
         self.junk = r.random() < 0.12
         parts = []
         if r.random() < 0.9:
-            parts.append("<h1>" + self.keep(self.words(1, 12)) + "</h1>")
+            parts.append(r.choice(["<h1>{}</h1>"] * 4 + ["<h2>{}</h2>"]).format(self.keep(self.words(1, 12))))
         for _ in range(r.choice([1, 2, 3, 5, 8, 13, 20])):
             style = r.random()
             if style < 0.68:
@@ -114,19 +119,32 @@ class _Writer:
         self.junk = False
         return wrap.replace("{}", "".join(parts), 1)
 
+    def wrapped(self, body: str) -> str:
+        """``body`` inside an element whose names tell of the page's state, or of more than one thing."""
+        r = self.r
+        odd = r.choice("nav sidebar ad ads comments cookie notice menu search promo widget header footer share related recent newsletter dialog".split())
+        name = r.choice(["has-{}", "with-{}", "no-{}", "{}-open", "{}-enabled", "sticky-{}", "{}-fixed", "layout has-{}", "page-template {}-active", "{}-content", "{}-page", "{}-post single", "{}-results"]).format(odd)
+        return r.choice(['<div class="{}">', '<div id="app" class="{}">', '<section class="{}">', '<div class="x {} y"><div>']).format(name) + body + "</div>"
+
     def head(self) -> str:
         r = self.r
         some = ['<meta name="viewport" content="width=device-width">', '<link rel="stylesheet" href="/a.css">', "<script src='/x.js' async></script>", '<script>window.q=[];if(1<2&&a>b){q.push("<div>x</div>")}</script>', '<script type="application/ld+json">{"@type":"Article","headline":"<h1>"}</script>', "<style>.a > .b::after{content:'<nav>'}</style>", "<!-- <body> old -->", '<base href="/">']
         lines = [f"<title>{html.escape(self.words(1, 9))}</title>", *r.sample(some, r.randint(0, 4))]
         r.shuffle(lines)
         start = r.choice(["<!DOCTYPE html>\n<html>", "<html lang=en>", "<!doctype html>", '<?xml version="1.0"?><html xmlns="http://www.w3.org/1999/xhtml">'])
-        return start + "<head>" + r.choice(["", "\n"]).join(lines) + r.choice(["</head><body>", "</head>\n<body class='home'>", "<body>"])
+        return start + "<head>" + r.choice(["", "\n"]).join(lines) + r.choice(["</head><body>", "</head>\n<body class='home'>", "<body>", "</head><body class='single has-sidebar comments-open header-fixed'>"])
 
     def page(self) -> tuple[str, str]:
         r = self.r
         few = lambda kinds, chance: "".join(self.boilerplate(k) for k in kinds if r.random() < chance)
         before = few(["notice", "ad"], 0.2) + few(["header"], 0.4) + few(["nav"], 0.7) + few(["form", "aside", "notice"], 0.2) + few(["ad"], 0.4)
-        body = before + self.article() + few(["share", "ad"], 0.25) + few(["comment"], 0.35) + few(["aside", "nav", "form", "notice"], 0.25) + few(["footer"], 0.8)
+        article = self.article()
+        inner = r.random()
+        article = self.wrapped(article) if inner < 0.15 else article
+        if r.random() < 0.04:  # remarks of readers that only their heading gives away
+            article += "<div>" + r.choice(["<h3>4 replies</h3>", "<h3>2 comments</h3>", "<p>Comments (5)</p>", "<h4>3 Kommentare</h4>"]) + "".join(f"<div><p>{html.escape(self.words(3, 30))}</p></div>" for _ in range(r.randint(1, 4))) + "</div>"
+        body = before + article + few(["share", "ad"], 0.25) + few(["comment"], 0.35) + few(["aside", "nav", "form", "notice"], 0.25) + few(["footer"], 0.8)
+        body = self.wrapped(body) if inner > 0.92 else body
         return self.head() + body + r.choice(["</body></html>", "</body></html>", ""]), "\n\n".join(self.main)
 
 
