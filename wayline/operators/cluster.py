@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayline.operators.common import materialise
+from wayline.operators.condense import LEAST_KM, condensed_labels
 from wayline.operators.forest import forest_edges
 
 SIZES, SAMPLES = (5, 10, 15, 20, 30), (5, 10, 15)
 #: Ids whose core distances are broadcast at most, a few dozen bytes each.
 BROADCAST_IDS = 500_000
-#: Distances count as this at least, so that 1 / distance is finite.
-LEAST_KM = 1e-12
+#: Trees of up to so many edges are condensed in one task each; larger ones by joins.
+TREE_EDGES = 1_000_000
 
 
 def mirrored(matrix: DataFrame) -> DataFrame:
@@ -157,14 +158,18 @@ def condense(edges: np.ndarray, n: int, min_size: int) -> tuple[np.ndarray, np.n
     return labels, strength
 
 
-def hdbscan(matrix: DataFrame, settings: list[tuple[int, int]]) -> DataFrame:
+def hdbscan(matrix: DataFrame, settings: list[tuple[int, int]], tree_edges: int = TREE_EDGES) -> DataFrame:
     """(mcs, ms, i, label, strength) for every setting (min_cluster_size, min_samples); label -1 is noise.
 
     The matrix and the spanning trees stay distributed, one tree a value of ``min_samples`` for all
-    settings that share it. Only a tree's edges, one fewer than there are sets, meet in one task.
+    settings that share it. A tree of up to ``tree_edges`` edges is condensed in one task; of a larger one only its
+    real splits meet.
     Ids with fewer than ``min_samples`` distances have no core distance and are left out.
     """
     trees = spanning_edges(mutual_reachability(matrix, core_distances(matrix, sorted({s for _, s in settings}))))
+    trees = materialise(trees)
+    if trees.groupBy("ms").count().where(F.col("count") > tree_edges).take(1):
+        return condensed_labels(trees, settings)
     kind = dict(matrix.dtypes)["a"]
     sizes = F.array(*[F.struct(F.lit(c).alias("mcs"), F.lit(s).alias("ms")) for c, s in settings])
     per = trees.withColumn("s", F.explode(F.filter(sizes, lambda z: z["ms"] == F.col("ms")))).select("s.mcs", "ms", "i", "j", "w")

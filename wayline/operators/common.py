@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,17 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read back.
+
+    Unlike a checkpoint it forgets what Spark's optimizer had concluded about its rows, which in a long loop of joins grows
+    with every round and slows planning down.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ranked(df: DataFrame, *order: Column | str, name: str = "rank") -> DataFrame:
     """``df`` with ``name``, the place of each row in the order, from 0.
 
