@@ -12,8 +12,8 @@ from wayline.operators.common import materialise
 from wayline.operators.quantiles import exact_quantiles
 from wayline.operators.spatial import Leaves, directed_leaves, long_pairs
 
-#: Points of a block; a task compares two blocks.
-BLOCK_POINTS = 32_768
+#: Points of a block, and of a block of long sets, whose indexes are worth more pairs; a task compares two blocks.
+BLOCK_POINTS, LONG_BLOCK_POINTS = 16_384, 65_536
 #: Sets with more points are compared one pair at a time, through an index of each.
 LONG = 1_024
 #: Sets with more points are cut to pieces, and no task holds such a set.
@@ -74,7 +74,7 @@ def compare_blocks(left: list[np.ndarray], right: list[np.ndarray], same: bool,
     return out
 
 
-def distance_matrix(points: DataFrame, id_col: str = "flight_id", lat: str = "lat", lon: str = "lon", block_points: int = BLOCK_POINTS, set_points: int = SET_POINTS, fresh: DataFrame | None = None) -> DataFrame:
+def distance_matrix(points: DataFrame, id_col: str = "flight_id", lat: str = "lat", lon: str = "lon", block_points: int | None = None, set_points: int = SET_POINTS, fresh: DataFrame | None = None) -> DataFrame:
     """The upper triangle (a < b) of directed and symmetric Hausdorff distances in km between the sets of ``id_col``.
 
     Sets are packed to one row each and dealt to blocks of about ``block_points`` points; each pair
@@ -92,7 +92,8 @@ def distance_matrix(points: DataFrame, id_col: str = "flight_id", lat: str = "la
         mark = lambda df: df.join(new_ids, "id", "left")
     else:
         mark = lambda df: df.withColumn("new", F.lit(True))
-    size = mark(sizes).agg(F.sum("n"), F.max("n"), F.sum(F.when(F.col("new"), F.col("n")))).first()
+    size = mark(sizes).agg(F.sum("n"), F.max("n"), F.sum(F.when(F.col("new"), F.col("n"))), F.avg("n")).first()
+    block_points = block_points or (LONG_BLOCK_POINTS if (size[3] or 0) > LONG else BLOCK_POINTS)
     blocks = max(4, -(-(size[0] or 0) // block_points))
     of_new = blocks if fresh is None else max(1, -(-(size[2] or 0) // block_points))
     km = lambda c: arc_km(F.sqrt(c))
