@@ -36,7 +36,7 @@ def brute(rows, prior, order, min_context):
     return out
 
 
-@pytest.mark.parametrize("order,min_context,sizes", [(3, 2, {}), (3, 4, {"chunk_chars": 300, "shard_keys": 40}), (2, 8, {"chunk_chars": 300, "shard_keys": 40}), (4, 1, {"chunk_chars": 500}), (5, 3, {"shard_keys": 60})])
+@pytest.mark.parametrize("order,min_context,sizes", [(3, 2, {}), (3, 4, {"chunk_chars": 300, "shard_keys": 40}), (2, 8, {"chunk_chars": 300, "shard_keys": 40}), (4, 1, {"chunk_chars": 500}), (5, 1, {"chunk_chars": 900, "shard_keys": 60}), (5, 3, {"shard_keys": 60})])
 def test_against_brute_force(spark, order, min_context, sizes):
     rng = random.Random(5)
     vocabulary = ["The", "the", "a", "é", "cat", "sat", "on", "mat."]
@@ -51,6 +51,22 @@ def test_against_brute_force(spark, order, min_context, sizes):
         assert g[4:] == pytest.approx(w[4:], rel=1e-9)
 
 
+def test_many_copies_of_one_row_spread_over_chunks(spark):
+    rows = [(None, "the cat sat on the mat", True)] * 10_000 + [(1, "the cat sat", False), (2, "a dog", True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, train boolean").repartition(1).sortWithinPartitions("doc_id")
+    scored = score_texts(docs, F.col("train"), chunk_chars=2_000, prior=3.0)
+    got = {tuple(r) for r in scored.distinct().collect()}
+    assert scored.count() == len(rows) and len(got) == 3
+    want = {w[0]: w for w in brute(rows[9_999:], 3.0, 3, 1)}
+    counts = Counter(r[0] for r in scored.select("doc_id").collect())
+    assert counts[None] == 10_000 and {g[:3] for g in got} == {w[:3] for w in want.values()}
+    whole = {w[0]: w for w in brute([rows[0]] * 10_000 + rows[-2:], 3.0, 3, 1)}
+    for g in got:
+        assert g[3:] == pytest.approx(whole[g[0]][3:], rel=1e-9)
+    chunk = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(110))
+    assert docs.groupBy(chunk).count().agg(F.max("count")).first()[0] < 200
+
+
 def test_score_beats_the_base_on_held_out_texts(spark):
     out = op4_lm_score(spark, "/root/testdata/sf0.01").where("held_out").toPandas()
     better = (out.score - out.base_score) / out.n_tokens

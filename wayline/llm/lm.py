@@ -17,8 +17,8 @@ from .words import arrow_blocks, constants, mix, pack_counts, pack_keys, part_of
 ORDER = 3
 #: Weight of the shorter context's distribution, in observations; see README for the held-out comparison.
 PRIOR = 128.0
-#: A context of two tokens or more is a state if training has it so often; the prior outweighs rarer ones.
-MIN_CONTEXT = 8
+#: A context of two tokens or more is a state if training has it so often.
+MIN_CONTEXT = 1
 #: Characters of text that one task scores against its own part of the model.
 CHUNK_CHARS = 9_000_000
 #: Distinct n-grams that one task counts, over all chunks.
@@ -42,6 +42,10 @@ class Grams:
     is among them, or -1, and ``totals`` are the counts once they are known. A begin stands before
     each text; a gram does not reach beyond it. The grams of level 3 and up are those whose context
     is a state. Two of 10^10 grams share a key with a chance of one in a few.
+
+    A gram is ``shared`` if other chunks have it too and training has it at all. Of level 3 and up
+    only grams whose first and last part are shared are asked for: of the others no other chunk has
+    a training count, so their totals are the chunk's own.
     """
 
     def __init__(self, texts: list[str | None], learn: np.ndarray, min_context: int):
@@ -54,7 +58,7 @@ class Grams:
         self.begins = int(learn.sum())
         self.first = first
         keys, place = np.unique(self.tokens, return_inverse=True)
-        self.keys, self.place, self.totals = [keys], [place], []
+        self.keys, self.place, self.totals, self.shared, self.asked = [keys], [place], [], [], []
         self.begin_total = 0
 
     def before(self, values: np.ndarray, outside: int) -> np.ndarray:
@@ -83,11 +87,15 @@ class Grams:
         for j, m in enumerate(constants(k, k + 2)):
             back = np.where(self.nth[at] >= j, self.tokens[at - np.minimum(j, self.nth[at])], _BEGIN)
             sums += back * m
-        keys, local = np.unique(mix(sums), return_inverse=True)
+        keys, one, local = np.unique(mix(sums), return_index=True, return_inverse=True)
         place = np.full(len(self.tokens), -1)
         place[at] = local
         self.keys.append(keys)
         self.place.append(place)
+        if k > 2:
+            ends = at[one]  # a token at which each gram ends, never a text's first
+            shared = self.shared[k - 2]
+            self.asked.append(np.flatnonzero(shared[self.place[k - 2][ends]] & shared[self.place[k - 2][ends - 1]]))
 
     def learnt(self, k: int) -> np.ndarray:
         """Training counts of level k within the chunk."""
@@ -98,19 +106,28 @@ class Grams:
         """The sorted keys whose totals are wanted next, and their counts in the chunk."""
         if self.totals:
             self.grow()
-            return self.keys[-1], self.learnt(len(self.keys))
+            return self.keys[-1][self.asked[-1]], self.learnt(len(self.keys))[self.asked[-1]]
         self.grow()
         keys = np.concatenate([self.keys[0], self.keys[1], np.array([_BEGIN])])
         counts = np.concatenate([self.learnt(1), self.learnt(2), [self.begins]])
         order = np.argsort(keys, kind="stable")
         return keys[order], counts[order]
 
-    def tell(self, keys: np.ndarray, totals: np.ndarray) -> None:
-        """Takes the totals of what :meth:`ask` asked."""
-        new = self.keys[len(self.totals) :]
-        if not self.totals:
-            self.begin_total = int(totals[np.searchsorted(keys, _BEGIN)])
-        self.totals += [totals[np.searchsorted(keys, k)] for k in new]
+    def tell(self, keys: np.ndarray, replies: np.ndarray) -> None:
+        """Takes the replies to what :meth:`ask` asked: totals, or 0 where no other chunk asked."""
+        if self.totals:
+            own = self.learnt(len(self.keys))
+            shared = np.zeros(len(own), bool)
+            shared[self.asked[-1]] = replies > 0
+            own[self.asked[-1]] = np.where(replies > 0, replies, own[self.asked[-1]])
+            self.totals.append(own)
+            self.shared.append(shared)
+            return
+        self.begin_total = int(replies[np.searchsorted(keys, _BEGIN)]) or self.begins
+        for level in (1, 2):
+            told = replies[np.searchsorted(keys, self.keys[level - 1])]
+            self.shared.append(told > 0)
+            self.totals.append(np.where(told > 0, told, self.learnt(level)))
 
 
 class Automaton:
@@ -275,11 +292,13 @@ def score_texts(
     are counted and returned each time. Without training rows every token is unknown and has p = 1.
     An empty table gives no rows. Other columns of ``docs`` are not returned.
 
-    The model grows with the corpus and is nowhere whole. Texts are dealt to chunks of bounded size by
-    their id and text. Each chunk sends the sorted distinct keys of its n-grams, with its training
-    counts, to shards of the key space, at most one entry a key and chunk however frequent the
-    n-gram. A shard adds up and returns the totals in the order asked; longer n-grams follow in a
-    round of their own, for the contexts that the round before made states. So each chunk builds its
+    The model grows with the corpus and is nowhere whole. Rows are dealt to chunks of bounded size by
+    their place in ``docs``, so copies of one row spread; a task that is run again must find its rows in
+    the same order, as it does in a table (write what a shuffle gives first). Each chunk sends the
+    sorted distinct keys of its n-grams, with its training counts, to shards of the key space, at most
+    one entry a key and chunk however frequent the n-gram. A shard adds up and returns the totals in
+    the order asked; longer n-grams follow in a round of their own, for the contexts that the round
+    before made states and only where both shorter parts occur in several chunks. So each chunk builds its
     own automaton and traverses its texts. The texts move once: all rounds read one exchange. There
     is a row for each chunk and shard, so both should grow with the memory of the executors.
     """
@@ -287,7 +306,7 @@ def score_texts(
     n_train, n_types, n_tokens, n_chars = corpus_size(base, "text", "train", shard_keys)
     n_chunks = max(1, -(-n_chars // chunk_chars))
     bits = max(0, math.ceil(math.log2(max(1, n_tokens) / shard_keys)))
-    chunked = base.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)))
+    chunked = base.withColumn("chunk", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_chunks)))
     rounds = max(1, order - 1)
 
     def gathered(texts_of: pa.Table, answers: pa.Table | None) -> Grams:
@@ -327,6 +346,7 @@ def score_texts(
         counts = [unpack_counts(*x) for x in zip(column("counts"), column("large"))]
         keys, place = np.unique(np.concatenate(asked), return_inverse=True)
         totals = np.bincount(place, np.concatenate(counts), minlength=len(keys)).astype(np.int64)
+        totals[np.bincount(place, minlength=len(keys)) == 1] = 0  # the one chunk that asked knows its own count
         ends = np.cumsum([len(a) for a in asked])
         packed = [pack_counts(totals[place[e - len(a) : e]]) for a, e in zip(asked, ends)]
         return pa.table({"chunk": table.column("chunk"), "round": table.column("round"), "shard": table.column("shard"), "counts": pa.array([a for a, _ in packed], pa.binary()), "large": pa.array([b for _, b in packed], pa.binary())})
@@ -385,7 +405,7 @@ scored AS (
          coalesce(triples.c, 0) AS triple_c, coalesce(longer.c, 0) AS longer_c
   FROM t CROSS JOIN size LEFT JOIN uni USING (token) LEFT JOIN pairs ON pairs.before = t.before AND pairs.token = t.token
   LEFT JOIN context ON context.before = t.before LEFT JOIN triples ON triples.before2 = t.before2 AND triples.before = t.before AND triples.token = t.token
-  LEFT JOIN pairs longer ON longer.before = t.before2 AND longer.token = t.before AND longer.c >= 8
+  LEFT JOIN pairs longer ON longer.before = t.before2 AND longer.token = t.before
 ), smoothed AS (
   SELECT *, (pair_c + CAST(128 AS DOUBLE) * p) / (context_c + CAST(128 AS DOUBLE)) AS p2 FROM scored
 ), summed AS (
