@@ -35,6 +35,13 @@ def _tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(h, np.cumsum(counts), _END), counts + 1
 
 
+def some_place(place: np.ndarray, n: int) -> np.ndarray:
+    """Of each of ``n`` grams a token at which it ends, from the gram or -1 of each token."""
+    out = np.zeros(n + 1, np.int64)
+    out[place] = np.arange(len(place))  # -1 is the last
+    return out[:-1]
+
+
 class Grams:
     """The n-grams that end in each token of a chunk, level by level, with their training counts.
 
@@ -87,13 +94,13 @@ class Grams:
         for j, m in enumerate(constants(k, k + 2)):
             back = np.where(self.nth[at] >= j, self.tokens[at - np.minimum(j, self.nth[at])], _BEGIN)
             sums += back * m
-        keys, one, local = np.unique(mix(sums), return_index=True, return_inverse=True)
+        keys, local = np.unique(mix(sums), return_inverse=True)
         place = np.full(len(self.tokens), -1)
         place[at] = local
         self.keys.append(keys)
         self.place.append(place)
         if k > 2:
-            ends = at[one]  # a token at which each gram ends, never a text's first
+            ends = some_place(place, len(keys))  # never a text's first token
             shared = self.shared[k - 2]
             self.asked.append(np.flatnonzero(shared[self.place[k - 2][ends]] & shared[self.place[k - 2][ends - 1]]))
 
@@ -156,8 +163,7 @@ class Automaton:
             good = totals >= grams.min_context
             own[good] = np.arange(states, states + int(good.sum()))
             reached.append(np.where(place >= 0, own[place] if len(own) else -1, -1))
-            _, one = np.unique(place, return_index=True)
-            one = one[place[one] >= 0]
+            one = some_place(place, len(totals))
             fail_to.append(reached[k - 2][one[good]])
             counts.append(totals[good])
             states += int(good.sum())
@@ -169,8 +175,7 @@ class Automaton:
         lower = p
         for k in range(1, order):
             place, totals = grams.place[k], grams.totals[k]
-            _, one = np.unique(place, return_index=True)
-            one = one[place[one] >= 0]  # one token at which each gram ends
+            one = some_place(place, len(totals))
             state = grams.before(reached[k - 1], 1 if k == 1 else -1)[one]
             context = count[np.maximum(state, 0)] * (state > 0)
             lower = (totals + prior * lower[grams.place[k - 1][one]]) / (context + prior)
@@ -181,9 +186,18 @@ class Automaton:
             codes.append(state[seen] * self.width + grams.place[0][one[seen]])
             weights.append(np.log10(lower[seen]))
             nexts.append(to[seen])
-        codes = np.concatenate(codes) if codes else np.zeros(0, np.int64)
+        codes, weights, nexts = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((codes, np.int64), (weights, float), (nexts, np.int64)))
         by = np.argsort(codes)
-        self.codes, self.weights, self.nexts = codes[by], np.concatenate(weights)[by] if weights else np.zeros(0), np.concatenate(nexts)[by] if nexts else np.zeros(0, np.int64)
+        codes, self.weights, self.nexts = codes[by], weights[by], nexts[by]
+        # a state with one arc knows its token; those with more are searched for
+        state = codes // self.width
+        first = np.searchsorted(state, np.arange(states + 1))
+        arcs = np.diff(first)
+        self.several = arcs > 1
+        self.only = np.where(arcs == 1, first[:-1], -1)
+        self.only_code = np.where(arcs == 1, codes[np.minimum(first[:-1], len(codes) - 1)], -1) if len(codes) else np.full(states, -1)
+        self.at = np.flatnonzero(self.several[state])
+        self.codes = codes[self.at]
 
     def step(self, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One token for each of many documents: (log10 probabilities, next states)."""
@@ -198,8 +212,13 @@ class Automaton:
             if not len(left):
                 break
             code = state * self.width + token
-            at = np.minimum(np.searchsorted(self.codes, code), max(0, len(self.codes) - 1))
-            arc = self.codes[at] == code if len(self.codes) else np.zeros(len(left), bool)
+            arc = self.only_code[state] == code
+            at = np.where(arc, self.only[state], 0)
+            wide = np.flatnonzero(self.several[state])
+            if len(wide):
+                found = np.minimum(np.searchsorted(self.codes, code[wide]), len(self.codes) - 1)
+                arc[wide] = self.codes[found] == code[wide]
+                at[wide] = self.at[found]
             out[left[arc]] += self.weights[at[arc]]
             to[left[arc]] = self.nexts[at[arc]]
             left, state, token = left[~arc], state[~arc], token[~arc]
