@@ -11,6 +11,7 @@ from wayline.operators import arrivals, clean, grid, sampling
 from wayline.operators.common import ensure_checkpoint_dir
 from wayline.operators.spikes import reject_spikes
 from wayline.plans.sql import C2, LEGS, MARKED, POSITIONS, QC, QC_SCREENED, SCREENED, SETS, arc, d, haversine
+from wayline.sources.history import scan_history, write_history
 from wayline.sources.netcdf import read_arrays, write_arrays
 from wayline.sources.tables import flights, latest_file_per_key, positions, strict_seconds, table, utc_text
 
@@ -152,6 +153,14 @@ def grid_slice_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.thinned(grid.nearest_level(grid.exact_time(near, "v", 1), 350.005), 1.0, 5).select("level", "lat", "lon", rounded("value"))
 
 
+def history_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions of two planes in a span of time and a box, from a history written along the curve."""
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/history/{uuid.uuid4().hex}"
+    write_history(positions(spark, sf_dir), folder, files=spark.sparkContext.defaultParallelism * 4)
+    found = scan_history(spark, folder, ["a00001", "a00002"], 500_000.0, 1e8, (50.0, 0.0, 51.4, 8.5))
+    return found.select("flight_id", "event_id", "icao24", "state_time", "lat", "lon")
+
+
 def grid_accumulation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.accumulation(_grid(spark, sf_dir).where("level = 350"), "v", 1, 2).select("lat", "lon", rounded("value"))
 
@@ -181,7 +190,7 @@ def route_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrivals.route_manifest(named)
 
 
-QUERIES = {f.__name__: f for f in (leg_geometry, reject_reason_counts, dedup_positions, impossible_legs, spike_screen, flight_qc, flight_qc_screened, accepted_flights, review_reasons, preparation_report, row_reconciliation, path_length, downsample_nearest, downsample_metrics, downsample_summary, gap_segments, interval_join_qa, latest_files, grid_slice, grid_slice_from_files, grid_accumulation, grid_limits, event_times, event_properties, route_manifest)}
+QUERIES = {f.__name__: f for f in (leg_geometry, reject_reason_counts, dedup_positions, impossible_legs, spike_screen, flight_qc, flight_qc_screened, accepted_flights, review_reasons, preparation_report, row_reconciliation, path_length, downsample_nearest, downsample_metrics, downsample_summary, gap_segments, interval_join_qa, latest_files, grid_slice, grid_slice_from_files, history_scan, grid_accumulation, grid_limits, event_times, event_properties, route_manifest)}
 
 _SHOWN = "SELECT flight_id, raw_points, clean_points, removed_points, max_gap_sec, median_gap_sec, round(observed_duration_min, 6) AS observed_duration_min, round(start_distance_km, 6) AS start_distance_km, round(end_distance_km, 6) AS end_distance_km, unresolved_jump_segments, review_reason, CASE WHEN review_reason = '' THEN 'pass' ELSE 'review' END AS status FROM qc"
 _PATH = f"SELECT flight_id, count(*) AS points, coalesce(sum({haversine('la', 'lo', 'lat', 'lon')}), 0) AS path_km FROM (SELECT *, lag(lat) OVER w AS la, lag(lon) OVER w AS lo FROM {{}} WINDOW w AS (PARTITION BY {{}}flight_id ORDER BY t)) GROUP BY {{}}flight_id"
@@ -206,6 +215,7 @@ metrics AS (
 _GRID = "grid AS (SELECT event_id % 4 AS valid_time, [CAST(300 AS DOUBLE), CAST(350 AS DOUBLE), CAST(500 AS DOUBLE)][CAST((event_id // 4) % 3 + 1 AS INTEGER)] AS level, CAST((event_id // 12) % 25 AS DOUBLE) AS lat, CAST(event_id // 300 AS DOUBLE) AS lon, value FROM events)"
 
 SQL = {
+    "history_scan": f"WITH {POSITIONS} SELECT flight_id, event_id, icao24, state_time, lat, lon FROM positions WHERE icao24 IN ('a00001', 'a00002') AND state_time BETWEEN 500000 AND 100000000 AND lat BETWEEN 50 AND {d(51.4)} AND lon BETWEEN 0 AND {d(8.5)}",
     "leg_geometry": f"WITH {MARKED}, {LEGS} SELECT flight_id, event_id, gap_sec, round(step_km, 6) AS step_km, round(step_km * 1000 / gap_sec, 4) AS speed_mps FROM legs WHERE gap_sec IS NOT NULL",
     "reject_reason_counts": f"WITH {MARKED} SELECT removal_reason, count(*) AS points FROM marked GROUP BY removal_reason",
     "dedup_positions": f"WITH {MARKED} SELECT flight_id, event_id, lastposupdate, state_time, lat, lon FROM marked WHERE removal_reason = ''",
