@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,19 @@ def _matrix(points: DataFrame, sf_dir: str) -> DataFrame:
     return stored_matrix(points, hashlib.md5(sf_dir.encode()).hexdigest())
 
 
+def _bounded(points: DataFrame, sf_dir: str, by_sets: Callable[[metric.Sets], DataFrame], by_matrix: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What bounds answer without the matrix; only sets too long for a task need all of it."""
+    try:
+        sets = metric.Sets(points)
+    except metric.LongSets:
+        return by_matrix(_matrix(points, sf_dir))
+    return by_sets(sets)
+
+
+def _top(points: DataFrame, sf_dir: str) -> DataFrame:
+    return materialise(_bounded(points, sf_dir, lambda sets: metric.top_pairs(sets, TOP), lambda matrix: hausdorff.top_pairs(matrix, TOP)))
+
+
 def _lanes(points: DataFrame) -> DataFrame:
     """A given clustering: every seventh flight is noise, the others go by lane."""
     i = F.col("flight_id")
@@ -62,16 +76,16 @@ def pair_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def top_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hausdorff.top_pairs(_matrix(_points(spark, sf_dir), sf_dir), TOP).select("rank", "a", "b", rounded("hausdorff_km", 5))
+    return _top(_points(spark, sf_dir), sf_dir).select("rank", "a", "b", rounded("hausdorff_km", 5))
 
 
 def top_pair_appearances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hausdorff.appearances(hausdorff.top_pairs(_matrix(_points(spark, sf_dir), sf_dir), TOP))
+    return hausdorff.appearances(_top(_points(spark, sf_dir), sf_dir))
 
 
 def hausdorff_witness(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = _points(spark, sf_dir)
-    out = hausdorff.witnesses(hausdorff.top_pairs(_matrix(points, sf_dir), TOP), points)
+    out = hausdorff.witnesses(_top(points, sf_dir), points)
     return out.select("flight_a", "flight_b", "direction", rounded("hausdorff_km", 5), "source_index", "target_index", "source_lat", "source_lon", "target_lat", "target_lon")
 
 
@@ -89,7 +103,8 @@ def id_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def core_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.core_distances(_matrix(_points(spark, sf_dir), sf_dir), [1, 5]).select("ms", "i", rounded("core", 5))
+    out = _bounded(_points(spark, sf_dir), sf_dir, lambda sets: metric.core_distances(sets, [1, 5]), lambda matrix: cluster.core_distances(matrix, [1, 5]))
+    return out.select("ms", "i", rounded("core", 5))
 
 
 def mutual_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,7 +180,8 @@ def labelled_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def linkage_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = _points(spark, sf_dir)
-    return cluster.linkage_cut(_matrix(points, sf_dir), points.select(F.col("flight_id").alias("i")).distinct(), EPSILON_KM)
+    ids = points.select(F.col("flight_id").alias("i")).distinct()
+    return _bounded(points, sf_dir, lambda sets: metric.linkage_cut(sets, EPSILON_KM), lambda matrix: cluster.linkage_cut(matrix, ids, EPSILON_KM))
 
 
 def cluster_medoids(spark: SparkSession, sf_dir: str) -> DataFrame:
