@@ -39,7 +39,7 @@ def test_towns_equal_the_matrix(towns):
     assert rows(metric.linkage_cut(sets, 20.0)) == rows(cluster.linkage_cut(matrix, ids, 20.0))
 
 
-@pytest.mark.parametrize("name", ["top_pairs", "top_pair_appearances", "hausdorff_witness", "linkage_cut", "core_distance"])
+@pytest.mark.parametrize("name", ["top_pairs", "top_pair_appearances", "hausdorff_witness", "linkage_cut", "core_distance", "cluster_medoids", "noise_ranking", "noise_candidates", "persistent_noise_review"])
 def test_no_matrix_is_made(spark, monkeypatch, name):
     def refuse(*_):
         raise AssertionError("the whole matrix")

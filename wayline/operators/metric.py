@@ -563,38 +563,102 @@ def top_pairs(sets: Sets, n: int = 10) -> DataFrame:
 
 
 def medoids(sets: Sets, labels: DataFrame) -> DataFrame:
-    """The clusters' medoids (i, label) as of the whole matrix."""
-    return cluster.medoids(materialise(medoid_pairs(sets, labels)), labels, partial=True)
+    """The clusters' medoids (i, label) as of the whole matrix: tasks give sums of distances, only those to medoids become rows."""
+    members = labels.where("label >= 0").select("i", "label")
+
+    def sums(p: pd.DataFrame, q: pd.DataFrame, i: np.ndarray, j: np.ndarray, ab: np.ndarray, ba: np.ndarray) -> pd.DataFrame:
+        d, out = arc_of(np.maximum(ab, ba)), []
+        for u, at in ((p, i), (q, j)):
+            n = np.bincount(at, minlength=len(u))
+            whole = (n > 0) & u.candidate.notna().to_numpy()
+            out.append(pd.DataFrame({"i": u.id.to_numpy()[whole], "label": u.label.to_numpy()[whole].astype("int64"), "total": np.bincount(at, d, len(u))[whole], "n": n[whole]}))
+        return pd.concat(out)
+
+    found, candidates = _with_candidates(sets, labels, sums, f"i {sets.kind}, label long, total double, n long")
+    own = candidates.select(F.col("id").alias("i"), "label", F.lit(0.0).alias("total"), F.lit(1).cast("long").alias("n"))
+    totals = found.unionByName(own).groupBy("label", "i").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    totals = totals.join(members.groupBy("label").agg(F.count("*").alias("n")), ["label", "n"])
+    best = totals.groupBy("label").agg(F.min(F.struct(F.round("total", 9).alias("total"), "i", "n")).alias("m")).select("label", F.col("m.i").alias("medoid"), F.col("m.n").alias("flights"))
+    best = materialise(best)
+    near = of_pairs(sets, members.join(best, "label").select(F.col("i").alias("id"), F.col("medoid").alias("other"), "label"), "label long").select("label", "hausdorff_km")
+    return best.join(near.groupBy("label").agg(F.median("hausdorff_km").alias("median_distance_to_medoid_km"), F.max("hausdorff_km").alias("max_distance_to_medoid_km")), "label")
+
+
+def to_centres(sets: Sets, ids: DataFrame, centres: DataFrame) -> DataFrame:
+    """(a, b, hausdorff_km) of every id (i) and every medoid of ``centres``."""
+    pairs = ids.select(F.col("i").alias("id")).crossJoin(F.broadcast(centres.select(F.col("medoid").alias("other")))).where("id <> other")
+    found = of_pairs(sets, pairs)
+    return found.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"), "hausdorff_km").distinct()
+
+
+def of_pairs(sets: Sets, pairs: DataFrame, more: str = "") -> DataFrame:
+    """``pairs`` (id, other, ...) of which few others have many ids, with ``hausdorff_km``, exactly; ``more`` is the schema of other columns."""
+    points = sets.table.select("id", "x", "y", "z")
+    ends = points.join(pairs.select(F.col("other").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("other"), *[F.col(c).alias(f"o{c}") for c in "xyz"])
+    both = pairs.join(points, "id").join(ends, "other")
+    kept = ["id", "other", *[c for c in pairs.columns if c not in ("id", "other")]]
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                others = _points(pdf[["ox", "oy", "oz"]].set_axis([*"xyz"], axis=1))
+                c2 = [max(float(v[0]) for v in compare_packed([p], [q], False)[2:]) for p, q in zip(_points(pdf), others)]
+                yield pdf[kept].assign(c2=c2)
+
+    out = both.mapInPandas(measure, f"id {sets.kind}, other {sets.kind}, {more + ', ' if more else ''}c2 double")
+    return out.withColumn("hausdorff_km", arc_km(F.sqrt("c2"))).drop("c2")
 
 
 def medoid_pairs(sets: Sets, labels: DataFrame) -> DataFrame:
-    """Distances (a, b, ...) from every set that can be its cluster's medoid to all others of the cluster (i, label).
+    """Distances (a, b, ...) from every set that can be its cluster's medoid to all others of the cluster (i, label)."""
+    pairs = lambda p, q, i, j, ab, ba: _ordered(p.id.to_numpy()[i], q.id.to_numpy()[j], ab, ba)
+    return _in_km(_with_candidates(sets, labels, pairs, f"a {sets.kind}, b {sets.kind}, ab double, ba double")[0])
+
+
+def _with_candidates(sets: Sets, labels: DataFrame, make: Callable[..., pd.DataFrame], schema: str) -> tuple[DataFrame, DataFrame]:
+    """What ``make`` makes of the distances between sets that can be their cluster's medoid and all others of the cluster, and the former (id, label).
 
-    A set can't be if the sum of its lower bounds is above the least sum of upper bounds.
+    A set can't be if the sum of its lower bounds is above the least sum of upper bounds; a block's ranges bound all its sets at once.
     """
+    ranges = sets.ranges
     of = materialise(labels.where("label >= 0").select(F.col("i").alias("id"), "label"))
-    same_label = lambda p, q: np.equal.outer(p.label.to_numpy(float), q.label.to_numpy(float))
 
-    def visit(p: pd.DataFrame, q: pd.DataFrame, same: bool) -> pd.DataFrame:
-        out = []
-        if len(p) and len(q):
-            inside = same_label(p, q)
-            if same:
-                np.fill_diagonal(inside, False)
-            arc = lambda c: 2 * np.arcsin(np.clip(c, 0, 2) / 2)
-            low, high = np.where(inside, arc(lower(p, q)), 0), np.where(inside, arc(upper(p, q)), 0)
-            for u, axis in ((p, 1), (q, 0))[: 1 if same else 2]:
-                out.append(pd.DataFrame({"id": u.id, "label": u.label, "low": low.sum(axis=axis), "high": high.sum(axis=axis)}))
-        found = pd.concat(out) if out else pd.DataFrame(columns=["id", "label", "low", "high"])
-        return found[found.label.notna()].astype({"label": "int64"})
-
-    sums = sets.meet(visit, f"id {sets.kind}, label long, low double, high double", of).groupBy("label", "id").agg(F.sum("low").alias("low"), F.sum("high").alias("high"))
+    def per_block(rows: DataFrame) -> dict[int, np.ndarray]:
+        """The number of sets of each label in every block."""
+        out: dict[int, np.ndarray] = {}
+        for r in sets.table.select("id", "block").join(rows, "id").groupBy("block", "label").count().collect():
+            out.setdefault(r["label"], np.zeros(len(ranges.names)))[np.searchsorted(ranges.names, r["block"])] = r["count"]
+        return out
+
+    members = per_block(of)
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        arc = lambda c: 2 * np.arcsin(np.clip(c, 0, 2) / 2)
+        for pdf in batches:
+            if len(pdf):
+                weight = np.stack([members[k] for k in pdf.label])
+                weight[np.arange(len(pdf)), np.searchsorted(ranges.names, pdf.block)] -= 1
+                f = np.stack(pdf.f)
+                low, high = arc(ranges.low(f)), arc(ranges.high(f, np.stack(pdf.r)))
+                yield pdf[["id", "label"]].assign(low=(low * weight).sum(axis=1), high=(high * weight).sum(axis=1))
+
+    bounds = sets.table.select("id", "block", "f", "r").join(of, "id").mapInPandas(sums, f"id {sets.kind}, label long, low double, high double")
     least = F.min("high").over(Window.partitionBy("label"))
-    candidates = sums.withColumn("least", least).where(F.col("low") <= F.col("least") * (1 + 1e-9) + 1e-9).select("id", F.lit(True).alias("candidate"))
-    marked = materialise(of.join(candidates, "id", "left"))
+    candidates = materialise(bounds.withColumn("least", least).where(F.col("low") <= F.col("least") * (1 + 1e-9) + 1e-9).select("id", "label"))
+    chosen = per_block(candidates)
+    marked = materialise(of.join(candidates.select("id", F.lit(True).alias("candidate")), "id", "left"))
+    nowhere = np.zeros(len(ranges.names))
 
-    def wanted(p: pd.DataFrame, q: pd.DataFrame) -> np.ndarray:
+    def goes(pdf: pd.DataFrame) -> np.ndarray:
+        all_of, some_of = (np.stack([w.get(k, nowhere) for k in pdf.label.fillna(-1)]) > 0 for w in (members, chosen))
+        return np.where(pdf.candidate.notna().to_numpy()[:, None], all_of, some_of)
+
+    def visit(p: pd.DataFrame, q: pd.DataFrame, same: bool) -> pd.DataFrame:
+        p, q = (v[v.label.notna()].reset_index(drop=True) for v in (p, q))
+        if not len(p) or not len(q):
+            return make(p, q, *[np.zeros(0, int)] * 2, *[np.zeros(0)] * 2)
         yes = lambda v: v.candidate.notna().to_numpy()
-        return same_label(p, q) & np.logical_or.outer(yes(p), yes(q))
+        wanted = np.equal.outer(p.label.to_numpy(float), q.label.to_numpy(float)) & np.logical_or.outer(yes(p), yes(q))
+        return make(p, q, *compare_packed(_points(p), _points(q), same, wanted))
 
-    return sets.distances(wanted, marked)
+    return sets.meet(visit, schema, sets.toward(goes, marked), marked, bounds=False, mutual=True), candidates

@@ -153,17 +153,34 @@ def persistent_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.persistent_noise(_label_grid(valid_points(spark, sf_dir)))
 
 
+def _medoids(points: DataFrame, sf_dir: str) -> DataFrame:
+    lanes = _lanes(points)
+    return _bounded(points, sf_dir, lambda sets: metric.medoids(sets, lanes), lambda matrix: cluster.medoids(matrix, lanes))
+
+
+def _to_medoids(points: DataFrame, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The medoids of the lanes, and a matrix that has the distances of the noise to them."""
+    lanes = materialise(_lanes(points))
+    try:
+        sets = metric.Sets(points)
+    except metric.LongSets:
+        matrix = _matrix(points, sf_dir)
+        return materialise(cluster.medoids(matrix, lanes)), matrix
+    centres = materialise(metric.medoids(sets, lanes))
+    return centres, materialise(metric.to_centres(sets, lanes.where("label = -1"), centres))
+
+
 def noise_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = _points(spark, sf_dir)
-    matrix, lanes = _matrix(points, sf_dir), _lanes(points)
-    out = cluster.noise_candidates(matrix, lanes, _label_grid(points), cluster.medoids(matrix, lanes))
+    centres, matrix = _to_medoids(points, sf_dir)
+    out = cluster.noise_candidates(matrix, _lanes(points), _label_grid(points), centres)
     return out.select("i", "noise_fraction", "nearest_medoid", "nearest_cluster", rounded("distance_km", 5))
 
 
 def persistent_noise_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = _points(spark, sf_dir)
-    matrix, lanes = _matrix(points, sf_dir), _lanes(points)
-    out = review.persistent_noise_review(points, matrix, lanes, _label_grid(points), cluster.medoids(matrix, lanes))
+    centres, matrix = _to_medoids(points, sf_dir)
+    out = review.persistent_noise_review(points, matrix, _lanes(points), _label_grid(points), centres)
     return out.select(*[rounded(c, 5) if c.endswith(("_km", "_min", "_observation")) else F.col(c) for c in out.columns])
 
 
@@ -186,13 +203,13 @@ def linkage_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cluster_medoids(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = _points(spark, sf_dir)
-    return cluster.medoids(_matrix(points, sf_dir), _lanes(points)).select("label", "medoid", "flights", rounded("median_distance_to_medoid_km", 5), rounded("max_distance_to_medoid_km", 5))
+    return _medoids(points, sf_dir).select("label", "medoid", "flights", rounded("median_distance_to_medoid_km", 5), rounded("max_distance_to_medoid_km", 5))
 
 
 def noise_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = _points(spark, sf_dir)
-    matrix, lanes = _matrix(points, sf_dir), _lanes(points)
-    return cluster.noise_ranking(matrix, lanes, cluster.medoids(matrix, lanes)).select("i", "nearest_medoid", "nearest_cluster", rounded("distance_km", 5))
+    centres, matrix = _to_medoids(points, sf_dir)
+    return cluster.noise_ranking(matrix, _lanes(points), centres).select("i", "nearest_medoid", "nearest_cluster", rounded("distance_km", 5))
 
 
 def core_distance_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
